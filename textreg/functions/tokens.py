@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 SENTENCE_END = r"(?<=[.!?])\s+"
 
 
+def bound(c: str | Column, build: Callable[[Column], Column]) -> Column:
+    """``build(c)`` with ``c`` computed once per row, however often ``build`` uses it (also inside lambdas)."""
+    return F.transform(F.array(_col(c)), build)[0]
+
+
 def tokenize_words(c: str | Column) -> Column:
     """Lower-cased words and punctuation marks, in order."""
     return F.regexp_extract_all(F.lower(_col(c)), F.lit(TOKEN_PATTERN), F.lit(0))
@@ -43,9 +50,12 @@ def ngrams(tokens: str | Column, n: int = 2) -> Column:
     """Runs of ``n`` consecutive tokens joined by a blank; none for shorter lists."""
     if n < 2:
         raise ValueError("n must be >= 2")
-    t = _col(tokens)
-    starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(t, i, n), " "))
+
+    def grams(t: Column) -> Column:
+        starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(t, i, n), " "))
+
+    return bound(tokens, grams)
 
 
 def truncate_tokens(tokens: str | Column, max_length: int = 512) -> Column:

@@ -134,7 +134,7 @@ def term_frequencies(
     Tokens keep only ``a-z``, lose stop words, and map to the base form in ``base_forms(word, base)``
     when they have one. Words are counted before the dictionary join, so it sees each word once.
     """
-    token = F.explode(tokenize_words(text)).alias("word")
+    token = F.explode_outer(tokenize_words(text)).alias("word")
     words = df.select(token).select(F.regexp_replace("word", "[^a-z]", "").alias("word"))
     counts = words.filter((F.col("word") != "") & ~F.col("word").isin(list(stops))).groupBy("word").count()
     if base_forms is not None:

@@ -15,6 +15,10 @@ from textreg.plans.ordering import add_row_index
 from textreg.plans.skew import lookup_join
 
 
+# Bits of a packed (row, position) number that hold the position.
+_POS_BITS = 24
+
+
 @dataclass(frozen=True)
 class FittedVocabulary:
     """``terms(term, term_index, df, idf)`` and what is needed to apply it."""
@@ -46,15 +50,15 @@ class FittedVocabulary:
 
 
 def term_counts(docs: DataFrame, row: str = "row_index", tokens: str = "tokens", n: int | None = None) -> DataFrame:
-    """``(row_index, term, n, first_pos)``; a document without tokens stays as one row with a null term.
+    """``(row_index, term, n)``; a document without tokens stays as one row with a null term.
 
     ``n`` adds the n-grams after the tokens. Documents are spread by row before they are exploded, so
     counting here and collecting per row later both need no further shuffle.
     """
     features = F.col(tokens) if n is None else F.concat(tokens, ngrams(tokens, n))
     spread = docs.select(row, F.col(tokens)).repartition(row)
-    exploded = spread.select(row, F.posexplode_outer(features).alias("pos", "term"))
-    return exploded.groupBy(row, "term").agg(F.count("term").alias("n"), F.min("pos").alias("first_pos"))
+    exploded = spread.select(row, F.explode_outer(features).alias("term"))
+    return exploded.groupBy(row, "term").agg(F.count("term").alias("n"))
 
 
 def fit_vocabulary(
@@ -67,12 +71,22 @@ def fit_vocabulary(
     method = method_name(method)
     if ngram_n < 2:
         raise ValueError("ngram_n must be >= 2")
-    counts = term_counts(docs, row, tokens, ngram_n if method == "n-gram+BoW" else None)
-    per_term = counts.filter(F.col("term").isNotNull()).groupBy("term").agg(
-        F.min(F.struct(row, "first_pos")).alias("first"), F.count("*").alias("df")
-    ).select("term", "df", F.col(f"first.{row}").alias("first_row"), "first.first_pos")
-    numbered = add_row_index(per_term, ["first_row", "first_pos"], "term_index")
-    n_documents = docs.count()
+    features = F.concat(tokens, ngrams(tokens, ngram_n)) if method == "n-gram+BoW" else F.col(tokens)
+    # array_distinct keeps first-appearance order, so one row per (document, term) carries all that is
+    # needed: terms reduce to one row each before the shuffle and no text moves. The outer explode keeps
+    # the optimizer from computing the list a second time for a not-empty test.
+    terms = docs.select(row, F.posexplode_outer(F.array_distinct(features)).alias("pos", "term"))
+    terms = terms.filter(F.col("term").isNotNull())
+    size = docs.agg(F.count("*").alias("n"), F.min(row).alias("lo"), F.max(row).alias("hi")).first()
+    if size["n"] and 0 <= size["lo"] and size["hi"] < 1 << (63 - _POS_BITS):
+        # (row, position) in one number: a hash aggregation, where a struct would need a sorting one.
+        fits = F.when(F.col("pos") < 1 << _POS_BITS, F.shiftleft(F.col(row).cast("bigint"), _POS_BITS) + F.col("pos"))
+        first = fits.otherwise(F.raise_error(F.lit("a document has too many different terms")).cast("bigint"))
+    else:
+        first = F.struct(row, "pos")
+    per_term = terms.groupBy("term").agg(F.min(first).alias("first"), F.count("*").alias("df"))
+    numbered = add_row_index(per_term, "first", "term_index")
+    n_documents = size["n"]
     idf = F.log(F.lit(1.0 + n_documents) / (1 + F.col("df"))) + 1.0
     terms = numbered.select("term", "term_index", "df", idf.alias("idf"))
     return FittedVocabulary(method, terms, n_documents, terms.count(), ngram_n)
@@ -86,7 +100,7 @@ def weighted_terms(
     Values are counts, or count times idf without length normalization.
     """
     counts = term_counts(docs, row, tokens, fitted.ngram_n if fitted.method == "n-gram+BoW" else None)
-    known = lookup_join(counts, fitted.terms.select("term", "term_index", "idf"), "term", "left", spread_by=row)
+    known = lookup_join(counts, fitted.terms.select("term", "term_index", "idf"), "term", "left", spread_by=row, stored=True)
     value = F.col("n") * F.col("idf") if fitted.weighted else F.col("n").cast("double")
     return known.select(row, "term_index", F.when(F.col("term_index").isNotNull(), value).alias("value"))
 

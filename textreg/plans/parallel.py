@@ -1,0 +1,16 @@
+"""Spreading CPU-heavy work when the input has too few files to fill the cores."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+# More files than this fill a cluster by themselves; large tables are never reshuffled here.
+FEW_FILES = 64
+
+
+def spread_scan(table: DataFrame) -> DataFrame:
+    """``table`` as read, or dealt out over all cores when it is only a few files."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if len(table.inputFiles()) < min(cores, FEW_FILES):
+        return table.repartition(cores)
+    return table

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textreg.plans.stage import write_stage
+
 MAX_BROADCAST_ROWS = 500_000
 MAX_BROADCAST_BYTES = 64 << 20
 
@@ -30,6 +32,7 @@ def lookup_join(
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
     hot_share: int = 1000,
     salts: int = 64,
+    stored: bool = False,
 ) -> DataFrame:
     """Join ``left`` to ``right`` on equal keys; ``how`` is inner, left, left_semi or left_anti.
 
@@ -37,10 +40,14 @@ def lookup_join(
     both sides shuffle, and the keys that own more than ``1/hot_share`` of ``left`` - at most
     ``hot_share`` of them, whatever the data - are split into ``salts`` pieces by a hash of
     ``spread_by`` (a column that differs within a key), with the matching ``right`` rows copied.
+    ``right`` is written out before it is measured, so it is computed once; pass ``stored`` when it
+    is a table already.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
     keys = [on] if isinstance(on, str) else list(on)
+    if not stored:
+        right = write_stage(right, "lookup")
     if fits_broadcast(right, max_broadcast_rows, max_broadcast_bytes):
         return left.join(F.broadcast(right), keys, how)
     if spread_by is None:

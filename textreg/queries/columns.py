@@ -9,6 +9,7 @@ from textreg.functions import text as T
 from textreg.functions.html import extract_html
 from textreg.operators import shaping as S
 from textreg.operators.reshape import explode_paragraphs
+from textreg.plans.parallel import spread_scan
 from textreg.queries.registry import query
 
 NUMBER_TEXT = "if(event_id % 5 = 0, 'n/a', get_json_object(props, '$.k'))"
@@ -277,8 +278,7 @@ def to_titlecase(t):
 
 @query("extract_digits_number", r"""
     select c_custkey, try_cast(replace(regexp_replace(c_name || case when c_custkey % 9 = 0 then ' rows' else '"' end, '[^\d]+', ''), '"', '') as bigint) as n
-    from customer where c_custkey % 9 <> 0
-    union all select c_custkey, null from customer where c_custkey % 9 = 0""")
+    from customer""")
 def extract_digits_number(t):
     text = F.concat("c_name", F.when(F.col("c_custkey") % 9 == 0, F.lit(" rows")).otherwise(F.lit('"')))
     return t.customer.select("c_custkey", T.extract_digits_number(text).alias("n"))
@@ -354,18 +354,18 @@ def prepare_text_payload(t):
 
 @query("html_get_text")
 def html_get_text(t):
-    return extract_html(t.pages, "page_id", "html").select("page_id", "text")
+    return extract_html(spread_scan(t.pages), "page_id", "html").select("page_id", "text")
 
 
 @query("html_paragraphs")
 def html_paragraphs(t):
-    pages = extract_html(t.pages, "page_id", "html").select("page_id", "paragraphs")
+    pages = extract_html(spread_scan(t.pages), "page_id", "html").select("page_id", "paragraphs")
     return explode_paragraphs(pages, "paragraphs").withColumnRenamed("paragraphs", "paragraph")
 
 
 @query("html_links")
 def html_links(t):
-    return extract_html(t.pages, "page_id", "html").select("page_id", F.inline("links"))
+    return extract_html(spread_scan(t.pages), "page_id", "html").select("page_id", F.inline("links"))
 
 
 VERDICT = """case event_id % 6
