@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textreg.functions.stopwords import stop_words
-from textreg.functions.text import _col
+from textreg.functions.text import _col, bound
 
 # A word is a run of letters, digits and "_"; every other visible character is its own token.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
@@ -16,11 +14,6 @@ TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 SENTENCE_END = r"(?<=[.!?])\s+"
 
 
-def bound(c: str | Column, build: Callable[[Column], Column]) -> Column:
-    """``build(c)`` with ``c`` computed once per row, however often ``build`` uses it (also inside lambdas)."""
-    return F.transform(F.array(_col(c)), build)[0]
-
-
 def tokenize_words(c: str | Column) -> Column:
     """Lower-cased words and punctuation marks, in order."""
     return F.regexp_extract_all(F.lower(_col(c)), F.lit(TOKEN_PATTERN), F.lit(0))

@@ -63,14 +63,14 @@ def ridge_regression(n_features: int, n_rows: int, label_std: tuple[float, float
     std = label_std[0] if normal else label_std[1]
     return LinearRegression(
         regParam=alpha * std / max(n_rows, 1), elasticNetParam=0.0, standardization=False,
-        solver="normal" if normal else "l-bfgs", maxIter=500, tol=1e-9, featuresCol="x", labelCol="y",
+        solver="normal" if normal else "l-bfgs", maxIter=200, tol=1e-6, featuresCol="x", labelCol="y",
     )
 
 
 def lasso_regression(n_features: int, n_rows: int, label_std: tuple[float, float], alpha: float = 0.001) -> Estimator:
     """Minimizes ``|y - Xw|^2 / 2n + alpha |w|_1``."""
     return LinearRegression(
-        regParam=alpha, elasticNetParam=1.0, standardization=False, solver="l-bfgs", maxIter=500, tol=1e-9,
+        regParam=alpha, elasticNetParam=1.0, standardization=False, solver="l-bfgs", maxIter=200, tol=1e-7,
         featuresCol="x", labelCol="y",
     )
 

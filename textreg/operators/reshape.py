@@ -88,8 +88,8 @@ def row_sum_order(table: DataFrame, index: str) -> DataFrame:
 
 def sparse_rows_to_triplets(df: DataFrame, row: str = "row_index") -> DataFrame:
     """``(row_index, term_index, value)`` per stored entry; empty rows have none."""
-    pair = F.explode(F.arrays_zip("embedding_indices", "embedding_values")).alias("e")
-    return df.select(row, pair).select(
+    pair = F.explode_outer(F.arrays_zip("embedding_indices", "embedding_values")).alias("e")
+    return df.select(row, pair).filter(F.col("e").isNotNull()).select(
         row, F.col("e.embedding_indices").alias("term_index"), F.col("e.embedding_values").cast("double").alias("value")
     )
 

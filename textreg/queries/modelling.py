@@ -30,8 +30,8 @@ def dense_vectors(t):
     select row_index, term_index, round(n / len, 6) as value from tf join vocab using (term) join lens using (row_index)""")
 def l2_normalize_rows(t):
     rows = V.fit_transform(documents(t), "BoW").withColumn("embedding_values", L.l2_normalized("embedding_values"))
-    pairs = F.explode(F.arrays_zip("embedding_indices", "embedding_values")).alias("e")
-    return rows.select("row_index", pairs).select(
+    pairs = F.explode_outer(F.arrays_zip("embedding_indices", "embedding_values")).alias("e")
+    return rows.select("row_index", pairs).filter(F.col("e").isNotNull()).select(
         "row_index", F.col("e.embedding_indices").alias("term_index"), F.round("e.embedding_values", 6).alias("value")
     )
 
@@ -61,7 +61,7 @@ def select_k_best(t):
     select vec_id, cast(dim - 1 as integer) as dim, round((x - m) / sd, 5) + 0.0 as value from e join s using (dim)""")
 def standard_scale(t):
     scaled = L.standard_scale(t.embeddings.select("vec_id", "embedding"))
-    return scaled.select("vec_id", F.posexplode("embedding").alias("dim", "value")).withColumn("value", F.round("value", 5) + 0.0)
+    return scaled.select("vec_id", F.posexplode_outer("embedding").alias("dim", "value")).withColumn("value", F.round("value", 5) + 0.0)
 
 
 def _weights(t, model: str):

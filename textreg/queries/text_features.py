@@ -211,7 +211,7 @@ def vector_lookup_join(t):
     from docs d cross join (select unnest(range(1, 65)) as dim) g left join means m on m.row_index = d.row_index and m.dim = g.dim""")
 def word_vector_mean(t):
     pooled = D.word_vector_mean(documents(t), word_vectors(t))
-    return pooled.select("row_index", F.posexplode("embedding").alias("dim", "value")).withColumn("value", F.round(F.col("value").cast("double"), 3) + 0.0)
+    return pooled.select("row_index", F.posexplode_outer("embedding").alias("dim", "value")).withColumn("value", F.round(F.col("value").cast("double"), 3) + 0.0)
 
 
 @query("masked_mean_pool", """
@@ -220,7 +220,7 @@ def word_vector_mean(t):
 def masked_mean_pool(t):
     masked = t.embeddings.withColumn("mask", F.when(F.col("vec_id") % 3 == 0, 0).otherwise(1))
     pooled = D.masked_mean_pool(masked, "label", "embedding", "mask")
-    return pooled.select("label", F.posexplode("embedding").alias("dim", "value")).withColumn("value", F.round(F.col("value").cast("double"), 5) + 0.0)
+    return pooled.select("label", F.posexplode_outer("embedding").alias("dim", "value")).withColumn("value", F.round(F.col("value").cast("double"), 5) + 0.0)
 
 
 @query("batched_encoder")
