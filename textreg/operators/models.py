@@ -75,9 +75,12 @@ def lasso_regression(n_features: int, n_rows: int, label_std: tuple[float, float
     )
 
 
-def random_forest(n_features: int, n_rows: int, label_std: tuple[float, float], trees: int = 100) -> Estimator:
+def random_forest(
+    n_features: int, n_rows: int, label_std: tuple[float, float], trees: int = 100, depth: int = 20
+) -> Estimator:
+    """Bootstrapped trees that see every feature at every split, grown to ``depth`` (Spark allows 30)."""
     return RandomForestRegressor(
-        numTrees=trees, maxDepth=8, featureSubsetStrategy="all", seed=SEED, featuresCol="x", labelCol="y"
+        numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=SEED, featuresCol="x", labelCol="y"
     )
 
 

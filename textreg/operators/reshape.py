@@ -29,7 +29,8 @@ def protect_then_split(df: DataFrame, column: str, protected: str, alias: str |
     part is turned back.
     """
     alias = alias or column
-    guarded = df.withColumn(column, replace_first(column, protected, protected.replace(",", " &"), literal=True))
+    whole = protected.replace(", &", " &").replace(",", " &")
+    guarded = df.withColumn(column, replace_first(column, protected, whole, literal=True))
     return split_explode(guarded, column, alias).withColumn(
         alias, strip(replace_first(alias, " & ", ", ", literal=True))
     )

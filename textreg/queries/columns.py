@@ -352,18 +352,43 @@ def prepare_text_payload(t):
     )
 
 
-@query("html_get_text")
+ENTITIES = {"&lt;": "'<'", "&gt;": "'>'", "&quot;": "'\"'", "&#39;": "chr(39)", "&nbsp;": "chr(160)", "&copy;": "'©'", "&middot;": "'·'", "&amp;": "'&'"}
+
+
+def _html_text(expression: str) -> str:
+    """SQL for the decoded, stripped text of an HTML fragment."""
+    for entity, plain in ENTITIES.items():
+        expression = f"replace({expression}, '{entity}', {plain})"
+    return rf"regexp_replace({expression}, '^[\s\x{{00a0}}]+|[\s\x{{00a0}}]+$', '', 'g')"
+
+
+SHOWN = "regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '<x>', 'g')"
+ANCHORS = "regexp_extract_all(nav, '(?s)<a [^>]*>.*?</a>')"
+NO_TAGS = "regexp_replace({}, '<[^>]*>', '', 'g')"
+
+
+@query("html_get_text", f"""
+    select page_id, array_to_string(list_filter(list_transform(regexp_split_to_array({SHOWN}, '<[^>]*>'), lambda x: {_html_text('x')}), lambda x: x <> ''), ' ') as text
+    from pages""")
 def html_get_text(t):
     return extract_html(spread_scan(t.pages), "page_id", "html").select("page_id", "text")
 
 
-@query("html_paragraphs")
+@query("html_paragraphs", f"""
+    with blocks as (select page_id, unnest(regexp_extract_all({SHOWN}, '(?s)<article.*?</article>')) as block from pages),
+    opened as (select page_id, regexp_split_to_array(replace(block, '</article>', '</p>'), '<p>')[2:] as l from blocks),
+    p as (select page_id, list_transform(l, lambda x: {_html_text(NO_TAGS.format("regexp_replace(split_part(x, '</p>', 1), '<br */?>', chr(10), 'g')"))}) as l from opened)
+    select page_id, cast(i - 1 as integer) as pos, l[i] as paragraph from (select page_id, l, unnest(range(1, len(l) + 1)) as i from p)
+    union all select page_id, null, null from p where len(l) = 0""")
 def html_paragraphs(t):
     pages = extract_html(spread_scan(t.pages), "page_id", "html").select("page_id", "paragraphs")
     return explode_paragraphs(pages, "paragraphs").withColumnRenamed("paragraphs", "paragraph")
 
 
-@query("html_links")
+@query("html_links", f"""
+    with navs as (select page_id, unnest(regexp_extract_all(html, '(?s)<nav.*?</nav>')) as nav from pages),
+    a as (select page_id, unnest({ANCHORS}) as a, generate_subscripts({ANCHORS}, 1) as rank from navs)
+    select page_id, cast(rank as integer) as rank, {_html_text("""regexp_extract(a, 'href="([^"]*)"', 1)""")} as href, {_html_text(NO_TAGS.format('a'))} as text from a""")
 def html_links(t):
     return extract_html(spread_scan(t.pages), "page_id", "html").select("page_id", F.inline("links"))
 

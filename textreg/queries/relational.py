@@ -301,7 +301,7 @@ def double_explode_cross(t):
 
 
 @query("protect_then_split", """
-    with s as (select p_partkey, unnest(string_split(replace(p_brand || ', Deep (A, B, & C), ' || p_type || ' & more & so', '(A, B, & C)', '(A & B & & C)'), ',')) as part_text from part)
+    with s as (select p_partkey, unnest(string_split(replace(p_brand || ', Deep (A, B, & C), ' || p_type || ' & more & so', '(A, B, & C)', '(A & B & C)'), ',')) as part_text from part)
     select p_partkey, trim(regexp_replace(part_text, ' & ', ', ')) as class from s""")
 def protect_then_split(t):
     listed = t.part.select("p_partkey", F.concat("p_brand", F.lit(", Deep (A, B, & C), "), "p_type", F.lit(" & more & so")).alias("classes"))
