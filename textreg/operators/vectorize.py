@@ -33,6 +33,11 @@ class FittedVocabulary:
     def weighted(self) -> bool:
         return self.method == "TF-IDF"
 
+    def frequent_terms(self, share: int = 1000) -> DataFrame:
+        """Terms that own more than ``1/share`` of all (document, term) pairs: at most ``share`` of them."""
+        pairs = self.terms.agg(F.sum("df")).first()[0] or 0
+        return self.terms.filter(F.col("df") > pairs // share).select("term")
+
     def save(self, path: str) -> None:
         spark = self.terms.sparkSession
         self.terms.write.mode("overwrite").parquet(f"{path}/vocabulary")
@@ -100,7 +105,10 @@ def weighted_terms(
     Values are counts, or count times idf without length normalization.
     """
     counts = term_counts(docs, row, tokens, fitted.ngram_n if fitted.method == "n-gram+BoW" else None)
-    known = lookup_join(counts, fitted.terms.select("term", "term_index", "idf"), "term", "left", spread_by=row, stored=True)
+    known = lookup_join(
+        counts, fitted.terms.select("term", "term_index", "idf"), "term", "left", spread_by=row, stored=True,
+        hot=fitted.frequent_terms(),
+    )
     value = F.col("n") * F.col("idf") if fitted.weighted else F.col("n").cast("double")
     return known.select(row, "term_index", F.when(F.col("term_index").isNotNull(), value).alias("value"))
 

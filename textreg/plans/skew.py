@@ -33,6 +33,7 @@ def lookup_join(
     hot_share: int = 1000,
     salts: int = 64,
     stored: bool = False,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``right`` on equal keys; ``how`` is inner, left, left_semi or left_anti.
 
@@ -40,6 +41,7 @@ def lookup_join(
     both sides shuffle, and the keys that own more than ``1/hot_share`` of ``left`` - at most
     ``hot_share`` of them, whatever the data - are split into ``salts`` pieces by a hash of
     ``spread_by`` (a column that differs within a key), with the matching ``right`` rows copied.
+    Keys already known to be frequent come as ``hot`` instead and save a pass over ``left``.
     ``right`` is written out before it is measured, so it is computed once; pass ``stored`` when it
     is a table already.
     """
@@ -53,9 +55,11 @@ def lookup_join(
     if spread_by is None:
         return left.join(right, keys, how)
     spread = [spread_by] if isinstance(spread_by, str) else list(spread_by)
-    counts = left.groupBy(*keys).count()
-    limit = max(1, (left.count() // hot_share))
-    hot = counts.filter(F.col("count") > limit).select(*keys, F.lit(True).alias("__hot"))
+    if hot is None:
+        counts = write_stage(left.groupBy(*keys).count(), "key-counts")
+        limit = max(1, (counts.agg(F.sum("count")).first()[0] or 0) // hot_share)
+        hot = counts.filter(F.col("count") > limit)
+    hot = hot.select(*keys, F.lit(True).alias("__hot"))
     piece = F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0))
     salted_left = left.join(F.broadcast(hot), keys, "left").withColumn("__salt", piece.cast("int")).drop("__hot")
     copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

@@ -91,12 +91,12 @@ def left_then_inner_join(t):
 def semi_join_title_in_both(t):
     titles = t.documents.select("doc_id", "source", F.md5(F.lower("text")).alias("title"))
     others = titles.filter("source <> 'src0'").select("title").distinct()
-    return titles.filter("source = 'src0'").join(others, "title", "left_semi").select("doc_id", "title")
+    return lookup_join(titles.filter("source = 'src0'"), others, "title", "left_semi", spread_by="doc_id").select("doc_id", "title")
 
 
 @query("anti_join_new_keys", "select doc_id, lang from documents where doc_id not in (select doc_id from labels)")
 def anti_join_new_keys(t):
-    return new_keys(t.documents.select("doc_id", "lang"), t.labels, "doc_id")
+    return new_keys(t.documents.select("doc_id", "lang"), t.labels, "doc_id", spread_by="doc_id")
 
 
 @query("positional_column_attach", """

@@ -23,7 +23,7 @@ def read_partitioned(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def new_keys(batch: DataFrame, loaded: DataFrame, key: str) -> DataFrame:
-    """Rows of ``batch`` whose key is not loaded yet."""
+def new_keys(batch: DataFrame, loaded: DataFrame, key: str, spread_by: str | None = None) -> DataFrame:
+    """Rows of ``batch`` whose key is not loaded yet; ``spread_by`` differs between rows of one key."""
     known = loaded.select(key).filter(F.col(key).isNotNull()).distinct()
-    return lookup_join(batch, known, key, "left_anti")
+    return lookup_join(batch, known, key, "left_anti", spread_by=spread_by)
