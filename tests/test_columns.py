@@ -64,8 +64,7 @@ def test_verdicts(spark):
         '{"results": [1]}': "wrong number of criteria", '{"x": 1}': "missing results", "{oops": "not valid JSON", "": "not valid JSON",
     }
     df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string")
-    verdict, error = T.verdicts("t", 2)
-    rows = df.select("i", verdict.alias("v"), error.alias("e")).orderBy("i").collect()
+    rows = df.select("i", T.verdicts("t", 2).alias("j")).select("i", F.col("j.verdicts").alias("v"), F.col("j.error").alias("e")).orderBy("i").collect()
     assert [r["e"] for r in rows] == list(cases.values())
     assert rows[0]["v"] == {"a": True, "b": False} and all(r["v"] is None for r in rows[1:])
 

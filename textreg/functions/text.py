@@ -65,9 +65,15 @@ def to_plain_latin(c: str | Column) -> Column:
     return out
 
 
+# The characters that count as white space at the ends of a text.
+WHITE_SPACE = "".join(
+    chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+)
+
+
 def strip(c: str | Column) -> Column:
-    """Remove white space of any kind at both ends (``trim`` removes blanks only)."""
-    return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
+    """Remove white space of any kind at both ends (plain ``trim`` removes blanks only)."""
+    return F.btrim(_col(c), F.lit(WHITE_SPACE))
 
 
 def strip_lower(c: str | Column) -> Column:
@@ -167,21 +173,28 @@ def concat_text(*columns: str) -> Column:
     return strip(F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
 
 
-def verdicts(c: str | Column, expected: int) -> tuple[Column, Column]:
-    """(verdict map, error) of ``{"results": {criterion: true|false}}`` with exactly ``expected`` criteria.
+def verdicts(c: str | Column, expected: int) -> Column:
+    """``struct<verdicts: map<string,boolean>, error: string>`` of ``{"results": {criterion: true|false}}``.
 
-    Exactly one of the two is null, so bad rows are kept beside the good ones instead of failing the job.
+    Exactly one of the two is null: a text that is not JSON, lacks ``results`` or has other than
+    ``expected`` boolean criteria keeps its row with the reason instead of failing the job.
     """
+    kind = "map<string,string>"
+
+    def judge(valid: Column, outer: Column, results: Column) -> Column:
+        flags = F.map_values(results)
+        error = (
+            F.when(~valid, F.lit("not valid JSON"))
+            .when(~F.map_contains_key(outer, "results"), F.lit("missing results"))
+            .when(results.isNull() | (F.size(results) != expected), F.lit("wrong number of criteria"))
+            .when(~F.forall(flags, lambda v: F.coalesce(v, F.lit("")).isin("true", "false")), F.lit("not boolean"))
+        )
+        return bound(error, lambda e: F.struct(
+            F.when(e.isNull(), F.transform_values(results, lambda _, v: v == "true")).alias("verdicts"), e.alias("error")
+        ))
+
     text = _col(c)
-    outer = F.from_json(text, "map<string,string>")
-    results = F.from_json(F.get(F.map_values(F.map_filter(outer, lambda k, _: k == "results")), F.lit(0)),
-                          "map<string,string>")
-    error = (
-        F.when(F.get_json_object(text, "$").isNull(), F.lit("not valid JSON"))
-        .when(~F.map_contains_key(outer, "results"), F.lit("missing results"))
-        .when(results.isNull() | (F.size(results) != expected), F.lit("wrong number of criteria"))
-        .when(~F.forall(F.map_values(results), lambda v: F.coalesce(v, F.lit("")).isin("true", "false")),
-              F.lit("not boolean"))
-    )
-    parsed = F.when(error.isNull(), F.transform_values(results, lambda _, v: v == "true"))
-    return parsed, error
+    valid = F.get_json_object(text, "$").isNotNull()
+    return bound(F.from_json(text, kind), lambda outer: bound(
+        F.from_json(F.try_element_at(outer, F.lit("results")), kind), lambda results: judge(valid, outer, results)
+    ))

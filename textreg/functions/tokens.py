@@ -9,7 +9,7 @@ from textreg.functions.stopwords import stop_words
 from textreg.functions.text import _col, bound
 
 # A word is a run of letters, digits and "_"; every other visible character is its own token.
-TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
+TOKEN_PATTERN = r"[\p{L}\p{N}_]++|\S"
 # A sentence ends at ".", "!" or "?" before white space.
 SENTENCE_END = r"(?<=[.!?])\s+"
 
@@ -29,13 +29,18 @@ def remove_stopwords(tokens: str | Column, language: str = "english") -> Column:
     return F.filter(_col(tokens), lambda t: ~F.lower(t).isin(stops))
 
 
+def _words_without_stops(c: str | Column, stops: list[str]) -> Column:
+    """Words come lower-cased, so they meet the stop words as they are."""
+    return F.filter(tokenize_words(c), lambda t: ~t.isin(stops))
+
+
 def tokenize_by_strategy(c: str | Column, strategy: str = "document", language: str = "english") -> Column:
     """Stop-word-free tokens; ``sentence`` tokenizes each sentence on its own and joins the lists."""
-    kind = strategy.strip().lower()
+    kind, stops = strategy.strip().lower(), stop_words(language)
     if kind == "sentence":
-        return F.flatten(F.transform(tokenize_sentences(c), lambda s: remove_stopwords(tokenize_words(s), language)))
+        return F.flatten(F.transform(tokenize_sentences(c), lambda s: _words_without_stops(s, stops)))
     if kind in ("token", "document"):
-        return remove_stopwords(tokenize_words(c), language)
+        return _words_without_stops(c, stops)
     raise ValueError("strategy must be one of: 'sentence', 'token', 'document'")
 
 

@@ -125,18 +125,23 @@ def regression_scores(df: DataFrame, y: str, prediction: str, *keys: str) -> Dat
     )
 
 
-def term_frequencies(
-    df: DataFrame, text: str, stops: Sequence[str], base_forms: DataFrame | None = None, top: int = 150,
-    min_count: int = 2,
-) -> DataFrame:
-    """Most frequent ``term`` with its ``count``.
+def word_counts(df: DataFrame, text: str, stops: Sequence[str]) -> DataFrame:
+    """``(word, count)``: tokens reduced to ``a-z``, without stop words.
 
-    Tokens keep only ``a-z``, lose stop words, and map to the base form in ``base_forms(word, base)``
-    when they have one. Words are counted before the dictionary join, so it sees each word once.
+    Tokens are counted as they are first; cleaning runs once per different token.
     """
-    token = F.explode_outer(tokenize_words(text)).alias("word")
-    words = df.select(token).select(F.regexp_replace("word", "[^a-z]", "").alias("word"))
-    counts = words.filter((F.col("word") != "") & ~F.col("word").isin(list(stops))).groupBy("word").count()
+    tokens = df.select(F.explode_outer(tokenize_words(text)).alias("token")).groupBy("token").count()
+    cleaned = tokens.select(F.regexp_replace("token", "[^a-z]", "").alias("word"), "count")
+    # Judged beside the sum, not filtered on the key: a filter would move down to every single token.
+    unwanted = F.bool_or((F.col("word") == "") | F.col("word").isin(list(stops))).alias("unwanted")
+    summed = cleaned.groupBy("word").agg(F.sum("count").alias("count"), unwanted)
+    return summed.filter(~F.col("unwanted")).drop("unwanted")
+
+
+def term_frequencies(
+    counts: DataFrame, base_forms: DataFrame | None = None, top: int = 150, min_count: int = 2
+) -> DataFrame:
+    """Most frequent ``term`` of word counts, after each word took its base form in ``base_forms(word, base)``."""
     if base_forms is not None:
         counts = lookup_join(counts, base_forms.select("word", "base"), "word", "left").select(
             F.coalesce("base", "word").alias("word"), "count"

@@ -408,10 +408,9 @@ VERDICT = """case event_id % 6
         when 4 then 'not valid JSON' end as error
     from events""")
 def json_verdict_validate(t):
-    parsed, error = T.verdicts(F.expr(VERDICT), 3)
-    return t.events.select("event_id", parsed.alias("v"), error.alias("error")).select(
-        "event_id", F.col("v")["IC I"].cast("string").alias("ic_1"), F.col("v")["EC II"].cast("string").alias("ec_2"), "error"
-    )
+    judged = t.events.select("event_id", T.verdicts(F.expr(VERDICT), 3).alias("j"))
+    given = F.col("j.verdicts")
+    return judged.select("event_id", given["IC I"].cast("string").alias("ic_1"), given["EC II"].cast("string").alias("ec_2"), "j.error")
 
 
 @query("explode_map_struct", """

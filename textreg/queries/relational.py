@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from textreg.functions import numeric as N
 from textreg.functions import text as T
 from textreg.functions.stopwords import ENGLISH
-from textreg.functions.tokens import tokenize_words
 from textreg.operators import aggregates as A
 from textreg.operators import quality as Q
 from textreg.operators import reshape as R
@@ -17,6 +16,7 @@ from textreg.operators.sets import venn_regions
 from textreg.plans.ordering import add_row_index, running_count, shift_features
 from textreg.plans.parallel import spread_scan
 from textreg.plans.skew import lookup_join
+from textreg.plans.stage import write_stage
 from textreg.queries.registry import query
 from textreg.streaming.incremental import new_keys
 
@@ -249,10 +249,9 @@ TOKEN_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]')
     based as (select coalesce(b.w, a.w) as term, a.n from words a left join words b on a.w = b.w || 's')
     select term, cast(sum(n) as bigint) as "count" from based group by 1 having sum(n) > 1 order by 2 desc, 1 limit 150""")
 def term_frequencies_top_n(t):
-    words = spread_scan(t.documents).select(F.explode_outer(tokenize_words("text")).alias("w")).select(F.regexp_replace("w", "[^a-z]", "").alias("base"))
-    words = words.filter((F.col("base") != "") & ~F.col("base").isin(ENGLISH)).distinct()
-    plurals = words.select(F.concat("base", F.lit("s")).alias("word"), "base")
-    return A.term_frequencies(spread_scan(t.documents), "text", ENGLISH, plurals)
+    counts = write_stage(A.word_counts(spread_scan(t.documents), "text", ENGLISH), "word-counts")
+    plurals = counts.select(F.concat("word", F.lit("s")).alias("word"), F.col("word").alias("base"))
+    return A.term_frequencies(counts, plurals)
 
 
 @query("funnel_counts", """
