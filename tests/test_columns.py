@@ -108,6 +108,9 @@ def test_split_explode_and_protect(spark):
 def test_pivots(spark):
     df = spark.createDataFrame([(1, "u"), (1, "u"), (2, "v"), (3, None)], "i int, k string")
     assert sorted(tuple(r) for r in R.pivot_flags(df.filter("k is not null"), "i", "k").collect()) == [(1, 1, 0), (2, 0, 1)]
+    table = R.crosstab(df.withColumn("n", F.lit(2)).replace(3, None, ["i"]), "i", "k", "n", values=["u", "v"])
+    assert sorted((r["i"] or -1, r["u"], r["v"]) for r in table.collect()) == [(-1, 0, 0), (1, 4, 0), (2, 0, 2)]
+    assert not table.filter("i is null").isEmpty()
     with pytest.raises(ValueError, match="how"):
         R.crosstab(df, "i", "k", "i", "max")
 

@@ -39,7 +39,7 @@ def boxplot_summary(df: DataFrame, key: str, value: str) -> DataFrame:
     quartiles = group_quantiles(df, key, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
-    counted = df.groupBy(key, value).agg(F.count("*").alias("n"))
+    counted = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
     with_box = lookup_join(counted, quartiles, key, "inner", spread_by=value)
     return with_box.groupBy(key, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col(value))).alias("whisker_low"),
@@ -92,7 +92,7 @@ def ordered_concat(
     and the last step only joins its few chunk texts.
     """
     quoted = sep.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
-    pieces = df.groupBy(*keys, F.floor(F.col(order_by) / chunk).alias("__chunk")).agg(
+    pieces = df.groupBy(*keys, F.expr(f"`{order_by}` div {chunk}").alias("__chunk")).agg(
         F.expr(f"listagg(`{text}`, '{quoted}') WITHIN GROUP (ORDER BY `{order_by}`)").alias("__piece")
     )
     return pieces.groupBy(*keys).agg(

@@ -55,10 +55,16 @@ def pivot_values(df: DataFrame, on: str) -> list:
     return [r[0] for r in rows]
 
 
+def _zeros(table: DataFrame, index: str) -> DataFrame:
+    """Null cells to 0; a null ``index`` stays null."""
+    cells = [c for c in table.columns if c != index]
+    return table.fillna(0, subset=cells) if cells else table
+
+
 def pivot_flags(df: DataFrame, index: str, on: str, values: Sequence[str] | None = None) -> DataFrame:
     """One 0/1 column per value: 1 when the index has it."""
     values = list(values) if values is not None else pivot_values(df, on)
-    return df.groupBy(index).pivot(on, values).agg(F.max(F.lit(1))).fillna(0)
+    return _zeros(df.groupBy(index).pivot(on, values).agg(F.max(F.lit(1))), index)
 
 
 def crosstab(
@@ -69,7 +75,7 @@ def crosstab(
         raise ValueError("how must be 'sum' or 'mean'")
     values = list(values) if values is not None else pivot_values(df, y)
     agg = F.sum(cell) if how == "sum" else F.avg(cell)
-    return df.groupBy(x).pivot(y, values).agg(agg).fillna(0)
+    return _zeros(df.groupBy(x).pivot(y, values).agg(agg), x)
 
 
 def crosstab_distinct(df: DataFrame, id_col: str, x: str, y: str, values: Sequence[str] | None = None) -> DataFrame:

@@ -61,7 +61,7 @@ def shift_features(
     reach_prev = max([-o for _, o in features.values() if o < 0], default=0)
     if max(reach_next, reach_prev) > block_rows:
         raise ValueError("block_rows must be at least the largest offset")
-    home = F.floor(F.col(index) / block_rows)
+    home = F.expr(f"`{index}` div {block_rows}")
     within = F.col(index) % block_rows
     copies = [F.struct(home.alias("block"), F.lit(True).alias("own"))]
     if reach_next:
@@ -98,7 +98,7 @@ def running_count(
     if largest <= max_group_rows:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, F.count(value).over(w))
-    blocks = add_row_index(df, keys + order, "__i").withColumn("__b", F.floor(F.col("__i") / block_rows))
+    blocks = add_row_index(df, keys + order, "__i").withColumn("__b", F.expr(f"__i div {block_rows}"))
     w = Window.partitionBy(*keys, "__b").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
     local = blocks.withColumn("__local", F.count(value).over(w))
     # One row per (key, block); earlier totals per key are at most rows / block_rows long.

@@ -38,7 +38,7 @@ def group_quantiles(
 
 
 def _quantiles_by_rank(counts: DataFrame, key: str, value: str, probs: dict[str, float], block_rows: int) -> DataFrame:
-    blocks = add_row_index(counts, [key, value], "i").withColumn("b", F.floor(F.col("i") / block_rows))
+    blocks = add_row_index(counts, [key, value], "i").withColumn("b", F.expr(f"i div {block_rows}"))
     inside = Window.partitionBy(key, "b").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(key).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(key)
