@@ -11,6 +11,7 @@ from textreg.plans.cuts import hash_cuts, hash_key
 from textreg.plans.ordering import add_row_index, running_count, shift_features
 from textreg.plans.quantiles import _quantiles_by_rank
 from textreg.plans.skew import fits_broadcast, lookup_join
+from textreg.plans.stage import shared_root, write_stage
 
 
 @pytest.fixture(scope="module")
@@ -117,3 +118,14 @@ def test_numpy_agrees_with_interpolation(skewed):
     counts = skewed.filter("k = 0").groupBy("k", "v").agg(F.count("*").alias("n"))
     q = _quantiles_by_rank(counts, "k", "v", {"p": 0.37}, 16).first()["p"]
     assert q == pytest.approx(np.quantile(values, 0.37))
+
+
+def test_stages_go_to_the_shared_folder(spark, skewed):
+    from types import SimpleNamespace
+
+    stored = write_stage(skewed, "trial")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    assert stored.exceptAll(skewed).isEmpty() and stored.count() == 3000
+    assert folder is None or all(f.split(":", 1)[1].lstrip("/").startswith(folder.strip("/")) for f in stored.inputFiles())
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default))
+    assert shared_root(unset) == shared_root(unset)

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="textreg-")
+
+
 def shared_root(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a local one only where the setting is absent."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="textreg-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    """Folder named by ``spark.checkpoint.dir``; a local one only where the setting is absent, as in tests."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or _local_root()).rstrip("/")
 
 
 def stage_path(spark: SparkSession, label: str) -> str:
