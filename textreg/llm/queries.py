@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textreg.llm import sql
+from textreg.llm.decontaminate import find_contamination
 from textreg.llm.near_dup import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,3 +33,13 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @_query("op1_minhash_near_dedup", sql.NEAR_DUPLICATES)
 def op1_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"), width=3, percent=85)
+
+
+@_query("op2_benchmark_decontamination", sql.CONTAMINATION)
+def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(names, 256).alias("items_sha256"), "contaminated",
+    )

@@ -22,3 +22,25 @@ r as (select doc_id as u, doc_id as v from w union select r.u, b.y from r join b
 select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.m as component_id, c.m = w.doc_id as kept
 from w left join n using (doc_id) join (select u, min(v) as m from r group by u) c on c.u = w.doc_id
 """
+
+_ITEM_WORDS = rf"coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+
+CONTAMINATION = f"""
+with b as (select item_id, {_ITEM_WORDS} as ws from benchmark where item_id is not null),
+bw as (
+    select distinct item_id, least(13, len(ws)) as m, array_to_string(ws[i:i + least(13, len(ws)) - 1], ' ') as g
+    from (select item_id, ws, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) as i from b where len(ws) > 0)
+), d as (select doc_id, {_ITEM_WORDS} as ws from documents),
+dw as (
+    select doc_id, m, i, array_to_string(ws[i:i + m - 1], ' ') as g
+    from (select doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) as i from d, (select distinct m from bw) where len(ws) >= m)
+), f as (select doc_id, i, m, item_id from dw join bw using (m, g)),
+h as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + m)) as p from f) group by doc_id),
+t as (
+    select doc_id, count(*) as n, string_agg(item, ',' order by item) as items
+    from (select distinct doc_id, item_id::varchar as item from f) group by doc_id
+)
+select d.doc_id, len(ws)::bigint as n_words, coalesce(h.n, 0)::bigint as n_hit, coalesce(t.n, 0)::bigint as n_items,
+    sha256(coalesce(t.items, '')) as items_sha256, coalesce(h.n, 0) > 0 and 20 * coalesce(h.n, 0) >= len(ws) as contaminated
+from d left join h using (doc_id) left join t using (doc_id)
+"""
