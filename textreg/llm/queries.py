@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textreg.llm import sql
 from textreg.llm.decontaminate import find_contamination
 from textreg.llm.near_dup import near_duplicates
+from textreg.llm.quality import quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,3 +44,11 @@ def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(names, 256).alias("items_sha256"), "contaminated",
     )
+
+
+@_query("op4_quality_rules", sql.QUALITY)
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality_rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )

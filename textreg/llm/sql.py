@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from textreg.llm import quality
+
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 
@@ -44,3 +46,47 @@ select d.doc_id, len(ws)::bigint as n_words, coalesce(h.n, 0)::bigint as n_hit,
     sha256(coalesce(t.items, '')) as items_sha256, coalesce(h.n, 0) > 0 and 20 * coalesce(h.n, 0) >= len(ws) as contaminated
 from d left join h using (doc_id) left join t using (doc_id)
 """
+
+_TESTS = [(rule, *spec[:2], c) for rule, spec in quality.RULES.items() for c in spec[2]]
+_SHARE = quality.FALSE_REJECTION / len(quality.RULES)
+_COUNTS = ", ".join(f"sum((1000 * {part} > {c} * {whole})::bigint)::bigint as k_{r}_{c}" for r, part, whole, c in _TESTS)
+_TAIL = (
+    "(select sum(exp(lgamma(n + 1.0) - lgamma(j + 1.0) - lgamma(n - j + 1.0) + j * ln({p}) + (n - j) * ln(1 - {p}))) "
+    "from (select unnest(range(0, k_{r}_{c} + 1)) as j))"
+)
+_CUTS = ", ".join(
+    "coalesce(" + ", ".join(
+        f"case when k_{r}_{c} < n * {_SHARE} and {_TAIL.format(p=_SHARE, r=r, c=c)} "
+        f"<= {quality.CONFIDENCE_GAP} / (strata * {len(_TESTS)}) then {c} end" for c in spec[2]
+    ) + f", null) as cut_{r}" for r, spec in quality.RULES.items()
+)
+_PASSES = " and ".join(
+    f"not coalesce(1000 * {part} > cut_{r} * {whole}, false)" for r, (part, whole, _) in quality.RULES.items()
+)
+QUALITY = f"""
+with w as (
+    select doc_id, lang, coalesce(text, '') as text, {_WORDS.format(text="coalesce(text, '')")} as ws,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls
+    from documents
+), g as (
+    select doc_id, i, hash(ws[i:i + 4]) as h from (select doc_id, ws, unnest(range(1, len(ws) - 3)) as i from w)
+), r as (
+    select doc_id, count(distinct p) as n from (
+        select doc_id, unnest(range(i, i + 5)) as p from g join (
+            select doc_id, h from g group by doc_id, h having count(*) > 1
+        ) using (doc_id, h)
+    ) group by doc_id
+), m as (
+    select w.doc_id, lang, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+        (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words,
+        len(ls)::bigint as n_lines
+    from w left join r using (doc_id)
+), b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m),
+good as (select doc_id from labels where quality is not null group by doc_id having min(quality) = 1),
+c as (select lang, count(*) as n, {_COUNTS} from b semi join good using (doc_id) where not base_failed group by lang),
+t as (select lang, {_CUTS} from (select *, (select count(*) from c) as strata from c))
+select b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    not base_failed and {_PASSES} as kept
+from b left join t on b.lang is not distinct from t.lang
+"""
