@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from textreg.llm import sql
 from textreg.llm.decontaminate import find_contamination
+from textreg.llm.lines import dedup_lines
 from textreg.llm.near_dup import near_duplicates
 from textreg.llm.quality import quality_rules
+from textreg.llm.spans import dedup_spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,3 +54,13 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@_query("op6_line_dedup", sql.LINES)
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup_lines(_table(spark, folder, "documents")).select("doc_id", "n_lines", "n_removed", "kept_text")
+
+
+@_query("op7_substring_dedup")
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup_spans(_table(spark, folder, "documents"))

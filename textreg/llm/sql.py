@@ -90,3 +90,16 @@ select b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
     not base_failed and {_PASSES} as kept
 from b left join t on b.lang is not distinct from t.lang
 """
+
+LINES = r"""
+with l as (
+    select doc_id, i, ls[i] as line, regexp_matches(ls[i], '[^\x20\x09-\x0D]') as has_word
+    from (select doc_id, string_split(text, chr(10)) as ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents)
+), m as (
+    select *, has_word and row_number() over (partition by line order by doc_id, i) > 1 as gone from l
+)
+select d.doc_id, coalesce(sum(has_word::bigint), 0)::bigint as n_lines, coalesce(sum(gone::bigint), 0)::bigint as n_removed,
+    case when any_value(d.text) is not null
+        then coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '') end as kept_text
+from documents d left join m on d.doc_id = m.doc_id group by d.doc_id
+"""
