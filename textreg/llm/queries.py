@@ -13,6 +13,7 @@ from textreg.llm.lines import dedup_lines
 from textreg.llm.near_dup import near_duplicates
 from textreg.llm.quality import quality_rules
 from textreg.llm.spans import dedup_spans
+from textreg.llm.warc import read_records, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,3 +65,11 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op7_substring_dedup")
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return dedup_spans(_table(spark, folder, "documents"))
+
+
+@_query("op10_warc_index", sql.ARCHIVES)
+def op10_warc_index(spark: SparkSession, folder: str) -> DataFrame:
+    where, index = write_archives(_table(spark, folder, "pages"))
+    return read_records(where, index).select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )

@@ -103,3 +103,13 @@ select d.doc_id, coalesce(sum(has_word::bigint), 0)::bigint as n_lines, coalesce
         then coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '') end as kept_text
 from documents d left join m on d.doc_id = m.doc_id group by d.doc_id
 """
+
+ARCHIVES = """
+with p as (
+    select page_id, octet_length(encode(coalesce(html, '')))::bigint as n, sha1(coalesce(html, '')) as h from pages
+), k as (select h, n, max(page_id) as m from p where n >= 1000 group by h, n)
+select page_id, p.n as payload_bytes, p.h as payload_digest,
+    case when m is null or m = page_id then 'response' else 'revisit' end as record_type,
+    case when m != page_id then m end as refers_to
+from p left join k on p.h = k.h and p.n = k.n
+"""
