@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 from textreg.llm.batches import stage, whole_groups
 from textreg.llm.components import components
 
-TOKENS = 64
-LEAF = 64
+TOKENS = 128
+LEAF = 512
 PIVOTS = 4
 START_DEPTH = 2
-MAX_DEPTH = 6
-#: Candidates need this much less estimated similarity than the threshold; six deviations of the estimate.
-SLACK = 6
+MAX_DEPTH = 8
+#: Candidates may estimate as many standard deviations below the threshold.
+SLACK = 5
 
 _MASK = (1 << 64) - 1
 
@@ -115,19 +115,20 @@ def _sig_matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, TOKENS)
 
 
-def _first_nodes(trees: range, similarity: float):
+def _first_nodes(trees: int, early: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 sig, ids = _sig_matrix(part.column(1)), part.column(0).to_numpy()
-                for tree in trees:
+                for tree in range(trees):
                     rows = np.arange(len(ids))
                     nodes = _mix(np.full(len(ids), tree + 1, np.uint64))
                     for level in range(START_DEPTH):
                         nodes, rows = _branch(nodes, rows, sig, level, similarity)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(nodes.view(np.int64)), pa.array(ids[rows])], names=["node", "id"]
+                        [pa.array(nodes.view(np.int64)), pa.array(ids[rows]), pa.array(np.full(len(rows), tree < early))],
+                        names=["node", "id", "early"],
                     )
 
     return run
@@ -142,7 +143,11 @@ def _next_nodes(level: int, similarity: float):
                     _sig_matrix(batch.column(2)), level, similarity,
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes.view(np.int64)), pa.array(batch.column(1).to_numpy()[rows])], names=["node", "id"]
+                    [
+                        pa.array(nodes.view(np.int64)), pa.array(batch.column(1).to_numpy()[rows]),
+                        pa.array(np.zeros(len(rows), bool)),
+                    ],
+                    names=["node", "id", "early"],
                 )
 
     return run
@@ -184,7 +189,7 @@ def _likely(floor: float):
                         if hit.any():
                             keep[i] = True
                             keep[i + 1 : b] |= hit
-            kept = table.select(["cell", "id", "root"]).filter(pa.array(keep))
+            kept = table.select(["cell", "id", "early"]).filter(pa.array(keep))
             yield from kept.to_batches()
 
     return run
@@ -265,54 +270,53 @@ def _sorted_cells(df: DataFrame) -> DataFrame:
     return df.repartition("cell").sortWithinPartitions("cell")
 
 
+_NODE = "node bigint, id bigint, early boolean"
+
+
 class _Join:
     """One similarity join: the staged signatures, and the steps that turn tree nodes into confirmed links."""
 
-    def __init__(self, docs: DataFrame, sigs: DataFrame, width: int, percent: int):
-        self.docs, self.sigs, self.width, self.percent = docs, sigs, width, percent
-        self.similarity = percent / 100
-        deviation = math.sqrt(self.similarity * (1 - self.similarity) / TOKENS)
-        self.floor = max(1.0, TOKENS * (self.similarity - SLACK * deviation))
+    def __init__(self, sigs: DataFrame, percent: int):
+        self.sigs, self.percent = sigs, percent
+        similarity = percent / 100
+        self.floor = max(1.0, TOKENS * similarity - SLACK * math.sqrt(TOKENS * similarity * (1 - similarity)))
 
     def crowded(self, nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
         """Nodes that hold documents of at least two components, with their rows' labels and sizes."""
-        if roots is None:
-            nodes = nodes.withColumn("root", F.col("id"))
-        else:
-            nodes = nodes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         sizes = (
-            nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+            with_roots(nodes, roots).groupBy("node")
+            .agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
             .filter("n > 1 AND low != high").select("node", "n")
         )
-        return nodes.join(sizes, "node")
+        return stage(with_roots(nodes, roots).join(sizes, "node"), "crowded")
 
-    def cells(self, crowded: DataFrame, pivots: DataFrame | None) -> DataFrame:
+    def cells(self, crowded: DataFrame, pivots: DataFrame) -> DataFrame:
         """Bounded sets of rows to compare: small nodes as they are, large ones in chunks beside their pivots.
 
         ``pivots`` has the pivot rows of large nodes with the block they belong to; each block meets each chunk.
         """
-        small = crowded.filter(F.col("n") <= LEAF).select(F.col("node").alias("cell"), "id", "root")
-        if pivots is None:
-            return small
+        small = crowded.filter(F.col("n") <= LEAF).select(F.col("node").alias("cell"), "id", "root", "early")
         chunks = F.ceil(F.col("n") / LEAF).cast("bigint")
-        cell = F.xxhash64("node", "chunk", "block")
-        large = crowded.filter(F.col("n") > LEAF)
-        blocks = pivots.select("node", "block").distinct()
-        members = large.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks)).join(blocks, "node")
-        beside = pivots.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        members = crowded.filter(F.col("n") > LEAF).withColumn("chunk", F.pmod(F.xxhash64("id"), chunks)).join(
+            pivots.select("node", "block").distinct(), "node"
+        )
+        beside = pivots.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)))
         return small.unionByName(
-            members.unionByName(beside.select(*members.columns)).select(cell.alias("cell"), "id", "root").distinct()
+            members.unionByName(beside.select(*members.columns))
+            .select(F.xxhash64("node", "chunk", "block").alias("cell"), "id", "root", "early").distinct()
         )
 
-    def links(self, cells: DataFrame) -> DataFrame:
-        """Confirmed links of the cells, staged."""
-        with_sig = _sorted_cells(cells.join(self.sigs.select("id", "sig"), "id").select("cell", "id", "root", "sig"))
-        likely = stage(with_sig.mapInArrow(_likely(self.floor), "cell bigint, id bigint, root bigint"), "likely")
-        wanted = likely.select("id").distinct()
-        sets = self.docs.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(
-            _sets(self.width), "id bigint, shingles binary"
+    def likely(self, cells: DataFrame) -> DataFrame:
+        """Rows of the cells that look similar to a row of another component, staged."""
+        with_sig = _sorted_cells(cells.join(self.sigs, "id").select("cell", "id", "root", "early", "sig"))
+        return stage(with_sig.mapInArrow(_likely(self.floor), "cell bigint, id bigint, early boolean"), "likely")
+
+    def links(self, likely: DataFrame, sets: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """Confirmed links of the cells that still hold several components, staged."""
+        open_ = self.crowded(likely.select(F.col("cell").alias("node"), "id", "early"), roots)
+        full = _sorted_cells(
+            open_.select(F.col("node").alias("cell"), "id", "root").join(sets, "id").select("cell", "id", "root", "shingles")
         )
-        full = _sorted_cells(likely.join(sets, "id").select("cell", "id", "root", "shingles"))
         return stage(full.mapInArrow(_verified(self.percent), "u bigint, v bigint"), "links")
 
     def few_pivots(self, crowded: DataFrame) -> DataFrame:
@@ -320,23 +324,30 @@ class _Join:
         picks = [F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(k))) for k in range(PIVOTS)]
         large = crowded.filter(F.col("n") > LEAF)
         return (
-            large.groupBy("node", "n").agg(F.array_distinct(F.array(*picks)).alias("p"))
-            .select("node", "n", F.explode("p").alias("p"), F.lit(0).cast("bigint").alias("block"))
-            .select("node", "n", "p.id", "p.root", "block")
+            large.groupBy("node", "n", "early").agg(F.array_distinct(F.array(*picks)).alias("p"))
+            .select("node", "n", "early", F.explode("p").alias("p"), F.lit(0).cast("bigint").alias("block"))
+            .select("node", "n", "p.id", "p.root", "early", "block")
         )
 
     def all_pivots(self, crowded: DataFrame) -> DataFrame:
         """Every row outside the largest component of its node, in blocks: no link across components is left out."""
         large = crowded.filter(F.col("n") > LEAF)
-        parts = large.groupBy("node", "root").count()
-        main = parts.groupBy("node").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-        blocks = F.ceil(F.col("n") / LEAF).cast("bigint")
+        main = large.groupBy("node", "root").count().groupBy("node").agg(
+            F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("most")
+        )
+        blocks = F.ceil((F.col("all") - F.col("most")) / LEAF).cast("bigint")
         return (
             large.join(main, "node").filter("root != main")
-            .select("node", "n", "id", "root", F.pmod(F.xxhash64("id", F.lit(7)), blocks).alias("block"))
+            .select("node", "n", "id", "root", "early", F.pmod(F.xxhash64("id", F.lit(7)), blocks).alias("block"))
         )
 
 
+def with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return rows.withColumn("root", F.col("id"))
+    return rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -368,29 +379,38 @@ def near_duplicates(
     sigs = stage(
         linked.join(least, "key").filter("id = rep").select("id", "sig").dropDuplicates(["id", "sig"]), "representatives"
     )
-    join = _Join(docs.filter("id IS NOT NULL"), sigs, width, percent)
-    trees, here = max(first_trees + 1, trees_for(recall, percent / 100)), percent / 100
-
-    nodes = sigs.select("id", "sig").mapInArrow(_first_nodes(range(first_trees), here), "node bigint, id bigint")
-    crowded = stage(join.crowded(nodes, None), "crowded")
-    edges = join.links(join.cells(crowded, join.few_pivots(crowded)))
+    join, similarity = _Join(sigs, percent), percent / 100
+    trees = max(first_trees + 1, trees_for(recall, similarity))
+
+    nodes = sigs.mapInArrow(_first_nodes(trees, first_trees, similarity), _NODE)
+    crowded = join.crowded(nodes, None)
+    likely = join.likely(join.cells(crowded, join.few_pivots(crowded)))
+    large = crowded.filter(F.col("n") > LEAF).select("node", "id")
+    wanted = likely.select("id").unionByName(large.select("id")).distinct()
+    # The one pass that moves texts; sorting both sides is the plan that holds when many documents are wanted.
+    sets = stage(
+        docs.join(wanted.hint("merge"), "id", "left_semi").select("id", "text").mapInArrow(_sets(width), "id bigint, shingles binary"),
+        "sets",
+    )
+    edges = join.links(likely.filter("early"), sets, None)
+    roots = components(edges)
+    edges = edges.unionByName(join.links(likely.filter("NOT early"), sets, roots))
     roots = components(edges)
 
-    level = START_DEPTH
-    nodes = sigs.select("id", "sig").mapInArrow(_first_nodes(range(first_trees, trees), here), "node bigint, id bigint")
-    while True:
-        crowded = stage(join.crowded(nodes, roots), "crowded")
-        large = crowded.filter(F.col("n") > LEAF)
-        last = level >= MAX_DEPTH
-        more = not large.isEmpty()
-        edges = edges.unionByName(join.links(join.cells(crowded, join.all_pivots(crowded) if last and more else None)))
-        roots = components(edges)
-        if last or not more:
+    # Large nodes have met their pivots only: branch on while they hold several components.
+    for level in range(START_DEPTH, MAX_DEPTH + 1):
+        large = join.crowded(large.withColumn("early", F.lit(False)), roots).filter(F.col("n") > LEAF)
+        if large.isEmpty():
             break
-        nodes = large.join(sigs, "id").select("node", "id", "sig").mapInArrow(
-            _next_nodes(level, here), "node bigint, id bigint"
-        )
-        level += 1
+        if level == MAX_DEPTH:
+            edges = edges.unionByName(join.links(join.likely(join.cells(large, join.all_pivots(large))), sets, roots))
+            roots = components(edges)
+            break
+        nodes = large.select("node", "id").join(sigs, "id").select("node", "id", "sig").mapInArrow(_next_nodes(level, similarity), _NODE)
+        crowded = join.crowded(nodes, roots)
+        edges = edges.unionByName(join.links(join.likely(join.cells(crowded, join.few_pivots(crowded))), sets, roots))
+        roots = components(edges)
+        large = crowded.filter(F.col("n") > LEAF).select("node", "id")
 
     named = linked.select("id", "key").distinct().join(least, "key").join(
         roots.withColumnRenamed("id", "rep"), "rep", "left"
