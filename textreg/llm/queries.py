@@ -14,6 +14,7 @@ from textreg.llm.lines import dedup_lines
 from textreg.llm.near_dup import near_duplicates
 from textreg.llm.quality import quality_rules
 from textreg.llm.spans import dedup_spans
+from textreg.llm.token_counts import token_counts
 from textreg.llm.warc import read_records, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +87,8 @@ def op3_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
         "conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"),
         F.char_length("learned").cast("bigint").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars",
     )
+
+
+@_query("op8_token_counts")
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(_table(spark, folder, "documents"))
