@@ -1,8 +1,9 @@
 """A SentencePiece vocabulary as a table, and the rules that encoder, decoder and token counts share.
 
 A text is read with a blank put before it and every blank written as U+2581. Its units are the words (a run of
-blanks and what follows up to the next blank or line break) and the line breaks. A unit is segmented into the pieces with
-the highest sum of scores; a character in no piece becomes its UTF-8 bytes, each a byte piece.
+blanks and what follows up to the next blank or line break) and the line breaks; words are also cut between a letter and
+a mark that no piece of the vocabulary has beside a letter, which changes no segmentation. A unit is segmented into the
+pieces with the highest sum of scores; a character in no piece becomes its UTF-8 bytes, each a byte piece.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Units are cut at this many code points, so one endless word is many lattices.
 UNIT_CHARS = 256
-UNIT = re.compile(rf"\n|{BLANK}{{1,{UNIT_CHARS}}}[^{BLANK}\n]{{0,{UNIT_CHARS}}}|[^{BLANK}\n]{{1,{UNIT_CHARS}}}")
+MARKS = ".,;:!?|()\"$%&*#"
 #: Score of a byte piece: below any piece, so bytes are used only where no piece fits.
 BYTE_SCORE = -40.0
 #: Scores closer than this are ties; they go to the segmentation whose last piece is longer, from the end on.
@@ -51,5 +53,18 @@ def piece_table(spark: SparkSession, model: str = DEFAULT_MODEL) -> DataFrame:
     return spark.createDataFrame(rows, "id int, piece string, micro bigint")
 
 
-def units(text: str) -> list[str]:
-    return UNIT.findall(BLANK + text.replace(" ", BLANK)) if text else []
+def unit_pattern(pieces: Iterable[str]) -> re.Pattern:
+    """Pattern of the units for a vocabulary."""
+    beside = set()
+    for p in pieces:
+        for a, b in zip(p, p[1:], strict=False):
+            if a.isalpha() != b.isalpha():
+                beside.add(b if a.isalpha() else a)
+    loose = "".join(re.escape(m) for m in MARKS if m not in beside)
+    blanks, most = f"{BLANK}{{0,{UNIT_CHARS}}}", f"{{1,{UNIT_CHARS}}}"
+    marks = rf"|{blanks}[{loose}]{most}" if loose else ""
+    return re.compile(rf"\n|{blanks}[^{BLANK}\n{loose}]{most}{marks}|{BLANK}{most}")
+
+
+def units(text: str | None, pattern: re.Pattern) -> list[str]:
+    return pattern.findall(BLANK + text.replace(" ", BLANK)) if text else []

@@ -13,6 +13,7 @@ from textreg.llm.decontaminate import find_contamination
 from textreg.llm.lines import dedup_lines
 from textreg.llm.near_dup import near_duplicates
 from textreg.llm.quality import quality_rules
+from textreg.llm.sentence_pieces import decode, encode
 from textreg.llm.spans import dedup_spans
 from textreg.llm.token_counts import token_counts
 from textreg.llm.warc import read_records, write_archives
@@ -92,3 +93,12 @@ def op3_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op8_token_counts")
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(_table(spark, folder, "documents"))
+
+
+@_query("op5_sentencepiece")
+def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    coded = decode(encode(_table(spark, folder, "documents")))
+    same = F.coalesce(F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "\u2581", " "), F.lit(False))
+    return coded.select(
+        "doc_id", "n_units", F.size("pieces").cast("bigint").alias("n_pieces"), "pieces", same.alias("round_trip")
+    )

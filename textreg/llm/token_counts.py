@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textreg.llm.pieces import BYTE_SCORE, DEFAULT_MODEL, DIGITS, units, vocabulary
+from textreg.llm.pieces import BYTE_SCORE, DEFAULT_MODEL, DIGITS, unit_pattern, units, vocabulary
 
 #: Pre-tokens whose counts a task keeps between batches.
 KEPT = 400_000
@@ -66,12 +66,12 @@ _OUT = pa.schema([("id", pa.int64()), ("n_pre_tokens", pa.int64()), ("n_tokens",
 
 def _count(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends = shared.value
+        ends, pattern = shared.value
         known: dict[str, int] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                split = [units(t.as_py()) if t.as_py() else [] for t in part.column(1)]
+                split = [units(t.as_py(), pattern) for t in part.column(1)]
                 new = set().union(*split).difference(known)
                 if len(known) + len(new) > KEPT:
                     known = {}
@@ -98,6 +98,6 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null and empty texts have no tokens. Repeated rows, null ids and other columns need no care: one row out per row in.
     """
     scores = {p: round(s * 10**DIGITS) for _, p, s, byte in vocabulary(model) if byte < 0}
-    shared = docs.sparkSession.sparkContext.broadcast(ends_of_pieces(scores))
+    shared = docs.sparkSession.sparkContext.broadcast((ends_of_pieces(scores), unit_pattern(scores)))
     read = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     return read.mapInArrow(_count(shared), "id bigint, n_pre_tokens bigint, n_tokens bigint").withColumnRenamed("id", id_col)
