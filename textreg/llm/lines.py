@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,14 +58,12 @@ def repeated_lines(lines: DataFrame, min_lines: int) -> DataFrame:
 
 
 def _rebuild(min_lines: int):
-    import re
-
     has_word = re.compile(WORD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for id_, text, starts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for id_, text, starts in zip(*[c.to_pylist() for c in batch.columns[:3]], strict=True):
                 lines = text.split("\n") if text is not None else []
                 full = [i for i, x in enumerate(lines) if has_word.search(x)]
                 runs: list[dict] = []
@@ -83,7 +82,8 @@ def _rebuild(min_lines: int):
                         {"start": full[r["start"]], "end": full[r["stop"] - 1] + 1, "from_id": r["source"][0]} for r in runs
                     ],
                 })
-            yield pa.RecordBatch.from_pylist(out, schema=_OUT)
+            made = pa.RecordBatch.from_pylist(out, schema=_OUT)
+            yield pa.RecordBatch.from_arrays([*made.columns, *batch.columns[3:]], names=[*_OUT.names, *batch.schema.names[3:]])
 
     return run
 
@@ -97,7 +97,9 @@ _TYPES = (
 )
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1, carry: Sequence[str] = (),
+) -> DataFrame:
     """Delete the later copies of every maximal run of at least ``min_lines`` lines that repeats in the corpus.
 
     Returns one row per document: ``id_col``, ``n_lines`` (lines with a word), ``n_removed``, ``kept_text`` and ``runs``
@@ -110,9 +112,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reduced before the shuffle and split by Spark's skew join.
 
     Null texts stay null and have no lines; empty ones stay empty. Rows without an id are passed on unchanged. Rows
-    that share id and text count as one document and get the same result. Other columns are ignored.
+    that share id and text count as one document and get the same result. Other columns are ignored, but for those
+    in ``carry``, which come back as fields of a struct ``carried``.
     """
-    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    carried = F.struct(*carry) if carry else F.lit(None)
+    docs = docs.select(
+        F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), carried.alias("carried")
+    )
     docs = docs.withColumn("copy", F.xxhash64("text"))
     full = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
     lines = (
@@ -123,5 +129,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = later.groupBy("id", "copy").agg(
         F.collect_list(F.struct("pos", F.col("first.id").alias("id"), F.col("first.pos").alias("at"))).alias("starts")
     )
-    cleaned = docs.join(marked, ["id", "copy"], "left").select("id", "text", "starts").mapInArrow(_rebuild(min_lines), _TYPES)
+    rebuilt = docs.join(marked, ["id", "copy"], "left").select("id", "text", "starts", *(["carried"] if carry else []))
+    types = _TYPES + (f", carried {docs.schema['carried'].dataType.simpleString()}" if carry else "")
+    cleaned = rebuilt.mapInArrow(_rebuild(min_lines), types)
     return cleaned.withColumnRenamed("id", id_col)

@@ -74,10 +74,10 @@ def measures(docs: DataFrame, id_col: str, text_col: str, stratum: str) -> DataF
     found = bound(words(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("r")))
     seen = bound(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d")))
     return base.select(
-        "id", "stratum", found.alias("w"), seen.alias("l"),
+        "id", "stratum", F.xxhash64("text").alias("text_hash"), found.alias("w"), seen.alias("l"),
         F.char_length(F.translate("text", BLANKS, "")).alias("word_chars"), removed(SYMBOLS).alias("n_symbols"),
     ).select(
-        "id", "stratum", *[
+        "id", "stratum", "text_hash", *[
             c.cast("bigint").alias(n) for n, c in {
                 "n_words": F.col("w.n"), "word_chars": F.col("word_chars"), "n_symbols": F.col("n_symbols"),
                 "n_dup_lines": F.col("l.d"), "n_repeat_words": F.col("w.r"), "n_lines": F.col("l.n"),
@@ -156,7 +156,7 @@ def quality_rules(
 ) -> DataFrame:
     """Judge documents by fixed base rules and by cutoffs certified per ``stratum``.
 
-    Returns one row per document: ``id_col``, ``stratum``, ``n_words``, ``word_chars``, ``n_symbols``,
+    Returns one row per document: ``id_col``, ``stratum``, ``text_hash``, ``n_words``, ``word_chars``, ``n_symbols``,
     ``n_dup_lines``, ``n_repeat_words``, ``n_lines``, ``base_failed``, ``rejected_by`` (rules with a certified cutoff
     that the text fails) and ``kept``.
 

@@ -12,6 +12,7 @@ from textreg.llm.chat import format_chats, read_back
 from textreg.llm.decontaminate import find_contamination
 from textreg.llm.lines import dedup_lines
 from textreg.llm.near_dup import near_duplicates
+from textreg.llm.pii import replace_personal_data
 from textreg.llm.quality import quality_rules
 from textreg.llm.sentence_pieces import decode, encode
 from textreg.llm.spans import dedup_spans
@@ -22,6 +23,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+#: Key of the registered query; a real job passes its own secret.
+_DEMO_KEY = b"registered query"
+
 
 def _query(name: str, twin: str | None = None):
     def register(build: Query) -> Query:
@@ -102,3 +106,8 @@ def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select(
         "doc_id", "n_units", F.size("pieces").cast("bigint").alias("n_pieces"), "pieces", same.alias("round_trip")
     )
+
+
+@_query("op9_pii_surrogates")
+def op9_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return replace_personal_data(_table(spark, folder, "documents"), _DEMO_KEY)
