@@ -1,8 +1,8 @@
 """A SentencePiece vocabulary as a table, and the rules that encoder, decoder and token counts share.
 
-A text is read with a blank put before it and every blank written as U+2581. Its units are the words (a run of
-blanks and what follows up to the next blank or line break) and the line breaks; words are also cut between a letter and
-a mark that no piece of the vocabulary has beside a letter, which changes no segmentation. A unit is segmented into the
+A text is read with a blank put before it and every blank written as U+2581. Its words are runs of blanks with what
+follows up to the next blank or line break, and the line breaks. Words are cut into units between a letter and a mark
+that no piece of the vocabulary has beside a letter, which changes no segmentation. A unit is segmented into the
 pieces with the highest sum of scores; a character in no piece becomes its UTF-8 bytes, each a byte piece.
 """
 
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-#: Units are cut at this many code points, so one endless word is many lattices.
+#: Words are cut at this many code points, so one endless word is many lattices.
 UNIT_CHARS = 256
+_WORD = re.compile(rf"\n|{BLANK}{{0,{UNIT_CHARS}}}[^{BLANK}\n]{{1,{UNIT_CHARS}}}|{BLANK}{{1,{UNIT_CHARS}}}")
 MARKS = ".,;:!?|()\"$%&*#"
 #: Score of a byte piece: below any piece, so bytes are used only where no piece fits.
 BYTE_SCORE = -40.0
@@ -53,18 +54,20 @@ def piece_table(spark: SparkSession, model: str = DEFAULT_MODEL) -> DataFrame:
     return spark.createDataFrame(rows, "id int, piece string, micro bigint")
 
 
-def unit_pattern(pieces: Iterable[str]) -> re.Pattern:
-    """Pattern of the units for a vocabulary."""
-    beside = set()
-    for p in pieces:
-        for a, b in zip(p, p[1:], strict=False):
-            if a.isalpha() != b.isalpha():
-                beside.add(b if a.isalpha() else a)
-    loose = "".join(re.escape(m) for m in MARKS if m not in beside)
-    blanks, most = f"{BLANK}{{0,{UNIT_CHARS}}}", f"{{1,{UNIT_CHARS}}}"
-    marks = rf"|{blanks}[{loose}]{most}" if loose else ""
-    return re.compile(rf"\n|{blanks}[^{BLANK}\n{loose}]{most}{marks}|{BLANK}{most}")
+def cut_pattern(pieces: Iterable[str]) -> re.Pattern:
+    """Where words are cut into units: between letters and the marks that no piece has beside a letter."""
+    letter = r"[^\W\d_]"
+    is_letter = functools.cache(lambda c: re.fullmatch(letter, c) is not None)
+    pairs = [ab for p in pieces for ab in zip(p, p[1:], strict=False)]
+    beside = {b if is_letter(a) else a for a, b in pairs if is_letter(a) != is_letter(b)}
+    loose = "".join(re.escape(m) for m in MARKS if m not in beside) or r"\n"
+    return re.compile(rf"(?<={letter})(?=[{loose}])|(?<=[{loose}])(?={letter})")
 
 
-def units(text: str | None, pattern: re.Pattern) -> list[str]:
-    return pattern.findall(BLANK + text.replace(" ", BLANK)) if text else []
+def words(text: str | None) -> list[str]:
+    return _WORD.findall(BLANK + text.replace(" ", BLANK)) if text else []
+
+
+def units(found: Iterable[str], cut: re.Pattern) -> dict[str, list[str]]:
+    """The units of each word."""
+    return {w: cut.split(w) for w in found}

@@ -104,7 +104,7 @@ def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     coded = decode(encode(_table(spark, folder, "documents")))
     same = F.coalesce(F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "\u2581", " "), F.lit(False))
     return coded.select(
-        "doc_id", "n_units", F.size("pieces").cast("bigint").alias("n_pieces"), "pieces", same.alias("round_trip")
+        "doc_id", "n_words", F.size("pieces").cast("bigint").alias("n_pieces"), "pieces", same.alias("round_trip")
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from textreg.llm.pieces import BLANK, BYTE_SCORE, DEFAULT_MODEL, DIGITS, piece_table, unit_pattern, units, vocabulary
+from textreg.llm.pieces import BLANK, BYTE_SCORE, DEFAULT_MODEL, DIGITS, cut_pattern, piece_table, units, vocabulary, words
 
 #: Distinct units of a block that a task collects before it hands them on, and bytes of text in one packed row.
 HELD_UNITS = 300_000
@@ -19,14 +19,14 @@ PACK_BYTES = 4 << 20
 BLOCKS = 1
 
 
-def _distinct_units(pattern):
+def _distinct_units(cut):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, set[str]] = {}
         n = 0
 
         def out() -> Iterator[pa.RecordBatch]:
             for block, found in held.items():
-                every = pa.array(found, pa.string())
+                every = pa.array({u for us in units(found, cut).values() for u in us}, pa.string())
                 for at in range(0, len(every), 20_000):
                     part = every.slice(at, 20_000)
                     yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), part], names=["block", "unit"])
@@ -35,7 +35,7 @@ def _distinct_units(pattern):
             for block, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 mine = held.setdefault(block, set())
                 n -= len(mine)
-                mine.update(units(text.as_py(), pattern))
+                mine.update(words(text.as_py()))
                 n += len(mine)
                 if n >= HELD_UNITS * 4:
                     yield from out()
@@ -138,23 +138,26 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row(block)
 
 
-_OUT = pa.schema([("id", pa.int64()), ("text", pa.string()), ("n_units", pa.int64()), ("pieces", pa.list_(pa.int32()))])
-_OUT_TYPES = "id bigint, text string, n_units bigint, pieces array<int>"
+_OUT = pa.schema([("id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("pieces", pa.list_(pa.int32()))])
+_OUT_TYPES = "id bigint, text string, n_words bigint, pieces array<int>"
 
 
 def _assemble(shared):
     """Sorted rows of a block: its units' ids first, then its packed documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled, pattern = shared.value
+        spelled, cut = shared.value
         now, table, known = None, {}, {}
 
-        def ids_of(unit: str) -> list[int]:
-            ids = table.get(xxhash.xxh64_intdigest(unit.encode(), seed=42))
-            if ids is None or b"".join(spelled[i] for i in ids) != unit.encode():
-                raise ValueError(f"the lattice has no segmentation of {unit!r}")
-            known[unit] = ids
-            return ids
+        def ids_of(word: str) -> tuple[int, ...]:
+            out: tuple[int, ...] = ()
+            for unit in cut.split(word):
+                ids = table.get(xxhash.xxh64_intdigest(unit.encode(), seed=42))
+                if ids is None or b"".join(spelled[i] for i in ids) != unit.encode():
+                    raise ValueError(f"the lattice has no segmentation of {unit!r}")
+                out += ids
+            known[word] = out
+            return out
 
         for batch in batches:
             blocks, hashes, ids, packs = batch.columns
@@ -168,8 +171,8 @@ def _assemble(shared):
                 for docs in pa.ipc.open_stream(packs[k].as_py()):
                     for at in range(0, docs.num_rows, 500):
                         part = docs.slice(at, 500)
-                        split = [units(t.as_py(), pattern) for t in part.column(1)]
-                        pieces = [[i for u in s for i in (known.get(u) or ids_of(u))] for s in split]
+                        split = [words(t.as_py()) for t in part.column(1)]
+                        pieces = [[i for w in s for i in (known.get(w) or ids_of(w))] for s in split]
                         yield pa.RecordBatch.from_arrays(
                             [part.column(0), part.column(1), pa.array(map(len, split), pa.int64()), pa.array(pieces, pa.list_(pa.int32()))],
                             schema=_OUT,
@@ -185,7 +188,7 @@ def _spelled(model: str) -> dict[int, bytes]:
 def encode(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = DEFAULT_MODEL, blocks: int = BLOCKS,
 ) -> DataFrame:
-    """Segment texts into pieces: ``id_col``, ``text_col``, ``n_units``, ``pieces`` (ids), one row per document.
+    """Segment texts into pieces: ``id_col``, ``text_col``, ``n_words``, ``pieces`` (ids), one row per document.
 
     Only distinct units go through the lattice. Documents are dealt into blocks: the split of the input file they come from
     and a hash of the id (``blocks`` of them; raise it for splits of more than some 50 MB). A block's distinct units
@@ -196,16 +199,16 @@ def encode(
     text is read as a blank, as in the library that defines these models.
     """
     spark = docs.sparkSession
-    pattern = unit_pattern([p for _, p, _, byte in vocabulary(model) if byte < 0])
+    cut = cut_pattern([p for _, p, _, byte in vocabulary(model) if byte < 0])
     block = F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)))
     read = docs.select(
         block.alias("block"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")
     )
-    found = read.select("block", "text").mapInArrow(_distinct_units(pattern), "block bigint, unit string").repartition("unit")
+    found = read.select("block", "text").mapInArrow(_distinct_units(cut), "block bigint, unit string").repartition("unit")
     ids = lattice(found.select("unit").distinct(), model)
     back = found.join(ids.hint("merge"), "unit").select("block", F.xxhash64("unit").alias("hash"), "ids", F.lit(None).cast("binary").alias("packed"))
     packed = read.select("block", "id", "text").mapInArrow(_pack, _PACKED)
-    shared = spark.sparkContext.broadcast((_spelled(model), pattern))
+    shared = spark.sparkContext.broadcast((_spelled(model), cut))
     dealt = back.unionByName(packed).repartition("block").sortWithinPartitions("block", F.col("packed").isNotNull())
     return dealt.mapInArrow(_assemble(shared), _OUT_TYPES).withColumnsRenamed({"id": id_col, "text": text_col})
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textreg.llm.pieces import BYTE_SCORE, DEFAULT_MODEL, DIGITS, unit_pattern, units, vocabulary
+from textreg.llm.pieces import BYTE_SCORE, DEFAULT_MODEL, DIGITS, cut_pattern, units, vocabulary, words
 
 #: Pre-tokens whose counts a task keeps between batches.
 KEPT = 400_000
@@ -61,22 +61,24 @@ def prefix_counts(pre_tokens: set[str], ends: dict[str, int | bool]) -> dict[str
     return out
 
 
-_OUT = pa.schema([("id", pa.int64()), ("n_pre_tokens", pa.int64()), ("n_tokens", pa.int64())])
+_OUT = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64())])
 
 
 def _count(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends, pattern = shared.value
+        ends, cut = shared.value
         known: dict[str, int] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                split = [units(t.as_py(), pattern) for t in part.column(1)]
+                split = [words(t.as_py()) for t in part.column(1)]
                 new = set().union(*split).difference(known)
                 if len(known) + len(new) > KEPT:
                     known = {}
                     new = set().union(*split)
-                known.update(prefix_counts(new, ends))
+                parts = units(new, cut)
+                counts = prefix_counts({u for us in parts.values() for u in us}, ends)
+                known.update((w, sum(map(counts.__getitem__, us))) for w, us in parts.items())
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), pa.array([len(u) for u in split], pa.int64()),
@@ -89,7 +91,7 @@ def _count(shared):
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = DEFAULT_MODEL) -> DataFrame:
-    """Count the tokens of each document: ``id_col``, ``n_pre_tokens``, ``n_tokens``.
+    """Count the tokens of each document: ``id_col``, ``n_words``, ``n_tokens``.
 
     Documents are read once and not shuffled: each task keeps the distinct pre-tokens it met in a trie, forgets them
     when ``KEPT`` are held, and adds up terminal counts per document. The vocabulary is sent to the tasks; it is a file of
@@ -98,6 +100,6 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null and empty texts have no tokens. Repeated rows, null ids and other columns need no care: one row out per row in.
     """
     scores = {p: round(s * 10**DIGITS) for _, p, s, byte in vocabulary(model) if byte < 0}
-    shared = docs.sparkSession.sparkContext.broadcast((ends_of_pieces(scores), unit_pattern(scores)))
+    shared = docs.sparkSession.sparkContext.broadcast((ends_of_pieces(scores), cut_pattern(scores)))
     read = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return read.mapInArrow(_count(shared), "id bigint, n_pre_tokens bigint, n_tokens bigint").withColumnRenamed("id", id_col)
+    return read.mapInArrow(_count(shared), "id bigint, n_words bigint, n_tokens bigint").withColumnRenamed("id", id_col)
