@@ -55,7 +55,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document."""
-    return encode(docs).select("doc_id", "text", "n_units", "pieces")
+    return encode(docs).select("doc_id", "text", "n_words", "pieces")
 
 
 STAGES = [
