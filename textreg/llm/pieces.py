@@ -56,7 +56,10 @@ def piece_table(spark: SparkSession, model: str = DEFAULT_MODEL) -> DataFrame:
 
 def cut_pattern(pieces: Iterable[str]) -> re.Pattern:
     """Where words are cut into units: between letters and the marks that no piece has beside a letter."""
-    letter = r"[^\W\d_]"
+    pieces = list(pieces)
+    # Word characters of the vocabulary that are numbers, such as a raised 2, are not letters.
+    numbers = "".join(sorted({re.escape(c) for p in pieces for c in p if c.isnumeric() and not c.isalpha()}))
+    letter = rf"[^\W\d_{numbers}]"
     is_letter = functools.cache(lambda c: re.fullmatch(letter, c) is not None)
     pairs = [ab for p in pieces for ab in zip(p, p[1:], strict=False)]
     beside = {b if is_letter(a) else a for a, b in pairs if is_letter(a) != is_letter(b)}
