@@ -21,7 +21,7 @@ def values(spark, texts, build):
 @pytest.mark.parametrize(("build", "cases"), [
     (T.strip_accents, {"Ação É ñ ü": "Acao E n u", "é": "e", "ß 漢": "ß 漢", None: None}),
     (T.title_key, {"A B - C / D": "a_b", "É / x - y": "e_/_x", "a \\ b": "a", "a | b": "a", "": None, None: None, "x-y": "x-y"}),
-    (T.normalize_feature_name, {" Área  (m²) Útil (x) ": "area_util", "Größe": "grosse", None: None}),
+    (T.normalize_feature_name, {" Área  (m²) Útil (x) ": "area_util", "Área m² útil": "area_m2_util", "1º\u00a0andar – “A”": '1o_andar_-_"a"', "Größe": "grosse", None: None}),
     (T.strip_lower, {"\t Ab \n": "ab"}),
     (lambda c: T.replace_first(c, r"and\s+", ""), {"and a and b": "a and b", "none": "none", "": "", None: None}),
     (lambda c: T.replace_first(c, " & ", ", ", literal=True), {"a & b & c": "a, b & c"}),
@@ -62,6 +62,7 @@ def test_verdicts(spark):
         '{"results": {"a": true, "b": false}}': None, '{"results": {"a": true}}': "wrong number of criteria",
         '{"results": {"a": true, "b": "yes"}}': "not boolean", '{"results": {"a": true, "b": null}}': "not boolean",
         '{"results": [1]}': "wrong number of criteria", '{"x": 1}': "missing results", "{oops": "not valid JSON", "": "not valid JSON",
+        '{"results": {"a": "true", "b": false}}': "not boolean", '{"results": {"a": true, "b": false}} done': "not valid JSON",
     }
     df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string")
     rows = df.select("i", T.verdicts("t", 2).alias("j")).select("i", F.col("j.verdicts").alias("v"), F.col("j.error").alias("e")).orderBy("i").collect()

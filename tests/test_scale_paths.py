@@ -5,11 +5,12 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from textreg.operators.aggregates import ordered_concat
+from textreg.operators.aggregates import boxplot_summary, ordered_concat
 from textreg.operators.splits import fold_sizes, repeated_kfold, split_shuffled, train_size
+from textreg.operators.vectorize import fit_vocabulary
 from textreg.plans.cuts import hash_cuts, hash_key
 from textreg.plans.ordering import add_row_index, running_count, shift_features
-from textreg.plans.quantiles import _quantiles_by_rank
+from textreg.plans.quantiles import _quantiles_by_rank, group_quantiles
 from textreg.plans.skew import fits_broadcast, lookup_join
 from textreg.plans.stage import shared_root, write_stage
 
@@ -127,5 +128,33 @@ def test_stages_go_to_the_shared_folder(spark, skewed):
     folder = spark.conf.get("spark.checkpoint.dir", None)
     assert stored.exceptAll(skewed).isEmpty() and stored.count() == 3000
     assert folder is None or all(f.split(":", 1)[1].lstrip("/").startswith(folder.strip("/")) for f in stored.inputFiles())
-    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default))
+    with_master = lambda m: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: m if k == "spark.master" else d))
+    unset = with_master("local[2]")
     assert shared_root(unset) == shared_root(unset)
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_root(with_master("yarn"))
+
+
+def test_quantiles_keep_a_null_group_on_both_paths(spark):
+    rows = [("a", 1.0), ("a", 3.0), (None, 5.0), (None, 7.0), (None, 7.0), ("b", None), *(("hot", float(i % 50)) for i in range(400))]
+    df = spark.createDataFrame(rows, "k string, v double")
+    probs = {"q1": 0.25, "median": 0.5}
+    small = {tuple(r) for r in group_quantiles(df, "k", "v", probs).collect()}
+    large = {tuple(r) for r in group_quantiles(df, "k", "v", probs, max_group_values=1, block_rows=7).collect()}
+    assert small == large and {r[0] for r in small} == {"a", None, "hot"}
+    box = {r["k"]: (r["median"], r["n_outliers"]) for r in boxplot_summary(df, "k", "v").collect()}
+    assert box[None] == (7.0, 0)
+    assert box["a"] == (2.0, 0)
+
+
+def test_splits_refuse_null_and_repeated_ids(spark):
+    with pytest.raises(ValueError, match="null"):
+        hash_cuts(spark.createDataFrame([(1,), (None,)], "i bigint"), hash_key("s", "i"), [1])
+    with pytest.raises(ValueError, match="repeat"):
+        hash_cuts(spark.createDataFrame([(1,)] * 10, "i bigint"), hash_key("s", "i"), [5])
+
+
+def test_vocabulary_takes_text_ids(spark):
+    docs = spark.createDataFrame([("d2", ["b", "a"]), ("d1", ["c", "b"])], "row_index string, tokens array<string>")
+    fitted = fit_vocabulary(docs)
+    assert {(r["term"], r["term_index"], r["df"]) for r in fitted.terms.collect()} == {("c", 0, 1), ("b", 1, 2), ("a", 2, 1)}

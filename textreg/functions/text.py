@@ -57,9 +57,27 @@ def strip_accents(c: str | Column) -> Column:
     return F.translate(_col(c), letters, plain)
 
 
+# Punctuation that plain text writes with ASCII marks.
+PLAIN_MARKS = {"-": "‐‑‒–—―−", "'": "‘’‚‛′", '"': "“”„‟«»″", "...": "…"}
+
+
+@functools.cache
+def _compatible_table() -> tuple[str, str]:
+    """(signs, replacements) for ``translate``: BMP signs that stand for one plain letter or digit, such as raised ones."""
+    pairs = []
+    for code in range(0x80, 0x10000):
+        plain = unicodedata.normalize("NFKC", chr(code))
+        if len(plain) == 1 and plain.isascii() and plain.isalnum():
+            pairs.append((chr(code), plain.lower()))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
 def to_plain_latin(c: str | Column) -> Column:
-    """``strip_accents`` plus spelled-out letters such as ``ß`` (lower-case input)."""
-    out = strip_accents(c)
+    """``strip_accents`` plus spelled-out letters such as ``ß``, raised digits and letters, dashes and quotes (lower-case input)."""
+    signs, plain = _compatible_table()
+    out = F.translate(strip_accents(c), signs, plain)
+    for mark, others in PLAIN_MARKS.items():
+        out = F.regexp_replace(out, f"[{others}]", mark)
     for letter, spelling in LATIN_SPELLINGS.items():
         out = F.replace(out, F.lit(letter), F.lit(spelling))
     return out
@@ -82,8 +100,8 @@ def strip_lower(c: str | Column) -> Column:
 
 def normalize_feature_name(c: str | Column) -> Column:
     """Lower, drop innermost parenthesized notes, strip, plain Latin, blanks to ``_``."""
-    noteless = F.regexp_replace(F.lower(_col(c)), r"\s*\([^()]*\)", "")
-    return F.regexp_replace(to_plain_latin(strip(noteless)), r"\s+", "_")
+    noteless = F.regexp_replace(F.lower(_col(c)), r"(?U)\s*\([^()]*\)", "")
+    return F.regexp_replace(to_plain_latin(strip(noteless)), r"(?U)\s+", "_")
 
 
 def flag_name(name: str | Column, word: str | Column, prefix: str = "fg_has_") -> Column:
@@ -163,7 +181,7 @@ def dayfirst_date(c: str | Column) -> Column:
 
 def encoder_payload(c: str | Column, max_chars: int = 10_000) -> Column:
     """White-space runs to one blank; of a longer text the last ``max_chars // 2`` characters; never empty."""
-    text = F.regexp_replace(_col(c), r"\s+", " ")
+    text = F.regexp_replace(_col(c), r"(?U)\s+", " ")
     text = F.when(F.length(text) > max_chars, F.right(text, F.lit(max_chars // 2))).otherwise(text)
     return F.when(text == "", F.lit(" ")).otherwise(text)
 
@@ -179,22 +197,26 @@ def verdicts(c: str | Column, expected: int) -> Column:
     Exactly one of the two is null: a text that is not JSON, lacks ``results`` or has other than
     ``expected`` boolean criteria keeps its row with the reason instead of failing the job.
     """
-    kind = "map<string,string>"
-
-    def judge(valid: Column, outer: Column, results: Column) -> Column:
-        flags = F.map_values(results)
-        error = (
-            F.when(~valid, F.lit("not valid JSON"))
-            .when(~F.map_contains_key(outer, "results"), F.lit("missing results"))
-            .when(results.isNull() | (F.size(results) != expected), F.lit("wrong number of criteria"))
-            .when(~F.forall(flags, lambda v: F.coalesce(v, F.lit("")).isin("true", "false")), F.lit("not boolean"))
-        )
-        return bound(error, lambda e: F.struct(
-            F.when(e.isNull(), F.transform_values(results, lambda _, v: v == "true")).alias("verdicts"), e.alias("error")
-        ))
 
-    text = _col(c)
-    valid = F.get_json_object(text, "$").isNotNull()
-    return bound(F.from_json(text, kind), lambda outer: bound(
-        F.from_json(F.try_element_at(outer, F.lit("results")), kind), lambda results: judge(valid, outer, results)
-    ))
+    def judge(parsed: Column) -> Column:
+        # In brackets, so that text after the object is no longer one value.
+        found = F.try_variant_get(parsed, "$[0].results", "variant")
+        results = F.try_variant_get(parsed, "$[0].results", "map<string,variant>")
+        item = lambda i: F.try_variant_get(parsed, f"$[{i}]", "variant")
+        only = item(0).isNotNull() & item(1).isNull()
+
+        def verdict(flags: Column) -> Column:
+            error = (
+                F.when(~only, F.lit("not valid JSON"))
+                .when(found.isNull(), F.lit("missing results"))
+                .when(flags.isNull() | (F.size(flags) != expected), F.lit("wrong number of criteria"))
+                .when(~F.forall(F.map_values(flags), lambda v: F.schema_of_variant(v) == "BOOLEAN"), F.lit("not boolean"))
+            )
+            return bound(error, lambda e: F.struct(
+                F.when(e.isNull(), F.transform_values(flags, lambda _, v: F.try_variant_get(v, "$", "boolean"))).alias("verdicts"),
+                e.alias("error"),
+            ))
+
+        return bound(results, verdict)
+
+    return bound(F.try_parse_json(F.concat(F.lit("["), _col(c), F.lit("]"))), judge)

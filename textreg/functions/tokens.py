@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from textreg.functions.stopwords import stop_words
 from textreg.functions.text import _col, bound
 
-# A word is a run of letters, digits and "_"; every other visible character is its own token.
-TOKEN_PATTERN = r"[\p{L}\p{N}_]++|\S"
+# A word is a run of letters, digits and "_"; every other character that is no white space of any kind is its own token.
+TOKEN_PATTERN = r"(?U)[\p{L}\p{N}_]++|\S"
 # A sentence ends at ".", "!" or "?" before white space.
-SENTENCE_END = r"(?<=[.!?])\s+"
+SENTENCE_END = r"(?U)(?<=[.!?])\s+"
 
 
 def tokenize_words(c: str | Column) -> Column:

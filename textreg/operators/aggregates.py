@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textreg.functions.numeric import percent
 from textreg.functions.tokens import tokenize_words
-from textreg.plans.quantiles import group_quantiles
+from textreg.plans.quantiles import group_quantiles, quantiles_of_counts, stored_counts
 from textreg.plans.skew import lookup_join
 
 
@@ -35,12 +35,13 @@ def median_order(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def boxplot_summary(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Quartiles, whiskers (extreme values within 1.5 IQR of the box) and outlier count per group."""
-    quartiles = group_quantiles(df, key, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    """Quartiles, whiskers (extreme values within 1.5 IQR of the box) and outlier count per group; null is a group."""
+    counted = stored_counts(df, key, value)
+    quartiles = quantiles_of_counts(counted, key, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
-    counted = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
-    with_box = lookup_join(counted, quartiles, key, "inner", spread_by=value)
+    boxes = quartiles.withColumnRenamed(key, "__of")
+    with_box = counted.join(boxes, F.col(key).eqNullSafe(F.col("__of")))
     return with_box.groupBy(key, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col(value))).alias("whisker_low"),
         F.max(F.when(inside, F.col(value))).alias("whisker_high"),
@@ -100,10 +101,13 @@ def ordered_concat(
     )
 
 
-def or_joined(df: DataFrame, key: str, text: str, name: str = "query") -> DataFrame:
-    """``(s1) OR (s2) ...`` of the distinct strings per key, in their order."""
-    parts = df.select(key, F.concat(F.lit("("), F.col(text), F.lit(")")).alias("__s")).distinct()
-    return parts.groupBy(key).agg(F.expr("listagg(__s, ' OR ') WITHIN GROUP (ORDER BY __s)").alias(name))
+def or_joined(df: DataFrame, key: str, text: str, order_by: str, name: str = "query") -> DataFrame:
+    """``(s1) OR (s2) ...`` of the strings per key in the order of ``order_by``, repeats included.
+
+    The result is one string per key, so a key's strings have to fit into one row.
+    """
+    parts = df.select(key, F.concat(F.lit("("), F.col(text), F.lit(")")).alias("__s"), F.col(order_by).alias("__o"))
+    return parts.groupBy(key).agg(F.expr("listagg(__s, ' OR ') WITHIN GROUP (ORDER BY __o)").alias(name))
 
 
 def cv_summary(scores: DataFrame) -> DataFrame:

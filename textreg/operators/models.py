@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import product
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import ElementwiseProduct, Normalizer, StandardScaler, VectorSlicer
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from textreg.operators.splits import kfold_labels
 from textreg.plans.stage import stage_path
 
 # The normal-equation solver of Spark ML takes at most this many features.
 MAX_NORMAL_FEATURES = 4096
+#: A linear fit that has not converged by then is an error.
+MAX_ITERATIONS = 2000
 SEED = 42
 
 
@@ -50,7 +53,7 @@ def with_dense_vectors(rows: DataFrame, column: str = "embedding", output: str =
 def linear_regression(n_features: int, n_rows: int, label_std: tuple[float, float]) -> Estimator:
     """Ordinary least squares."""
     solver = "normal" if n_features <= MAX_NORMAL_FEATURES else "l-bfgs"
-    return LinearRegression(regParam=0.0, solver=solver, featuresCol="x", labelCol="y")
+    return LinearRegression(regParam=0.0, solver=solver, maxIter=MAX_ITERATIONS, tol=1e-10, featuresCol="x", labelCol="y")
 
 
 def ridge_regression(n_features: int, n_rows: int, label_std: tuple[float, float], alpha: float = 1.0) -> Estimator:
@@ -63,24 +66,30 @@ def ridge_regression(n_features: int, n_rows: int, label_std: tuple[float, float
     std = label_std[0] if normal else label_std[1]
     return LinearRegression(
         regParam=alpha * std / max(n_rows, 1), elasticNetParam=0.0, standardization=False,
-        solver="normal" if normal else "l-bfgs", maxIter=200, tol=1e-6, featuresCol="x", labelCol="y",
+        solver="normal" if normal else "l-bfgs", maxIter=MAX_ITERATIONS, tol=1e-10, featuresCol="x", labelCol="y",
     )
 
 
 def lasso_regression(n_features: int, n_rows: int, label_std: tuple[float, float], alpha: float = 0.001) -> Estimator:
     """Minimizes ``|y - Xw|^2 / 2n + alpha |w|_1``."""
     return LinearRegression(
-        regParam=alpha, elasticNetParam=1.0, standardization=False, solver="l-bfgs", maxIter=200, tol=1e-7,
+        regParam=alpha, elasticNetParam=1.0, standardization=False, solver="l-bfgs", maxIter=MAX_ITERATIONS, tol=1e-9,
         featuresCol="x", labelCol="y",
     )
 
 
 def random_forest(
-    n_features: int, n_rows: int, label_std: tuple[float, float], trees: int = 100, depth: int = 20
+    n_features: int, n_rows: int, label_std: tuple[float, float], trees: int = 100, depth: int = 30, bins: int = 32,
+    bootstrap: bool = True,
 ) -> Estimator:
-    """Bootstrapped trees that see every feature at every split, grown to ``depth`` (Spark allows 30)."""
+    """Bootstrapped trees that see every feature at every split.
+
+    ``depth`` is at Spark's limit of 30; split points are searched among ``bins`` quantiles of a feature, all of them
+    where it has no more values than that.
+    """
     return RandomForestRegressor(
-        numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=SEED, featuresCol="x", labelCol="y"
+        numTrees=trees, maxDepth=depth, maxBins=bins, bootstrap=bootstrap, featureSubsetStrategy="all", seed=SEED,
+        featuresCol="x", labelCol="y",
     )
 
 
@@ -140,25 +149,65 @@ def model_pipeline(
 
 
 def fit_model(train: DataFrame, model: str, storage: str = "dense", selected: list[int] | None = None, **params) -> Model:
-    return model_pipeline(train, model, storage, selected, **params).fit(train)
+    return _converged(model_pipeline(train, model, storage, selected, **params).fit(train))
+
+
+def _converged(model: Model) -> Model:
+    linear = model.stages[-1] if hasattr(model, "stages") else model
+    if isinstance(linear, LinearRegressionModel) and linear.summary.totalIterations >= MAX_ITERATIONS:
+        raise ValueError(f"the linear fit has not converged in {MAX_ITERATIONS} iterations")
+    return model
+
+
+def elastic_net(alpha: float, l1_ratio: float, label_std: float) -> LinearRegression:
+    """Minimizes ``|y - Xw|^2 / 2n + alpha * l1_ratio * |w|_1 + alpha * (1 - l1_ratio) / 2 * |w|^2``.
+
+    Spark divides the squared part of the penalty by the label's sample deviation ``label_std`` but not the absolute
+    part, so the two parts are scaled apart and mixed again.
+    """
+    absolute, squared = alpha * l1_ratio, alpha * (1 - l1_ratio) * label_std
+    total = absolute + squared
+    return LinearRegression(
+        regParam=total, elasticNetParam=absolute / total if total else 0.0, standardization=False, solver="l-bfgs",
+        maxIter=MAX_ITERATIONS, tol=1e-9, featuresCol="features", labelCol="y",
+    )
 
 
 def elastic_net_cv(
-    train: DataFrame, l1_ratios=(0.1, 0.5, 1.0), alphas=(0.1, 1.0, 10.0), folds: int = 5, parallelism: int = 4
+    train: DataFrame, l1_ratios=(0.1, 0.5, 1.0), alphas=(0.1, 1.0, 10.0), folds: int = 5, parallelism: int = 4,
+    row: str = "row_index", seed: int = SEED,
 ) -> tuple[Model, DataFrame]:
-    """Grid search of the elastic net by cross-validated squared error: best model and the error per point."""
-    net = LinearRegression(standardization=False, solver="l-bfgs", featuresCol="features", labelCol="y")
-    grid = ParamGridBuilder().addGrid(net.elasticNetParam, list(l1_ratios)).addGrid(net.regParam, list(alphas)).build()
-    cv = CrossValidator(
-        estimator=net, estimatorParamMaps=grid, numFolds=folds, seed=SEED, parallelism=parallelism,
-        evaluator=RegressionEvaluator(labelCol="y", metricName="mse"),
-    ).fit(train)
-    rows = [
-        (float(p[net.elasticNetParam]), float(p[net.regParam]), float(mse))
-        for p, mse in zip(grid, cv.avgMetrics, strict=True)
-    ]
-    table = train.sparkSession.createDataFrame(rows, "l1_ratio double, alpha double, mse double")
-    return cv.bestModel, table
+    """Grid search of the elastic net by cross-validated squared error: best model and ``l1_ratio, alpha, mse`` per point.
+
+    Folds are those of ``kfold_labels`` on ``row``. The error is the mean over folds; of equal points the first wins, and
+    the best one is fitted again on all rows. Independent fits run side by side.
+    """
+    fold = kfold_labels(train.select(row), row, folds, 1, seed)[0]
+    rows = train.select("y", "features", fold.alias("fold")).persist()
+    try:
+        deviation = {
+            k: rows.filter(F.col("fold") != k).agg(F.stddev_samp("y")).first()[0] or 0.0 for k in range(folds)
+        }
+        grid = list(product(map(float, l1_ratios), map(float, alphas)))
+
+        def error(job: tuple[tuple[float, float], int]) -> float:
+            (l1_ratio, alpha), k = job
+            model = _converged(elastic_net(alpha, l1_ratio, deviation[k]).fit(rows.filter(F.col("fold") != k)))
+            held = model.transform(rows.filter(F.col("fold") == k))
+            return held.agg(F.avg((F.col("prediction") - F.col("y")) ** 2)).first()[0]
+
+        with ThreadPool(parallelism) as pool:
+            errors = pool.map(error, [(point, k) for point in grid for k in range(folds)])
+        means = [sum(errors[i * folds : (i + 1) * folds]) / folds for i in range(len(grid))]
+        l1_ratio, alpha = grid[means.index(min(means))]
+        whole = rows.agg(F.stddev_samp("y")).first()[0] or 0.0
+        best = _converged(elastic_net(alpha, l1_ratio, whole).fit(rows))
+    finally:
+        rows.unpersist()
+    table = train.sparkSession.createDataFrame(
+        [(*point, mse) for point, mse in zip(grid, means, strict=True)], "l1_ratio double, alpha double, mse double"
+    )
+    return best, table
 
 
 def coefficients(model: Model) -> list[tuple[int, float]]:

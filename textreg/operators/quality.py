@@ -32,8 +32,9 @@ def alignment_violations(base: DataFrame, result: DataFrame, target: str, row: s
         F.coalesce(F.sum("nr"), F.lit(0)).alias("result_rows"),
         F.count_if((F.col("nb") != 1) | (F.col("nr") != 1)).alias("unmatched"),
         F.count_if(~F.col("by").eqNullSafe(F.col("ry"))).alias("target_differs"),
-        (F.coalesce(F.max("i"), F.lit(-1)) - F.count("i") + 1
-         + F.coalesce(F.min("i"), F.lit(0))).alias("index_gaps"),
+        # Distance of the least index from 0 and of the greatest from the last one; neither can offset the other.
+        (F.abs(F.coalesce(F.min("i"), F.lit(0))) + F.abs(F.coalesce(F.max("i"), F.lit(-1)) - F.count("i") + 1))
+        .alias("index_gaps"),
     )
 
 

@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from textreg.functions.text import strip_lower
 
 
+def difference_counts(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: distinct keys only in ``first`` and only in ``second``. Null equals null, as in set operations."""
+    sides = first.select(*keys, F.lit(1).alias("__a"), F.lit(0).alias("__b")).unionByName(
+        second.select(*keys, F.lit(0).alias("__a"), F.lit(1).alias("__b"))
+    )
+    per_key = sides.groupBy(*keys).agg(F.max("__a").alias("__a"), F.max("__b").alias("__b"))
+    return per_key.agg(
+        F.count_if(F.col("__b") == 0).alias("only_first"), F.count_if(F.col("__a") == 0).alias("only_second")
+    )
+
+
 def venn_regions(df: DataFrame, title: str, in_first: Column, in_second: Column) -> DataFrame:
     """Distinct stripped lower-case titles only in the first, only in the second, and in both origins.
 

@@ -15,10 +15,6 @@ from textreg.plans.ordering import add_row_index
 from textreg.plans.skew import lookup_join
 
 
-# Bits of a packed (row, position) number that hold the position.
-_POS_BITS = 24
-
-
 @dataclass(frozen=True)
 class FittedVocabulary:
     """``terms(term, term_index, df, idf)`` and what is needed to apply it."""
@@ -82,16 +78,12 @@ def fit_vocabulary(
     # the optimizer from computing the list a second time for a not-empty test.
     terms = docs.select(row, F.posexplode_outer(F.array_distinct(features)).alias("pos", "term"))
     terms = terms.filter(F.col("term").isNotNull())
-    size = docs.agg(F.count("*").alias("n"), F.min(row).alias("lo"), F.max(row).alias("hi")).first()
-    if size["n"] and 0 <= size["lo"] and size["hi"] < 1 << (63 - _POS_BITS):
-        # (row, position) in one number: a hash aggregation, where a struct would need a sorting one.
-        fits = F.when(F.col("pos") < 1 << _POS_BITS, F.shiftleft(F.col(row).cast("bigint"), _POS_BITS) + F.col("pos"))
-        first = fits.otherwise(F.raise_error(F.lit("a document has too many different terms")).cast("bigint"))
-    else:
-        first = F.struct(row, "pos")
-    per_term = terms.groupBy("term").agg(F.min(first).alias("first"), F.count("*").alias("df"))
-    numbered = add_row_index(per_term, "first", "term_index")
-    n_documents = size["n"]
+    # The first row and the position in it: two plain numbers, so the terms are reduced by hashing.
+    per_term = terms.groupBy("term").agg(
+        F.min(row).alias("first_row"), F.min_by("pos", row).alias("first_pos"), F.count("*").alias("df")
+    )
+    numbered = add_row_index(per_term, ["first_row", "first_pos", "term"], "term_index")
+    n_documents = docs.count()
     idf = F.log(F.lit(1.0 + n_documents) / (1 + F.col("df"))) + 1.0
     terms = numbered.select("term", "term_index", "df", idf.alias("idf"))
     return FittedVocabulary(method, terms, n_documents, terms.count(), ngram_n)

@@ -19,16 +19,28 @@ def group_quantiles(
     max_group_values: int = 1_000_000,
     block_rows: int = 500_000,
 ) -> DataFrame:
-    """One row per ``key`` with the quantiles ``{name: p}`` of the non-null ``value``.
+    """One row per ``key`` with the quantiles ``{name: p}`` of the non-null ``value``. A null key is a group.
 
     The rows are first reduced to one count per (key, value). Groups with at most
     ``max_group_values`` distinct values use ``percentile`` over those counts. If any group is
     larger, cumulative counts are built over range-partitioned blocks instead and the rows that
     cover the wanted ranks are picked, so no task holds a whole group.
     """
-    counts = write_stage(
+    return quantiles_of_counts(stored_counts(df, key, value), key, value, probs, max_group_values, block_rows)
+
+
+def stored_counts(df: DataFrame, key: str, value: str) -> DataFrame:
+    """``(key, value, n)`` of the non-null values, stored."""
+    return write_stage(
         df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n")), "value-counts"
     )
+
+
+def quantiles_of_counts(
+    counts: DataFrame, key: str, value: str, probs: dict[str, float], max_group_values: int = 1_000_000,
+    block_rows: int = 500_000,
+) -> DataFrame:
+    """``group_quantiles`` of rows that are counted already."""
     widest = counts.groupBy(key).count().agg(F.max("count")).first()[0] or 0
     if widest <= max_group_values:
         wanted = F.percentile(value, F.array(*[F.lit(p) for p in probs.values()]), F.col("n"))
@@ -44,13 +56,13 @@ def _quantiles_by_rank(counts: DataFrame, key: str, value: str, probs: dict[str,
     whole = Window.partitionBy(key)
     # One row per (key, block): as many rows per key as the group has blocks.
     totals = blocks.groupBy(key, "b").agg(F.sum("n").alias("block_n")).select(
-        key, "b",
+        F.col(key).alias("__key"), F.col("b").alias("__b"),
         F.coalesce(F.sum("block_n").over(before), F.lit(0)).alias("carry"),
         F.sum("block_n").over(whole).alias("total"),
     )
     ranked = (
         blocks.withColumn("upto", F.sum("n").over(inside))
-        .join(totals.hint("shuffle_hash"), [key, "b"])
+        .join(totals.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("__key")) & (F.col("b") == F.col("__b"))).drop("__key", "__b")
         .withColumn("last", F.col("carry") + F.col("upto") - 1)
         .withColumn("first", F.col("last") - F.col("n") + 1)
     )

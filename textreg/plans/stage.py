@@ -15,8 +15,14 @@ def _local_root() -> str:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a local one only where the setting is absent, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _local_root()).rstrip("/")
+    """Folder named by ``spark.checkpoint.dir``.
+
+    Without the setting a local folder is used on a local master only; elsewhere executors would each write to their own disk.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.conf.get("spark.master", "").split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (named or _local_root()).rstrip("/")
 
 
 def stage_path(spark: SparkSession, label: str) -> str:

@@ -69,8 +69,7 @@ def scan_enumerated_text(t):
 
 @query("read_sql_tables", "select * from customer")
 def read_sql_tables(t):
-    t.customer.createOrReplaceTempView("textreg_customer")
-    return t.spark.sql("SELECT * FROM textreg_customer")
+    return t.spark.sql("SELECT * FROM {customer}", customer=t.customer)
 
 
 @query("write_parquet", "select o_orderkey, o_totalprice, o_orderstatus from orders")

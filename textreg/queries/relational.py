@@ -12,9 +12,8 @@ from textreg.operators import quality as Q
 from textreg.operators import reshape as R
 from textreg.operators import shaping as S
 from textreg.operators import splits as SP
-from textreg.operators.sets import venn_regions
+from textreg.operators.sets import difference_counts, venn_regions
 from textreg.plans.ordering import add_row_index, running_count, shift_features
-from textreg.plans.parallel import spread_scan
 from textreg.plans.skew import lookup_join
 from textreg.plans.stage import write_stage
 from textreg.queries.registry import query
@@ -79,10 +78,9 @@ STREAMS_SQL = """
 @query("left_then_inner_join", STREAMS_SQL.format(
     month="date_trunc('month', o_orderdate)", plus_six="min(month) + interval 6 month"))
 def left_then_inner_join(t):
-    t.customer.createOrReplaceTempView("customer")
-    t.orders.createOrReplaceTempView("orders")
-    return t.spark.sql(STREAMS_SQL.format(
-        month="date_trunc('MONTH', o_orderdate)", plus_six="add_months(min(month), 6)"))
+    text = STREAMS_SQL.format(month="date_trunc('MONTH', o_orderdate)", plus_six="add_months(min(month), 6)")
+    text = text.replace("FROM customer c", "FROM {customer} c").replace("orders", "{orders}")
+    return t.spark.sql(text, customer=t.customer, orders=t.orders)
 
 
 @query("semi_join_title_in_both", """
@@ -149,21 +147,26 @@ def group_mean_dedup_fanout(t):
     return A.mean_per(copies, ["o_custkey", "o_orderpriority"], "o_totalprice").withColumn("o_totalprice", F.round("o_totalprice", 5))
 
 
-@query("group_median_order", "select l_suppkey, round(median(l_extendedprice), 4) as median from lineitem group by 1")
+@query("group_median_order", """
+    select nullif(l_suppkey, 1) as l_suppkey, round(median(l_extendedprice), 4) as median from lineitem group by 1""")
 def group_median_order(t):
-    return A.median_order(t.lineitem, "l_suppkey", "l_extendedprice").withColumn("median", F.round("median", 4))
+    lines = t.lineitem.withColumn("l_suppkey", F.nullif("l_suppkey", F.lit(1)))
+    return A.median_order(lines, "l_suppkey", "l_extendedprice").withColumn("median", F.round("median", 4))
 
 
 @query("boxplot_summary", """
-    with q as (select l_returnflag, quantile_cont(l_extendedprice, 0.25) as q1, quantile_cont(l_extendedprice, 0.5) as median,
-        quantile_cont(l_extendedprice, 0.75) as q3 from lineitem group by 1),
-    f as (select l_returnflag, q1, median, q3, l_extendedprice as x,
-        l_extendedprice between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1) as inside from lineitem join q using (l_returnflag))
+    with l as (select nullif(l_returnflag, 'R') as l_returnflag, l_extendedprice from lineitem),
+    q as (select l_returnflag, quantile_cont(l_extendedprice, 0.25) as q1, quantile_cont(l_extendedprice, 0.5) as median,
+        quantile_cont(l_extendedprice, 0.75) as q3 from l group by 1),
+    f as (select l.l_returnflag, q1, median, q3, l_extendedprice as x,
+        l_extendedprice between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1) as inside
+        from l join q on l.l_returnflag is not distinct from q.l_returnflag)
     select l_returnflag, round(q1, 4) as q1, round(median, 4) as median, round(q3, 4) as q3,
       min(x) filter (inside) as whisker_low, max(x) filter (inside) as whisker_high, count(*) filter (not inside) as n_outliers
     from f group by f.l_returnflag, f.q1, f.median, f.q3""")
 def boxplot_summary(t):
-    box = A.boxplot_summary(t.lineitem, "l_returnflag", "l_extendedprice")
+    lines = t.lineitem.withColumn("l_returnflag", F.nullif("l_returnflag", F.lit("R")))
+    box = A.boxplot_summary(lines, "l_returnflag", "l_extendedprice")
     return box.withColumns({c: F.round(c, 4) for c in ("q1", "median", "q3")})
 
 
@@ -213,9 +216,9 @@ def ordered_concat_transform(t):
 
 
 @query("or_join_strings", """
-    select p_brand, string_agg('(' || p_name || ')', ' OR ' order by p_name) as query from (select distinct p_brand, p_name from part) group by 1""")
+    select p_brand, string_agg('(' || p_name || ')', ' OR ' order by p_partkey) as query from part group by 1""")
 def or_join_strings(t):
-    return A.or_joined(t.part, "p_brand", "p_name")
+    return A.or_joined(t.part, "p_brand", "p_name", "p_partkey")
 
 
 @query("cv_summary", """
@@ -249,7 +252,7 @@ TOKEN_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]')
     based as (select coalesce(b.w, a.w) as term, a.n from words a left join words b on a.w = b.w || 's')
     select term, cast(sum(n) as bigint) as "count" from based group by 1 having sum(n) > 1 order by 2 desc, 1 limit 150""")
 def term_frequencies_top_n(t):
-    counts = write_stage(A.word_counts(spread_scan(t.documents), "text", ENGLISH), "word-counts")
+    counts = write_stage(A.word_counts(t.documents, "text", ENGLISH), "word-counts")
     plurals = counts.select(F.concat("word", F.lit("s")).alias("word"), F.col("word").alias("base"))
     return A.term_frequencies(counts, plurals)
 
@@ -439,9 +442,11 @@ def _titles(t, first: bool):
     return t.documents.filter(mine if first else ~mine).select(F.md5(T.strip_lower("text")).alias("title"))
 
 
-@query("set_difference_count", f"select title from {TITLES} where a except select title from {TITLES} where not a")
+@query("set_difference_count", f"""
+    select (select count(*) from (select title from {TITLES} where a except select title from {TITLES} where not a)) as only_first,
+      (select count(*) from (select title from {TITLES} where not a except select title from {TITLES} where a)) as only_second""")
 def set_difference_count(t):
-    return _titles(t, True).subtract(_titles(t, False))
+    return difference_counts(_titles(t, True), _titles(t, False), ["title"])
 
 
 @query("set_intersection_count", f"select title from {TITLES} where a intersect select title from {TITLES} where not a")

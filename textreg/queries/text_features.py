@@ -11,7 +11,7 @@ from textreg.operators import vectorize as V
 from textreg.operators.reshape import sparse_rows_to_triplets as rows_to_triplets
 from textreg.operators.reshape import triplets_to_sparse_rows as triplets_to_rows
 from textreg.plans.language import top_weighted_terms
-from textreg.plans.parallel import spread_scan
+from textreg.plans.ordering import add_row_index
 from textreg.plans.skew import lookup_join
 from textreg.plans.stage import write_stage
 from textreg.queries.registry import query
@@ -38,7 +38,7 @@ FITTED2 = f"with {DOCS}, {OCC2}, {VOCAB}, {TERMS}"
 
 
 def documents(t):
-    return spread_scan(t.documents).select(F.col("doc_id").alias("row_index"), K.tokenize_by_strategy("text").alias("tokens"))
+    return t.documents.select(F.col("doc_id").alias("row_index"), K.tokenize_by_strategy("text").alias("tokens"))
 
 
 def benchmark(t):
@@ -61,18 +61,18 @@ def _list_sql(expression: str) -> str:
     select lang, term, weight, cast(row_number() over (partition by lang order by weight desc, term) as integer) as rank from w qualify rank <= 20""")
 def tfidf_top_terms(t):
     words = F.filter(K.tokenize_by_strategy("text"), lambda w: w.rlike(r"[\p{L}\p{N}_]"))
-    return top_weighted_terms(spread_scan(t.documents).select("lang", words.alias("tokens")), "lang")
+    return top_weighted_terms(t.documents.select("lang", words.alias("tokens")), "lang")
 
 
 @query("tokenize_words", _list_sql(WORDS.format("text")))
 def tokenize_words(t):
-    return spread_scan(t.documents).select("doc_id", K.tokenize_words("text").alias("l")).select("doc_id", *_list_facts("l"))
+    return t.documents.select("doc_id", K.tokenize_words("text").alias("l")).select("doc_id", *_list_facts("l"))
 
 
 @query("tokenize_sentences", _list_sql(
     r"list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(2), 'g'), chr(2)), lambda x: x <> '')"))
 def tokenize_sentences(t):
-    return spread_scan(t.documents).select("doc_id", K.tokenize_sentences("text").alias("l")).select("doc_id", *_list_facts("l"))
+    return t.documents.select("doc_id", K.tokenize_sentences("text").alias("l")).select("doc_id", *_list_facts("l"))
 
 
 @query("tokenize_by_strategy", f"""
@@ -87,19 +87,19 @@ def tokenize_by_strategy(t):
 
 @query("remove_stopwords", _list_sql(_kept("text")))
 def remove_stopwords(t):
-    return spread_scan(t.documents).select("doc_id", K.remove_stopwords(K.tokenize_words("text")).alias("l")).select("doc_id", *_list_facts("l"))
+    return t.documents.select("doc_id", K.remove_stopwords(K.tokenize_words("text")).alias("l")).select("doc_id", *_list_facts("l"))
 
 
 @query("ngrams", f"""
     with docs as (select doc_id, {_kept('text')} as tokens from documents), grams as (select doc_id, {BIGRAMS} as l from docs)
     select doc_id, cast(len(l) as integer) as n, md5(array_to_string(l, chr(1))) as list_md5 from grams""")
 def ngrams(t):
-    return spread_scan(t.documents).select("doc_id", K.ngrams(K.tokenize_by_strategy("text"), 2).alias("l")).select("doc_id", *_list_facts("l"))
+    return t.documents.select("doc_id", K.ngrams(K.tokenize_by_strategy("text"), 2).alias("l")).select("doc_id", *_list_facts("l"))
 
 
 @query("truncate_tokens", _list_sql(WORDS.format("text") + "[1:512]"))
 def truncate_tokens(t):
-    return spread_scan(t.documents).select("doc_id", K.truncate_tokens(K.tokenize_words("text")).alias("l")).select("doc_id", *_list_facts("l"))
+    return t.documents.select("doc_id", K.truncate_tokens(K.tokenize_words("text")).alias("l")).select("doc_id", *_list_facts("l"))
 
 
 # ---- vocabularies ----
@@ -167,9 +167,9 @@ def tfidf_transform(t):
 
 
 @query("fit_transform_oneshot", f"""
-    with docs as (select conv_id * 1000 + turn as row_index, {_kept('text')} as tokens from conversations), {OCC}, {VOCAB}, {TERMS}""" + TFIDF_ENTRIES)
+    with docs as (select row_number() over (order by conv_id, turn) - 1 as row_index, {_kept('text')} as tokens from conversations), {OCC}, {VOCAB}, {TERMS}""" + TFIDF_ENTRIES)
 def fit_transform_oneshot(t):
-    turns = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_index"), K.tokenize_by_strategy("text").alias("tokens"))
+    turns = add_row_index(t.conversations, ["conv_id", "turn"]).select("row_index", K.tokenize_by_strategy("text").alias("tokens"))
     return rows_to_triplets(V.fit_transform(turns, "tf idf")).withColumn("value", F.round("value", 3))
 
 
@@ -232,5 +232,5 @@ def masked_mean_pool(t):
     select d.doc_id, g.dim, round(coalesce(v / case when len = 0 then 1 else len end, 0), 4) + 0.0 as value
     from documents d cross join (select cast(unnest(range(0, 32)) as integer) as dim) g left join sums s on s.doc_id = d.doc_id and s.dim = g.dim left join lens l on l.doc_id = d.doc_id""")
 def batched_encoder(t):
-    encoded = D.encode_texts(spread_scan(t.documents).select("doc_id", "text"), "text", D.hashing_encoder(32), 32)
+    encoded = D.encode_texts(t.documents.select("doc_id", "text"), "text", D.hashing_encoder(32), 32)
     return encoded.select("doc_id", F.posexplode_outer("embedding").alias("dim", "value")).withColumn("value", F.round(F.col("value").cast("double"), 4) + 0.0)
