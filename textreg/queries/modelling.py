@@ -104,6 +104,83 @@ def gradient_boosting(t):
     return _predictions(t, "GradientBoosting")
 
 
+# ---- fits with closed forms: one feature, or a feature with few values ----
+
+ONE = """with d as (select cast(embedding[1] as double) as x, cast(label as double) as y, vec_id as i from embeddings),
+    s as (select count(*) as n, avg(y) as ym, covar_pop(x, y) / stddev_pop(x) as c from d)"""
+
+
+def _one_feature(t):
+    """The first vector component against the label."""
+    rows = t.embeddings.select(
+        F.col("vec_id").alias("row_index"), F.col("label").cast("double").alias("y"), F.array(F.col("embedding")[0]).alias("embedding")
+    )
+    return M.with_dense_vectors(rows)
+
+
+def _rounded_weights(t, model: str):
+    fitted = M.fit_model(_one_feature(t), model, "dense")
+    weights = t.spark.createDataFrame(M.coefficients(fitted), "feature int, weight double")
+    return weights.withColumn("weight", F.round("weight", 4) + 0.0)
+
+
+def _closed_form(weight: str) -> str:
+    return f"""{ONE} select -1 as feature, round(ym, 4) + 0.0 as weight from s
+        union all select 0, round({weight}, 4) + 0.0 from s"""
+
+
+@query("linear_regression_one_feature", _closed_form("c"))
+def linear_regression_one_feature(t):
+    return _rounded_weights(t, "LinearRegression")
+
+
+@query("ridge_regression_one_feature", _closed_form("n * c / (n + 1)"))
+def ridge_regression_one_feature(t):
+    return _rounded_weights(t, "Ridge")
+
+
+@query("lasso_regression_one_feature", _closed_form("sign(c) * greatest(abs(c) - 0.001, 0)"))
+def lasso_regression_one_feature(t):
+    return _rounded_weights(t, "Lasso")
+
+
+@query("elastic_net_cv_one_feature", ONE + """,
+    r as (select *, row_number() over (order by md5('42:0:' || i)) - 1 as k, (select n from s) as n from d),
+    f as (select x, y, cast(case when k < (n % 5) * (n // 5 + 1) then k // (n // 5 + 1) else n % 5 + (k - (n % 5) * (n // 5 + 1)) // (n // 5) end as integer) as fold from r),
+    m as (select held.fold, avg(f.x) as xm, avg(f.y) as ym, covar_pop(f.x, f.y) as xy, var_pop(f.x) as xx
+      from f, (select unnest([0, 1, 2, 3, 4]) as fold) held where f.fold <> held.fold group by 1),
+    w as (select m.*, l1_ratio, alpha, sign(xy) * greatest(abs(xy) - alpha * l1_ratio, 0) / (xx + alpha * (1 - l1_ratio)) as w
+      from m, (select unnest([0.1, 0.5, 1.0]) as l1_ratio), (select unnest([0.001, 0.01, 0.1]) as alpha)),
+    e as (select l1_ratio, alpha, f.fold, avg((y - ym - w * (x - xm)) ** 2) as mse from f join w using (fold) group by 1, 2, 3)
+    select cast(l1_ratio as double) as l1_ratio, cast(alpha as double) as alpha, round(avg(mse), 4) as mse from e group by 1, 2""")
+def elastic_net_cv_one_feature(t):
+    table = M.elastic_net_cv(_one_feature(t), alphas=(0.001, 0.01, 0.1))[1]
+    return table.withColumn("mse", F.round("mse", 4))
+
+
+GROUP_MEANS = """
+    select o_orderkey as row_index, round(avg(o_totalprice) over (partition by o_orderkey % 7), 2) as prediction from orders"""
+
+
+def _group_means(t, model: str, **params):
+    """A feature with seven values: a tree that sees all rows predicts the mean of each value."""
+    rows = M.with_dense_vectors(t.orders.select(
+        F.col("o_orderkey").alias("row_index"), F.col("o_totalprice").alias("y"), F.array(F.col("o_orderkey") % 7).alias("embedding")
+    ))
+    fitted = M.fit_model(rows, model, "dense", **params)
+    return fitted.transform(rows).select("row_index", F.round("prediction", 2).alias("prediction"))
+
+
+@query("random_forest_group_means", GROUP_MEANS)
+def random_forest_group_means(t):
+    return _group_means(t, "RandomForest", trees=5, bootstrap=False)
+
+
+@query("gradient_boosting_group_means", GROUP_MEANS)
+def gradient_boosting_group_means(t):
+    return _group_means(t, "GradientBoosting", trees=10)
+
+
 @query("run_experiment")
 def run_experiment(t):
     sparse = split_shuffled(sparse_documents(t, "TF-IDF"), "row_index")
