@@ -158,3 +158,14 @@ def test_vocabulary_takes_text_ids(spark):
     docs = spark.createDataFrame([("d2", ["b", "a"]), ("d1", ["c", "b"])], "row_index string, tokens array<string>")
     fitted = fit_vocabulary(docs)
     assert {(r["term"], r["term_index"], r["df"]) for r in fitted.terms.collect()} == {("c", 0, 1), ("b", 1, 2), ("a", 2, 1)}
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join_with_null_and_hot_keys(spark, how):
+    left = spark.createDataFrame(
+        [(i, None if i % 3 == 0 else 7 if i % 3 == 1 else i % 20, "same") for i in range(600)], "i bigint, k bigint, t string"
+    )
+    right = spark.createDataFrame([(k, f"r{k}") for k in range(0, 20, 2)] + [(7, "hot"), (None, "null")], "k bigint, r string")
+    got = lookup_join(left, right, "k", how, spread_by="i", max_broadcast_rows=0)
+    plain = left.join(right, "k", how)
+    assert sorted(map(str, got.select(plain.columns).collect())) == sorted(map(str, plain.collect()))

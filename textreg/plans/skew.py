@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -39,9 +40,10 @@ def lookup_join(
 
     A ``right`` measured below the bounds is broadcast, so ``left`` is not shuffled. Otherwise
     both sides shuffle, and the keys that own more than ``1/hot_share`` of ``left`` - at most
-    ``hot_share`` of them, whatever the data - are split into ``salts`` pieces by a hash of
-    ``spread_by`` (a column that differs within a key), with the matching ``right`` rows copied.
-    Keys already known to be frequent come as ``hot`` instead and save a pass over ``left``.
+    ``hot_share`` of them, whatever the data - are split by a hash of ``spread_by`` (a column that differs within a
+    key), with the matching ``right`` rows copied: into as many pieces as they own such shares, so no piece is larger
+    than the least of them. Rows with a null key match nothing and are spread over ``salts`` pieces.
+    Keys already known to be frequent come as ``hot`` instead, save a pass over ``left`` and get ``salts`` pieces each.
     ``right`` is written out before it is measured, so it is computed once; pass ``stored`` when it
     is a table already.
     """
@@ -58,12 +60,16 @@ def lookup_join(
     if hot is None:
         counts = write_stage(left.groupBy(*keys).count(), "key-counts")
         limit = max(1, (counts.agg(F.sum("count")).first()[0] or 0) // hot_share)
-        hot = counts.filter(F.col("count") > limit)
-    hot = hot.select(*keys, F.lit(True).alias("__hot"))
-    piece = F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0))
-    salted_left = left.join(F.broadcast(hot), keys, "left").withColumn("__salt", piece.cast("int")).drop("__hot")
-    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+        hot = counts.filter(F.col("count") > limit).select(*keys, F.ceil(F.col("count") / limit).cast("int").alias("__pieces"))
+    else:
+        hot = hot.select(*keys, F.lit(salts).alias("__pieces"))
+    no_key = functools.reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    pieces = F.when(no_key, F.lit(salts)).otherwise(F.coalesce("__pieces", F.lit(1)))
+    salted_left = left.join(F.broadcast(hot), keys, "left").withColumn(
+        "__salt", F.pmod(F.xxhash64(*spread), pieces).cast("int")
+    ).drop("__pieces")
+    copies = F.sequence(F.lit(0), F.coalesce("__pieces", F.lit(1)) - 1)
     salted_right = (
-        right.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
+        right.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(copies)).drop("__pieces")
     )
     return salted_left.join(salted_right, [*keys, "__salt"], how).drop("__salt")
