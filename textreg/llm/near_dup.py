@@ -26,6 +26,8 @@ LEAF = 512
 PIVOTS = 4
 START_DEPTH = 2
 MAX_DEPTH = 8
+#: A large node is compared exactly where that takes at most this many copies of each row; else it branches.
+COPIES = 8
 #: Candidates may estimate as many standard deviations below the threshold.
 SLACK = 5
 
@@ -68,7 +70,7 @@ def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, factors = _WordHashes(), _factors(TOKENS)[:, None]
         for batch in batches:
-            ids, sizes, keys, sigs = batch.column(0), [], [], []
+            ids, sizes, keys, sigs, briefs = batch.column(0), [], [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), width, words)
                 sizes.append(len(s))
@@ -77,12 +79,15 @@ def _signatures(width: int):
                     least = np.full(TOKENS, _MASK, np.uint64)
                     for at in range(0, len(s), 4096):
                         np.minimum(least, (factors * s[None, at : at + 4096]).min(axis=1), out=least)
-                    sigs.append((least >> np.uint64(32)).astype("<u4").tobytes())
+                    tokens = (least >> np.uint64(32)).astype("<u4")
+                    sigs.append(tokens.tobytes())
+                    briefs.append((tokens & 0xFF).astype(np.uint8).tobytes())
                 else:
                     sigs.append(None)
+                    briefs.append(None)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
-                names=["id", "n", "key", "sig"],
+                [ids, pa.array(sizes, pa.int64()), *[pa.array(x, pa.binary()) for x in (keys, sigs, briefs)]],
+                names=["id", "n", "key", "sig", "brief"],
             )
 
     return run
@@ -166,6 +171,10 @@ class _Groups:
             i = self.of[i]
         return i
 
+    def outside_largest(self) -> np.ndarray:
+        of = np.array([self.find(i) for i in range(len(self.of))])
+        return np.flatnonzero(of != np.bincount(of).argmax())
+
     def join(self, i: int, j: int) -> bool:
         a, b = self.find(i), self.find(j)
         self.of[max(a, b)] = min(a, b)
@@ -177,7 +186,7 @@ def _likely(floor: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_groups(batches, "cell"):
-            sig = _sig_matrix(table.column("sig").combine_chunks()) if table.num_rows else None
+            sig = np.frombuffer(b"".join(table.column("brief").to_pylist()), np.uint8).reshape(-1, TOKENS)
             label = table.column("root").to_numpy()
             keep = np.zeros(table.num_rows, bool)
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -209,9 +218,10 @@ def _sets(width: int):
     return run
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Matrix of intersection sizes, by columns of the shingles that at least two sets have."""
+def overlaps(sets: list[np.ndarray], rows: np.ndarray | None = None) -> np.ndarray:
+    """Intersection sizes of the given rows (all by default) with all sets, by columns of the shingles that two sets have."""
     n = len(sets)
+    rows = np.arange(n) if rows is None else rows
     every = np.concatenate(sets)
     owner = np.repeat(np.arange(n), [len(s) for s in sets])
     order = np.argsort(every, kind="stable")
@@ -222,13 +232,13 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     dense = np.cumsum(shared) - 1
     ok = shared[column] if len(every) else np.empty(0, bool)
     column, owner = dense[column[ok]] if len(every) else column, owner[ok]
-    out = np.zeros((n, n), np.int64)
+    out = np.zeros((len(rows), n), np.int64)
     width = 8192
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         lo, hi = np.searchsorted(column, [at, at + width])
         block = np.zeros((n, width), np.float32)
         block[owner[lo:hi], column[lo:hi] - at] = 1
-        out += np.rint(block @ block.T).astype(np.int64)
+        out += np.rint(block[rows] @ block.T).astype(np.int64)
     return out
 
 
@@ -243,19 +253,27 @@ def _verified(percent: int):
                 if b - a < 2:
                     continue
                 sets = [np.frombuffer(raw[i].as_py(), np.uint64) for i in range(a, b)]
-                sizes = np.array([len(s) for s in sets])
-                common = overlaps(sets)
-                union = sizes[:, None] + sizes[None, :] - common
                 groups = _Groups(labels[a:b])
-                for i, j in np.argwhere(np.triu(100 * common >= percent * union, 1)).tolist():
-                    if groups.join(i, j):
-                        us.append(int(ids[a + i]))
-                        vs.append(int(ids[a + j]))
+                # A few rows tie a crowd of copies together; then every row outside the largest group meets all rows.
+                for rows in (lambda: np.arange(min(8, b - a)), groups.outside_largest):
+                    for i, j in _linked(sets, rows(), percent):
+                        if groups.join(i, j):
+                            us.append(int(ids[a + i]))
+                            vs.append(int(ids[a + j]))
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     return run
 
 
+def _linked(sets: list[np.ndarray], rows: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    if not len(rows):
+        return []
+    sizes = np.array([len(s) for s in sets])
+    common = overlaps(sets, rows)
+    union = sizes[rows][:, None] + sizes[None, :] - common
+    return [(int(rows[i]), j) for i, j in np.argwhere(100 * common >= percent * union).tolist() if rows[i] != j]
+
+
 def trees_for(recall: float, similarity: float, depth: int = START_DEPTH) -> int:
     """Trees after which a pair at the threshold has met in a common node with probability ``recall``."""
     meets = 1.0
@@ -302,13 +320,14 @@ class _Join:
         )
         beside = pivots.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)))
         return small.unionByName(
-            members.unionByName(beside.select(*members.columns))
+            members.select(*beside.columns).unionByName(beside)
             .select(F.xxhash64("node", "chunk", "block").alias("cell"), "id", "root", "early").distinct()
         )
 
     def likely(self, cells: DataFrame) -> DataFrame:
         """Rows of the cells that look similar to a row of another component, staged."""
-        with_sig = _sorted_cells(cells.join(self.sigs, "id").select("cell", "id", "root", "early", "sig"))
+        # One byte of each token is enough to estimate; two different tokens agree in it once in 256.
+        with_sig = _sorted_cells(cells.join(self.sigs.select("id", "brief"), "id").select("cell", "id", "root", "early", "brief"))
         return stage(with_sig.mapInArrow(_likely(self.floor), "cell bigint, id bigint, early boolean"), "likely")
 
     def links(self, likely: DataFrame, sets: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -335,10 +354,12 @@ class _Join:
         main = large.groupBy("node", "root").count().groupBy("node").agg(
             F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("most")
         )
-        blocks = F.ceil((F.col("all") - F.col("most")) / LEAF).cast("bigint")
+        others = F.col("all") - F.col("most")
+        blocks = F.ceil(others / LEAF).cast("bigint")
+        copies = blocks + others * F.ceil(F.col("n") / LEAF) / F.col("n")
         return (
             large.join(main, "node").filter("root != main")
-            .select("node", "n", "id", "root", "early", F.pmod(F.xxhash64("id", F.lit(7)), blocks).alias("block"))
+            .select("node", "n", "id", "root", "early", F.pmod(F.xxhash64("id", F.lit(7)), blocks).alias("block"), copies.alias("copies"))
         )
 
 
@@ -373,16 +394,16 @@ def near_duplicates(
     ignored, whatever their names. An empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = stage(docs.mapInArrow(_signatures(width), "id bigint, n bigint, key binary, sig binary"), "signatures")
+    signed = stage(docs.mapInArrow(_signatures(width), "id bigint, n bigint, key binary, sig binary, brief binary"), "signatures")
     linked = signed.filter(F.col("key").isNotNull() & F.col("id").isNotNull())
     least = linked.groupBy("key").agg(F.min("id").alias("rep"))
     sigs = stage(
-        linked.join(least, "key").filter("id = rep").select("id", "sig").dropDuplicates(["id", "sig"]), "representatives"
+        linked.join(least, "key").filter("id = rep").select("id", "sig", "brief").dropDuplicates(["id", "sig"]), "representatives"
     )
     join, similarity = _Join(sigs, percent), percent / 100
     trees = max(first_trees + 1, trees_for(recall, similarity))
 
-    nodes = sigs.mapInArrow(_first_nodes(trees, first_trees, similarity), _NODE)
+    nodes = sigs.select("id", "sig").mapInArrow(_first_nodes(trees, first_trees, similarity), _NODE)
     crowded = join.crowded(nodes, None)
     likely = join.likely(join.cells(crowded, join.few_pivots(crowded)))
     large = crowded.filter(F.col("n") > LEAF).select("node", "id")
@@ -397,17 +418,23 @@ def near_duplicates(
     edges = edges.unionByName(join.links(likely.filter("NOT early"), sets, roots))
     roots = components(edges)
 
-    # Large nodes have met their pivots only: branch on while they hold several components.
+    # Large nodes have met their pivots only. Compare them exactly where that is cheap, else branch on.
     for level in range(START_DEPTH, MAX_DEPTH + 1):
         large = join.crowded(large.withColumn("early", F.lit(False)), roots).filter(F.col("n") > LEAF)
-        if large.isEmpty():
+        pivots = stage(join.all_pivots(large), "pivots")
+        if pivots.isEmpty():
             break
-        if level == MAX_DEPTH:
-            edges = edges.unionByName(join.links(join.likely(join.cells(large, join.all_pivots(large))), sets, roots))
+        exact = pivots if level == MAX_DEPTH else pivots.filter(F.col("copies") <= COPIES)
+        nodes = exact.select("node").distinct()
+        found = join.links(join.likely(join.cells(large.join(nodes, "node", "left_semi"), exact.drop("copies"))), sets, roots)
+        edges = edges.unionByName(found)
+        rest = large.join(nodes, "node", "left_anti").select("node", "id").join(sigs, "id").select("node", "id", "sig")
+        rest = stage(rest, "branching")
+        if rest.isEmpty():
             roots = components(edges)
             break
-        nodes = large.select("node", "id").join(sigs, "id").select("node", "id", "sig").mapInArrow(_next_nodes(level, similarity), _NODE)
-        crowded = join.crowded(nodes, roots)
+        roots = components(edges)
+        crowded = join.crowded(rest.mapInArrow(_next_nodes(level, similarity), _NODE), roots)
         edges = edges.unionByName(join.links(join.likely(join.cells(crowded, join.few_pivots(crowded))), sets, roots))
         roots = components(edges)
         large = crowded.filter(F.col("n") > LEAF).select("node", "id")
