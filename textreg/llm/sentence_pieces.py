@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from textreg.llm.batches import stage
 from textreg.llm.pieces import BLANK, BYTE_SCORE, DEFAULT_MODEL, DIGITS, cut_pattern, piece_table, units, vocabulary, words
 
-#: Distinct units of a block that a task collects before it hands them on, and bytes of text in one packed row.
-HELD_UNITS = 300_000
+#: Distinct words that a task collects before it hands their units on, words whose ids it keeps, bytes of text in one packed row.
+HELD_WORDS = 500_000
+KNOWN_WORDS = 200_000
 PACK_BYTES = 4 << 20
+#: Lattices per shuffle partition are kept few by this factor: a unit has many edges.
+SPREAD = 8
 #: Blocks of documents per split of the input files.
 BLOCKS = 1
 
@@ -37,7 +42,7 @@ def _distinct_units(cut):
                 n -= len(mine)
                 mine.update(words(text.as_py()))
                 n += len(mine)
-                if n >= HELD_UNITS * 4:
+                if n >= HELD_WORDS:
                     yield from out()
                     held, n = {}, 0
         yield from out()
@@ -108,7 +113,47 @@ def lattice(distinct: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
     return folded.select("unit", F.aggregate(F.sequence(F.lit(1), n), start, back)["ids"].alias("ids"))
 
 
-_PACKED = "block bigint, hash bigint, ids array<int>, packed binary"
+_PACKED = "block bigint, is_text boolean, packed binary"
+
+
+def _stream(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _row(block: int, is_text: bool, batch: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([block], pa.int64()), pa.array([is_text]), pa.array([_stream(batch)], pa.binary())],
+        names=["block", "is_text", "packed"],
+    )
+
+
+def _pack_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The units' hashes and ids of a task, one compressed row per block."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks().sort_by([("block", "ascending"), ("hash", "ascending")])
+            blocks = table.column("block").to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(blocks[1:] != blocks[:-1]) + 1, [len(blocks)]]).tolist()
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                part = table.slice(a, b - a).select(["hash", "ids"]).combine_chunks().to_batches()[0]
+                yield _row(int(blocks[a]), False, part)
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= HELD_WORDS:
+            yield from out()
+            held, n = [], 0
+    yield from out()
+
+
 _DOCS = pa.schema([("id", pa.int64()), ("text", pa.string())])
 
 
@@ -118,13 +163,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def row(block: int) -> pa.RecordBatch:
         ids, texts, _ = held.pop(block)
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, _DOCS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_batch(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], schema=_DOCS))
-        return pa.RecordBatch.from_arrays([
-            pa.array([block], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.list_(pa.int32())),
-            pa.array([sink.getvalue().to_pybytes()], pa.binary()),
-        ], names=["block", "hash", "ids", "packed"])
+        return _row(block, True, pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], schema=_DOCS))
 
     for batch in batches:
         for block, id_, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -142,33 +181,56 @@ _OUT = pa.schema([("id", pa.int64()), ("text", pa.string()), ("n_words", pa.int6
 _OUT_TYPES = "id bigint, text string, n_words bigint, pieces array<int>"
 
 
+class _UnitIds:
+    """Ids of a block's units, by the hash of the unit, in flat arrays."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(parts).combine_chunks().sort_by("hash")
+        ids = table.column("ids").combine_chunks()
+        self.hashes, self.ids, self.starts = table.column("hash").to_numpy(), ids.flatten().to_numpy(), ids.offsets.to_numpy()
+        self.base = int(self.starts[0])
+
+    def get(self, unit: bytes) -> tuple[int, ...]:
+        h = xxhash.xxh64_intdigest(unit, seed=42)
+        h -= (h >> 63) << 64
+        at = int(np.searchsorted(self.hashes, h))
+        if at == len(self.hashes) or self.hashes[at] != h:
+            return ()
+        return tuple(self.ids[self.starts[at] - self.base : self.starts[at + 1] - self.base].tolist())
+
+
 def _assemble(shared):
-    """Sorted rows of a block: its units' ids first, then its packed documents."""
+    """Sorted rows of a block: the ids of its units first, then its packed documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelled, cut = shared.value
-        now, table, known = None, {}, {}
+        now, parts, table, known = None, [], None, {}
 
         def ids_of(word: str) -> tuple[int, ...]:
             out: tuple[int, ...] = ()
             for unit in cut.split(word):
-                ids = table.get(xxhash.xxh64_intdigest(unit.encode(), seed=42))
-                if ids is None or b"".join(spelled[i] for i in ids) != unit.encode():
+                ids = table.get(unit.encode())
+                if b"".join(spelled[i] for i in ids) != unit.encode():
                     raise ValueError(f"the lattice has no segmentation of {unit!r}")
                 out += ids
+            if len(known) >= KNOWN_WORDS:
+                known.clear()
             known[word] = out
             return out
 
         for batch in batches:
-            blocks, hashes, ids, packs = batch.columns
+            blocks, are_text, packs = batch.columns
             for k in range(batch.num_rows):
                 block = blocks[k].as_py()
                 if block != now:
-                    now, table, known = block, {}, {}
-                if not packs[k].is_valid:
-                    table[hashes[k].as_py() & 0xFFFFFFFFFFFFFFFF] = tuple(ids[k].as_py())
+                    now, parts, table, known = block, [], None, {}
+                found = list(pa.ipc.open_stream(packs[k].as_py()))
+                if not are_text[k].as_py():
+                    parts += found
                     continue
-                for docs in pa.ipc.open_stream(packs[k].as_py()):
+                if table is None and parts:
+                    table, parts = _UnitIds(parts), []
+                for docs in found:
                     for at in range(0, docs.num_rows, 500):
                         part = docs.slice(at, 500)
                         split = [words(t.as_py()) for t in part.column(1)]
@@ -204,13 +266,15 @@ def encode(
     read = docs.select(
         block.alias("block"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")
     )
-    found = read.select("block", "text").mapInArrow(_distinct_units(cut), "block bigint, unit string").repartition("unit")
-    ids = lattice(found.select("unit").distinct(), model)
-    back = found.join(ids.hint("merge"), "unit").select("block", F.xxhash64("unit").alias("hash"), "ids", F.lit(None).cast("binary").alias("packed"))
-    packed = read.select("block", "id", "text").mapInArrow(_pack, _PACKED)
+    found = stage(read.select("block", "text").mapInArrow(_distinct_units(cut), "block bigint, unit string"), "units")
+    dealt = found.repartition(SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions")), "unit")
+    # Both uses read (block, unit), so the units are dealt once.
+    distinct = dealt.groupBy("unit").agg(F.min("block").alias("b")).filter("b IS NOT NULL").select("unit")
+    back = dealt.join(lattice(distinct, model).hint("merge"), "unit").select("block", F.xxhash64("unit").alias("hash"), "ids")
     shared = spark.sparkContext.broadcast((_spelled(model), cut))
-    dealt = back.unionByName(packed).repartition("block").sortWithinPartitions("block", F.col("packed").isNotNull())
-    return dealt.mapInArrow(_assemble(shared), _OUT_TYPES).withColumnsRenamed({"id": id_col, "text": text_col})
+    rows = back.mapInArrow(_pack_ids, _PACKED).unionByName(read.select("block", "id", "text").mapInArrow(_pack, _PACKED))
+    sorted_rows = rows.repartition("block").sortWithinPartitions("block", "is_text")
+    return sorted_rows.mapInArrow(_assemble(shared), _OUT_TYPES).withColumnsRenamed({"id": id_col, "text": text_col})
 
 
 def decode(encoded: DataFrame, pieces_col: str = "pieces", name: str = "decoded", model: str = DEFAULT_MODEL) -> DataFrame:
