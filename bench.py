@@ -21,6 +21,7 @@ HEADLINE = [
     "group_count_distinct_pair", "boxplot_summary", "group_median_order", "pivot_sum_crosstab",
     "collect_list_group_all_but_one", "ordered_concat_transform", "venn_regions", "funnel_counts", "html_paragraphs",
     "json_verdict_validate", "title_key", "prepare_text_payload", "linear_regression", "ridge_regression",
+    "lasso_regression", "elastic_net_cv_one_feature", "random_forest_group_means", "gradient_boosting_group_means",
 ]
 
 

@@ -11,10 +11,11 @@ from textreg.plans.skew import lookup_join
 def upsert_partition(batch: DataFrame, path: str, partition: str) -> None:
     """Replace, in the table at ``path``, exactly the ``partition`` values that occur in ``batch``.
 
-    Each task writes its own files per value, so a hot value needs no shuffle into one task.
+    Rows are dealt by value into partitions of the advised size: small values share a task, a hot value is split
+    over several, and the number of files follows the data instead of tasks times values.
     """
     (
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        batch.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition).parquet(path)
     )
 
