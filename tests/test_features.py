@@ -27,15 +27,15 @@ def rows_of(df):
 
 
 def test_bag_of_words(spark):
-    d = docs(spark, ["Machine learning rocks", "Learning embeddings rocks"])
+    d = docs(spark, ["Cheap garden house", "Garden terrace house"])
     fitted = V.fit_vocabulary(d, "bow")
     vocabulary = {r["term"]: r["term_index"] for r in fitted.terms.collect()}
-    assert vocabulary == {"machine": 0, "learning": 1, "rocks": 2, "embeddings": 3} and fitted.size == 4
+    assert vocabulary == {"cheap": 0, "garden": 1, "house": 2, "terrace": 3} and fitted.size == 4
     assert rows_of(V.transform_documents(d, fitted)) == [([0, 1, 2], [1, 1, 1]), ([1, 2, 3], [1, 1, 1])]
 
 
 def test_tf_idf(spark):
-    d = docs(spark, ["deep learning model", "deep model embeddings"])
+    d = docs(spark, ["rate falls again", "rate again rises"])
     weight = round(math.log(3 / 2) + 1, 6)
     result = rows_of(V.fit_transform(d, "TF-IDF"))
     assert result == [([0, 1, 2], [1, pytest.approx(weight, abs=1e-6), 1]), ([0, 2, 3], [1, 1, pytest.approx(weight, abs=1e-6)])]
@@ -89,10 +89,10 @@ def test_embed_dispatch(spark):
 
 
 @pytest.mark.parametrize(("texts", "vectors", "expected"), [
-    (["deep learning", "unknown terms"], {"deep": [1, 0, 0], "learning": [0, 1, 0]}, [[0.5, 0.5, 0], [0, 0, 0]]),
-    (["vector space", "missing token"], {"vector": [0.2, 0.4, 0.6, 0.8], "space": [0.1, 0.3, 0.5, 0.7]},
-     [[0.15, 0.35, 0.55, 0.75], [0, 0, 0, 0]]),
-    (["deep deep learning", ""], {"deep": [3, 0], "learning": [0, 3]}, [[2, 1], [0, 0]]),
+    (["blue river", "other words"], {"blue": [2, 0, 0], "river": [0, 0, 4]}, [[1, 0, 2], [0, 0, 0]]),
+    (["slow song", "no match"], {"slow": [1, -1, 3, 0.5], "song": [3, 1, 1, 1.5]},
+     [[2, 0, 2, 1], [0, 0, 0, 0]]),
+    (["blue blue river", ""], {"blue": [3, 0], "river": [0, 3]}, [[2, 1], [0, 0]]),
 ])
 def test_word_vector_mean(spark, texts, vectors, expected):
     table = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in vectors.items()], "term string, vec array<float>")
