@@ -90,12 +90,14 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 1000)
             rows, copies, starts, sizes, keys = [], [], [], [], []
             for id_, copy, text in zip(*[c.to_pylist() for c in part.columns], strict=True):
-                start, size, key = spans(sentences(text))
-                rows.append(np.full(len(start), id_))
-                copies.append(np.full(len(start), copy))
-                starts.append(start)
-                sizes.append(size)
-                keys.append(key)
+                units = sentences(text)
+                start, size, key = spans(units)
+                rows.append(np.full(len(start) + 1, id_))
+                copies.append(np.full(len(start) + 1, copy))
+                # A last row at place -1 tells the number of sentences.
+                starts.append(np.append(start, -1))
+                sizes.append(np.append(size, sum(bool(w) for *_, w in units)))
+                keys.append(np.concatenate([key, np.zeros((2, 1), np.uint64)], axis=1))
             key = np.concatenate(keys, axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(x), t) for x, t in (
@@ -116,12 +118,14 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 1000):
             out = []
             for id_, text, found in zip(*[c.to_pylist() for c in batch.slice(at, 1000).columns], strict=True):
-                units = sentences(text) if text else []
-                gone = {p for s in found or [] for p in range(s["pos"], s["pos"] + s["size"])}
-                kept = text if not gone else "".join(text[a:b] for i, (a, b, _) in enumerate(units) if i not in gone)
+                later = [s for s in found or [] if s["pos"] >= 0]
+                counted = next((s["size"] for s in found or [] if s["pos"] < 0), None)
+                units = sentences(text) if text and (later or counted is None) else []
+                gone = {p for s in later for p in range(s["pos"], s["pos"] + s["size"])}
                 out.append({
-                    "id": id_, "n_sentences": sum(bool(w) for *_, w in units), "n_removed": len(gone), "kept_text": kept,
-                    "first_ids": sorted({s["first"] for s in found or []}),
+                    "id": id_, "n_sentences": sum(bool(w) for *_, w in units) if counted is None else counted, "n_removed": len(gone),
+                    "kept_text": text if not gone else "".join(text[a:b] for i, (a, b, _) in enumerate(units) if i not in gone),
+                    "first_ids": sorted({s["first"] for s in later}),
                 })
             yield pa.RecordBatch.from_pylist(out, schema=_OUT)
 
@@ -147,6 +151,8 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     read = docs.filter("id IS NOT NULL AND text IS NOT NULL").select("id", "copy", "text")
     every = read.mapInArrow(_spans, "id bigint, copy bigint, pos int, size int, a bigint, b bigint")
     every = stage(every, "spans")
+    counts = every.filter("pos < 0").select("id", "copy", "pos", "size", F.lit(None).cast("bigint").alias("first"))
+    every = every.filter("pos >= 0")
     # Half of the hash finds the few candidates before whole rows move.
     twice = every.groupBy("a").count().filter("count > 1").select("a")
     repeated = stage(every.join(twice, "a"), "repeated-spans")
@@ -154,9 +160,8 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     later = repeated.join(first.filter("n > 1").select("a", "b", "first"), ["a", "b"]).filter(
         F.struct("id", "copy", "pos") != F.col("first")
     )
-    marked = later.groupBy("id", "copy").agg(
-        F.collect_list(F.struct("pos", "size", F.col("first.id").alias("first"))).alias("found")
-    )
+    spots = later.select("id", "copy", "pos", "size", F.col("first.id").alias("first")).unionByName(counts)
+    marked = spots.groupBy("id", "copy").agg(F.collect_set(F.struct("pos", "size", "first")).alias("found"))
     cleaned = docs.join(marked, ["id", "copy"], "left").select("id", "text", "found").mapInArrow(
         _rebuild, "id bigint, n_sentences bigint, n_removed bigint, kept_text string, first_ids array<bigint>"
     )
