@@ -281,7 +281,7 @@ def trees_for(recall: float, similarity: float, depth: int = START_DEPTH) -> int
         once = similarity * meets
         two = 1 / similarity - 1
         meets = (1 - two) * once + two * (1 - (1 - once) ** 2)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meets)))
+    return 1 if meets >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - meets)))
 
 
 def _sorted_cells(df: DataFrame) -> DataFrame:
@@ -393,6 +393,8 @@ def near_duplicates(
     id stands alone with a null component and is kept. Rows that share an id are one vertex. Other columns are
     ignored, whatever their names. An empty table gives an empty result.
     """
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be over 50 and at most 100: a node has one or two children per document")
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = stage(docs.mapInArrow(_signatures(width), "id bigint, n bigint, key binary, sig binary, brief binary"), "signatures")
     linked = signed.filter(F.col("key").isNotNull() & F.col("id").isNotNull())
