@@ -369,6 +369,13 @@ def with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Roots after more links: the stars found so far stand for the earlier ones."""
+    if links.isEmpty():
+        return roots
+    return components(roots.select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(links))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -417,8 +424,7 @@ def near_duplicates(
     )
     edges = join.links(likely.filter("early"), sets, None)
     roots = components(edges)
-    edges = edges.unionByName(join.links(likely.filter("NOT early"), sets, roots))
-    roots = components(edges)
+    roots = joined(roots, join.links(likely.filter("NOT early"), sets, roots))
 
     # Large nodes have met their pivots only. Compare them exactly where that is cheap, else branch on.
     for level in range(START_DEPTH, MAX_DEPTH + 1):
@@ -429,16 +435,13 @@ def near_duplicates(
         exact = pivots if level == MAX_DEPTH else pivots.filter(F.col("copies") <= COPIES)
         nodes = exact.select("node").distinct()
         found = join.links(join.likely(join.cells(large.join(nodes, "node", "left_semi"), exact.drop("copies"))), sets, roots)
-        edges = edges.unionByName(found)
+        roots = joined(roots, found)
         rest = large.join(nodes, "node", "left_anti").select("node", "id").join(sigs, "id").select("node", "id", "sig")
         rest = stage(rest, "branching")
         if rest.isEmpty():
-            roots = components(edges)
             break
-        roots = components(edges)
         crowded = join.crowded(rest.mapInArrow(_next_nodes(level, similarity), _NODE), roots)
-        edges = edges.unionByName(join.links(join.likely(join.cells(crowded, join.few_pivots(crowded))), sets, roots))
-        roots = components(edges)
+        roots = joined(roots, join.links(join.likely(join.cells(crowded, join.few_pivots(crowded))), sets, roots))
         large = crowded.filter(F.col("n") > LEAF).select("node", "id")
 
     named = linked.select("id", "key").distinct().join(least, "key").join(
