@@ -64,3 +64,31 @@ def test_components_of_a_path_and_a_star(spark):
 
 def test_more_trees_for_more_recall():
     assert near_dup.trees_for(0.9, 0.8) < near_dup.trees_for(0.99999, 0.8)
+
+
+def test_recall_holds_at_every_depth():
+    for similarity in (0.8, 0.85, 0.95):
+        trees = near_dup.trees_for(0.99999, similarity)
+        deep = near_dup.deep_trees_for(0.99999, similarity, trees)
+        meets = near_dup._meets(similarity, near_dup.MAX_DEPTH)
+        assert (1 - meets) ** deep <= 1e-5 and deep >= near_dup.trees_for(0.99999, similarity, near_dup.MAX_DEPTH)
+    assert near_dup.deep_trees_for(0.99999, 1.0, 4) == 4
+
+
+def test_planted_pairs_in_a_crowd_that_branches(spark, monkeypatch):
+    """2,600 distinct documents of similarity 0.5; their nodes branch to the last level, where pairs have lost common nodes."""
+    monkeypatch.setattr(near_dup, "LEAF", 32)
+    monkeypatch.setattr(near_dup, "COPIES", 0)
+    r = random.Random(4)
+    core = [f"c{k}" for k in range(100)]
+    rows, pairs = [], 200
+    for i in range(2600 - pairs):
+        own = [f"d{i}_{k}" for k in range(50)]
+        rows.append((i, " ".join(core + own)))
+        if i < pairs:
+            # 138 of 162 shingles shared: just over the threshold.
+            rows.append((10_000 + i, " ".join(core + own[:38] + [f"e{i}_{k}" for k in range(12)])))
+    r.shuffle(rows)
+    got = run(spark, rows, width=1, percent=85, recall=0.9, first_trees=1)
+    assert sum(got[10_000 + i][1] == i for i in range(pairs)) >= 0.9 * pairs
+    assert all(got[i][1] == i for i, _ in rows if i < 10_000)

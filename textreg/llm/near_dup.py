@@ -3,7 +3,8 @@
 Every document becomes its set of word shingles and a vector of minwise tokens (the minimum of the set under
 each of ``TOKENS`` hash functions). A tree branches a document by a few selected tokens per level: documents
 that agree in a selected token share a child. Nodes of at most ``LEAF`` documents are compared
-exhaustively on full sets, larger ones branch again. The number of trees follows from the target recall.
+exhaustively on full sets, larger ones branch again. The number of trees follows from the target recall: pairs lose
+common nodes at every level, so documents of nodes that branch again get further trees.
 """
 
 from __future__ import annotations
@@ -120,13 +121,13 @@ def _sig_matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, TOKENS)
 
 
-def _first_nodes(trees: int, early: int, similarity: float):
+def _first_nodes(trees: range, early: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 sig, ids = _sig_matrix(part.column(1)), part.column(0).to_numpy()
-                for tree in range(trees):
+                for tree in trees:
                     rows = np.arange(len(ids))
                     nodes = _mix(np.full(len(ids), tree + 1, np.uint64))
                     for level in range(START_DEPTH):
@@ -274,16 +275,34 @@ def _linked(sets: list[np.ndarray], rows: np.ndarray, percent: int) -> list[tupl
     return [(int(rows[i]), j) for i, j in np.argwhere(100 * common >= percent * union).tolist() if rows[i] != j]
 
 
-def trees_for(recall: float, similarity: float, depth: int = START_DEPTH) -> int:
-    """Trees after which a pair at the threshold has met in a common node with probability ``recall``."""
+def _meets(similarity: float, depth: int) -> float:
+    """Probability that a pair at the threshold has a common node of one tree at ``depth``."""
     meets = 1.0
     for _ in range(depth):
         once = similarity * meets
         two = 1 / similarity - 1
         meets = (1 - two) * once + two * (1 - (1 - once) ** 2)
+    return meets
+
+
+def trees_for(recall: float, similarity: float, depth: int = START_DEPTH) -> int:
+    """Trees after which a pair at the threshold has met in a common node with probability ``recall``."""
+    meets = _meets(similarity, depth)
     return 1 if meets >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - meets)))
 
 
+def deep_trees_for(recall: float, similarity: float, trees: int) -> int:
+    """Trees for documents of nodes that branch down to ``MAX_DEPTH``.
+
+    A pair is missed if it does not meet in the first ``trees`` trees at ``START_DEPTH``, or, where these branch on, in any
+    tree at ``MAX_DEPTH``. Both together stay within ``1 - recall``.
+    """
+    missed = (1 - _meets(similarity, START_DEPTH)) ** trees
+    if missed > 0.9 * (1 - recall):
+        return deep_trees_for(recall, similarity, trees + 1)
+    return max(trees, trees_for(recall + missed, similarity, MAX_DEPTH))
+
+
 def _sorted_cells(df: DataFrame) -> DataFrame:
     return df.repartition("cell").sortWithinPartitions("cell")
 
@@ -338,6 +357,10 @@ class _Join:
         )
         return stage(full.mapInArrow(_verified(self.percent), "u bigint, v bigint"), "links")
 
+    def settled(self, crowded: DataFrame, pivots: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+        """Roots after the comparisons inside the nodes' cells."""
+        return joined(roots, self.links(self.likely(self.cells(crowded, pivots)), sets, roots))
+
     def few_pivots(self, crowded: DataFrame) -> DataFrame:
         """A few rows of each large node, by the least of several hashes: they tie a crowd of copies together."""
         picks = [F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(k))) for k in range(PIVOTS)]
@@ -392,8 +415,8 @@ def near_duplicates(
 
     Copies with equal sets are folded into one representative by an aggregation first. The first trees link most
     duplicates; nodes of one component have nothing more to tell and leave the later trees. Large nodes are never
-    collected: the first trees compare them in chunks that share a few pivots; in later trees they branch on, and
-    those still large at ``MAX_DEPTH`` are compared exactly, every row outside the node's largest component
+    collected: the first trees compare them in chunks that share a few pivots; in later trees they branch on (their
+    documents in more trees, so that the recall holds at every depth), and those still large at ``MAX_DEPTH`` are compared exactly, every row outside the node's largest component
     against all rows, block by block. Only full sets confirm a link. A cell holds at most a few times ``LEAF`` sets.
 
     Null and empty texts and texts of white space have no shingles and are linked with nothing. A row without an
@@ -412,7 +435,7 @@ def near_duplicates(
     join, similarity = _Join(sigs, percent), percent / 100
     trees = max(first_trees + 1, trees_for(recall, similarity))
 
-    nodes = sigs.select("id", "sig").mapInArrow(_first_nodes(trees, first_trees, similarity), _NODE)
+    nodes = sigs.select("id", "sig").mapInArrow(_first_nodes(range(trees), first_trees, similarity), _NODE)
     crowded = join.crowded(nodes, None)
     likely = join.likely(join.cells(crowded, join.few_pivots(crowded)))
     large = crowded.filter(F.col("n") > LEAF).select("node", "id")
@@ -426,22 +449,32 @@ def near_duplicates(
     roots = components(edges)
     roots = joined(roots, join.links(likely.filter("NOT early"), sets, roots))
 
-    # Large nodes have met their pivots only. Compare them exactly where that is cheap, else branch on.
-    for level in range(START_DEPTH, MAX_DEPTH + 1):
+    def exactly(large: DataFrame, level: int, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Compare large nodes exactly where that is cheap: the roots after that, and the rows of the other nodes."""
         large = join.crowded(large.withColumn("early", F.lit(False)), roots).filter(F.col("n") > LEAF)
         pivots = stage(join.all_pivots(large), "pivots")
-        if pivots.isEmpty():
-            break
         exact = pivots if level == MAX_DEPTH else pivots.filter(F.col("copies") <= COPIES)
         nodes = exact.select("node").distinct()
-        found = join.links(join.likely(join.cells(large.join(nodes, "node", "left_semi"), exact.drop("copies"))), sets, roots)
-        roots = joined(roots, found)
+        if not exact.isEmpty():
+            roots = join.settled(large.join(nodes, "node", "left_semi"), exact.drop("copies"), sets, roots)
         rest = large.join(nodes, "node", "left_anti").select("node", "id").join(sigs, "id").select("node", "id", "sig")
-        rest = stage(rest, "branching")
+        return roots, stage(rest, "branching")
+
+    # Large nodes have met their pivots only. Compare them exactly where that is cheap, else branch on.
+    for level in range(START_DEPTH, MAX_DEPTH + 1):
+        roots, rest = exactly(large, level, roots)
         if rest.isEmpty():
             break
+        if level == START_DEPTH:
+            # Pairs lose common nodes on the way down: the documents that go there get the trees that make up for it.
+            more = range(trees, deep_trees_for(recall, similarity, trees))
+            crowd = sigs.select("id", "sig").join(rest.select("id").distinct(), "id", "left_semi")
+            crowded = join.crowded(crowd.mapInArrow(_first_nodes(more, 0, similarity), _NODE), roots)
+            roots = join.settled(crowded, join.few_pivots(crowded), sets, roots)
+            roots, others = exactly(crowded.filter(F.col("n") > LEAF).select("node", "id"), level, roots)
+            rest = rest.unionByName(others)
         crowded = join.crowded(rest.mapInArrow(_next_nodes(level, similarity), _NODE), roots)
-        roots = joined(roots, join.links(join.likely(join.cells(crowded, join.few_pivots(crowded))), sets, roots))
+        roots = join.settled(crowded, join.few_pivots(crowded), sets, roots)
         large = crowded.filter(F.col("n") > LEAF).select("node", "id")
 
     named = linked.select("id", "key").distinct().join(least, "key").join(
