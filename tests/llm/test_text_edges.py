@@ -91,6 +91,31 @@ def test_chat_windows(spark):
     assert format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_history_reaches_over_short_windows(spark):
+    """A and B end windows 0 and 1 just before C, which is longer than a stretch: both are its history."""
+    sizes = [("start", 1510), ("A", 20), ("B", 10), ("C", 5000), ("D", 30), ("E", 1200)]
+    rows = [(1, k, "user", f"{name} " + "w " * (n - 2)) for k, (name, n) in enumerate(sizes)]
+    windows = format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
+    found = {
+        w["window"]: ([b.split("\n")[1].split(" ")[0] for b in w["text"].split("<|turn|>")[1:]], w["context_turns"]) for w in windows
+    }
+    at, want = 0, {}
+    starts = {}
+    for name, n in sizes:
+        starts.setdefault((at + n - 1) // 1536, at)
+        at += n
+    for window, begins in starts.items():
+        at, repeated, own = 0, [], []
+        for name, n in sizes:
+            if (at + n - 1) // 1536 == window:
+                own.append(name)
+            elif at < begins <= at + 512:
+                repeated.append(name)
+            at += n
+        want[window] = (repeated + own, len(repeated))
+    assert found == want and found[4][0][:3] == ["A", "B", "C"]
+
+
 def test_binomial_tail(spark):
     from math import comb
 

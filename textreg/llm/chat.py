@@ -54,7 +54,7 @@ def format_chats(
     ``budget - history - (tokens of the system turn)`` tokens, at least every half budget: a window's own turns are those
     whose sum ends in one stretch, so only a turn that reaches back over a cut makes a window longer.
     A system turn at the start of a conversation begins every window. A window repeats the turns before
-    it that end within ``history`` tokens of its start. Each turn is the own turn of exactly one window; repeated turns are
+    it that begin within ``history`` tokens of its start, of whatever windows they are. Each turn is the own turn of exactly one window; repeated turns are
     never part of the loss.
 
     Null texts and roles count as empty; a null conversation id is one conversation; null turn numbers come first. Repeated
@@ -82,19 +82,20 @@ def format_chats(
     before = F.lag("window").over(up)
     starts = cut.withColumn("begins", F.when(before.isNull() | (before != F.col("window")), F.col("upto") - F.col("n")))
     down = Window.partitionBy("conv").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    following = starts.select(
-        "*", F.last(F.when(F.col("begins").isNotNull(), F.struct("window", "begins")), True).over(down).alias("next"),
-    )
-    # Only turns of the window just before can be its history, and the opening system turn is there already.
-    repeats = (
-        F.col("next").isNotNull() & (F.col("next.window") != F.col("window")) & ~((F.col("pos") == 1) & F.col("system").isNotNull())
-        & (F.col("next.begins") - F.col("upto") + F.col("n") <= history)
-    )
+    start = F.struct("window", "begins")
+    # Starts lie a stretch apart but for the first two of any ``history`` tokens, so this many can have a turn as history.
+    following = starts.withColumn("ahead", F.array().cast(f"array<{starts.select(start).schema[0].dataType.simpleString()}>"))
+    for _ in range(-(-history // max(1, budget // 2)) + 1):
+        this = F.when(F.col("begins").isNotNull(), F.concat(F.array(start), "ahead"))
+        following = following.withColumn("ahead", F.coalesce(F.last(this, True).over(down), F.array()))
+    # The opening system turn is in every window already.
+    near = F.filter("ahead", lambda s: s["begins"] - F.col("upto") + F.col("n") <= history)
+    opens = (F.col("pos") == 1) & F.col("system").isNotNull()
     place = lambda window, kind: F.struct(window.alias("window"), F.lit(kind).alias("kind"))
-    places = F.array_compact(F.array(
-        place(F.col("window"), 2),
-        F.when(repeats, place(F.col("next.window"), 1)),
-    ))
+    places = F.concat(
+        F.array(place(F.col("window"), 2)),
+        F.when(opens, F.array()).otherwise(F.transform(near, lambda s: place(s["window"], 1))),
+    )
     turns = following.select("conv", "pos", "role", "body", "n", F.explode(places).alias("at")).select(
         "conv", "at.window", "at.kind", "pos", "role", "body", "n"
     )
