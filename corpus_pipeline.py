@@ -5,7 +5,7 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textreg.llm.batches import stage
@@ -40,17 +40,38 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each group of near duplicates. Rows without an id stay."""
-    gone = near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """Keep the document with the least id of each group of near duplicates. Rows without an id stay.
+
+    Texts that share an id are documents of their own; the hash of the text orders them. Rows equal in both stay together.
+    """
+    repeated = stage(
+        docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(_text_hash()).alias("low"), F.max(_text_hash()).alias("high"))
+        .filter("low != high").select(F.col("doc_id").alias("repeated_id")),
+        "repeated",
+    )
+    if repeated.isEmpty():
+        gone = near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    vertex = F.when(F.col("repeated_id").isNull(), F.col("doc_id")).otherwise(F.xxhash64("doc_id", _text_hash()))
+    rows = stage(docs.join(repeated, F.col("doc_id") == F.col("repeated_id"), "left").select(*COLUMNS, vertex.alias("vertex")), "vertices")
+    judged = near_duplicates(rows, id_col="vertex").filter("vertex IS NOT NULL").select("vertex", "component_id").distinct()
+    named = stage(judged.join(rows.select("vertex", "doc_id").distinct(), "vertex"), "judged")
+    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "vertex")).alias("first"))
+    gone = named.join(first, "component_id").filter("vertex != first.vertex").select("vertex")
+    return rows.join(gone, "vertex", "left_anti").select(COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop contaminated documents. Rows without an id cannot be told apart: if one is contaminated, all of them go."""
+    """Drop contaminated documents, each by its own text: ids may be null or repeat."""
     found = find_contamination(docs, _table(spark, sf_dir, "benchmark"))
-    bad = found.filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti").select(COLUMNS)
+    bad = found.filter("contaminated").select(F.col("doc_id").alias("bad_id"), "text_hash").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("bad_id")) & (_text_hash() == F.col("text_hash"))
+    return docs.join(bad, same, "left_anti").select(COLUMNS)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

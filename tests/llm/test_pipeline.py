@@ -38,3 +38,25 @@ def test_nulls_and_clashing_columns(spark, folder):
     for name, step in corpus_pipeline.STAGES:
         empty = stage(step(spark, empty, folder), name)
     assert empty.count() == 0
+
+
+def test_clean_rows_stay_beside_contaminated_ones_and_near_copies(spark, folder):
+    """One contaminated row without an id, or under a repeated one, takes no other row along; nor does a near copy."""
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").orderBy("item_id").first()["text"]
+    prose = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcde"}
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = [(None, item), (None, prose["a"]), (None, prose["b"]), (7, item), (7, prose["c"]), (8, prose["d"]), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], schema)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.decontamination_stage(spark, docs, folder).collect()]
+    assert sorted(kept, key=str) == sorted([r for r in rows if r[1] != item], key=str)
+
+    rows = [
+        (1, prose["a"]), (2, prose["a"] + " x"), (2, prose["b"]), (3, prose["c"]), (3, prose["c"] + " x"), (4, prose["d"]),
+        (4, prose["d"]), (None, prose["a"]), (5, prose["e"]), (6, prose["e"] + " x"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], schema)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate_stage(spark, docs, folder).collect()]
+    assert len([i for i, _ in kept if i == 3]) == 1
+    assert sorted((r for r in kept if r[0] != 3), key=str) == sorted(
+        [r for r in rows if r[0] not in (3, 6) and r != (2, prose["a"] + " x")], key=str
+    )

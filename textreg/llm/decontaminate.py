@@ -107,12 +107,15 @@ def _merge(spans: list[list[int]]) -> list[list[int]]:
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-_STATE = pa.schema([("id", pa.int64()), ("text", pa.string()), ("items", pa.list_(pa.int64())), ("spans", _SPANS)])
+_STATE = pa.schema([
+    ("id", pa.int64()), ("text_hash", pa.int64()), ("text", pa.string()), ("items", pa.list_(pa.int64())), ("spans", _SPANS),
+])
 _OUT = pa.schema([
-    ("id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", _SPANS),
+    ("id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()),
+    ("items", pa.list_(pa.int64())), ("spans", _SPANS),
 ])
-_STATE_TYPES = "id bigint, text string, items array<bigint>, spans array<struct<start:int,end:int>>"
-_TYPES = "id bigint, n_words bigint, n_hit bigint, items array<bigint>, spans array<struct<start:int,end:int>>"
+_STATE_TYPES = "id bigint, text_hash bigint, text string, items array<bigint>, spans array<struct<start:int,end:int>>"
+_TYPES = "id bigint, text_hash bigint, n_words bigint, n_hit bigint, items array<bigint>, spans array<struct<start:int,end:int>>"
 
 
 def _search(shared, window: int, last: bool):
@@ -177,7 +180,8 @@ def find_contamination(
 ) -> DataFrame:
     """Occurrences of benchmark windows in documents.
 
-    Returns one row per document: ``id_col``, ``n_words``, ``n_hit`` (words inside any occurrence), ``items`` (sorted
+    Returns one row per document: ``id_col``, ``text_hash`` (xxhash64 of the text, an empty one for null, which tells rows
+    of one id apart), ``n_words``, ``n_hit`` (words inside any occurrence), ``items`` (sorted
     ids of the items with occurring windows), ``spans`` (merged removal spans as character offsets ``[start, end)``)
     and ``contaminated`` (``n_hit > 0`` and at least ``percent`` of the words are hit).
 
@@ -198,7 +202,7 @@ def find_contamination(
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = -(-size // (PASS_BYTES // 2)) or 1
     found = docs.select(
-        "id", "text", F.array().cast("array<bigint>").alias("items"),
+        "id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text", F.array().cast("array<bigint>").alias("items"),
         F.array().cast("array<struct<start:int,end:int>>").alias("spans"),
     )
     for k in range(blocks):
@@ -209,6 +213,6 @@ def find_contamination(
         if not last:
             found = stage(found, "searched")
     return found.select(
-        F.col("id").alias(id_col), "n_words", "n_hit", "items", "spans",
+        F.col("id").alias(id_col), "text_hash", "n_words", "n_hit", "items", "spans",
         ((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).alias("contaminated"),
     )
