@@ -247,6 +247,20 @@ def test_surrogates_differ(spark):
     assert surrogate("name", "f:anna müller", b"k", 0).startswith("f:") and surrogate("ip", "10.0.0.1", b"k", 0) == surrogate("ip", "10.0.0.1", b"k", 0)
 
 
+def test_surrogates_of_masks_and_of_full_shapes(spark):
+    """Entities without anything to redraw, and shapes whose values are all real, get surrogates all the same."""
+    masks = [("secret", "********"), ("secret", "------"), ("access_key", "sk-" + "-" * 16), ("email", "+@-.1")]
+    full = [("ip", f"{a}.{b}.{c}.{d}") for a in range(10) for b in range(10) for c in range(10) for d in range(10)]
+    full += [("email", f"{c}@b.{top}") for c in "aeioubcdfghklmnprstvw0123456789" for top in ("com", "org")]
+    got = assign_surrogates(spark.createDataFrame(masks + full, "kind string, entity string"), b"k").collect()
+    assert len({(r["kind"], r["stand_in"]) for r in got}) == len(got) == len(masks + full)
+    assert not {(r["kind"], r["stand_in"]) for r in got} & set(masks + full)
+    for kind, entity in [*masks, full[0], ("phone", "123456789"), ("iban", "DE89370400440532013000"), ("card", "0" * 13)]:
+        assert len({surrogate(kind, entity, b"k", n) for n in range(8, 12)}) == 4
+    out = replace_personal_data(frame(spark, [(1, "password: ******** and token=------ or x")]), b"key").first()["text"]
+    assert out.startswith("password: ") and "***" not in out and "---" not in out and out.endswith(" or x")
+
+
 def test_archives(spark, monkeypatch):
     from textreg.llm import warc
 

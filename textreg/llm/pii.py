@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -100,6 +101,13 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+_ALNUM = string.ascii_letters + string.digits
+#: From this attempt on the shape of an entity no longer bounds its surrogates, from the next on no corpus can fill their space.
+WIDE, LONG = 4, 8
+#: Symbols that surrogates are longer by, from attempt ``LONG`` on.
+MORE = 24
+
+
 class _Draws:
     """An endless keyed stream of small numbers."""
 
@@ -113,6 +121,9 @@ class _Draws:
         value, self.pool = int.from_bytes(self.pool[:4], "big"), self.pool[4:]
         return value % n
 
+    def symbols(self, n: int, among: str = _ALNUM) -> str:
+        return "".join(among[self.below(len(among))] for _ in range(n))
+
 
 def _letter(c: str, draws: _Draws) -> str:
     """Another letter of the same script, case and sound class; other characters stay."""
@@ -127,8 +138,14 @@ def _letter(c: str, draws: _Draws) -> str:
 
 
 def surrogate(kind: str, entity: str, key: bytes, attempt: int) -> str:
-    """A keyed stand-in of the same kind and shape. The same key, entity and attempt give the same one."""
+    """A keyed stand-in of the same kind and shape. The same key, entity and attempt give the same one.
+
+    Shapes with few values can all be taken: from attempt ``WIDE`` on addresses and secrets leave theirs, from ``LONG`` on
+    all kinds but names (which grow by themselves) are longer by ``MORE`` symbols, so a free value is sure to be met.
+    """
     draws = _Draws(key, kind, entity, attempt)
+    if kind != "name" and attempt >= LONG:
+        return _long(kind, entity, draws)
     if kind == "name":
         gender, name = entity.split(":", 1)
         script, words = _script(name), name.split(" ")
@@ -143,8 +160,13 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int) -> str:
         host, _, top = domain.rpartition(".")
         # The host depends on itself alone: addresses of one host stay together.
         host_draws = _Draws(key, "host", host, attempt if attempt > 8 else 0)
-        return "".join(_letter(c, draws) for c in local) + "@" + "".join(_letter(c, host_draws) for c in host) + "." + top
+        new = "".join(_letter(c, draws) for c in local) + "@" + "".join(_letter(c, host_draws) for c in host) + "." + top
+        # Marks alone have nothing to redraw.
+        return new if attempt < WIDE and _drawn(local + host) else draws.symbols(8, string.ascii_lowercase) + new
     if kind == "ip":
+        if attempt >= WIDE:
+            private = [int(x) for x in entity.split(".")][0] in (10, 127)
+            return ".".join(str(x) for x in (10 if private else 11 + draws.below(212), *(draws.below(256) for _ in range(3))))
         limits = {1: (0, 10), 2: (10, 90), 3: (100, 156)}
         return ".".join(str(lo + draws.below(n)) for lo, n in (limits[len(x)] for x in entity.split(".")))
     if kind == "card":
@@ -155,6 +177,8 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int) -> str:
     if kind == "phone":
         keep = max(0, len(entity) - 10)
         return entity[:keep] + "".join(str(draws.below(10)) for _ in entity[keep:])
+    if kind in ("access_key", "secret") and (attempt >= WIDE or not _drawn(entity[4:])):
+        return (entity[:4] if kind == "access_key" else "") + draws.symbols(len(entity) - 4 * (kind == "access_key"))
     if kind == "access_key":
         at = 4 if entity.startswith("AKIA") else re.match(r"[a-z]+[-_]", entity).end()
         return entity[:at] + "".join(_symbol(c, draws) for c in entity[at:])
@@ -165,6 +189,21 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int) -> str:
     return "".join(_symbol(c, draws) for c in entity)
 
 
+def _drawn(text: str) -> bool:
+    """Whether a text has characters that a draw replaces: letters and ASCII digits."""
+    return any(c.isalpha() or (c.isascii() and c.isdigit()) for c in text)
+
+
+def _long(kind: str, entity: str, draws: _Draws) -> str:
+    if kind == "email":
+        return f"{draws.symbols(MORE, string.ascii_lowercase)}@{draws.symbols(8, string.ascii_lowercase)}.{entity.rpartition('.')[2]}"
+    if kind == "ip":
+        return ":".join(["fd" + draws.symbols(2, "0123456789abcdef"), *(draws.symbols(4, "0123456789abcdef") for _ in range(7))])
+    digits = kind in ("phone", "card", "ssn")
+    new = "".join(str(draws.below(10)) if digits else draws.symbols(1) for _ in entity)
+    return (entity[:4] + new[4:] if kind in ("access_key", "iban") else new) + draws.symbols(MORE, string.digits if digits else _ALNUM)
+
+
 def _symbol(c: str, draws: _Draws) -> str:
     if c.isascii() and c.isdigit():
         return str(draws.below(10))
@@ -187,8 +226,8 @@ def render(kind: str, seen: str, stand_in: str) -> str:
         return "".join(drawn)
     if kind in ("phone", "card", "ssn", "iban"):
         new = iter(stand_in)
-        return "".join(next(new) if c.isalnum() else c for c in seen)
-    if kind == "email":
+        return "".join(next(new) if c.isalnum() else c for c in seen) + "".join(new)
+    if kind == "email" and len(seen) == len(stand_in):
         return "".join(b.upper() if a.isupper() else b for a, b in zip(seen, stand_in, strict=True))
     return stand_in
 
@@ -226,8 +265,8 @@ def assign_surrogates(entities: DataFrame, key: bytes, rounds: int = 60) -> Data
     no surrogate is an entity of the corpus.
 
     All entities draw; of those that drew alike the least keeps its draw, the others and those that drew a real entity
-    draw again. The table has one row per distinct entity and stays distributed; only the number of those left
-    reaches the driver. More than ``rounds`` rounds are an error (a kind with too few possible values).
+    draw again, in wider spaces after a few attempts and then in ones that no corpus fills, so all come to an end. The
+    table has one row per distinct entity and stays distributed. More than ``rounds`` rounds would be a broken hash.
     """
     types = "kind string, entity string, attempt int, stand_in string"
     real = stage(entities.select("kind", "entity").distinct(), "entities")
@@ -271,7 +310,8 @@ def replace_personal_data(docs: DataFrame, key: bytes, id_col: str = "doc_id", t
     Kinds: e-mail addresses, phone and card numbers, IP addresses, IBANs, social security numbers, access keys, secrets
     after ``password=`` and the like, and names after a title. Surrogates come from a keyed hash of the entity, so an
     entity has the same one everywhere and, with the same key, in every run; they keep length, separators, case, script and
-    sound class, network and check digit of a card, host groups of addresses, and the gender a title tells. Different
+    sound class, network and check digit of a card, host groups of addresses, and the gender a title tells. Where a shape has
+    too few values for the corpus, or nothing to redraw (``********``), length and characters are not kept. Different
     entities get different surrogates, none of which occurs in the corpus.
 
     Null texts stay null, empty ones empty. Null ids and repeated rows need no care: documents meet their spots by id and
