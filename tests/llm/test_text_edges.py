@@ -12,7 +12,7 @@ from textreg.llm.decontaminate import find_contamination
 from textreg.llm.fm_index import FMIndex
 from textreg.llm.lines import dedup_lines
 from textreg.llm.pieces import BLANK, cut_pattern, units, vocabulary, words
-from textreg.llm.pii import assign_surrogates, detect, replace_personal_data, surrogate
+from textreg.llm.pii import assign_surrogates, detect, render, replace_personal_data, surrogate
 from textreg.llm.quality import binomial_tail, quality_rules
 from textreg.llm.sentence_pieces import decode, encode
 from textreg.llm.spans import SENTENCES, WORDS, dedup_spans, sentences
@@ -247,6 +247,27 @@ def test_surrogates_differ(spark):
     assert surrogate("name", "f:anna müller", b"k", 0).startswith("f:") and surrogate("ip", "10.0.0.1", b"k", 0) == surrogate("ip", "10.0.0.1", b"k", 0)
 
 
+def test_forms_of_phone_numbers_and_addresses():
+    phones = [
+        "+14155552671", "+49 30 12345678", "(415)555-2671", "030 1234567", "555-1234567", "+1 (743) 555-3824", "+49 (0)30 12345678",
+        "+44 20 7946 0958", "(030) 12345678", "٠٣٠ ١٢٣٤٥٦٧", "+١٤١٥٥٥٥٢٦٧١",
+    ]
+    addresses = ["2001:db8:85a3::8a2e:370:7334", "fe80::1ff:fe23:4567:890a", "::ffff:192.0.2.128", "2001:0DB8:0:0:0:0:0:1", "١٢.٣٤.٥٦.٧٨"]
+    for kind, values in (("phone", phones), ("ip", addresses)):
+        for value in values:
+            (found,) = detect(f"call {value}, now.")
+            assert (found[0], found[1], found[2]) == (5, 5 + len(value), kind), value
+            stand_in = surrogate(kind, found[3], b"k", 0)
+            (again,) = detect(f"call {render(kind, value, stand_in)}, now.")
+            assert again[2:] == (kind, stand_in) and stand_in != found[3]
+    assert detect("2001:db8::1")[0][3] == detect("2001:0db8:0:0:0:0:0:1")[0][3]
+    for plain in (
+        "at 12:30:45 or 12.3456789, std::vector a::b ::, 2024-12-01, 1990-2000, zip 12345-6789, pi 3.14159265358", "١٢٣ things",
+    ):
+        assert not detect(plain), plain
+    assert [d[2] for d in detect("123-45-6789 and ١٢٣-٤٥-٦٧٨٩")] == ["ssn", "ssn"]
+
+
 def test_surrogates_of_masks_and_of_full_shapes(spark):
     """Entities without anything to redraw, and shapes whose values are all real, get surrogates all the same."""
     masks = [("secret", "********"), ("secret", "------"), ("access_key", "sk-" + "-" * 16), ("email", "+@-.1")]

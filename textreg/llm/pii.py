@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 import string
 from collections.abc import Iterator
@@ -21,8 +22,20 @@ _PATTERNS = {
     "iban": ("", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
     "ssn": ("-", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
     "card": ("", re.compile(r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)")),
-    "phone": ("", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]\d{2,4}){2,4}(?![\w.-]*\d)")),
+    "phone": ("", re.compile(
+        r"(?<![\w.])(?:"
+        r"\+\d{9,15}"
+        r"|\+\d{1,4}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{1,8}(?:[ .-]\d{2,8}){1,4}"
+        r"|(?:\+\d{1,4}[ .-]?)?\(\d{1,5}\)[ .-]?\d{2,12}(?:[ .-]\d{2,8}){0,4}"
+        r"|\d{2,4}(?:[ .-]\d{2,8}){2,4}"
+        # Two groups: blanks and hyphens only, and a long second group, so decimals and postal codes are none.
+        r"|\d{2,5}[ -]\d{6,8}"
+        r")(?![\w.-]*\d)"
+    )),
+    # Candidates; ``ipaddress`` decides.
+    "ipv6": (":", re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?::\d{1,3}(?:\.\d{1,3}){3}|(?:\.\d{1,3}){3})?(?![\w:])")),
 }
+_DIGIT = re.compile(r"\d")
 # Titles that announce a name, with the gender they tell.
 _TITLES = {
     "f": ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra", "Doña", "Госпожа", "Κυρία"),
@@ -68,12 +81,26 @@ def _script(text: str) -> str:
     return "latin"
 
 
+def _ascii_digits(text: str) -> str:
+    """Digits of any script as ASCII ones."""
+    return text if text.isascii() else _DIGIT.sub(lambda m: str(int(m[0])), text)
+
+
+def _ipv6(value: str) -> str | None:
+    """An IPv6 address written out in full; None for what is none, such as ``::`` or ``a::b`` of a program."""
+    try:
+        digits = f"{int(ipaddress.IPv6Address(value)):032x}"
+    except ValueError:
+        return None
+    return ":".join(re.findall("....", digits)) if _DIGIT.search(value) or value.count(":") == 7 else None
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """``(start, end, kind, entity)`` of the personal data in a text, without overlaps: the first and longest wins."""
     found = []
-    has_digit = any(d in text for d in "0123456789")
+    has_digit = _DIGIT.search(text) is not None
     for kind, (needs, pattern) in _PATTERNS.items():
-        if needs not in text or not (has_digit or kind in ("email", "secret", "access_key")):
+        if needs not in text or not (has_digit or kind in ("email", "secret", "access_key", "ipv6")):
             continue
         for m in pattern.finditer(text):
             a, b = m.span("value") if kind == "secret" else m.span()
@@ -82,15 +109,21 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 continue
             if kind == "email":
                 entity = value.lower()
+            elif kind == "ip":
+                entity = _ascii_digits(value)
+            elif kind == "ipv6":
+                entity = _ipv6(value)
+                if entity is None:
+                    continue
             elif kind in ("phone", "card", "ssn"):
-                entity = re.sub(r"\D", "", value)
+                entity = _ascii_digits(re.sub(r"\D", "", value))
                 if kind == "phone" and not 9 <= len(entity) <= 15:
                     continue
             elif kind == "iban":
-                entity = value.replace(" ", "")
+                entity = _ascii_digits(value.replace(" ", ""))
             else:
                 entity = value
-            found.append((a, b, kind, entity))
+            found.append((a, b, "ip" if kind == "ipv6" else kind, entity))
     for m in _NAME.finditer(text):
         found.append((*m.span(2), "name", f"{_GENDER[m.group(1)]}:{' '.join(m.group(2).casefold().split())}"))
     out: list[tuple[int, int, str, str]] = []
@@ -163,6 +196,15 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int) -> str:
         new = "".join(_letter(c, draws) for c in local) + "@" + "".join(_letter(c, host_draws) for c in host) + "." + top
         # Marks alone have nothing to redraw.
         return new if attempt < WIDE and _drawn(local + host) else draws.symbols(8, string.ascii_lowercase) + new
+    if kind == "ip" and ":" in entity:
+        # Groups of zeros stay, so the address can be written as short; the first digit, not 0, keeps a group's length.
+        hexes = "0123456789abcdef"
+        groups = [g.lstrip("0") for g in entity.split(":")]
+        if attempt >= WIDE:
+            groups = [groups[0] or "fd00", *["ffff"] * 7]
+        return ":".join(
+            (draws.symbols(1, hexes[1:]) + draws.symbols(len(g) - 1, hexes)).rjust(4, "0") if g else "0000" for g in groups
+        )
     if kind == "ip":
         if attempt >= WIDE:
             private = [int(x) for x in entity.split(".")][0] in (10, 127)
@@ -226,12 +268,23 @@ def render(kind: str, seen: str, stand_in: str) -> str:
         return "".join(drawn)
     if kind in ("phone", "card", "ssn", "iban"):
         new = iter(stand_in)
-        return "".join(next(new) if c.isalnum() else c for c in seen) + "".join(new)
+        return "".join(_as_digit(next(new), c) if c.isalnum() else c for c in seen) + "".join(new)
+    if kind == "ip" and ":" in stand_in:
+        short = ":" not in seen or "::" in seen or len(seen) < 39
+        drawn = ipaddress.IPv6Address(stand_in).compressed if short else stand_in
+        return drawn.upper() if any("A" <= c <= "F" for c in seen) else drawn
+    if kind == "ip" and len(seen) == len(stand_in):
+        return "".join(map(_as_digit, stand_in, seen))
     if kind == "email" and len(seen) == len(stand_in):
         return "".join(b.upper() if a.isupper() else b for a, b in zip(seen, stand_in, strict=True))
     return stand_in
 
 
+def _as_digit(new: str, seen: str) -> str:
+    """A digit in the script of the one seen; other characters as they are."""
+    return chr(ord(seen) - int(seen) + int(new)) if new.isdigit() and seen.isdecimal() and not seen.isascii() else new
+
+
 _SPOTS = "id bigint, copy bigint, start int, stop int, kind string, entity string"
 
 
@@ -307,7 +360,7 @@ def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def replace_personal_data(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Replace personal data by surrogates: ``id_col``, ``n_entities``, ``kinds``, ``text_col``; one row per document.
 
-    Kinds: e-mail addresses, phone and card numbers, IP addresses, IBANs, social security numbers, access keys, secrets
+    Kinds: e-mail addresses, phone and card numbers, IP addresses (of both versions), IBANs, social security numbers, access keys, secrets
     after ``password=`` and the like, and names after a title. Surrogates come from a keyed hash of the entity, so an
     entity has the same one everywhere and, with the same key, in every run; they keep length, separators, case, script and
     sound class, network and check digit of a card, host groups of addresses, and the gender a title tells. Where a shape has
