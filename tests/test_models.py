@@ -185,3 +185,24 @@ def test_holdout_equals_manual_ridge(spark, dense):
     residual = TARGET[96:] - ((FEATURES[96:] - mean) / std @ w + y.mean())
     assert name == "Ridge" and rmse == pytest.approx(np.sqrt((residual**2).mean()), rel=1e-6)
     assert r2 == pytest.approx(1 - (residual**2).sum() / ((TARGET[96:] - TARGET[96:].mean()) ** 2).sum(), rel=1e-6)
+
+
+def test_registered_experiment_runs_the_whole_grid(spark, folder, monkeypatch):
+    """No registered argument makes the job smaller, and every strategy has rows that can be fitted."""
+    from textreg.queries.catalog import QUERIES
+
+    seen = {}
+    monkeypatch.setattr(X, "run_experiment", lambda spark, dataset, strategies, *a, **k: seen.update(s=strategies, a=a, k=k) or spark.range(1))
+    QUERIES["run_experiment"](spark, folder)
+    assert not seen["a"] and not seen["k"]
+    assert [s.name for s in seen["s"]] == ["bow", "n_gram_bow", "tf_idf", "word2vec", "word_vector_mean", "encoder"]
+    for s in seen["s"]:
+        assert X._vectors(s.train, s.storage).filter("features is not null and y is not null").count() > s.test.count() > 0
+
+
+def test_row_sum_order_takes_every_flag(spark, tmp_path):
+    from textreg.queries.catalog import QUERIES
+
+    rows = [(1, 1, "A"), (1, 2, "X"), (1, 3, "X"), (2, 1, "N")]
+    spark.createDataFrame(rows, "l_suppkey bigint, l_orderkey bigint, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert list(map(tuple, QUERIES["row_sum_order"](spark, str(tmp_path)).collect())) == [(1, 3), (2, 1)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textreg.operators import dense as D
 from textreg.operators import experiment as X
 from textreg.operators import models as M
 from textreg.operators import selection as L
@@ -11,7 +12,7 @@ from textreg.operators import vectorize as V
 from textreg.operators.splits import split_shuffled
 from textreg.plans.stage import stage_path, write_stage
 from textreg.queries.registry import query
-from textreg.queries.text_features import FITTED, documents
+from textreg.queries.text_features import FITTED, documents, word_vectors
 
 
 def sparse_documents(t, method: str = "BoW"):
@@ -183,13 +184,24 @@ def gradient_boosting_group_means(t):
 
 @query("run_experiment")
 def run_experiment(t):
-    sparse = split_shuffled(sparse_documents(t, "TF-IDF"), "row_index")
-    dense = split_shuffled(dense_vectors(t).drop("features"), "row_index")
-    strategies = [
-        X.Strategy(name, rows.filter("set = 'train'").drop("set"), rows.filter("set = 'test'").drop("set"), storage)
-        for name, rows, storage in (("tf_idf", sparse, "sparse"), ("word2vec", dense, "dense"))
+    """All models, folds and repeats over every strategy that the tables can build."""
+    docs = documents(t)
+    y = t.documents.select(F.col("doc_id").alias("row_index"), F.log1p("n_chars").alias("y"))
+    pooled = write_stage(D.word_vector_mean(docs, word_vectors(t)).select("row_index", "embedding").join(y, "row_index"), "pooled-documents")
+    texts = t.documents.select(F.col("doc_id").alias("row_index"), "text")
+    encoded = write_stage(
+        D.encode_texts(texts, "text", D.hashing_encoder(32), 32).select("row_index", "embedding").join(y, "row_index"), "encoded-documents"
+    )
+    rows = [
+        ("bow", sparse_documents(t, "BoW"), "sparse"), ("n_gram_bow", sparse_documents(t, "n-gram+BoW"), "sparse"),
+        ("tf_idf", sparse_documents(t, "TF-IDF"), "sparse"), ("word2vec", dense_vectors(t).drop("features"), "dense"),
+        ("word_vector_mean", pooled, "dense"), ("encoder", encoded, "dense"),
     ]
-    return X.run_experiment(t.spark, "documents", strategies, ["LinearRegression", "Ridge"], n_splits=2, n_repeats=1)
+    strategies = []
+    for name, found, storage in rows:
+        split = split_shuffled(found, "row_index")
+        strategies.append(X.Strategy(name, split.filter("set = 'train'").drop("set"), split.filter("set = 'test'").drop("set"), storage))
+    return X.run_experiment(t.spark, "documents", strategies)
 
 
 @query("collect_results", """
