@@ -208,6 +208,24 @@ def test_pieces(spark):
     assert encode(frame(spark, [])).count() == 0 and token_counts(frame(spark, [])).count() == 0
 
 
+def test_long_words_are_segmented_whole(spark):
+    """1,000 characters without a blank: no cut changes the segmentation, in either operator."""
+    table = {p: (i, round(s * 10**6)) for i, p, s, byte in vocabulary() if byte < 0}
+    byte = {i: p for i, p, s, b in vocabulary() if b >= 0}
+    r = random.Random(6)
+    rows = [(1, "x" * 1000), (2, "".join(r.choice("etaoinshrdlu") for _ in range(1000))), (3, " " * 700 + "a"), (4, "中文字的一是" * 170 + "☃")]
+    rows += [(5, "short " + rows[1][1] + " " + rows[1][1] + "\nend")]
+    got = by_id(encode(frame(spark, rows)), "pieces", "n_words")
+    counts = by_id(token_counts(frame(spark, rows)), "n_tokens", "n_words")
+    cut = cut_pattern(table)
+    for i, text in rows:
+        whole = (BLANK + text.replace(" ", BLANK)) if i < 5 else None
+        parts = [whole] if whole else [w for w in words(text)]
+        want = [x for w in parts for u in cut.split(w) for x in best_segmentation(u, table)]
+        assert [byte.get(x, x) for x in got[i][0]] == want and counts[i] == (len(want), got[i][1])
+        assert got[i][1] == (1 if i < 5 else 5)
+
+
 def test_words_are_only_cut_where_no_piece_joins():
     pieces = {p for _, p, _, byte in vocabulary() if byte < 0}
     cut = cut_pattern(pieces)

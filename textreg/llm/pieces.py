@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-#: Words are cut at this many code points, so one endless word is many lattices.
+#: Units of more code points are segmented one by one, from left to right, and not kept; they are never cut.
 UNIT_CHARS = 256
-_WORD = re.compile(rf"\n|{BLANK}{{0,{UNIT_CHARS}}}[^{BLANK}\n]{{1,{UNIT_CHARS}}}|{BLANK}{{1,{UNIT_CHARS}}}")
+_WORD = re.compile(rf"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
 MARKS = ".,;:!?|()\"$%&*#"
 #: Score of a byte piece: below any piece, so bytes are used only where no piece fits.
 BYTE_SCORE = -40.0
@@ -74,3 +74,36 @@ def words(text: str | None) -> list[str]:
 def units(found: Iterable[str], cut: re.Pattern) -> dict[str, list[str]]:
     """The units of each word."""
     return {w: cut.split(w) for w in found}
+
+
+def ends_of_pieces(scores: dict[str, int]) -> dict[str, int | bool]:
+    """Every suffix of a piece: its score if it is a piece itself, else True."""
+    out: dict[str, int | bool] = {p[k:]: True for p in scores for k in range(1, len(p))}
+    return out | scores
+
+
+def best_pieces(unit: str, ends: dict[str, int | bool], ids: dict[str, int], byte_ids: list[int]) -> list[int]:
+    """Ids of the best segmentation of one unit of any length; time and memory grow in proportion to it."""
+    get, by_byte = ends.get, round(BYTE_SCORE * 10**DIGITS)
+    best, back = [0], [0]
+    for end in range(1, len(unit) + 1):
+        top, at = best[end - 1] + len(unit[end - 1].encode()) * by_byte, -1
+        start = end - 1
+        while start >= 0:
+            s = get(unit[start:end])
+            if s is None:
+                break
+            if s is not True and best[start] + s >= top:
+                top, at = best[start] + s, start
+            start -= 1
+        best.append(top)
+        back.append(at)
+    out, end = [], len(unit)
+    while end:
+        if back[end] < 0:
+            out += [byte_ids[b] for b in reversed(unit[end - 1].encode())]
+            end -= 1
+        else:
+            out.append(ids[unit[back[end] : end]])
+            end = back[end]
+    return out[::-1]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from textreg.llm.batches import stage
-from textreg.llm.pieces import BLANK, BYTE_SCORE, DEFAULT_MODEL, DIGITS, cut_pattern, piece_table, units, vocabulary, words
+from textreg.llm.pieces import (
+    BLANK, BYTE_SCORE, DEFAULT_MODEL, DIGITS, UNIT_CHARS, best_pieces, cut_pattern, ends_of_pieces, piece_table, units, vocabulary,
+    words,
+)
 
 #: Distinct words that a task collects before it hands their units on, words whose ids it keeps, bytes of text in one packed row.
 HELD_WORDS = 500_000
@@ -31,7 +34,7 @@ def _distinct_units(cut):
 
         def out() -> Iterator[pa.RecordBatch]:
             for block, found in held.items():
-                every = pa.array({u for us in units(found, cut).values() for u in us}, pa.string())
+                every = pa.array({u for us in units(found, cut).values() for u in us if len(u) <= UNIT_CHARS}, pa.string())
                 for at in range(0, len(every), 20_000):
                     part = every.slice(at, 20_000)
                     yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), part], names=["block", "unit"])
@@ -39,9 +42,9 @@ def _distinct_units(cut):
         for batch in batches:
             for block, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 mine = held.setdefault(block, set())
-                n -= len(mine)
-                mine.update(words(text.as_py()))
-                n += len(mine)
+                new = set(words(text.as_py())).difference(mine)
+                mine |= new
+                n += len(new) + sum(map(len, new)) // UNIT_CHARS
                 if n >= HELD_WORDS:
                     yield from out()
                     held, n = {}, 0
@@ -203,19 +206,20 @@ def _assemble(shared):
     """Sorted rows of a block: the ids of its units first, then its packed documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled, cut = shared.value
+        spelled, cut, *pieces_of = shared.value
         now, parts, table, known = None, [], None, {}
 
-        def ids_of(word: str) -> tuple[int, ...]:
-            out: tuple[int, ...] = ()
+        def ids_of(word: str) -> Sequence[int]:
+            out: list[int] = []
             for unit in cut.split(word):
-                ids = table.get(unit.encode())
+                ids = table.get(unit.encode()) if len(unit) <= UNIT_CHARS else best_pieces(unit, *pieces_of)
                 if b"".join(spelled[i] for i in ids) != unit.encode():
                     raise ValueError(f"the lattice has no segmentation of {unit!r}")
                 out += ids
             if len(known) >= KNOWN_WORDS:
                 known.clear()
-            known[word] = out
+            if len(word) <= UNIT_CHARS:
+                known[word] = tuple(out)
             return out
 
         for batch in batches:
@@ -252,7 +256,7 @@ def encode(
 ) -> DataFrame:
     """Segment texts into pieces: ``id_col``, ``text_col``, ``n_words``, ``pieces`` (ids), one row per document.
 
-    Only distinct units go through the lattice. Documents are dealt into blocks: the split of the input file they come from
+    Only distinct units go through the lattice; those of more than ``UNIT_CHARS`` are segmented where their documents are. Documents are dealt into blocks: the split of the input file they come from
     and a hash of the id (``blocks`` of them; raise it for splits of more than some 50 MB). A block's distinct units
     find their ids by a join on the unit and return to the block, where its packed documents wait; so texts move once,
     compressed, and a task holds the units of one block.
@@ -261,7 +265,9 @@ def encode(
     text is read as a blank, as in the library that defines these models.
     """
     spark = docs.sparkSession
-    cut = cut_pattern([p for _, p, _, byte in vocabulary(model) if byte < 0])
+    plain = {p: (i, round(s * 10**DIGITS)) for i, p, s, byte in vocabulary(model) if byte < 0}
+    byte_ids = [i for _, i in sorted((byte, i) for i, _, _, byte in vocabulary(model) if byte >= 0)]
+    cut = cut_pattern(plain)
     block = F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)))
     read = docs.select(
         block.alias("block"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")
@@ -271,7 +277,9 @@ def encode(
     # Both uses read (block, unit), so the units are dealt once.
     distinct = dealt.groupBy("unit").agg(F.min("block").alias("b")).filter("b IS NOT NULL").select("unit")
     back = dealt.join(lattice(distinct, model).hint("merge"), "unit").select("block", F.xxhash64("unit").alias("hash"), "ids")
-    shared = spark.sparkContext.broadcast((_spelled(model), cut))
+    shared = spark.sparkContext.broadcast((
+        _spelled(model), cut, ends_of_pieces({p: s for p, (_, s) in plain.items()}), {p: i for p, (i, _) in plain.items()}, byte_ids,
+    ))
     rows = back.mapInArrow(_pack_ids, _PACKED).unionByName(read.select("block", "id", "text").mapInArrow(_pack, _PACKED))
     sorted_rows = rows.repartition("block").sortWithinPartitions("block", "is_text")
     return sorted_rows.mapInArrow(_assemble(shared), _OUT_TYPES).withColumnsRenamed({"id": id_col, "text": text_col})

@@ -8,7 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textreg.llm.pieces import BYTE_SCORE, DEFAULT_MODEL, DIGITS, cut_pattern, units, vocabulary, words
+from textreg.llm.pieces import (
+    BYTE_SCORE, DEFAULT_MODEL, DIGITS, UNIT_CHARS, cut_pattern, ends_of_pieces, units, vocabulary, words,
+)
 
 #: Pre-tokens whose counts a task keeps between batches.
 KEPT = 400_000
@@ -16,12 +18,6 @@ KEPT = 400_000
 _BYTE = round(BYTE_SCORE * 10**DIGITS)
 
 
-def ends_of_pieces(scores: dict[str, int]) -> dict[str, int | bool]:
-    """Every suffix of a piece: its score if it is a piece itself, else True."""
-    out: dict[str, int | bool] = {p[k:]: True for p in scores for k in range(1, len(p))}
-    return out | scores
-
-
 def prefix_counts(pre_tokens: set[str], ends: dict[str, int | bool]) -> dict[str, int]:
     """Tokens of the best segmentation of each pre-token.
 
@@ -86,6 +82,9 @@ def _count(shared):
                     ],
                     schema=_OUT,
                 )
+                for w in new:
+                    if len(w) > UNIT_CHARS:
+                        del known[w]
 
     return run
 
