@@ -71,3 +71,18 @@ def grouped(rows):
     for k, v in rows:
         out[k].append(v)
     return out
+
+
+def periodic_runs_of(words, least):
+    """(start, end, smallest period) of every run, by start and period."""
+    found = {}
+    for q in range(1, len(words) // 2 + 1):
+        i = 0
+        while i + q < len(words):
+            start = i
+            while i + q < len(words) and words[i] == words[i + q]:
+                i += 1
+            if i > start and i + q - start >= max(least, 2 * q):
+                found.setdefault((start, i + q), q)
+            i = i if i > start else i + 1
+    return sorted(((s, e, q) for (s, e), q in found.items()), key=lambda x: (x[0], x[2]))

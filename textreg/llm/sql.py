@@ -113,3 +113,24 @@ select page_id, p.n as payload_bytes, p.h as payload_digest,
     case when m != page_id then m end as refers_to
 from p left join k on p.h = k.h and p.n = k.n
 """
+
+HARD_NEGATIVES = """
+with v as materialized (
+    select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+    from embeddings
+    where vec_id is not null and label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: coalesce(not isfinite(x), true))) = 0
+), s as (
+    select a.r, a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same,
+        coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda p: coalesce(p[1] * p[2], 0))), 0)::bigint as score
+    from v a join v b on a.r != b.r where a.vec_id % 100 = 0
+), p as (
+    select * from (select *, row_number() over (partition by r order by score desc, id) as k from s where same) where k <= 5
+)
+select anchor_id, positive_id, rank::integer as rank, negative_id, positive_score, negative_score from (
+    select p.anchor_id, p.id as positive_id, s.id as negative_id, p.score as positive_score, s.score as negative_score,
+        row_number() over (partition by p.r, p.k order by s.score desc, s.id) as rank
+    from p join s on p.r = s.r and not s.same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score
+) where rank <= 10
+"""
