@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from textreg.operators import experiment as X
 from textreg.operators import models as M
 from textreg.operators import selection as L
+from textreg.operators.linear import centred, duality_gaps, elastic_nets, held_scores
+from textreg.plans import blocks
+from textreg.plans.blocks import Blocks, Fit
 
 RNG = np.random.default_rng(7)
 N, D = 120, 5
@@ -144,13 +147,91 @@ def coordinate_descent(x, y, alpha, l1_ratio, rounds=2000):
 
 
 @pytest.mark.parametrize(("alpha", "l1_ratio"), [(1.0, 0.1), (0.5, 0.5), (2.0, 1.0)])
-def test_elastic_net_objective(spark, alpha, l1_ratio):
+def test_elastic_net_objective(spark, way, alpha, l1_ratio):
     r = np.random.default_rng(4)
     x = r.normal(size=(200, 3)) * [1.0, 2.0, 0.5]
     y = x @ [7.0, -5.0, 3.0] + r.normal(size=200) * 2
     rows = spark.createDataFrame([(float(b), [float(v) for v in a]) for a, b in zip(x, y, strict=True)], "y double, embedding array<double>")
-    fitted = M.elastic_net(alpha, l1_ratio, float(y.std(ddof=1))).fit(M.with_dense_vectors(rows))
-    assert np.allclose(fitted.coefficients.toArray(), coordinate_descent(x, y, alpha, l1_ratio), atol=1e-4)
+    fitted = M.elastic_net(M.with_dense_vectors(rows), alpha, l1_ratio)
+    assert np.allclose(fitted.weights, coordinate_descent(x, y, alpha, l1_ratio), atol=1e-4)
+
+
+def wide_rows(spark, n, d, seed):
+    """More features than rows: sparse, skewed, with a copy of a column and an empty one."""
+    r = np.random.default_rng(seed)
+    x = np.where(r.random((n, d)) < 0.03, r.exponential(size=(n, d)), 0)
+    x[:, 1], x[:, 2] = x[:, 0], 0
+    y = x[:, :20] @ r.normal(size=20) + r.normal(size=n) + 3
+    rows = []
+    for a, b in zip(x, y, strict=True):
+        kept = np.flatnonzero(a)
+        rows.append((float(b), [int(j) for j in kept], [float(v) for v in a[kept]], d))
+    schema = "y double, embedding_indices array<bigint>, embedding_values array<double>, embedding_size int"
+    return x, y, M.with_sparse_vectors(spark.createDataFrame(rows, schema)).repartition(5)
+
+
+@pytest.fixture(params=["tasks", "passes"])
+def way(request, monkeypatch):
+    """Small rows are fitted in tasks; the same rows pass by pass over all partitions."""
+    if request.param == "passes":
+        monkeypatch.setattr(blocks, "SENT_BYTES", -1)
+        monkeypatch.setattr(blocks, "DIRECT", 2)
+        monkeypatch.setattr(blocks, "CHUNK", 1000)
+
+
+def test_more_features_than_rows(spark, way):
+    """Least squares of least norm and the ridge's dual form."""
+    x, y, rows = wide_rows(spark, 800 if blocks.SENT_BYTES > 0 else 100, 5000 if blocks.SENT_BYTES > 0 else 700, 1)
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    xc, yc = unit - unit.mean(0), y - y.mean()
+    plain = M.fit_model(rows, "LinearRegression", "sparse")
+    assert np.allclose(plain.weights, np.linalg.lstsq(xc, yc, rcond=1e-10)[0][plain.features], atol=1e-5)
+    assert plain.weights[0] == pytest.approx(plain.weights[1], abs=1e-8)
+    ridge = M.fit_model(rows, "Ridge", "sparse", alpha=0.5)
+    dual = xc.T @ np.linalg.solve(xc @ xc.T + 0.5 * np.eye(len(y)), yc)
+    assert np.allclose(ridge.weights, dual[ridge.features], atol=1e-8)
+    predicted = np.array([r["prediction"] for r in ridge.transform(rows).select("y", "prediction").orderBy("y").collect()])
+    assert np.allclose(predicted, (xc @ dual + y.mean())[np.argsort(y)], atol=1e-7)
+
+
+@pytest.mark.parametrize(("n", "d", "l1", "l2"), [(200, 5000, 0.001, 0.0), (200, 400, 0.02, 0.1), (100, 30, 1e-5, 0.0)])
+def test_gap_to_the_lower_bound(spark, n, d, l1, l2):
+    _, _, rows = wide_rows(spark, n, d, 2)
+    with Blocks(rows, [], unit=True) as packed:
+        c = centred(packed, [Fit()], d, standardize=False)
+        weights = elastic_nets(packed, c, [(0, l1, l2)])
+        assert duality_gaps(packed, c, [(0, l1, l2)], weights)[0] < 1e-6
+        assert duality_gaps(packed, c, [(0, l1, l2)], weights * 0.9)[0] > 1e-5
+
+
+def test_linear_fits_of_folds_are_fits_of_their_rows(spark, way):
+    """All folds in the same passes give what each gives alone; chunks and partitions do not matter."""
+    x, y, rows = wide_rows(spark, 90, 60, 3)
+    rows = rows.withColumn("fold", (F.abs(F.hash("y")) % 3).cast("int")).persist()
+    features = [tuple(range(0, 60, 2)), tuple(range(20, 60)), None]
+    with Blocks(rows, ["fold"]) as packed:
+        c = centred(packed, [Fit(0, k, f) for k, f in enumerate(features)], 60, standardize=True)
+        found = M.linear_weights(packed, c, {"Ridge": 2.0, "Lasso": 0.05})
+        scored = held_scores(packed, c, [0, 1, 2], found["Ridge"])
+    for k, f in enumerate(features):
+        train, held = rows.filter(F.col("fold") != k), rows.filter(F.col("fold") == k)
+        kept = list(f) if f else list(range(60))
+        for name, alpha in (("Ridge", 2.0), ("Lasso", 0.05)):
+            alone = M.fit_model(train, name, "dense", selected=kept, alpha=alpha)
+            assert np.allclose(alone.weights, found[name][k][np.searchsorted(c.features, kept)], atol=1e-6)
+            if name == "Ridge":
+                score = X.regression_scores(alone.transform(held), "y", "prediction").first()
+                assert scored[k] == pytest.approx((score["rmse"], score["r2"]))
+
+
+def test_linear_fits_of_degenerate_rows(spark):
+    schema = "y double, embedding array<double>"
+    for rows in ([(1.0, [2.0, 3.0])], [(1.0, [2.0, 3.0])] * 4, [(1.0, [0.0, 0.0]), (2.0, [0.0, 0.0])]):
+        df = M.with_dense_vectors(spark.createDataFrame([*rows, (None, [1.0, 1.0]), (1.0, None)], schema))
+        for name in ("LinearRegression", "Ridge", "Lasso"):
+            fitted = M.fit_model(df, name)
+            assert not fitted.weights.any() and fitted.intercept == pytest.approx(np.mean([y for y, _ in rows]))
+            assert [r["prediction"] is None for r in fitted.transform(df).collect()] == [False] * (len(rows) + 1) + [True]
 
 
 def test_unknown_model_or_storage(dense):

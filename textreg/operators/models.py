@@ -1,26 +1,24 @@
-"""Regressors on Spark ML with the objectives of the usual single-node defaults."""
+"""Regressors with the objectives of the usual single-node defaults."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from itertools import product
-from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.feature import ElementwiseProduct, Normalizer, StandardScaler, VectorSlicer
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel, RandomForestRegressor
+from pyspark.ml.feature import VectorSlicer
+from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from textreg.operators.linear import Centred, LinearFit, centred, elastic_nets, held_scores, least_squares, linear_fit
 from textreg.operators.splits import kfold_labels
+from textreg.plans.blocks import Blocks, Fit, Local
 from textreg.plans.stage import stage_path
 
-# The normal-equation solver of Spark ML takes at most this many features.
-MAX_NORMAL_FEATURES = 4096
-#: A linear fit that has not converged by then is an error.
-MAX_ITERATIONS = 2000
 SEED = 42
 
 
@@ -47,40 +45,11 @@ def with_sparse_vectors(rows: DataFrame, output: str = "features") -> DataFrame:
 def with_dense_vectors(rows: DataFrame, column: str = "embedding", output: str = "features") -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
-    return rows.withColumn(output, array_to_vector(F.transform(column, lambda x: x.cast("double"))))
-
-
-def linear_regression(n_features: int, n_rows: int, label_std: tuple[float, float]) -> Estimator:
-    """Ordinary least squares."""
-    solver = "normal" if n_features <= MAX_NORMAL_FEATURES else "l-bfgs"
-    return LinearRegression(regParam=0.0, solver=solver, maxIter=MAX_ITERATIONS, tol=1e-10, featuresCol="x", labelCol="y")
-
-
-def ridge_regression(n_features: int, n_rows: int, label_std: tuple[float, float], alpha: float = 1.0) -> Estimator:
-    """Minimizes ``|y - Xw|^2 + alpha |w|^2``.
-
-    Spark divides the penalty by the label's deviation (population for the normal solver, sample for
-    l-bfgs) and the loss by the rows, so the parameter is scaled back.
-    """
-    normal = n_features <= MAX_NORMAL_FEATURES
-    std = label_std[0] if normal else label_std[1]
-    return LinearRegression(
-        regParam=alpha * std / max(n_rows, 1), elasticNetParam=0.0, standardization=False,
-        solver="normal" if normal else "l-bfgs", maxIter=MAX_ITERATIONS, tol=1e-10, featuresCol="x", labelCol="y",
-    )
-
-
-def lasso_regression(n_features: int, n_rows: int, label_std: tuple[float, float], alpha: float = 0.001) -> Estimator:
-    """Minimizes ``|y - Xw|^2 / 2n + alpha |w|_1``."""
-    return LinearRegression(
-        regParam=alpha, elasticNetParam=1.0, standardization=False, solver="l-bfgs", maxIter=MAX_ITERATIONS, tol=1e-9,
-        featuresCol="x", labelCol="y",
-    )
+    return rows.withColumn(output, F.when(F.col(column).isNotNull(), array_to_vector(F.transform(F.coalesce(column, F.array()), lambda x: x.cast("double")))))
 
 
 def random_forest(
-    n_features: int, n_rows: int, label_std: tuple[float, float], trees: int = 100, depth: int = 30, bins: int = 32,
-    bootstrap: bool = True,
+    trees: int = 100, depth: int = 30, bins: int = 32, bootstrap: bool = True,
 ) -> Estimator:
     """Bootstrapped trees that see every feature at every split.
 
@@ -93,124 +62,137 @@ def random_forest(
     )
 
 
-def gradient_boosting(n_features: int, n_rows: int, label_std: tuple[float, float], trees: int = 100) -> Estimator:
+def gradient_boosting(trees: int = 100) -> Estimator:
     """Boosted trees of depth 6 with learning rate 0.3."""
     return GBTRegressor(maxIter=trees, maxDepth=6, stepSize=0.3, seed=SEED, featuresCol="x", labelCol="y")
 
 
 # Feature counts kept for sparse input: linear models and trees.
 LINEAR_K, TREE_K = 5000, 4000
-MODELS: dict[str, tuple[Callable[..., Estimator], bool]] = {
-    "LinearRegression": (linear_regression, True),
-    "Ridge": (ridge_regression, True),
-    "Lasso": (lasso_regression, True),
-    "RandomForest": (random_forest, False),
-    "GradientBoosting": (gradient_boosting, False),
-}
-
-
-def model_pipeline(
-    train: DataFrame, model: str, storage: str, selected: list[int] | None = None, **params
-) -> Pipeline:
-    """Preprocessing and estimator for ``train(features, y)``.
-
-    Sparse input: unit rows (linear models only), then the selected features. Dense input: centred
-    and scaled by the population deviation for linear models, untouched for trees.
-    """
+#: Objectives of the linear models: the default weight of the penalty, squared or absolute.
+SQUARED, ABSOLUTE = {"LinearRegression": 0.0, "Ridge": 1.0}, {"Lasso": 0.001}
+TREES: dict[str, Callable[..., Estimator]] = {"RandomForest": random_forest, "GradientBoosting": gradient_boosting}
+MODELS = [*SQUARED, *ABSOLUTE, *TREES]
+
+
+def is_linear(model: str) -> bool:
+    return model in SQUARED or model in ABSOLUTE
+
+
+def check_model(model: str, storage: str) -> None:
     if model not in MODELS:
         raise ValueError(f"unknown model {model!r}; use one of {sorted(MODELS)}")
     if storage not in ("sparse", "dense"):
         raise ValueError("storage must be 'sparse' or 'dense'")
-    build, linear = MODELS[model]
-    stats = train.agg(
-        F.count("y").alias("n"), F.stddev_pop("y").alias("pop"), F.stddev_samp("y").alias("samp"),
-        F.first("features").alias("v"),
-    ).first()
-    n, width = stats["n"], stats["v"].size
-    stages, column = [], "features"
-    if storage == "sparse":
-        if linear:
-            stages.append(Normalizer(p=2.0, inputCol=column, outputCol="unit"))
-            column = "unit"
-        if selected is not None:
-            stages.append(VectorSlicer(inputCol=column, outputCol="x", indices=selected))
-            width, column = len(selected), "x"
-    elif linear:
-        to_population = (n / (n - 1)) ** 0.5 if n > 1 else 1.0
-        stages += [
-            StandardScaler(withMean=True, withStd=True, inputCol=column, outputCol="sample_scaled"),
-            ElementwiseProduct(scalingVec=Vectors.dense([to_population] * width), inputCol="sample_scaled", outputCol="x"),
-        ]
-        column = "x"
-    estimator = build(width, n, (stats["pop"] or 0.0, stats["samp"] or 0.0), **params)
-    if column != "x":
-        estimator = estimator.copy({estimator.featuresCol: column})
-    return Pipeline(stages=[*stages, estimator])
-
-
-def fit_model(train: DataFrame, model: str, storage: str = "dense", selected: list[int] | None = None, **params) -> Model:
-    return _converged(model_pipeline(train, model, storage, selected, **params).fit(train))
-
-
-def _converged(model: Model) -> Model:
-    linear = model.stages[-1] if hasattr(model, "stages") else model
-    if isinstance(linear, LinearRegressionModel) and linear.summary.totalIterations >= MAX_ITERATIONS:
-        raise ValueError(f"the linear fit has not converged in {MAX_ITERATIONS} iterations")
-    return model
-
-
-def elastic_net(alpha: float, l1_ratio: float, label_std: float) -> LinearRegression:
-    """Minimizes ``|y - Xw|^2 / 2n + alpha * l1_ratio * |w|_1 + alpha * (1 - l1_ratio) / 2 * |w|^2``.
-
-    Spark divides the squared part of the penalty by the label's sample deviation ``label_std`` but not the absolute
-    part, so the two parts are scaled apart and mixed again.
+
+
+def vector_width(rows: DataFrame, column: str = "features") -> int:
+    vector = F.unwrap_udt(column)
+    return rows.agg(F.max(F.coalesce(vector["size"], F.size(vector["values"])))).first()[0] or 0
+
+
+def linear_weights(blocks: Blocks, c: Centred, alphas: dict[str, float]) -> dict[str, np.ndarray]:
+    """Weights (fit, feature) of each named linear model at its penalty, over all fits of ``c`` at once."""
+    out = {}
+    squared = [m for m in alphas if m in SQUARED]
+    if squared:
+        found = least_squares(blocks, c, [alphas[m] for m in squared])
+        out = {m: found[:, k] for k, m in enumerate(squared)}
+    for m in alphas:
+        if m in ABSOLUTE:
+            out[m] = elastic_nets(blocks, c, [(j, alphas[m], 0.0) for j in range(len(c.fits))])
+    return out
+
+
+def linear_job(blocks: Blocks | Local, job: tuple) -> tuple[Centred, dict[str, np.ndarray], dict[str, list]]:
+    """Moments, weights and scores of held rows of each model, for a list of fits."""
+    fits, width, standardize, alphas = job
+    c = centred(blocks, fits, width, standardize)
+    found = linear_weights(blocks, c, alphas)
+    every = [(m, k) for m in alphas for k in range(len(fits))]
+    scored = held_scores(blocks, c, [k for _, k in every], np.stack([found[m][k] for m, k in every]))
+    return c, found, {m: scored[i * len(fits) : (i + 1) * len(fits)] for i, m in enumerate(alphas)}
+
+
+def penalty(model: str, params: dict) -> float:
+    unknown = set(params) - ({"alpha"} if model != "LinearRegression" else set())
+    if unknown:
+        raise ValueError(f"{model} has no parameter {sorted(unknown)}")
+    return params.get("alpha", (SQUARED | ABSOLUTE)[model])
+
+
+def fit_linear(train: DataFrame, model: str, storage: str = "dense", selected: list[int] | None = None, **params) -> LinearFit:
+    """Fit ``train(features, y)``.
+
+    Least squares minimizes ``|y - Xw|^2`` with the least norm, ridge adds ``alpha |w|^2``, the lasso minimizes ``|y - Xw|^2 / 2n + alpha |w|_1``;
+    the intercept is free of penalty. Sparse input: unit rows, then the selected features. Dense input: centred and scaled by the population deviation.
     """
-    absolute, squared = alpha * l1_ratio, alpha * (1 - l1_ratio) * label_std
-    total = absolute + squared
-    return LinearRegression(
-        regParam=total, elasticNetParam=absolute / total if total else 0.0, standardization=False, solver="l-bfgs",
-        maxIter=MAX_ITERATIONS, tol=1e-9, featuresCol="features", labelCol="y",
-    )
+    check_model(model, storage)
+    dense = storage == "dense"
+    job = ([Fit(features=None if selected is None else tuple(selected))], vector_width(train), dense, {model: penalty(model, params)})
+    with Blocks(train, [], unit=not dense) as blocks:
+        ((c, weights, _),) = blocks.each(linear_job, [job])
+    return linear_fit(c, 0, weights[model][0], standardize=dense, unit=not dense)
+
+
+def tree_pipeline(model: str, storage: str, selected: list[int] | None = None, **params) -> Pipeline:
+    """Estimator for ``train(features, y)``: the selected features of sparse input, dense input untouched."""
+    check_model(model, storage)
+    estimator = TREES[model](**params)
+    if storage == "sparse" and selected is not None:
+        return Pipeline(stages=[VectorSlicer(inputCol="features", outputCol="x", indices=selected), estimator])
+    return Pipeline(stages=[estimator.copy({estimator.featuresCol: "features"})])
+
+
+def fit_model(train: DataFrame, model: str, storage: str = "dense", selected: list[int] | None = None, **params) -> Model | LinearFit:
+    check_model(model, storage)
+    if is_linear(model):
+        return fit_linear(train, model, storage, selected, **params)
+    return tree_pipeline(model, storage, selected, **params).fit(train)
+
+
+def elastic_net(train: DataFrame, alpha: float, l1_ratio: float) -> LinearFit:
+    """Minimizes ``|y - Xw|^2 / 2n + alpha * l1_ratio * |w|_1 + alpha * (1 - l1_ratio) / 2 * |w|^2`` over features as they are."""
+    with Blocks(train, []) as blocks:
+        ((c, weights, _),) = blocks.each(elastic_job, [([Fit()], vector_width(train), [(0, alpha * l1_ratio, alpha * (1 - l1_ratio))])])
+    return linear_fit(c, 0, weights[0], standardize=False, unit=False)
+
+
+def elastic_job(blocks: Blocks | Local, job: tuple) -> tuple[Centred, np.ndarray, list]:
+    """Moments, weights and scores of held rows for (fit, l1, l2) penalties."""
+    fits, width, penalties = job
+    c = centred(blocks, fits, width, standardize=False)
+    weights = elastic_nets(blocks, c, penalties)
+    return c, weights, held_scores(blocks, c, [j for j, _, _ in penalties], weights)
 
 
 def elastic_net_cv(
-    train: DataFrame, l1_ratios=(0.1, 0.5, 1.0), alphas=(0.1, 1.0, 10.0), folds: int = 5, parallelism: int = 4,
-    row: str = "row_index", seed: int = SEED,
-) -> tuple[Model, DataFrame]:
+    train: DataFrame, l1_ratios=(0.1, 0.5, 1.0), alphas=(0.1, 1.0, 10.0), folds: int = 5, row: str = "row_index", seed: int = SEED,
+) -> tuple[LinearFit, DataFrame]:
     """Grid search of the elastic net by cross-validated squared error: best model and ``l1_ratio, alpha, mse`` per point.
 
     Folds are those of ``kfold_labels`` on ``row``. The error is the mean over folds; of equal points the first wins, and
-    the best one is fitted again on all rows. Independent fits run side by side.
+    the best one is fitted again on all rows. All points and folds are fitted side by side, in the same passes.
     """
     fold = kfold_labels(train.select(row), row, folds, 1, seed)[0]
-    rows = train.select("y", "features", fold.alias("fold")).persist()
-    try:
-        deviation = {
-            k: rows.filter(F.col("fold") != k).agg(F.stddev_samp("y")).first()[0] or 0.0 for k in range(folds)
-        }
-        grid = list(product(map(float, l1_ratios), map(float, alphas)))
-
-        def error(job: tuple[tuple[float, float], int]) -> float:
-            (l1_ratio, alpha), k = job
-            model = _converged(elastic_net(alpha, l1_ratio, deviation[k]).fit(rows.filter(F.col("fold") != k)))
-            held = model.transform(rows.filter(F.col("fold") == k))
-            return held.agg(F.avg((F.col("prediction") - F.col("y")) ** 2)).first()[0]
-
-        with ThreadPool(parallelism) as pool:
-            errors = pool.map(error, [(point, k) for point in grid for k in range(folds)])
-        means = [sum(errors[i * folds : (i + 1) * folds]) / folds for i in range(len(grid))]
-        l1_ratio, alpha = grid[means.index(min(means))]
-        whole = rows.agg(F.stddev_samp("y")).first()[0] or 0.0
-        best = _converged(elastic_net(alpha, l1_ratio, whole).fit(rows))
-    finally:
-        rows.unpersist()
+    grid = list(product(map(float, l1_ratios), map(float, alphas)))
+    width = vector_width(train)
+    points = [(alpha * l1, alpha * (1 - l1)) for l1, alpha in grid]
+    with Blocks(train.select("features", "y", fold.alias("fold")), ["fold"]) as blocks:
+        if blocks.small:
+            jobs = [([Fit(0, k)], width, [(0, *p) for p in points]) for k in range(folds)]
+        else:
+            jobs = [([Fit(0, k) for k in range(folds)], width, [(k, *p) for k in range(folds) for p in points])]
+        scored = [s for _, _, scores in blocks.each(elastic_job, jobs) for s in scores]
+        errors = [[scored[k * len(grid) + i][0] for k in range(folds)] for i in range(len(grid))]
+        means = [float(np.mean([e**2 for e in mine if e is not None])) for mine in errors]
+        ((c, best, _),) = blocks.each(elastic_job, [([Fit()], width, [(0, *points[means.index(min(means))])])])
     table = train.sparkSession.createDataFrame(
         [(*point, mse) for point, mse in zip(grid, means, strict=True)], "l1_ratio double, alpha double, mse double"
     )
-    return best, table
+    return linear_fit(c, 0, best[0], standardize=False, unit=False), table
 
 
-def coefficients(model: Model) -> list[tuple[int, float]]:
-    """``(feature, weight)`` of a fitted linear pipeline; -1 is the intercept."""
-    linear = model.stages[-1] if hasattr(model, "stages") else model
-    return [(-1, float(linear.intercept)), *((i, float(w)) for i, w in enumerate(linear.coefficients))]
+def coefficients(model: LinearFit) -> list[tuple[int, float]]:
+    """``(feature, weight)`` of a fitted linear model, features numbered in the order they were kept; -1 is the intercept."""
+    return [(-1, model.intercept), *((i, float(w)) for i, w in enumerate(model.weights))]
