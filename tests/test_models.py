@@ -268,17 +268,34 @@ def test_holdout_equals_manual_ridge(spark, dense):
     assert r2 == pytest.approx(1 - (residual**2).sum() / ((TARGET[96:] - TARGET[96:].mean()) ** 2).sum(), rel=1e-6)
 
 
-def test_registered_experiment_runs_the_whole_grid(spark, folder, monkeypatch):
-    """No registered argument makes the job smaller, and every strategy has rows that can be fitted."""
+def test_whole_grid_with_more_features_than_rows(spark):
+    """All models, folds and repeats are really fitted, on fewer rows than features."""
+    _, _, rows = wide_rows(spark, 50, 120, 5)
+    lists = rows.select(F.unwrap_udt("features").alias("v"), "y").selectExpr(
+        "cast(row_number() over (order by y, v.values[0]) - 1 as bigint) as row_index", "y", "transform(v.indices, i -> cast(i as bigint)) as embedding_indices",
+        "v.values as embedding_values", "v.size as embedding_size",
+    ).persist()
+    strategy = X.Strategy("wide", lists.filter("row_index % 5 != 0"), lists.filter("row_index % 5 = 0"), "sparse")
+    params = {"RandomForest": {"trees": 4}, "GradientBoosting": {"trees": 5}}
+    got = X.run_experiment(spark, "toy", [strategy], params=params).collect()
+    assert len(got) == 5 * (15 + 1) and {r["model_name"] for r in got} == set(M.MODELS)
+    assert all(r["rmse"] >= 0 and r["r2"] <= 1 for r in got)
+    assert len({(r["model_name"], r["repeat"], r["fold"], r["scenario"]) for r in got}) == 80
+
+
+def test_registered_experiment_takes_every_default_and_strategy(spark, folder, monkeypatch):
     from textreg.queries.catalog import QUERIES
 
-    seen = {}
-    monkeypatch.setattr(X, "run_experiment", lambda spark, dataset, strategies, *a, **k: seen.update(s=strategies, a=a, k=k) or spark.range(1))
-    QUERIES["run_experiment"](spark, folder)
-    assert not seen["a"] and not seen["k"]
-    assert [s.name for s in seen["s"]] == ["bow", "n_gram_bow", "tf_idf", "word2vec", "word_vector_mean", "encoder"]
-    for s in seen["s"]:
-        assert X._vectors(s.train, s.storage).filter("features is not null and y is not null").count() > s.test.count() > 0
+    real, seen = X.run_experiment, {}
+
+    def small(spark, dataset, strategies, *a, **k):
+        seen.update(names=[s.name for s in strategies], a=a, k=k)
+        return real(spark, dataset, strategies, models=["Ridge"], n_splits=2, n_repeats=1)
+
+    monkeypatch.setattr(X, "run_experiment", small)
+    got = QUERIES["run_experiment"](spark, folder).collect()
+    assert not seen["a"] and not seen["k"] and len(got) == 6 * 3 and all(r["rmse"] >= 0 for r in got)
+    assert seen["names"] == ["bow", "n_gram_bow", "tf_idf", "word2vec", "word_vector_mean", "encoder"]
 
 
 def test_row_sum_order_takes_every_flag(spark, tmp_path):

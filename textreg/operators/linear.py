@@ -107,8 +107,9 @@ def _new_directions(block: np.ndarray, known: np.ndarray | None) -> np.ndarray:
     for _ in range(2):
         if known is not None:
             block = block - known @ (known.T @ block)
-        basis, singular, _ = np.linalg.svd(block, full_matrices=False)
-        block = basis[:, singular > 1e-9]
+        basis, triangle = np.linalg.qr(block)
+        turned, singular, _ = np.linalg.svd(triangle)
+        block = basis @ turned[:, singular > 1e-9]
     return block
 
 
@@ -127,16 +128,16 @@ def least_squares(blocks: Blocks | Local, c: Centred, alphas: Sequence[float], s
     start = _gram_times(blocks, c, open_fits, [r.normal(size=(u, DIRECTIONS - 1)) for _ in open_fits]) if open_fits else []
     ahead = {j: _new_directions(np.concatenate([c.xy[:, [j]], g], axis=1), None) for j, g in zip(open_fits, start, strict=True)}
     span = {j: (np.zeros((u, 0)), np.zeros((u, 0))) for j in open_fits}
-    step = 0
+    looked = dict.fromkeys(open_fits, DIRECTIONS)
     while open_fits:
         products = _gram_times(blocks, c, open_fits, [ahead[j] for j in open_fits])
-        step += 1
         left = []
         for j, product in zip(open_fits, products, strict=True):
             q, w = (np.concatenate(x, axis=1) for x in zip(span[j], (ahead[j], product), strict=True))
             following = _new_directions(product, q)
             ended = not following.shape[1] or q.shape[1] >= min(u, c.n[j])
-            if ended or step % 4 == 0:
+            if ended or q.shape[1] >= 1.4 * looked[j]:
+                looked[j] = q.shape[1]
                 found, worst = _best_of_span(q, w, c.xy[:, j], alphas)
                 out[j] = found
                 ended = ended or worst <= RESIDUAL

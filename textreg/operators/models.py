@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from itertools import product
 
 import numpy as np
-from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.linalg import VectorUDT
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from textreg.operators.linear import Centred, LinearFit, centred, elastic_nets, held_scores, least_squares, linear_fit
 from textreg.operators.splits import kfold_labels
+from textreg.operators.trees import TreeModel, boost, feature_cuts, forest, held_errors
 from textreg.plans.blocks import Blocks, Fit, Local
 from textreg.plans.stage import stage_path
 
@@ -48,30 +45,11 @@ def with_dense_vectors(rows: DataFrame, column: str = "embedding", output: str =
     return rows.withColumn(output, F.when(F.col(column).isNotNull(), array_to_vector(F.transform(F.coalesce(column, F.array()), lambda x: x.cast("double")))))
 
 
-def random_forest(
-    trees: int = 100, depth: int = 30, bins: int = 32, bootstrap: bool = True,
-) -> Estimator:
-    """Bootstrapped trees that see every feature at every split.
-
-    ``depth`` is at Spark's limit of 30; split points are searched among ``bins`` quantiles of a feature, all of them
-    where it has no more values than that.
-    """
-    return RandomForestRegressor(
-        numTrees=trees, maxDepth=depth, maxBins=bins, bootstrap=bootstrap, featureSubsetStrategy="all", seed=SEED,
-        featuresCol="x", labelCol="y",
-    )
-
-
-def gradient_boosting(trees: int = 100) -> Estimator:
-    """Boosted trees of depth 6 with learning rate 0.3."""
-    return GBTRegressor(maxIter=trees, maxDepth=6, stepSize=0.3, seed=SEED, featuresCol="x", labelCol="y")
-
-
 # Feature counts kept for sparse input: linear models and trees.
 LINEAR_K, TREE_K = 5000, 4000
 #: Objectives of the linear models: the default weight of the penalty, squared or absolute.
 SQUARED, ABSOLUTE = {"LinearRegression": 0.0, "Ridge": 1.0}, {"Lasso": 0.001}
-TREES: dict[str, Callable[..., Estimator]] = {"RandomForest": random_forest, "GradientBoosting": gradient_boosting}
+TREES = {"RandomForest": forest, "GradientBoosting": boost}
 MODELS = [*SQUARED, *ABSOLUTE, *TREES]
 
 
@@ -135,20 +113,29 @@ def fit_linear(train: DataFrame, model: str, storage: str = "dense", selected: l
     return linear_fit(c, 0, weights[model][0], standardize=dense, unit=not dense)
 
 
-def tree_pipeline(model: str, storage: str, selected: list[int] | None = None, **params) -> Pipeline:
-    """Estimator for ``train(features, y)``: the selected features of sparse input, dense input untouched."""
+def tree_job(blocks: Blocks | Local, job: tuple) -> tuple[TreeModel, np.ndarray]:
+    """A fitted tree model and the sums over the rows it has left out. ``cuts`` are those of ``feature_cuts``, for boosting."""
+    model, fit, cuts, params = job
+    fitted = boost(blocks, fit, cuts, **params) if model == "GradientBoosting" else forest(blocks, fit, **params)
+    return fitted, held_errors(blocks, Fit(fit.label, fit.held), fitted)
+
+
+def fit_trees(train: DataFrame, model: str, storage: str = "dense", selected: list[int] | None = None, **params) -> TreeModel:
+    """Fit ``train(features, y)``: a forest of exact trees on bootstraps that see every feature at every split, or trees of depth 6 boosted with
+    rate 0.3. Sparse input: the selected features as they are; absent entries are zeros to a forest and take a learned side in boosting."""
     check_model(model, storage)
-    estimator = TREES[model](**params)
-    if storage == "sparse" and selected is not None:
-        return Pipeline(stages=[VectorSlicer(inputCol="features", outputCol="x", indices=selected), estimator])
-    return Pipeline(stages=[estimator.copy({estimator.featuresCol: "features"})])
+    cuts = feature_cuts(train) if model == "GradientBoosting" else None
+    fit = Fit(features=None if selected is None else tuple(selected))
+    with Blocks(train, []) as blocks:
+        ((fitted, _),) = blocks.each(tree_job, [(model, fit, cuts, params)])
+    return fitted
 
 
-def fit_model(train: DataFrame, model: str, storage: str = "dense", selected: list[int] | None = None, **params) -> Model | LinearFit:
+def fit_model(
+    train: DataFrame, model: str, storage: str = "dense", selected: list[int] | None = None, **params
+) -> LinearFit | TreeModel:
     check_model(model, storage)
-    if is_linear(model):
-        return fit_linear(train, model, storage, selected, **params)
-    return tree_pipeline(model, storage, selected, **params).fit(train)
+    return (fit_linear if is_linear(model) else fit_trees)(train, model, storage, selected, **params)
 
 
 def elastic_net(train: DataFrame, alpha: float, l1_ratio: float) -> LinearFit:

@@ -183,6 +183,11 @@ class Blocks:
         shared.unpersist()
         return [found[k] for k in range(len(jobs))]
 
+    def over(self, run: Callable[[Iterator[Block]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        """What ``run`` yields for the blocks of each task."""
+        n_labels = self.n_labels
+        return self.frame.mapInArrow(lambda batches: run(_unpacked(batches, n_labels)), schema)
+
     def total(self, work: Callable[[Block, object], list[np.ndarray]], payload: object, shapes: list[tuple[int, ...]]) -> list[np.ndarray]:
         """Sums over all blocks of the arrays, of the given shapes, that ``work(block, payload)`` returns."""
         n_labels = self.n_labels
