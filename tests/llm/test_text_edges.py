@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 from brute import best_segmentation, without_repeated_lines
+from pyspark.sql import functions as F
 
 from textreg.llm.chat import format_chats, read_back
 from textreg.llm.decontaminate import find_contamination
@@ -26,6 +27,24 @@ def frame(spark, rows, schema=CLASH):
     return spark.createDataFrame([(i, t, 1, "k", 2, 3, 4, 5) for i, t in rows], schema)
 
 
+def test_blocks_of_rows_from_no_file(spark, monkeypatch):
+    """Shuffled rows fall into many blocks by size, whatever their partitions, and keep their segmentations."""
+    from textreg.llm import sentence_pieces
+
+    rows = [(k, f"some text number {k} " * 5) for k in range(60)] + [(None, "alike")] * 3 + [(7, "another")]
+    whole = sorted((str(r["doc_id"]), r["pieces"]) for r in encode(frame(spark, rows)).collect())
+    monkeypatch.setattr(sentence_pieces, "BLOCK_BYTES", 500)
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merge, "false")
+    try:
+        for parts in (1, 9):
+            coded = encode(frame(spark, rows).repartition(parts)).withColumn("part", F.spark_partition_id()).collect()
+            assert sorted((str(r["doc_id"]), r["pieces"]) for r in coded) == whole
+            assert len({r["part"] for r in coded}) > 2
+    finally:
+        spark.conf.unset(merge)
+
+
 def by_id(df, *columns):
     return {r["doc_id"]: tuple(r[c] for c in columns) for r in df.collect()}
 

@@ -18,13 +18,14 @@ from textreg.llm.pieces import (
 )
 
 #: Distinct words that a task collects before it hands their units on, words whose ids it keeps, bytes of text in one packed row.
-HELD_WORDS = 500_000
-KNOWN_WORDS = 200_000
-PACK_BYTES = 4 << 20
+HELD_WORDS = 250_000
+KNOWN_WORDS = 100_000
+PACK_BYTES = 2 << 20
 #: Lattices per shuffle partition are kept few by this factor: a unit has many edges.
 SPREAD = 8
-#: Blocks of documents per split of the input files.
+#: Blocks of documents per split of the input files, and bytes of text of a block of rows that come from no file.
 BLOCKS = 1
+BLOCK_BYTES = 24 << 20
 
 
 def _distinct_units(cut):
@@ -116,7 +117,10 @@ def lattice(distinct: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
     return folded.select("unit", F.aggregate(F.sequence(F.lit(1), n), start, back)["ids"].alias("ids"))
 
 
-_PACKED = "block bigint, is_text boolean, packed binary"
+_PACKED = "block bigint, is_text boolean, hash bigint, ids array<int>, packed binary"
+_PACKED_SCHEMA = pa.schema([
+    ("block", pa.int64()), ("is_text", pa.bool_()), ("hash", pa.int64()), ("ids", pa.list_(pa.int32())), ("packed", pa.binary())
+])
 
 
 def _stream(batch: pa.RecordBatch) -> bytes:
@@ -126,47 +130,24 @@ def _stream(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _row(block: int, is_text: bool, batch: pa.RecordBatch) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([block], pa.int64()), pa.array([is_text]), pa.array([_stream(batch)], pa.binary())],
-        names=["block", "is_text", "packed"],
-    )
-
-
-def _pack_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The units' hashes and ids of a task, one compressed row per block."""
-    held: list[pa.RecordBatch] = []
-    n = 0
-
-    def out() -> Iterator[pa.RecordBatch]:
-        if held:
-            table = pa.Table.from_batches(held).combine_chunks().sort_by([("block", "ascending"), ("hash", "ascending")])
-            blocks = table.column("block").to_numpy()
-            edges = np.concatenate([[0], np.flatnonzero(blocks[1:] != blocks[:-1]) + 1, [len(blocks)]]).tolist()
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                part = table.slice(a, b - a).select(["hash", "ids"]).combine_chunks().to_batches()[0]
-                yield _row(int(blocks[a]), False, part)
-
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            n += batch.num_rows
-        if n >= HELD_WORDS:
-            yield from out()
-            held, n = [], 0
-    yield from out()
-
-
 _DOCS = pa.schema([("id", pa.int64()), ("text", pa.string())])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of a block as one compressed Arrow stream per few megabytes."""
     held: dict[int, list] = {}
+    waiting = 0
 
     def row(block: int) -> pa.RecordBatch:
         ids, texts, _ = held.pop(block)
-        return _row(block, True, pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], schema=_DOCS))
+        docs = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], schema=_DOCS)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([block], pa.int64()), pa.array([True]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())),
+                pa.array([_stream(docs)], pa.binary()),
+            ],
+            schema=_PACKED_SCHEMA,
+        )
 
     for batch in batches:
         for block, id_, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -174,10 +155,14 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(id_)
             texts.append(text)
             size[0] += len(text or "")
+            waiting += len(text or "")
             if size[0] >= PACK_BYTES or len(ids) >= 20_000:
+                waiting -= size[0]
                 yield row(block)
-    for block in list(held):
-        yield row(block)
+            elif waiting >= 8 * PACK_BYTES:
+                waiting = 0
+                yield from map(row, list(held))
+    yield from map(row, list(held))
 
 
 _OUT = pa.schema([("id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("pieces", pa.list_(pa.int32()))])
@@ -185,13 +170,11 @@ _OUT_TYPES = "id bigint, text string, n_words bigint, pieces array<int>"
 
 
 class _UnitIds:
-    """Ids of a block's units, by the hash of the unit, in flat arrays."""
+    """Ids of a block's units, by the hash of the unit, in flat arrays; rows come in the order of their hashes."""
 
-    def __init__(self, parts: list[pa.RecordBatch]):
-        table = pa.Table.from_batches(parts).combine_chunks().sort_by("hash")
-        ids = table.column("ids").combine_chunks()
-        self.hashes, self.ids, self.starts = table.column("hash").to_numpy(), ids.flatten().to_numpy(), ids.offsets.to_numpy()
-        self.base = int(self.starts[0])
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.hashes, self.ids = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        self.starts = np.concatenate([[0], np.cumsum(np.concatenate([p[2] for p in parts]))])
 
     def get(self, unit: bytes) -> tuple[int, ...]:
         h = xxhash.xxh64_intdigest(unit, seed=42)
@@ -199,11 +182,11 @@ class _UnitIds:
         at = int(np.searchsorted(self.hashes, h))
         if at == len(self.hashes) or self.hashes[at] != h:
             return ()
-        return tuple(self.ids[self.starts[at] - self.base : self.starts[at + 1] - self.base].tolist())
+        return tuple(self.ids[self.starts[at] : self.starts[at + 1]].tolist())
 
 
 def _assemble(shared):
-    """Sorted rows of a block: the ids of its units first, then its packed documents."""
+    """Sorted rows of a block: the ids of its units first, by hash, then its packed documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelled, cut, *pieces_of = shared.value
@@ -223,18 +206,23 @@ def _assemble(shared):
             return out
 
         for batch in batches:
-            blocks, are_text, packs = batch.columns
-            for k in range(batch.num_rows):
-                block = blocks[k].as_py()
-                if block != now:
-                    now, parts, table, known = block, [], None, {}
-                found = list(pa.ipc.open_stream(packs[k].as_py()))
-                if not are_text[k].as_py():
-                    parts += found
+            blocks, are_text = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            k = 0
+            while k < batch.num_rows:
+                if blocks[k] != now:
+                    now, parts, table, known = blocks[k], [], None, {}
+                if not are_text[k]:
+                    same = np.flatnonzero((blocks[k:] != now) | are_text[k:])
+                    end = k + int(same[0]) if len(same) else batch.num_rows
+                    ids = batch.column(3).slice(k, end - k)
+                    hashes = batch.column(2).slice(k, end - k).to_numpy()
+                    parts.append((hashes.copy(), ids.flatten().to_numpy().copy(), ids.value_lengths().to_numpy()))
+                    k = end
                     continue
                 if table is None and parts:
                     table, parts = _UnitIds(parts), []
-                for docs in found:
+                k += 1
+                for docs in pa.ipc.open_stream(batch.column(4)[k - 1].as_py()):
                     for at in range(0, docs.num_rows, 500):
                         part = docs.slice(at, 500)
                         split = [words(t.as_py()) for t in part.column(1)]
@@ -257,18 +245,23 @@ def encode(
     """Segment texts into pieces: ``id_col``, ``text_col``, ``n_words``, ``pieces`` (ids), one row per document.
 
     Only distinct units go through the lattice; those of more than ``UNIT_CHARS`` are segmented where their documents are. Documents are dealt into blocks: the split of the input file they come from
-    and a hash of the id (``blocks`` of them; raise it for splits of more than some 50 MB). A block's distinct units
-    find their ids by a join on the unit and return to the block, where its packed documents wait; so texts move once,
+    and a hash of the id (``blocks`` of them; raise it for splits of more than some 50 MB). Rows that come from no file, because they were made or shuffled, fall
+    into blocks of some ``BLOCK_BYTES`` by the hash of id and text. A block's distinct units
+    find their ids by a join on the unit and return to the block, one row each, where its packed documents wait; so texts move once,
     compressed, and a task holds the units of one block.
 
-    Null and empty texts have no pieces. One row out per row in, whatever the ids. Other columns are ignored. U+2581 in a
+    Null and empty texts have no pieces, and an empty table gives none. One row out per row in, whatever the ids. Other columns are ignored. U+2581 in a
     text is read as a blank, as in the library that defines these models.
     """
     spark = docs.sparkSession
     plain = {p: (i, round(s * 10**DIGITS)) for i, p, s, byte in vocabulary(model) if byte < 0}
     byte_ids = [i for _, i in sorted((byte, i) for i, _, _, byte in vocabulary(model) if byte >= 0)]
     cut = cut_pattern(plain)
-    block = F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)))
+    sizes = docs.select(F.when(F.input_file_name() == "", F.octet_length(F.col(text_col).cast("string"))).alias("size"))
+    loose = sizes.agg(F.sum("size")).first()[0] or 0
+    by_hash = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 + loose // BLOCK_BYTES))
+    by_file = F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)))
+    block = F.when(F.input_file_name() == "", by_hash).otherwise(by_file)
     read = docs.select(
         block.alias("block"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")
     )
@@ -280,8 +273,9 @@ def encode(
     shared = spark.sparkContext.broadcast((
         _spelled(model), cut, ends_of_pieces({p: s for p, (_, s) in plain.items()}), {p: i for p, (i, _) in plain.items()}, byte_ids,
     ))
-    rows = back.mapInArrow(_pack_ids, _PACKED).unionByName(read.select("block", "id", "text").mapInArrow(_pack, _PACKED))
-    sorted_rows = rows.repartition("block").sortWithinPartitions("block", "is_text")
+    ids = back.select("block", F.lit(False).alias("is_text"), "hash", "ids", F.lit(None).cast("binary").alias("packed"))
+    rows = ids.unionByName(read.select("block", "id", "text").mapInArrow(_pack, _PACKED))
+    sorted_rows = rows.repartition("block").sortWithinPartitions("block", "is_text", "hash")
     return sorted_rows.mapInArrow(_assemble(shared), _OUT_TYPES).withColumnsRenamed({"id": id_col, "text": text_col})
 
 
