@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textreg.functions.tokens import ngrams
+from textreg.functions.tokens import ngrams, tokenize_by_strategy
 from textreg.operators.quality import require_fitted_state
 from textreg.operators.reshape import sparse_payload
 from textreg.plans.ordering import add_row_index
 from textreg.plans.skew import lookup_join
+from textreg.plans.stage import write_stage
 
 
 @dataclass(frozen=True)
@@ -50,16 +51,29 @@ class FittedVocabulary:
         return cls(meta["method"], terms, meta["n_documents"], meta["size"], meta["ngram_n"])
 
 
-def term_counts(docs: DataFrame, row: str = "row_index", tokens: str = "tokens", n: int | None = None) -> DataFrame:
-    """``(row_index, term, n)``; a document without tokens stays as one row with a null term.
+def store_tokens(
+    docs: DataFrame, text: str = "text", row: str = "row_index", keep: Sequence[str] = (), strategy: str = "document", language: str = "english",
+) -> DataFrame:
+    """``(row_index, *keep, tokens)``, written once for all passes over the tokens.
+
+    Rows are dealt out by ``row`` before they are tokenized, so that a file which cannot be split is not one task.
+    """
+    dealt = docs.select(row, *keep, text).repartition(row)
+    return write_stage(dealt.select(row, *keep, tokenize_by_strategy(text, strategy, language).alias("tokens")), "tokens")
+
+
+def term_counts(
+    docs: DataFrame, row: str = "row_index", tokens: str = "tokens", n: int | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
+    """``(row_index, *keep, term, n)``; a document without tokens stays as one row with a null term.
 
-    ``n`` adds the n-grams after the tokens. Documents are spread by row before they are exploded, so
+    ``n`` adds the n-grams after the tokens; ``keep`` names columns of the document that go along. Documents are spread by row before they are exploded, so
     counting here and collecting per row later both need no further shuffle.
     """
     features = F.col(tokens) if n is None else F.concat(tokens, ngrams(tokens, n))
-    spread = docs.select(row, F.col(tokens)).repartition(row)
-    exploded = spread.select(row, F.explode_outer(features).alias("term"))
-    return exploded.groupBy(row, "term").agg(F.count("term").alias("n"))
+    spread = docs.select(row, *keep, F.col(tokens)).repartition(row)
+    exploded = spread.select(row, *keep, F.explode_outer(features).alias("term"))
+    return exploded.groupBy(row, *keep, "term").agg(F.count("term").alias("n"))
 
 
 def fit_vocabulary(
@@ -90,37 +104,37 @@ def fit_vocabulary(
 
 
 def weighted_terms(
-    docs: DataFrame, fitted: FittedVocabulary, row: str = "row_index", tokens: str = "tokens"
+    docs: DataFrame, fitted: FittedVocabulary, row: str = "row_index", tokens: str = "tokens", keep: Sequence[str] = ()
 ) -> DataFrame:
-    """``(row_index, term_index, value)`` per known term; a row without any has one null entry.
+    """``(row_index, *keep, term_index, value)`` per known term; a row without any has one null entry.
 
     Values are counts, or count times idf without length normalization.
     """
-    counts = term_counts(docs, row, tokens, fitted.ngram_n if fitted.method == "n-gram+BoW" else None)
+    counts = term_counts(docs, row, tokens, fitted.ngram_n if fitted.method == "n-gram+BoW" else None, keep)
     known = lookup_join(
         counts, fitted.terms.select("term", "term_index", "idf"), "term", "left", spread_by=row, stored=True,
         hot=fitted.frequent_terms(),
     )
     value = F.col("n") * F.col("idf") if fitted.weighted else F.col("n").cast("double")
-    return known.select(row, "term_index", F.when(F.col("term_index").isNotNull(), value).alias("value"))
+    return known.select(row, *keep, "term_index", F.when(F.col("term_index").isNotNull(), value).alias("value"))
 
 
 def transform_documents(
-    docs: DataFrame, fitted: FittedVocabulary, row: str = "row_index", tokens: str = "tokens"
+    docs: DataFrame, fitted: FittedVocabulary, row: str = "row_index", tokens: str = "tokens", keep: Sequence[str] = ()
 ) -> DataFrame:
-    """One sparse row per document, as wide as the vocabulary. Unknown terms drop out, empty documents stay."""
+    """One sparse row per document, as wide as the vocabulary, with its ``keep`` columns. Unknown terms drop out, empty documents stay."""
     entry = F.when(
         F.col("term_index").isNotNull(), F.struct(F.col("term_index").alias("i"), F.col("value").alias("v"))
     )
     indices, values = sparse_payload(entry)
-    return weighted_terms(docs, fitted, row, tokens).groupBy(row).agg(
+    return weighted_terms(docs, fitted, row, tokens, keep).groupBy(row, *keep).agg(
         indices.alias("embedding_indices"), values.alias("embedding_values")
     ).withColumn("embedding_size", F.lit(fitted.size).cast("int"))
 
 
-def fit_transform(docs: DataFrame, method: str, ngram_n: int = 2, row: str = "row_index") -> DataFrame:
-    """Fit and transform the same documents."""
-    return transform_documents(docs, fit_vocabulary(docs, method, ngram_n, row), row)
+def fit_transform(docs: DataFrame, method: str, ngram_n: int = 2, row: str = "row_index", keep: Sequence[str] = ()) -> DataFrame:
+    """Fit and transform the same documents; tokens that took work should be stored first."""
+    return transform_documents(docs, fit_vocabulary(docs, method, ngram_n, row), row, keep=keep)
 
 
 # Accepted spellings of the trained methods.

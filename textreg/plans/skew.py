@@ -5,8 +5,9 @@ from __future__ import annotations
 import functools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 from textreg.plans.stage import write_stage
 
@@ -14,12 +15,25 @@ MAX_BROADCAST_ROWS = 500_000
 MAX_BROADCAST_BYTES = 64 << 20
 
 
+def _bytes(value: Column, kind: DataType) -> Column:
+    """Size of a value in memory: lengths of text and lists, 8 for any other field."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, (StringType, BinaryType, ArrayType, StructType)):
+            inner = F.aggregate(value, F.lit(0).cast("bigint"), lambda n, x: n + _bytes(x, kind.elementType))
+        else:
+            inner = 8 * F.size(value)
+        return F.coalesce(inner, F.lit(0)) + 16
+    if isinstance(kind, StructType):
+        return sum((_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    return F.lit(8)
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
-    """Measure ``df`` (rows and their text form) against the broadcast bound."""
-    size = df.agg(
-        F.count("*").alias("rows"),
-        F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes"),
-    ).first()
+    """Measure ``df`` (rows and their sizes by type) against the broadcast bound."""
+    row = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0))
+    size = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(row.cast("bigint")), F.lit(0)).alias("bytes")).first()
     return size["rows"] <= max_rows and size["bytes"] <= max_bytes
 
 

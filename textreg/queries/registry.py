@@ -15,11 +15,17 @@ class Tables:
     """The parquet tables of one folder; ``t.orders`` reads one lazily."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+        self.spark, self.folder, self.kept = spark, folder.rstrip("/"), {}
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """What ``build`` returns, built at its first use in a query."""
+        if name not in self.kept:
+            self.kept[name] = build()
+        return self.kept[name]
+
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 

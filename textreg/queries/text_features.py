@@ -38,11 +38,13 @@ FITTED2 = f"with {DOCS}, {OCC2}, {VOCAB}, {TERMS}"
 
 
 def documents(t):
-    return t.documents.select(F.col("doc_id").alias("row_index"), K.tokenize_by_strategy("text").alias("tokens"))
+    """``row_index, y, tokens`` of all documents, with the log of their length as ``y``; tokenized and stored once per query."""
+    rows = t.documents.select(F.col("doc_id").alias("row_index"), F.log1p("n_chars").alias("y"), "text")
+    return t.once("documents", lambda: V.store_tokens(rows, keep=["y"]))
 
 
 def benchmark(t):
-    return t.benchmark.select(F.col("item_id").alias("row_index"), K.tokenize_by_strategy("text").alias("tokens"))
+    return t.once("benchmark", lambda: V.store_tokens(t.benchmark.select(F.col("item_id").alias("row_index"), "text")))
 
 
 def _list_facts(name: str) -> list:
@@ -60,8 +62,9 @@ def _list_sql(expression: str) -> str:
     w as (select lang, term, round(count(*) * any_value(idf), 6) as weight from occ join idf using (term) group by 1, 2)
     select lang, term, weight, cast(row_number() over (partition by lang order by weight desc, term) as integer) as rank from w qualify rank <= 20""")
 def tfidf_top_terms(t):
-    words = F.filter(K.tokenize_by_strategy("text"), lambda w: w.rlike(r"[\p{L}\p{N}_]"))
-    return top_weighted_terms(t.documents.select("lang", words.alias("tokens")), "lang")
+    words = F.filter("tokens", lambda w: w.rlike(r"[\p{L}\p{N}_]"))
+    stored = V.store_tokens(t.documents, row="doc_id", keep=["lang"])
+    return top_weighted_terms(stored.select("lang", words.alias("tokens")), "lang")
 
 
 @query("tokenize_words", _list_sql(WORDS.format("text")))
@@ -169,7 +172,7 @@ def tfidf_transform(t):
 @query("fit_transform_oneshot", f"""
     with docs as (select row_number() over (order by conv_id, turn) - 1 as row_index, {_kept('text')} as tokens from conversations), {OCC}, {VOCAB}, {TERMS}""" + TFIDF_ENTRIES)
 def fit_transform_oneshot(t):
-    turns = add_row_index(t.conversations, ["conv_id", "turn"]).select("row_index", K.tokenize_by_strategy("text").alias("tokens"))
+    turns = V.store_tokens(add_row_index(t.conversations, ["conv_id", "turn"]))
     return rows_to_triplets(V.fit_transform(turns, "tf idf")).withColumn("value", F.round("value", 3))
 
 
