@@ -1,7 +1,7 @@
 """Training windows from conversations: rendered turns, a token budget, and a loss mask. DataFrame functions only.
 
-A turn is rendered as ``<|turn|>role``, a line break, its text, ``<|end|>``. Control strings inside roles and texts are
-escaped with backslashes, so the rendered text can be read back exactly.
+A turn is rendered as ``<|turn|>role``, a line break, its text, ``<|end|>``. Inside roles and texts the characters that control strings
+need (``<``, ``>``, ``[``) are escaped with backslashes, so the rendered text can be read back exactly.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN, END = "<|turn|>", "<|end|>"
-#: Control strings and what stands for them inside a text. A backslash itself is doubled first.
-ESCAPES = {"<|": r"\<", "|>": r"\>", "<s>": r"\S", "</s>": r"\s", "[INST]": r"\I", "[/INST]": r"\i"}
+#: Every control string has one of these characters, and what stands for them has none. A backslash itself is doubled first.
+ESCAPES = {"<": r"\l", ">": r"\g", "[": r"\b"}
 BUDGET = 2048
 HISTORY = 512
 
