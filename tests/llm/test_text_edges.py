@@ -110,6 +110,20 @@ def test_chat_windows(spark):
     assert format_chats(df.limit(0)).count() == 0
 
 
+def test_escapes_of_all_short_texts(spark):
+    """Every text of up to six of the characters that control strings are made of reads back, holds no control string, and stays distinct."""
+    from itertools import product
+
+    from textreg.llm.chat import escape, unescape
+
+    texts = ["".join(x) for n in range(7) for x in product("<|>/s[\\", repeat=n)] + ["[INST]", "[/INST]</s>", "\\l\\\\g<"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(8).withColumn("e", escape(F.col("t")))
+    bad = df.filter((unescape(F.col("e")) != F.col("t")) | F.col("e").rlike(r"<\||\|>|</?s>|\[/?INST\]"))
+    assert bad.isEmpty() and df.select("e").distinct().count() == len(set(texts))
+    chats = spark.createDataFrame([(k, 0, "assistant", t) for k, t in enumerate(["<|s>", "<|/s>", "\\S", "<<||>>"])], "conv_id bigint, turn int, role string, text string")
+    assert {r["conv_id"]: r["learned"] for r in read_back(format_chats(chats)).collect()} == dict(enumerate(["<|s>", "<|/s>", "\\S", "<<||>>"]))
+
+
 def test_chat_history_reaches_over_short_windows(spark):
     """A and B end windows 0 and 1 just before C, which is longer than a stretch: both are its history."""
     sizes = [("start", 1510), ("A", 20), ("B", 10), ("C", 5000), ("D", 30), ("E", 1200)]
@@ -281,7 +295,30 @@ def test_surrogates_differ(spark):
     got = assign_surrogates(spark.createDataFrame(entities, "kind string, entity string"), b"k").collect()
     assert len({(r["kind"], r["stand_in"]) for r in got}) == len(set(entities)) == len(got)
     assert not {(r["kind"], r["stand_in"]) for r in got} & set(entities)
-    assert surrogate("name", "f:anna müller", b"k", 0).startswith("f:") and surrogate("ip", "10.0.0.1", b"k", 0) == surrogate("ip", "10.0.0.1", b"k", 0)
+    assert surrogate("family", "müller", b"k", 0) == surrogate("family", "müller", b"k", 0, "f") and surrogate("ip", "10.0.0.1", b"k", 0) == surrogate("ip", "10.0.0.1", b"k", 0)
+
+
+def test_names_are_distinct_and_shared_between_mentions(spark):
+    """Thousands of people: as rendered, one surrogate per name and one name per surrogate, none of them real; brute force over all mentions."""
+    r = random.Random(9)
+    part = lambda: "".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(r.choice([2, 3]))).capitalize()
+    people = [(r.choice(["Mr", "Mrs", "Dr"]), part(), part()) for _ in range(1500)]
+    rows = [(k, f"{t}. {g} {f} met {r.choice(['Mr', 'Mrs', 'Prof'])} {f}. {t} {f.upper()} left.") for k, (t, g, f) in enumerate(people)]
+    rows += [(5001, "Dr 王小明 met Mr. 王小明; Frau Օրիորդ and Herr Γιώργος Παπαδόπουλος, Господин Иван Петров, Mr. O'Neil-Smith")]
+    out = {x["doc_id"]: x["text"] for x in replace_personal_data(frame(spark, rows), b"key").collect()}
+    given, family = {}, {}
+    for k, (t, g, f) in enumerate(people):
+        words = out[k].replace(".", "").split()
+        assert words[0] == t and words[2].upper() == words[7] and words[2] == words[5]
+        given.setdefault(g, set()).add(words[1])
+        family.setdefault(f, set()).add(words[2])
+    assert all(len(x) == 1 for x in [*given.values(), *family.values()])
+    drawn = [x for names in (given, family) for names_of in names.values() for x in names_of]
+    assert len(drawn) == len(set(drawn)) and not set(drawn) & {*given, *family}
+    words = out[5001].split()
+    assert words[1] == words[4].rstrip(";") and len(words[1]) == 3 and all("一" <= c <= "鿿" for c in words[1]) and words[1] != "王小明"
+    assert all("\u0530" <= c <= "\u058f" for c in words[6]) and words[6] != "Օրիորդ"
+    assert "Γιώργος" not in out[5001] and "Παπαδόπουλος" not in out[5001] and "Neil" not in out[5001]
 
 
 def test_forms_of_phone_numbers_and_addresses():

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import ipaddress
 import re
 import string
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,7 +45,7 @@ _TITLES = {
     "n": ("Dr", "Prof", "Professor"),
 }
 _GENDER = {t: g for g, titles in _TITLES.items() for t in titles}
-_NAME_PART = r"[^\W\d_a-zà-öø-ÿа-яά-ώ][^\W\d_]+(?:[-'’][^\W\d_]+)*"
+_NAME_PART = r"[^\W\d_a-zà-öø-ÿа-яά-ώ](?:[^\W\d_]+(?:[-'’][^\W\d_]+)*|(?:[-'’][^\W\d_]+)+)"
 _NAME = re.compile(rf"\b({'|'.join(sorted(_GENDER, key=len, reverse=True))})\b\.?[  ]+({_NAME_PART}(?:[  ]{_NAME_PART}){{0,2}})")
 # Given names per script and gender. Family names are built from syllables.
 _GIVEN = {
@@ -58,6 +60,12 @@ _GIVEN = {
     },
     "greek": {"f": "Άννα Ελένη Μαρία Σοφία".split(), "m": "Γιάννης Νίκος Πέτρος Σπύρος".split(), "n": "Άλεξ Σάσα".split()},
 }
+# Endings of built given names per script and gender.
+_ENDINGS = {
+    "latin": {"f": ("a", "ina", "ela"), "m": ("an", "us", "or"), "n": ("i", "y", "is")},
+    "cyrillic": {"f": ("а", "ина", "ия"), "m": ("ан", "ор", "ил"), "n": ("и", "о")},
+    "greek": {"f": ("α", "η"), "m": ("ος", "ας", "ης"), "n": ("ι", "υ")},
+}
 _SYLLABLES = {
     "latin": ("b c d f g h k l m n p r s t v w".split(), "a e i o u".split()),
     "cyrillic": ("б в г д ж з к л м н п р с т".split(), "а е и о у".split()),
@@ -73,14 +81,27 @@ def _luhn(digits: str) -> bool:
 
 
 def _script(text: str) -> str:
+    """The script of the first letter; scripts without a table of names are ``other``."""
     for c in text:
         if "Ѐ" <= c <= "ӿ":
             return "cyrillic"
-        if "Ͱ" <= c <= "Ͽ":
+        if "Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "῿":
             return "greek"
+        if c.isalpha():
+            return "latin" if c < "ɐ" or "Ḁ" <= c <= "ỿ" else "other"
     return "latin"
 
 
+@functools.cache
+def _alike(c: str) -> str:
+    """Letters near ``c`` of its script (the first word of its Unicode name) and case."""
+    size = 4096 if c >= "⺀" else 256
+    first = ord(c) - ord(c) % size
+    script = unicodedata.name(c, "").split(" ")[0]
+    near = (x for x in map(chr, range(first, first + size)) if x.isalpha() and unicodedata.name(x, "").split(" ")[0] == script)
+    return "".join(x for x in near if x.islower() == c.islower() and x.isupper() == c.isupper()) or c
+
+
 def _ascii_digits(text: str) -> str:
     """Digits of any script as ASCII ones."""
     return text if text.isascii() else _DIGIT.sub(lambda m: str(int(m[0])), text)
@@ -96,8 +117,11 @@ def _ipv6(value: str) -> str | None:
 
 
 def detect(text: str) -> list[tuple[int, int, str, str]]:
-    """``(start, end, kind, entity)`` of the personal data in a text, without overlaps: the first and longest wins."""
-    found = []
+    """``(start, end, kind, entity)`` of the personal data in a text, without overlaps: the first and longest wins.
+
+    Each word of a name is an entity: ``family``, or ``given`` with its gender before a colon.
+    """
+    found: list[tuple] = []
     has_digit = _DIGIT.search(text) is not None
     for kind, (needs, pattern) in _PATTERNS.items():
         if needs not in text or not (has_digit or kind in ("email", "secret", "access_key", "ipv6")):
@@ -124,19 +148,28 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             else:
                 entity = value
             found.append((a, b, "ip" if kind == "ipv6" else kind, entity))
-    for m in _NAME.finditer(text):
-        found.append((*m.span(2), "name", f"{_GENDER[m.group(1)]}:{' '.join(m.group(2).casefold().split())}"))
+    names = [m for m in _NAME.finditer(text)]
+    found += [(*m.span(2), "name", m) for m in names]
     out: list[tuple[int, int, str, str]] = []
     order = {k: i for i, k in enumerate(_PATTERNS)}
     for x in sorted(found, key=lambda x: (x[0], -x[1], order.get(x[2], 99))):
         if not out or x[0] >= out[-1][1]:
             out.append(x)
-    return out
+    return [y for x in out for y in (_name_parts(x[3]) if x[2] == "name" else [x])]
+
+
+def _name_parts(found: re.Match) -> list[tuple[int, int, str, str]]:
+    """The words of a name: the last is a family name, the others are given names with the gender that the title tells."""
+    words = [(found.start(2) + w.start(), found.start(2) + w.end(), w[0].casefold()) for w in re.finditer(r"[^  ]+", found.group(2))]
+    gender = _GENDER[found.group(1)]
+    return [(a, b, "given", f"{gender}:{w}") for a, b, w in words[:-1]] + [(a, b, "family", w) for a, b, w in words[-1:]]
 
 
 _ALNUM = string.ascii_letters + string.digits
 #: From this attempt on the shape of an entity no longer bounds its surrogates, from the next on no corpus can fill their space.
 WIDE, LONG = 4, 8
+#: Kinds that are words of a name; no two of them may look alike.
+NAMES = ("given", "family")
 #: Symbols that surrogates are longer by, from attempt ``LONG`` on.
 MORE = 24
 
@@ -164,30 +197,45 @@ def _letter(c: str, draws: _Draws) -> str:
         return str(draws.below(10)) if c.isascii() else c
     if not c.isalpha():
         return c
+    if _script(c) == "other":
+        return _alike(c)[draws.below(len(_alike(c)))]
     hard, soft = _SYLLABLES[_script(c)]
     pool = soft if c.lower() in "aeiouàáâãäåèéêëìíîïòóôõöùúûüаеёиоуыэюяαεηιουωάέήίόύώ" else hard
     new = pool[draws.below(len(pool))]
     return new.upper() if c.isupper() else new
 
 
-def surrogate(kind: str, entity: str, key: bytes, attempt: int) -> str:
+def _name(kind: str, word: str, gender: str, draws: _Draws, attempt: int) -> str:
+    """Another name of the script: a family name of syllables, a given name of the gender, from a list at first and then built.
+
+    Scripts without tables keep the length of the word.
+    """
+    script = _script(word)
+    if script == "other":
+        return "".join(_letter(c, draws) for c in word) + "".join(_letter(word[0], draws) for _ in range(attempt // 4))
+    if kind == "given" and attempt == 0:
+        return _GIVEN[script][gender][draws.below(len(_GIVEN[script][gender]))].casefold()
+    hard, soft = _SYLLABLES[script]
+    syllables = [hard[draws.below(len(hard))] + soft[draws.below(len(soft))] for _ in range(2 + draws.below(2) + attempt // 8)]
+    if kind == "family":
+        return "".join(syllables)
+    endings = _ENDINGS[script][gender]
+    return "".join(syllables)[:-1] + endings[draws.below(len(endings))]
+
+
+def surrogate(kind: str, entity: str, key: bytes, attempt: int, gender: str = "n") -> str:
     """A keyed stand-in of the same kind and shape. The same key, entity and attempt give the same one.
 
+    Names are drawn by the name alone, so it has one stand-in wherever it stands; ``gender`` only chooses among names.
+
     Shapes with few values can all be taken: from attempt ``WIDE`` on addresses and secrets leave theirs, from ``LONG`` on
     all kinds but names (which grow by themselves) are longer by ``MORE`` symbols, so a free value is sure to be met.
     """
     draws = _Draws(key, kind, entity, attempt)
-    if kind != "name" and attempt >= LONG:
+    if kind in NAMES:
+        return _name(kind, entity, gender, draws, attempt)
+    if attempt >= LONG:
         return _long(kind, entity, draws)
-    if kind == "name":
-        gender, name = entity.split(":", 1)
-        script, words = _script(name), name.split(" ")
-        hard, soft = _SYLLABLES[script]
-        out = [_GIVEN[script][gender][draws.below(len(_GIVEN[script][gender]))]] if len(words) > 1 else []
-        while len(out) < len(words):
-            size = 2 + draws.below(2) + attempt // 8
-            out.append("".join(hard[draws.below(len(hard))] + soft[draws.below(len(soft))] for _ in range(size)).capitalize())
-        return f"{gender}:{' '.join(out).casefold()}"
     if kind == "email":
         local, _, domain = entity.rpartition("@")
         host, _, top = domain.rpartition(".")
@@ -257,15 +305,8 @@ def _symbol(c: str, draws: _Draws) -> str:
 
 def render(kind: str, seen: str, stand_in: str) -> str:
     """The surrogate in the format of the occurrence: its separators and its case."""
-    if kind == "name":
-        words = iter(stand_in.split(":", 1)[1].split(" "))
-        drawn = []
-        for part in re.split(r"([  ]+)", seen):
-            if part.strip("  "):
-                word = next(words)
-                part = word.upper() if part.isupper() and len(part) > 1 else word.capitalize()
-            drawn.append(part)
-        return "".join(drawn)
+    if kind in NAMES:
+        return stand_in.upper() if seen.isupper() and len(seen) > 1 else stand_in.capitalize()
     if kind in ("phone", "card", "ssn", "iban"):
         new = iter(stand_in)
         return "".join(_as_digit(next(new), c) if c.isalnum() else c for c in seen) + "".join(new)
@@ -305,9 +346,9 @@ def _draw(key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*[c.to_pylist() for c in batch.columns], strict=True)
-            stand_ins = [surrogate(kind, entity, key, attempt) for kind, entity, attempt in rows]
+            stand_ins = [surrogate(kind, entity, key, attempt, gender or "n") for kind, entity, gender, attempt in rows]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(stand_ins, pa.string())], names=["kind", "entity", "attempt", "stand_in"]
+                [*batch.columns, pa.array(stand_ins, pa.string())], names=["kind", "entity", "gender", "attempt", "stand_in"]
             )
 
     return run
@@ -315,26 +356,30 @@ def _draw(key: bytes):
 
 def assign_surrogates(entities: DataFrame, key: bytes, rounds: int = 60) -> DataFrame:
     """``kind, entity`` to ``kind, entity, attempt, stand_in``, such that no two entities of a kind share a surrogate and
-    no surrogate is an entity of the corpus.
+    no surrogate is an entity of the corpus. Words of names count as one kind, given or family, and whatever their gender.
 
     All entities draw; of those that drew alike the least keeps its draw, the others and those that drew a real entity
     draw again, in wider spaces after a few attempts and then in ones that no corpus fills, so all come to an end. The
-    table has one row per distinct entity and stays distributed. More than ``rounds`` rounds would be a broken hash.
+    table has one row per distinct entity and stays distributed. More than ``rounds`` rounds would be a broken hash. ``gender`` is
+    optional; of several of a name the least letter counts.
     """
-    types = "kind string, entity string, attempt int, stand_in string"
-    real = stage(entities.select("kind", "entity").distinct(), "entities")
+    types = "kind string, entity string, gender string, attempt int, stand_in string"
+    gender = F.min("gender") if "gender" in entities.columns else F.lit(None).cast("string")
+    space = lambda: F.when(F.col("kind").isin(*NAMES), "name").otherwise(F.col("kind")).alias("space")
+    real = stage(entities.groupBy("kind", "entity").agg(gender.alias("gender")), "entities")
     drawn = stage(real.withColumn("attempt", F.lit(0)).mapInArrow(_draw(key), types), "surrogates")
+    taken = real.select(space(), F.col("entity").alias("stand_in"), F.lit(True).alias("real")).distinct()
     for _ in range(rounds):
-        first = drawn.groupBy("kind", "stand_in").agg(F.min("entity").alias("owner"))
-        taken = real.select("kind", F.col("entity").alias("stand_in"), F.lit(True).alias("real"))
-        judged = drawn.join(first, ["kind", "stand_in"]).join(taken, ["kind", "stand_in"], "left").withColumn(
-            "again", (F.col("owner") != F.col("entity")) | F.col("real").isNotNull()
+        spaced = drawn.withColumn("space", space())
+        first = spaced.groupBy("space", "stand_in").agg(F.min(F.struct("kind", "entity")).alias("owner"))
+        judged = spaced.join(first, ["space", "stand_in"]).join(taken, ["space", "stand_in"], "left").withColumn(
+            "again", (F.col("owner") != F.struct("kind", "entity")) | F.col("real").isNotNull()
         )
-        judged = stage(judged.select("kind", "entity", "attempt", "stand_in", "again"), "judged")
+        judged = stage(judged.select("kind", "entity", "gender", "attempt", "stand_in", "again"), "judged")
         again = judged.filter("again")
         if again.isEmpty():
-            return drawn
-        redrawn = again.select("kind", "entity", (F.col("attempt") + 1).alias("attempt")).mapInArrow(_draw(key), types)
+            return drawn.drop("gender")
+        redrawn = again.select("kind", "entity", "gender", (F.col("attempt") + 1).alias("attempt")).mapInArrow(_draw(key), types)
         drawn = stage(judged.filter("NOT again").drop("again").unionByName(redrawn), "surrogates")
     raise ValueError(f"{again.count()} entities have no surrogate of their own after {rounds} rounds")
 
@@ -353,7 +398,9 @@ def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     parts += [text[done : s["start"]], render(s["kind"], text[s["start"] : s["stop"]], s["stand_in"])]
                     done = s["stop"]
                 new = text if not spots else "".join([*parts, text[done:]])
-                rows.append({"id": id_, "n_entities": len(spots), "kinds": sorted({s["kind"] for s in spots}), "text": new})
+                # A name is one entity, whatever its words.
+                kinds = ["name" if s["kind"] == "family" else s["kind"] for s in spots if s["kind"] != "given"]
+                rows.append({"id": id_, "n_entities": len(kinds), "kinds": sorted(set(kinds)), "text": new})
             yield pa.RecordBatch.from_pylist(rows, schema=_OUT)
 
 
@@ -363,7 +410,8 @@ def replace_personal_data(docs: DataFrame, key: bytes, id_col: str = "doc_id", t
     Kinds: e-mail addresses, phone and card numbers, IP addresses (of both versions), IBANs, social security numbers, access keys, secrets
     after ``password=`` and the like, and names after a title. Surrogates come from a keyed hash of the entity, so an
     entity has the same one everywhere and, with the same key, in every run; they keep length, separators, case, script and
-    sound class, network and check digit of a card, host groups of addresses, and the gender a title tells. Where a shape has
+    sound class, network and check digit of a card, host groups of addresses, and the gender a title tells. Given and family names
+    are replaced each by its own, so ``Mr. John Smith`` and ``Dr Smith`` share the latter. Where a shape has
     too few values for the corpus, or nothing to redraw (``********``), length and characters are not kept. Different
     entities get different surrogates, none of which occurs in the corpus.
 
@@ -373,7 +421,11 @@ def replace_personal_data(docs: DataFrame, key: bytes, id_col: str = "doc_id", t
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("copy", F.xxhash64("text"))
-    spots = stage(docs.select("id", "copy", "text").mapInArrow(_detect, _SPOTS).distinct(), "spots")
+    found = docs.select("id", "copy", "text").mapInArrow(_detect, _SPOTS).distinct()
+    given = F.col("kind") == "given"
+    spots = stage(found.withColumns({
+        "gender": F.when(given, F.substring("entity", 1, 1)), "entity": F.when(given, F.expr("substring(entity, 3)")).otherwise(F.col("entity")),
+    }), "spots")
     named = spots.join(assign_surrogates(spots, key).drop("attempt"), ["kind", "entity"])
     marked = named.groupBy("id", "copy").agg(
         F.collect_list(F.struct("start", "stop", "kind", "stand_in")).alias("spots")
