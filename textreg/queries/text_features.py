@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from textreg.functions import tokens as K
 from textreg.functions.stopwords import ENGLISH
 from textreg.operators import dense as D
+from textreg.operators import sentences as E
+from textreg.operators import subwords as W
 from textreg.operators import vectorize as V
 from textreg.operators.reshape import sparse_rows_to_triplets as rows_to_triplets
 from textreg.operators.reshape import triplets_to_sparse_rows as triplets_to_rows
@@ -237,3 +239,94 @@ def masked_mean_pool(t):
 def batched_encoder(t):
     encoded = D.encode_texts(t.documents.select("doc_id", "text"), "text", D.hashing_encoder(32), 32)
     return encoded.select("doc_id", F.posexplode_outer("embedding").alias("dim", "value")).withColumn("value", F.round(F.col("value").cast("double"), 4) + 0.0)
+
+
+# ---- trained sentence ends ----
+
+# The same statistics and decisions in SQL: words with their neighbours, counts, scores, then the verdict on every dot.
+SENTENCE_TOKENS = r"""
+    pieces as (select doc_id as row_index, unnest(p) as piece, generate_subscripts(p, 1) - 1 as pos from (select doc_id, regexp_extract_all(text, '\S+\s*') as p from documents)),
+    bares as (select *, regexp_replace(piece, '\s+$', '') as token, regexp_replace(regexp_replace(piece, '\s+$', ''), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}.]+$', '', 'g') as bare from pieces),
+    marked as (select *, regexp_extract(token, '([.!?]+)["'')\]»”’]*$', 1) as marks, lower(regexp_replace(bare, '\.+$', '')) as low from bares),
+    spelled as (select row_index, pos, piece, case when regexp_matches(low, '^[0-9][0-9.,]*$') then '#' else low end as word, ends_with(bare, '.') as dotted,
+      case when regexp_matches(marks, '[!?]') then right(marks, 1) when regexp_matches(marks, '^\.\.+$') then '...' when marks = '.' then '.' else '' end as ends,
+      case when regexp_matches(bare, '^\p{Lu}') then 'U' when regexp_matches(bare, '^\p{Ll}') then 'L' else '' end as first from marked),
+    tok as (select *, lead(word) over w as next_word, lead(first) over w as next_first, lead(word) over w is null as last from spelled window w as (partition by row_index order by pos)),"""
+
+
+def _fit(k: str, m: str, q: str) -> str:
+    return f"({k} * ln(greatest({q}, 1e-300)) + ({m} - {k}) * ln(greatest(1 - {q}, 1e-300)))"
+
+
+def _association(a: str, b: str, both: str, n: str) -> str:
+    p, p1, p2 = f"({b} / {n})", f"({both} / {a})", f"(({b} - {both}) / greatest({n} - {a}, 1))"
+    rest, others = f"({b} - {both})", f"({n} - {a})"
+    return f"""-2 * ({_fit(both, a, p)} + {_fit(rest, others, p)} - case when {a} = {both} then 0.0 else {_fit(both, a, p1)} end
+        - case when {b} = {both} then 0.0 else {_fit(rest, others, p2)} end)"""
+
+
+SENTENCE_MODEL = f"""
+    counts as (select word, cast(count(*) as double) as n, cast(count(*) filter (dotted) as double) as d from tok where word <> '' group by 1),
+    whole as (select sum(n) as total, sum(d) as dots from counts),
+    scored as (select word, n, d, case when d > 0 and regexp_matches(word, '\\p{{L}}') then -2 * ({_fit("d", "n", "(dots / total)")} - {_fit("d", "n", "0.99")})
+        * exp(-length(replace(word, '.', ''))) * (length(word) - length(replace(word, '.', '')) + 1) * pow(length(replace(word, '.', '')), -(n - d)) else 0.0 end as score
+      from counts, whole),
+    known as (select t.*, coalesce(s.score >= 0.3, false) as abbreviation, t.ends in ('!', '?') or (t.ends = '.' and not coalesce(s.score >= 0.3, false)) as likely_end
+      from tok t left join scored s using (word)),
+    after_word as (select *, regexp_matches(word, '^\\p{{L}}$') as initial from known where not last and next_word <> ''),
+    places as (select next_word as word, count(*) filter (not likely_end and next_first = 'U') as upper_inside,
+      cast(count(*) filter (likely_end and not initial and word <> '#') as double) as starts from after_word group by 1),
+    lows as (select word, count(*) filter (first = 'L') as lower_n from known group by 1),
+    breaks as (select cast(count(*) as double) as b from known where likely_end),
+    words as (select word, n, d, score, lower_n, coalesce(upper_inside, 0) as upper_inside, coalesce(starts, 0) as starts,
+        case when coalesce(starts, 0) > 0 and regexp_matches(word, '^\\p{{L}}+$') and total / greatest(b, 1) > n / starts
+          then {_association("b", "n", "starts", "total")} else 0.0 end as starter_score
+      from scored join lows using (word) left join places using (word), whole, breaks),
+    pairs as (select word, next_word, cast(count(*) as double) as k from after_word
+      where ends = '.' and (abbreviation or initial or word = '#') group by 1, 2 having count(*) > 1),
+    bound as (select p.word, p.next_word, k, case when total / s.n > f.n / k then {_association("s.n", "f.n", "k", "total")} else 0.0 end as score
+      from pairs p join scored s on p.word = s.word join scored f on p.next_word = f.word, whole)"""
+
+
+def _sentence_tokens(t):
+    rows = t.documents.select(F.col("doc_id").alias("row_index"), "text").repartition("row_index")
+    return t.once("sentence-tokens", lambda: write_stage(E.sentence_tokens(rows), "sentence-tokens"))
+
+
+@query("sentence_parameters", "with " + SENTENCE_TOKENS + SENTENCE_MODEL + """
+    select word, cast(n as bigint) as n, cast(d as bigint) as dotted, round(score, 4) + 0.0 as score, lower_n as lower, upper_inside, cast(starts as bigint) as starts,
+      round(starter_score, 3) + 0.0 as starter_score from words""")
+def sentence_parameters(t):
+    """What the corpus says of every word: how likely an abbreviation, how often lower case, how often it starts sentences."""
+    words = E.fit_sentences(_sentence_tokens(t)).words
+    return words.withColumns({"score": F.round("score", 4) + 0.0, "starter_score": F.round("starter_score", 3) + 0.0}).select(
+        "word", "n", "dotted", "score", "lower", "upper_inside", "starts", "starter_score"
+    )
+
+
+@query("tokenize_sentences_trained", "with " + SENTENCE_TOKENS + SENTENCE_MODEL + r""",
+    decided as (select t.row_index, t.pos, t.piece, case when t.ends in ('!', '?') then true when t.ends not in ('.', '...') or t.last then false
+        when coalesce(b.score >= 7.88, false) then false
+        when coalesce(h.score >= 0.3, false) or t.ends = '...' then coalesce(t.next_first = 'U' and (
+          (coalesce(a.lower_n, 0) > 0 and coalesce(a.upper_inside, 0) = 0) or (not regexp_matches(t.word, '^\p{L}$') and coalesce(a.starter_score >= 30, false))), false)
+        when regexp_matches(t.word, '^\p{L}$') or t.word = '#' then not (t.next_first = 'L' or (regexp_matches(t.word, '^\p{L}$') and t.next_first = 'U' and coalesce(a.lower_n, 0) = 0))
+        else true end as is_end
+      from tok t left join words h on h.word = t.word left join words a on a.word = t.next_word left join bound b on b.word = t.word and b.next_word = t.next_word),
+    numbered as (select *, coalesce(sum(is_end::int) over (partition by row_index order by pos rows between unbounded preceding and 1 preceding), 0) as k from decided),
+    sentences as (select row_index, k, regexp_replace(string_agg(piece, '' order by pos), '\s+$', '') as s from numbered group by 1, 2)
+    select row_index as doc_id, cast(count(*) as integer) as n, md5(string_agg(s, chr(1) order by k)) as list_md5 from sentences group by 1""")
+def tokenize_sentences_trained(t):
+    tokens = _sentence_tokens(t)
+    cut = E.split_sentences(tokens, E.fit_sentences(tokens))
+    return cut.select(F.col("row_index").alias("doc_id"), F.size("sentences").alias("n"), F.md5(F.array_join("sentences", chr(1))).alias("list_md5"))
+
+
+#: Byte-level vocabulary of the registered query; a job passes its own file.
+SUBWORDS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query("truncate_subwords")
+def truncate_subwords(t):
+    """At most 512 sub-words of every document, marks included."""
+    coded = W.encode_subwords(t.documents, SUBWORDS, row="doc_id", max_length=512, begin=50256, end=50256)
+    return coded.select("doc_id", F.size("ids").alias("n"), F.md5(F.array_join("ids", ",")).alias("list_md5"), "truncated")
