@@ -127,3 +127,54 @@ def test_pooling_takes_the_mask(spark):
     for r in encoded.collect():
         mine = [np.array([ids.index(i), 1.0 + ids.index(i)]) for i, m in zip(r["ids"], r["mask"], strict=True) if m]
         assert np.allclose(pooled[r["row_index"]], np.mean(mine, axis=0))
+
+
+# ---- word rules and other scripts ----
+
+
+def ruled(text):
+    """The rules one by one, each a pass that sets its matches apart."""
+    import regex
+
+    out = f" {text.lower()} "
+    out = regex.sub(r"(\.{3,})", r" \1 ", out)
+    out = regex.sub(r"(--)", r" \1 ", out)
+    out = regex.sub(r"""([;@#$%&?!\[\](){}<>"])""", r" \1 ", out)
+    out = regex.sub(r"([,:])(?![0-9])", r" \1 ", out)
+    out = regex.sub(r"""(?<!\.)(\.)(?=["'\])}>»”’\s]*$)""", r" \1 ", out)
+    for a, b in (("can", "not"), ("gon", "na"), ("wan", "na"), ("got", "ta"), ("gim", "me"), ("lem", "me")):
+        out = regex.sub(rf"(?<![\p{{L}}\p{{N}}])({a})({b})(?![\p{{L}}\p{{N}}])", r"\1 \2", out)
+    out = regex.sub(r"(n't|'(?:s|m|d|ll|re|ve))(?![\p{L}\p{N}])", r" \1 ", out)
+    return out.split()
+
+
+def test_word_rules_against_passes_of_each(spark):
+    from textreg.functions.tokens import tokenize_by_rules
+
+    r = random.Random(8)
+    parts = ["don't", "can't", "he's", "'s", "cannot", "cannots", "gonna", "gotta.", "lemme", "U.S.", "3.14", "1,000", "a,b", "12:30", "...", "..", ".", "--", "\"", "(", ")",
+             "'", "word", "é", " ", " ", " ", "\n", "we'll", "n't", "?!", ";", "»", "5%"]
+    texts = ["I don't.", "", None, "He said \"no...\" (twice)."] + ["".join(r.choice(parts) for _ in range(r.randrange(1, 14))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {x["i"]: x["w"] for x in df.select("i", tokenize_by_rules("t").alias("w")).collect()}
+    assert got[0] == ["i", "do", "n't", "."] and got[2] is None
+    assert got[3] == ["he", "said", "\"", "no", "...", "\"", "(", "twice", ")", "."]
+    for i, t in enumerate(texts):
+        if t is not None:
+            assert got[i] == ruled(t), t
+
+
+def test_other_scripts_in_latin_letters(spark):
+    from textreg.functions.text import normalize_feature_name, spellings, transliterate
+
+    cases = {
+        "Привет, Щука": "Privet, Shchuka", "ΓΕΙΆ σου Ψάρι": "GEIA sou Psari", "カタカナ がぎ": "katakana gagi", "€5 №7 ½": "EUR5 No.7 1/2", "ação ß": "ação ß", "": "",
+        "שלום": "shlvm", "Ёж": "Ezh",
+    }
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string")
+    got = {x["t"]: x["u"] for x in df.select("t", transliterate("t").alias("u")).collect()}
+    assert got == cases | {None: None}
+    every = spark.createDataFrame([(k,) for k in spellings()], "t string").select("t", transliterate("t").alias("u")).collect()
+    assert {x["t"]: x["u"] for x in every} == spellings()
+    named = spark.createDataFrame([("Бассейн (крытый) №2",)], "t string").select(normalize_feature_name("t")).first()[0]
+    assert named == "bassein_No.2"

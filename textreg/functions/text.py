@@ -72,10 +72,61 @@ def _compatible_table() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+# Letters of other scripts and signs, each before its spelling. Capitals, letters with marks and katakana follow by rule.
+CYRILLIC = "а a б b в v г g д d е e ж zh з z и i к k л l м m н n о o п p р r с s т t у u ф f х kh ц ts ч ch ш sh щ shch ы y э e ю iu я ia є ie і i ґ g"
+GREEK = "α a β b γ g δ d ε e ζ z η e θ th ι i κ k λ l μ m ν n ξ x ο o π p ρ r σ s ς s τ t υ u φ ph χ kh ψ ps ω o"
+HEBREW = "ב b ג g ד d ה h ו v ז z ח kh ט t י y כ k ך k ל l מ m ם m נ n ן n ס s פ p ף p צ ts ץ ts ק q ר r ש sh ת t"
+ARABIC = "ا a ب b ت t ث th ج j ح h خ kh د d ذ dh ر r ز z س s ش sh ص s ض d ط t ظ z غ gh ف f ق q ك k ل l م m ن n ه h و w ي y"
+KANA = (
+    "あ a い i う u え e お o か ka き ki く ku け ke こ ko さ sa し shi す su せ se そ so た ta ち chi つ tsu て te と to な na に ni ぬ nu ね ne の no "
+    "は ha ひ hi ふ fu へ he ほ ho ま ma み mi む mu め me も mo や ya ゆ yu よ yo ら ra り ri る ru れ re ろ ro わ wa を wo ん n が ga ぎ gi ぐ gu げ ge ご go "
+    "ざ za じ ji ず zu ぜ ze ぞ zo だ da ぢ ji づ zu で de ど do ば ba び bi ぶ bu べ be ぼ bo ぱ pa ぴ pi ぷ pu ぺ pe ぽ po"
+)
+SIGNS = "€ EUR £ GBP ¥ JPY © (c) ® (r) ™ tm ° deg ½ 1/2 ¼ 1/4 ¾ 3/4 × x ÷ / № No. § SS µ u • * ¿ ? ¡ !"
+
+
+@functools.cache
+def spellings() -> dict[str, str]:
+    """Every code point that ``transliterate`` replaces, with what it writes instead."""
+
+    def pairs(text: str) -> dict[str, str]:
+        parts = text.split(" ")
+        return dict(zip(parts[::2], parts[1::2], strict=True))
+
+    letters = pairs(f"{CYRILLIC} {GREEK} {HEBREW} {ARABIC}")
+    kana = pairs(KANA)
+    found = letters | kana | {chr(ord(k) + 0x60): v for k, v in kana.items()} | pairs(SIGNS)
+    for code in range(0x370, 0x2000):
+        ch = chr(code)
+        base = [c for c in unicodedata.normalize("NFD", ch) if unicodedata.category(c) != "Mn"]
+        if ch not in found and len(base) == 1 and base[0].lower() in letters and (len(ch.lower()) == 1):
+            spelled = letters[base[0].lower()]
+            found[ch] = spelled.capitalize() if base[0] != base[0].lower() else spelled
+    return found
+
+
+def transliterate(c: str | Column) -> Column:
+    """Letters of other scripts and signs in Latin letters: ``Привет`` -> ``Privet``, ``€`` -> ``EUR``, ``カナ`` -> ``kana``.
+
+    Letters with one Latin letter are translated in one pass; only texts with others are walked letter by letter, once.
+    """
+    table = spellings()
+    single = {k: v for k, v in table.items() if len(v) == 1}
+    longer = sorted((k for k, v in table.items() if len(v) > 1), key=lambda k: -len(table[k]))
+    text = F.translate(_col(c), "".join(single), "".join(single.values()))
+    # ``translate`` drops letters beyond the replacements, which come in the order of falling lengths.
+    parts = [[table[k][i] for k in longer if len(table[k]) > i] for i in range(len(table[longer[0]]))]
+
+    def spelled(ch: Column) -> Column:
+        return F.when(F.contains(F.lit("".join(longer)), ch), F.concat(*[F.translate(ch, "".join(longer), "".join(p)) for p in parts])).otherwise(ch)
+
+    return bound(text, lambda t: F.when(t.rlike(f"[{''.join(longer)}]"), F.array_join(F.transform(F.split(t, ""), spelled), "")).otherwise(t))
+
+
 def to_plain_latin(c: str | Column) -> Column:
-    """``strip_accents`` plus spelled-out letters such as ``ß``, raised digits and letters, dashes and quotes (lower-case input)."""
+    """``transliterate`` and ``strip_accents`` plus spelled-out letters such as ``ß``, raised digits and letters, dashes and quotes (lower-case input)."""
     signs, plain = _compatible_table()
-    out = F.translate(strip_accents(c), signs, plain)
+    out = F.translate(strip_accents(transliterate(c)), signs, plain)
     for mark, others in PLAIN_MARKS.items():
         out = F.regexp_replace(out, f"[{others}]", mark)
     for letter, spelling in LATIN_SPELLINGS.items():

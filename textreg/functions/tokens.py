@@ -19,6 +19,23 @@ def tokenize_words(c: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(_col(c)), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
+# Endings that are words of their own, and words that hide two.
+ENDINGS = r"(?:n't|'(?:s|m|d|ll|re|ve))(?![\p{L}\p{N}])"
+HIDDEN = (("can", "not"), ("gon", "na"), ("wan", "na"), ("got", "ta"), ("gim", "me"), ("lem", "me"))
+BREAK = "|".join(rf"(?<=(?<![\p{{L}}\p{{N}}]){a})(?={b}(?![\p{{L}}\p{{N}}]))" for a, b in HIDDEN)
+# Marks that stand alone: ellipses, dashes, brackets and the like, commas and colons unless a digit follows, and the last dot of a text.
+ALONE = r"""\.{3,}|--|[;@#$%&?!\[\](){}<>"]|[,:](?![0-9])|(?<!\.)\.(?=["'\])}>»”’\s]*$)"""
+WORD_RULES = rf"{ALONE}|{ENDINGS}|\S(?:(?!{ALONE}|{ENDINGS}|{BREAK})\S)*"
+
+
+def tokenize_by_rules(c: str | Column) -> Column:
+    """Lower-cased words as a treebank has them: ``don't`` gives ``do``, ``n't``; ``3.14`` and ``U.S.`` stay whole, the last dot of a text does not.
+
+    All rules are one pattern, read in one scan.
+    """
+    return F.regexp_extract_all(F.lower(_col(c)), F.lit(WORD_RULES), F.lit(0))
+
+
 def tokenize_sentences(c: str | Column) -> Column:
     return F.filter(F.split(_col(c), SENTENCE_END), lambda s: s != "")
 

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textreg.functions.text import replace_first, strip
+from textreg.plans.ordering import add_row_index
+from textreg.plans.skew import lookup_join
+from textreg.plans.stage import write_stage
 
 MAX_PIVOT_VALUES = 10_000
 
@@ -51,7 +55,7 @@ def pivot_values(df: DataFrame, on: str) -> list:
     """The pivot columns, refused when there are more than a result row can hold."""
     rows = df.select(on).distinct().orderBy(on).limit(MAX_PIVOT_VALUES + 1).collect()
     if len(rows) > MAX_PIVOT_VALUES:
-        raise ValueError(f"{on} has more than {MAX_PIVOT_VALUES} values; give the values to pivot")
+        raise ValueError(f"{on} has more than {MAX_PIVOT_VALUES} values; give the values to pivot, or use sparse_crosstab")
     return [r[0] for r in rows]
 
 
@@ -84,6 +88,43 @@ def crosstab_distinct(df: DataFrame, id_col: str, x: str, y: str, values: Sequen
     return crosstab(cells, x, y, "len", "sum", values)
 
 
+@dataclass(frozen=True)
+class SparseTable:
+    """A cross-tabulation of any width: ``columns(column_index, <y>)`` and ``rows(<x>, column_indices, column_values, n_columns)``."""
+
+    columns: DataFrame
+    rows: DataFrame
+
+
+def sparse_crosstab(df: DataFrame, x: str, y: str, cell: str | Column, how: str = "sum") -> SparseTable:
+    """``x`` by ``y`` with the sum, mean or maximum of ``cell``, for any number of values of ``y``.
+
+    The values of ``y`` are numbered in order, as a table, and only cells that occur are stored, by column number. A row is as long
+    as it has different columns. A null ``x`` or ``y`` is a value of its own; nulls come first. A cell without a value is 0 and so not stored.
+    """
+    if how not in ("sum", "mean", "max"):
+        raise ValueError("how must be 'sum', 'mean' or 'max'")
+    value = F.col(cell) if isinstance(cell, str) else cell
+    cells = df.select(F.col(x), F.col(y), value.alias("cell")).groupBy(x, y).agg({"sum": F.sum, "mean": F.avg, "max": F.max}[how]("cell").alias("cell"))
+    cells = write_stage(cells, "cells")
+    columns = write_stage(add_row_index(cells.select(y).distinct(), y, "column_index"), "columns")
+    size = columns.count()
+    known = columns.filter(F.col(y).isNotNull())
+    placed = lookup_join(cells, known, y, "left", spread_by=x, stored=False)
+    nothing = columns.filter(F.col(y).isNull()).first()
+    index = F.coalesce("column_index", F.lit(None if nothing is None else nothing["column_index"]).cast("bigint"))
+    entry = F.when(F.coalesce(F.col("cell"), F.lit(0)) != 0, F.struct(index.alias("i"), F.col("cell").alias("v")))
+    rows = placed.groupBy(x).agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    return SparseTable(columns, rows.select(
+        x, F.col("e.i").alias("column_indices"), F.col("e.v").alias("column_values"), F.lit(size).cast("bigint").alias("n_columns")
+    ))
+
+
+def sparse_flags(df: DataFrame, index: str, on: str) -> SparseTable:
+    """1 for every value of ``on`` that ``index`` has, however many there are."""
+    return sparse_crosstab(df, index, on, F.lit(1), "max")
+
+
 def row_sum_order(table: DataFrame, index: str) -> DataFrame:
     """Rows of a cross-tabulation with their total, largest first."""
     total = F.lit(0)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textreg.functions.numeric import cast_fill, decimal_comma_to_double
 from textreg.functions.text import dayfirst_date, flag_name, local_date, title_key
 from textreg.operators.aggregates import ordered_concat
-from textreg.operators.reshape import explode_paragraphs, pivot_flags
+from textreg.operators.reshape import explode_paragraphs, pivot_flags, sparse_flags
 from textreg.operators.shaping import inner_join_on_keys, left_join_fill_zero
 from textreg.plans.ordering import add_row_index, running_count, shift_features
 from textreg.plans.skew import lookup_join
@@ -24,17 +24,32 @@ REALTY_COUNTS = {
 REALTY_TEXTS = {"type": "nm_type", "title": "nm_title", "description": "nm_description", "address": "nm_address"}
 
 
-def realty_table(ads: DataFrame, features: DataFrame) -> DataFrame:
-    """Typed ads with one 0/1 ``fg_has_<name>_<word>`` column per feature; ads without features have 0s."""
+def _realty_flags(features: DataFrame) -> DataFrame:
     flags = features.select(F.col("realty").try_cast("bigint").alias("id_realty"), flag_name("name", "word").alias("flag"))
-    wide = pivot_flags(flags.filter("id_realty is not null and flag is not null"), "id_realty", "flag")
-    typed = ads.select(
+    return flags.filter("id_realty is not null and flag is not null")
+
+
+def _typed_ads(ads: DataFrame) -> DataFrame:
+    return ads.select(
         F.col("id").try_cast("bigint").alias("id_realty"),
         *[decimal_comma_to_double(F.col(raw).cast("string")).alias(name) for raw, name in REALTY_NUMBERS.items()],
         *[cast_fill(raw).alias(name) for raw, name in REALTY_COUNTS.items()],
         *[F.col(raw).alias(name) for raw, name in REALTY_TEXTS.items()],
     )
-    return left_join_fill_zero(typed, wide, "id_realty")
+
+
+def realty_table(ads: DataFrame, features: DataFrame) -> DataFrame:
+    """Typed ads with one 0/1 ``fg_has_<name>_<word>`` column per feature; ads without features have 0s."""
+    wide = pivot_flags(_realty_flags(features), "id_realty", "flag")
+    return left_join_fill_zero(_typed_ads(ads), wide, "id_realty")
+
+
+def realty_table_sparse(ads: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``realty_table`` for any number of features: typed ads with the numbers of their flags in ``flags``, and ``(column_index, flag)``."""
+    found = sparse_flags(_realty_flags(features), "id_realty", "flag")
+    numbers = found.rows.select("id_realty", F.col("column_indices").alias("flags"))
+    ads = lookup_join(_typed_ads(ads), numbers, "id_realty", "left", spread_by="nm_title")
+    return ads.withColumn("flags", F.coalesce("flags", F.array().cast("array<bigint>"))), found.columns
 
 
 def minutes_table(minutes: DataFrame, rates: DataFrame, zone: str = "America/Sao_Paulo") -> DataFrame:

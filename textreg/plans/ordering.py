@@ -113,3 +113,28 @@ def running_count(
     return local.join(carried, same, "left").select(
         *df.columns, (F.col("__local") + F.coalesce("__carry", F.lit(0))).alias(name)
     )
+
+
+def top_per_group(df: DataFrame, group: str | Sequence[str], order_by: Sequence, n: int, rank: str = "rank") -> DataFrame:
+    """The first ``n`` rows of each group in the given order, with their 1-based ``rank``.
+
+    The rank is bounded, so every task drops what lies beyond it before anything is shuffled.
+    """
+    if n < 1:
+        raise ValueError("n must be >= 1")
+    keys = [group] if isinstance(group, str) else list(group)
+    ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by)))
+    return ranked.filter(F.col(rank) <= n)
+
+
+def page_ranks(df: DataFrame, group: str, order_by: Sequence[str], id_col: str, per_page: int = 10) -> DataFrame:
+    """Add the 1-based ``nr_page`` and ``nr_order`` of each hit of a group, ``per_page`` hits to a page; ``id_col`` must not be null.
+
+    Counted block by block where a group is large (``running_count``).
+    """
+    if per_page < 1:
+        raise ValueError("per_page must be >= 1")
+    hits = running_count(df, group, order_by, id_col, "__seen")
+    i = F.col("__seen") - 1
+    page = F.floor(i / per_page)
+    return hits.withColumns({"nr_page": page + 1, "nr_order": page * per_page + i % per_page + 1}).drop("__seen")

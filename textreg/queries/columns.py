@@ -419,3 +419,18 @@ def explode_map_struct(t):
     return t.events.select("event_id", data.alias("data")).select(
         "event_id", F.coalesce("data.n_views", F.lit(0).cast("bigint")).alias("n_views"), F.explode_outer("data.lyrics").alias("lyrics")
     )
+
+
+# Words of other scripts and signs, one of them after every text.
+FOREIGN = ["Привет, Мир Щука", "Γειά σου Κόσμε ψ", "カタカナ ひらがな が", "שלום €5 №7", "مرحبا ½ ×", "Ёлка Й ™"]
+_SPELLED = ", ".join(f"('{a}', '{b}')" for a, b in T.spellings().items())
+
+
+@query("transliterate", f"""
+    with t as (select doc_id, coalesce(text, '') || ' ' || list_extract({FOREIGN}, cast(doc_id % {len(FOREIGN)} as integer) + 1) as text from documents),
+    spelled as (select * from (values {_SPELLED}) as s(sign, letters)),
+    chars as (select doc_id, unnest(string_split(text, '')) as sign, generate_subscripts(string_split(text, ''), 1) as pos from t)
+    select doc_id, md5(string_agg(coalesce(letters, sign), '' order by pos)) as text_md5 from chars left join spelled using (sign) group by 1""")
+def transliterate(t):
+    sample = F.get(F.array(*map(F.lit, FOREIGN)), (F.col("doc_id") % len(FOREIGN)).cast("int"))
+    return t.documents.select("doc_id", F.md5(T.transliterate(F.concat_ws(" ", F.coalesce("text", F.lit("")), sample))).alias("text_md5"))

@@ -13,7 +13,7 @@ from textreg.operators import reshape as R
 from textreg.operators import shaping as S
 from textreg.operators import splits as SP
 from textreg.operators.sets import difference_counts, venn_regions
-from textreg.plans.ordering import add_row_index, running_count, shift_features
+from textreg.plans.ordering import add_row_index, page_ranks, running_count, shift_features, top_per_group
 from textreg.plans.skew import lookup_join
 from textreg.plans.stage import write_stage
 from textreg.queries.registry import query
@@ -313,7 +313,7 @@ def protect_then_split(t):
 @query("pivot_flag_max_fill", "select user_id, " + ", ".join(
     f"cast(max(case when event_type = '{v}' then 1 else 0 end) as integer) as {v}" for v in EVENT_TYPES) + " from events group by 1")
 def pivot_flag_max_fill(t):
-    return R.pivot_flags(t.events, "user_id", "event_type", EVENT_TYPES)
+    return R.pivot_flags(t.events, "user_id", "event_type")
 
 
 @query("pivot_sum_crosstab", "select l_suppkey, " + ", ".join(
@@ -322,20 +322,31 @@ def pivot_sum_crosstab(t):
     return R.crosstab_distinct(t.lineitem, "l_orderkey", "l_suppkey", "l_returnflag")
 
 
+# Orders outnumber the columns that a table can have.
+@query("pivot_sum_crosstab_sparse", """
+    with c as (select l_orderkey, row_number() over (order by l_orderkey) - 1 as i from (select distinct l_orderkey from lineitem)),
+    e as (select l_suppkey, l_orderkey, count(*) as n from lineitem group by 1, 2)
+    select l_suppkey, string_agg(i || ':' || n, ',' order by i) as entries, (select count(*) from c) as n_columns from e join c using (l_orderkey) group by 1""")
+def pivot_sum_crosstab_sparse(t):
+    rows = R.sparse_crosstab(t.lineitem, "l_suppkey", "l_orderkey", F.lit(1)).rows
+    pairs = F.zip_with("column_indices", "column_values", lambda i, v: F.concat_ws(":", i, v))
+    return rows.select("l_suppkey", F.array_join(pairs, ",").alias("entries"), "n_columns")
+
+
 @query("pivot_mean_crosstab", """
     with a as (select l_orderkey, l_linenumber, l_linestatus, round(avg(l_extendedprice / 7e5) / exp(avg(ln(l_quantity + 0.3))) * 100, 2) as e from lineitem group by 1, 2, 3)
     select l_linenumber, round(coalesce(avg(e) filter (l_linestatus = 'F'), 0), 4) as F, round(coalesce(avg(e) filter (l_linestatus = 'O'), 0), 4) as O from a group by 1""")
 def pivot_mean_crosstab(t):
     sized = t.lineitem.withColumns({"gain": F.col("l_extendedprice") / 7e5, "log_size": F.log(F.col("l_quantity") + 0.3)})
     cells = A.relative_efficiency_pairs(sized, "l_orderkey", "l_linenumber", "l_linestatus", "gain", "log_size")
-    table = R.crosstab(cells, "l_linenumber", "l_linestatus", "relative_efficiency", "mean", ["F", "O"])
-    return table.withColumns({c: F.round(c, 4) for c in ("F", "O")})
+    table = R.crosstab(cells, "l_linenumber", "l_linestatus", "relative_efficiency", "mean")
+    return table.withColumns({c: F.round(c, 4) for c in table.columns if c != "l_linenumber"})
 
 
 @query("dense_list_to_columns", "select vec_id, " + ", ".join(
     f"cast(embedding[{i}] as double) as emb_{i}" for i in range(1, 65)) + " from embeddings")
 def dense_list_to_columns(t):
-    wide = R.dense_to_columns(t.embeddings.drop("label"), size=64)
+    wide = R.dense_to_columns(t.embeddings.drop("label"))
     return wide.select("vec_id", *[F.col(c).cast("double").alias(c) for c in wide.columns if c != "vec_id"])
 
 
@@ -402,20 +413,16 @@ def sort_multi(t):
     select o_orderpriority, o_orderkey, cast(row_number() over (partition by o_orderpriority order by o_totalprice desc, o_orderkey) as integer) as rank
     from orders qualify rank <= 50""")
 def top_n_per_genre(t):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return t.orders.select("o_orderpriority", "o_orderkey", F.row_number().over(w).alias("rank")).filter("rank <= 50")
+    ranked = top_per_group(t.orders, "o_orderpriority", [F.desc("o_totalprice"), "o_orderkey"], 50)
+    return ranked.select("o_orderpriority", "o_orderkey", "rank")
 
 
 @query("page_rank_offset", """
     with r as (select event_type, event_id, row_number() over (partition by event_type order by ts, event_id) - 1 as i from events)
     select event_type, event_id, i // 10 + 1 as nr_page, (i // 10) * 10 + i % 10 + 1 as nr_order from r""")
 def page_rank_offset(t):
-    hits = running_count(t.events.select("event_type", "event_id", "ts"), "event_type", ["ts", "event_id"], "event_id", "seen")
-    i = F.col("seen") - 1
-    page = F.floor(i / 10)
-    return hits.select("event_type", "event_id", (page + 1).alias("nr_page"), (page * 10 + i % 10 + 1).alias("nr_order"))
+    hits = page_ranks(t.events.select("event_type", "event_id", "ts"), "event_type", ["ts", "event_id"], "event_id")
+    return hits.select("event_type", "event_id", "nr_page", "nr_order")
 
 
 @query("drop_duplicates", "select distinct l_suppkey, l_returnflag, l_quantity from lineitem")

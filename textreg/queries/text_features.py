@@ -15,8 +15,9 @@ from textreg.operators.reshape import triplets_to_sparse_rows as triplets_to_row
 from textreg.plans.language import top_weighted_terms
 from textreg.plans.ordering import add_row_index
 from textreg.plans.skew import lookup_join
-from textreg.plans.stage import write_stage
+from textreg.plans.stage import stage_path, write_stage
 from textreg.queries.registry import query
+from textreg.sources.vectors import read_vectors, write_vectors
 
 STOPS = "[" + ", ".join(f"'{w}'" for w in ENGLISH) + "]"
 WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+|[^\s\p{{L}}\p{{N}}_]')"
@@ -330,3 +331,39 @@ def truncate_subwords(t):
     """At most 512 sub-words of every document, marks included."""
     coded = W.encode_subwords(t.documents, SUBWORDS, row="doc_id", max_length=512, begin=50256, end=50256)
     return coded.select("doc_id", F.size("ids").alias("n"), F.md5(F.array_join("ids", ",")).alias("list_md5"), "truncated")
+
+
+@query("pretrained_vectors", "select 'term_' || vec_id as term, cast(len(embedding) as integer) as n, round(cast(embedding[1] as double), 6) as first from embeddings where vec_id % 5 = 0")
+def pretrained_vectors(t):
+    """Every fifth vector, read back from a vector file in byte ranges."""
+    path = stage_path(t.spark, "vector-file")
+    write_vectors(t.embeddings.select(F.concat(F.lit("term_"), "vec_id").alias("term"), F.col("embedding").alias("vec")), path)
+    wanted = t.embeddings.filter("vec_id % 5 = 0").select(F.concat(F.lit("term_"), "vec_id").alias("term"))
+    found = read_vectors(t.spark, path, range_bytes=64 << 10).join(wanted, "term", "left_semi")
+    return found.select("term", F.size("vec").alias("n"), F.round(F.col("vec")[0].cast("double"), 6).alias("first"))
+
+
+# The rules one after another, each a pass over the text; a contraction after every text.
+SPOKEN = ["I don't know, it's 3.5: we'll see...", "They cannot say (we're \"gonna\" -- go)!", "U.S. rules; he'd've gone."]
+
+
+def _ruled() -> str:
+    spoken = ", ".join("'" + s.replace("'", "''") + "'" for s in SPOKEN)
+    out = f"' ' || lower(coalesce(text, '') || ' ' || list_extract([{spoken}], cast(doc_id % 3 as integer) + 1)) || ' '"
+    steps = [
+        (r"(\.{3,})", r" \1 "), (r"(--)", r" \1 "), (r"([;@#$%&?!\[\](){}<>\x22])", r" \1 "), (r"([,:])([^0-9])", r" \1 \2"), (r"([,:])([^0-9])", r" \1 \2"),
+        (r"([^.])(\.)([\x22''\])}>»”’\s]*)$", r"\1 \2 \3"),
+        (r"([^\p{L}\p{N}])(can)(not)([^\p{L}\p{N}])", r"\1\2 \3\4"), (r"([^\p{L}\p{N}])(gon|wan)(na)([^\p{L}\p{N}])", r"\1\2 \3\4"),
+        (r"([^\p{L}\p{N}])(got)(ta)([^\p{L}\p{N}])", r"\1\2 \3\4"), (r"([^\p{L}\p{N}])(gim|lem)(me)([^\p{L}\p{N}])", r"\1\2 \3\4"),
+        (r"(n''t|''s|''m|''d|''ll|''re|''ve)([^\p{L}\p{N}])", r" \1 \2"), (r"(n''t|''s|''m|''d|''ll|''re|''ve)([^\p{L}\p{N}])", r" \1 \2"),
+    ]
+    for pattern, into in steps:
+        out = f"regexp_replace({out}, '{pattern}', '{into}', 'g')"
+    return rf"list_filter(regexp_split_to_array({out}, '\s+'), lambda x: x <> '')"
+
+
+@query("tokenize_by_rules", f"select doc_id, cast(len(l) as integer) as n, md5(array_to_string(l, chr(1))) as list_md5 from (select doc_id, {_ruled()} as l from documents)")
+def tokenize_by_rules(t):
+    sample = F.get(F.array(*map(F.lit, SPOKEN)), (F.col("doc_id") % 3).cast("int"))
+    texts = t.documents.select("doc_id", F.concat_ws(" ", F.coalesce("text", F.lit("")), sample).alias("text"))
+    return texts.select("doc_id", K.tokenize_by_rules("text").alias("l")).select("doc_id", *_list_facts("l"))
