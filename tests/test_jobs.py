@@ -10,7 +10,10 @@ from textreg.operators import aggregates as A
 from textreg.operators.dense import encode_texts, hashing_encoder
 from textreg.operators.shaping import ARTICLE_LAYOUT, to_article_layout, union_article_sources
 from textreg.plans import datasets, review
-from textreg.plans.embedding_job import EmbeddingMethods, TextDataset, run_embeddings, store_split
+from textreg.operators.experiment import collect_results
+from textreg.plans.embedding_job import (
+    EmbeddingMethods, TextDataset, load_strategy, run_embeddings, run_stored_experiment, store_split,
+)
 from textreg.sources import files as IO
 from textreg.streaming.incremental import new_keys, read_partitioned, upsert_partition
 
@@ -180,3 +183,50 @@ def test_entry_contract(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_stored_embeddings_become_an_experiment(spark, tmp_path):
+    root = str(tmp_path)
+    df = spark.range(30).select("id", F.concat(F.lit("word"), F.col("id") % 4, F.lit(" other")).alias("title"), (F.col("id") % 4 - 1.0).alias("y"))
+    data = TextDataset("toy", "y", ["title"])
+    store_split(df, data, root, "id")
+    run_embeddings(spark, root, [data], EmbeddingMethods({}, {"Hashing": lambda d, c: encode_texts(d, c, hashing_encoder(8), 8)}), chosen=["TF-IDF", "Hashing"])
+    for method, storage in (("TF-IDF", "sparse"), ("Hashing", "dense")):
+        strategy = load_strategy(spark, root, data, method, "music")
+        assert strategy.storage == storage and (strategy.train.count(), strategy.test.count()) == (24, 6)
+        for split, rows in (("train", strategy.train), ("test", strategy.test)):
+            stored = {r["row_index"]: r["y"] for r in rows.collect()}
+            want = {r["row_index"]: math.log1p(max(r["target"], 0)) for r in IO.read_enumerated_text(spark, f"{root}/db/{split}/toy/targets").collect()}
+            assert stored == pytest.approx(want)
+    raw = load_strategy(spark, root, data, "TF-IDF", "minutes")
+    assert raw.train.agg(F.min("y")).first()[0] == -1.0
+    scores = run_stored_experiment(spark, root, data, ["TF-IDF"], "music", results=f"{root}/results", models=["Ridge"], n_splits=2, n_repeats=1)
+    assert scores.count() == 3 and collect_results(spark, f"{root}/results", "toy").count() == 1
+    spark.createDataFrame([("1. 5",)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/db/test/toy/targets")
+    with pytest.raises(ValueError, match="do not line up"):
+        load_strategy(spark, root, data, "TF-IDF", "music")
+
+
+def test_article_flow_of_known_size(spark, tmp_path):
+    """Eight files of 225 records, two of them empty: 172 from 2023 on, 87 articles, 44 of them in several categories."""
+    sizes = [70, 26, 24, 11, 56, 38, 0, 0]
+    files = [[] for _ in sizes]
+    room = lambda k: sizes[k] - len(files[k])
+    articles = [(f"several {k}", 3 if k < 41 else 2) for k in range(44)] + [(f"once {k}", 1) for k in range(43)]
+    for title, copies in articles:
+        for k in sorted(range(8), key=lambda k: -room(k))[:copies]:
+            files[k].append((title, 2023 + len(title) % 3))
+    for k in range(8):
+        files[k] += [(f"old {k} {i}", 2022 - i % 5) for i in range(room(k))]
+    paths = []
+    for k, rows in enumerate(files):
+        paths.append(str(tmp_path / f"articles_c{k}.csv"))
+        with open(paths[-1], "w") as f:
+            f.write("title,year,url\n" + "".join(f"{t},{y},http://x/{t}\n" for t, y in rows))
+    found = IO.read_csv_files(spark, paths, "title string, year int, url string")
+    assert found.count() == 225 and sum(len(f) == 0 for f in files) == 2
+    category = F.regexp_extract("filename", r"([^_]+)\.csv$", 1)
+    recent = found.filter("year >= 2023").select("title", "year", "url", category.alias("category"))
+    assert recent.count() == 172
+    grouped = A.collect_categories(recent, "category").withColumn("n", F.size("categories"))
+    assert grouped.count() == 87 and grouped.filter("n > 1").count() == 44

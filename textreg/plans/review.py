@@ -31,8 +31,10 @@ COLUMNS = {
     "size": "Tamanho Dataset",
     "gain": "Ganho Relativo ao Baseline",
 }
+# Spellings in the coded sheet that are rewritten.
 PROTECTED_CLASS = "(Sequential, Recurrent, & Attention)"
 LANGUAGE_NOTE = r"\s*\(Inferred from dataset sources like Amazon/Yelp/Boston/UCI\)\.?"
+LEMMA_NOTE, PLURAL, SINGULAR, NO_METRIC = "(Lemmatized Word)", "Documents", "Document", "RMSE"
 
 
 def coded_articles(sheet: DataFrame) -> DataFrame:
@@ -42,7 +44,7 @@ def coded_articles(sheet: DataFrame) -> DataFrame:
 
 
 def _strategies(df: DataFrame) -> DataFrame:
-    noted = replace_first(replace_first("strategy", "(Lemmatized Word)", "", literal=True), "Documents", "Document", literal=True)
+    noted = replace_first(replace_first("strategy", LEMMA_NOTE, "", literal=True), PLURAL, SINGULAR, literal=True)
     parts = split_explode(df.withColumn("strategy", noted), "strategy")
     return parts.withColumn("strategy", replace_first("strategy", " & ", ", ", literal=True))
 
@@ -57,7 +59,7 @@ _MAKERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "model_class": lambda df: protect_then_split(df, "model_class", PROTECTED_CLASS),
     "strategy": _strategies,
     "language": _languages,
-    "metric": lambda df: split_explode(df, "metric").fillna("RMSE", subset=["metric"]),
+    "metric": lambda df: split_explode(df, "metric").fillna(NO_METRIC, subset=["metric"]),
     "advantage": lambda df: split_explode(df, "advantage").withColumn("advantage", to_titlecase("advantage")),
 }
 
