@@ -178,3 +178,18 @@ def test_other_scripts_in_latin_letters(spark):
     assert {x["t"]: x["u"] for x in every} == spellings()
     named = spark.createDataFrame([("Бассейн (крытый) №2",)], "t string").select(normalize_feature_name("t")).first()[0]
     assert named == "bassein_No.2"
+
+
+def test_base_forms(spark):
+    from textreg.operators.lemmas import base_forms
+
+    lexicon = "cat bus box church wolf city glass man as a clas class child".split()
+    words = "cats buses boxes churches wolves cities glasses women men dogs as classes glass s children cat".split() + [None, ""]
+    frame = lambda rows: spark.createDataFrame([(w,) for w in rows], "word string")
+    exceptions = spark.createDataFrame([("children", "child"), ("men", "mann"), ("men", "man")], "word string, base string")
+    got = {r["word"]: r["base"] for r in base_forms(frame(words), frame(lexicon), exceptions).collect()}
+    assert got == {
+        "cats": "cat", "buses": "bus", "boxes": "box", "churches": "church", "wolves": "wolf", "cities": "city", "glasses": "glass", "men": "man",
+        "as": "a", "classes": "class", "children": "child",
+    }
+    assert base_forms(frame(["men"]), frame(lexicon)).first()["base"] == "man" and base_forms(frame([]), frame(lexicon)).isEmpty()

@@ -22,9 +22,10 @@ def difference_counts(first: DataFrame, second: DataFrame, keys: list[str]) -> D
 def venn_regions(df: DataFrame, title: str, in_first: Column, in_second: Column) -> DataFrame:
     """Distinct stripped lower-case titles only in the first, only in the second, and in both origins.
 
-    One aggregation: no title set is built anywhere.
+    One aggregation over 128-bit digests: no title set is built anywhere and no title moves.
     """
-    sides = df.select(strip_lower(title).alias("t"), in_first.alias("a"), in_second.alias("b")).filter("t is not null")
+    digest = F.unhex(F.md5(strip_lower(title)))
+    sides = df.select(digest.alias("t"), in_first.alias("a"), in_second.alias("b")).filter("t is not null")
     per_title = sides.groupBy("t").agg(F.bool_or("a").alias("a"), F.bool_or("b").alias("b"))
     return per_title.agg(
         F.count_if(F.col("a") & ~F.col("b")).alias("only_first"),

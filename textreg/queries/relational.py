@@ -8,6 +8,7 @@ from textreg.functions import numeric as N
 from textreg.functions import text as T
 from textreg.functions.stopwords import ENGLISH
 from textreg.operators import aggregates as A
+from textreg.operators import lemmas as LM
 from textreg.operators import quality as Q
 from textreg.operators import reshape as R
 from textreg.operators import shaping as S
@@ -257,6 +258,27 @@ def term_frequencies_top_n(t):
     return A.term_frequencies(counts, plurals)
 
 
+# Irregular forms of the registered query; a job passes its own table.
+IRREGULAR = [("men", "man"), ("children", "child"), ("thes", "the"), ("mice", "mouse")]
+_RULES = "(values " + ", ".join(f"({k + 1}, '{a}', '{b}')" for k, (a, b) in enumerate(LM.DETACHMENTS)) + ") as r(rule, old, new)"
+
+
+@query("term_frequencies_lemmas", rf"""
+    with tok as (select regexp_replace(unnest({TOKEN_SQL}), '[^a-z]', '', 'g') as w from documents),
+    words as (select w, count(*) as n from tok where w <> '' and w not in ({STOPS_SQL}) group by 1),
+    candidates as (select w, 0 as rule, w as base from words
+      union all select w, rule, left(w, length(w) - length(old)) || new from words, {_RULES} where ends_with(w, old)),
+    best as (select c.w, arg_min(c.base, length(c.base) * 100 + c.rule) as base from candidates c join (select w from words where n > 1) l on l.w = c.base group by 1),
+    irregular as (select * from (values {", ".join(str(x) for x in IRREGULAR)}) as i(w, base)),
+    based as (select coalesce(i.base, b.base, a.w) as term, n from words a left join best b using (w) left join irregular i using (w))
+    select term, cast(sum(n) as bigint) as "count" from based group by 1 having sum(n) > 1 order by 2 desc, 1 limit 150""")
+def term_frequencies_lemmas(t):
+    """The most frequent base forms; words that occur more than once serve as the lexicon."""
+    counts = write_stage(A.word_counts(t.documents, "text", ENGLISH), "word-counts")
+    irregular = t.spark.createDataFrame(IRREGULAR, "word string, base string")
+    return A.term_frequencies(counts, LM.base_forms(counts, counts.filter("count > 1"), irregular))
+
+
 @query("funnel_counts", """
     select 0 as step, 'input' as stage, count(*) as n from lineitem
     union all select 1, 'recent', count(*) from lineitem where l_shipdate >= timestamp '1998-01-01'
