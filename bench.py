@@ -22,6 +22,8 @@ HEADLINE = [
     "collect_list_group_all_but_one", "ordered_concat_transform", "venn_regions", "funnel_counts", "html_paragraphs",
     "json_verdict_validate", "title_key", "prepare_text_payload", "linear_regression", "ridge_regression",
     "lasso_regression", "elastic_net_cv_one_feature", "random_forest_group_means", "gradient_boosting_group_means",
+    "elastic_net_cv", "gradient_boosting_ten_rounds", "exact_tree_splits", "sentence_parameters", "tokenize_sentences_trained", "tokenize_by_rules",
+    "truncate_subwords", "pivot_sum_crosstab_sparse", "term_frequencies_lemmas",
 ]
 
 
