@@ -11,7 +11,7 @@ from textreg.operators.vectorize import fit_vocabulary
 from textreg.plans.cuts import hash_cuts, hash_key
 from textreg.plans.ordering import add_row_index, running_count, shift_features
 from textreg.plans.quantiles import _quantiles_by_rank, group_quantiles
-from textreg.plans.skew import fits_broadcast, lookup_join
+from textreg.plans.skew import EACH_ROW, fits_broadcast, lookup_join
 from textreg.plans.stage import shared_root, write_stage
 
 
@@ -169,3 +169,20 @@ def test_salted_join_with_null_and_hot_keys(spark, how):
     got = lookup_join(left, right, "k", how, spread_by="i", max_broadcast_rows=0)
     plain = left.join(right, "k", how)
     assert sorted(map(str, got.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_rows_that_repeat_whole_are_split(spark):
+    """A third of the rows are equal: they are dealt over the pieces all the same, and none is lost or doubled."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("k"), F.lit("same").alias("x"))
+    right = spark.createDataFrame([(k, k * 10) for k in range(60)], "k bigint, v bigint")
+    joined = lookup_join(df, right, "k", "left", spread_by=EACH_ROW, max_broadcast_rows=0, hot_share=20)
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, df.join(right, "k", "left").collect()))
+    plan = joined._jdf.queryExecution().toString()
+    assert "__number" in plan and joined.columns == ["k", "x", "v"]
+
+
+def test_sizes_are_measured_by_type(spark):
+    df = spark.createDataFrame([("é" * 10, [1.0] * 5, ["ab", None], (1, "x"))], "a string, b array<double>, c array<string>, d struct<p:int,q:string>")
+    bytes_of = 20 + 16 + 5 * 8 + 16 + (2 + 16 + 16) + 16 + 8 + 8 + 1 + 16
+    assert fits_broadcast(df, max_bytes=bytes_of) and not fits_broadcast(df, max_bytes=bytes_of - 1)
+    assert fits_broadcast(df.limit(0), max_rows=0, max_bytes=0)

@@ -7,13 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textreg.plans.skew import lookup_join
+from textreg.plans.skew import EACH_ROW, lookup_join
 
 
 def left_join_fill_zero(df: DataFrame, features: DataFrame, key: str) -> DataFrame:
     """Left join a wide feature table (unique ``key``) and fill only the joined columns with 0."""
     added = [c for c in features.columns if c != key]
-    return lookup_join(df, features, key, "left", spread_by=df.columns).fillna(0, subset=added)
+    return lookup_join(df, features, key, "left", spread_by=EACH_ROW).fillna(0, subset=added)
 
 
 def at_or_after_first(df: DataFrame, date: str | Column, reference: DataFrame, reference_date: str | Column) -> DataFrame:
@@ -59,7 +59,7 @@ def label_sets(df: DataFrame, train: DataFrame, test: DataFrame, key: str) -> Da
     marked = df
     for name, side in (("train", train), ("test", test)):
         keys = side.select(key).distinct().withColumn(f"__{name}", F.lit(True))
-        marked = lookup_join(marked, keys, key, "left", spread_by=df.columns)
+        marked = lookup_join(marked, keys, key, "left", spread_by=EACH_ROW)
     label = F.when(F.col("__train"), "train").when(F.col("__test"), "test").otherwise("unknown")
     return marked.withColumn("set", label).drop("__train", "__test")
 
@@ -96,7 +96,7 @@ def inner_join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], s
     """Inner join on keys that are not null; other columns of ``right`` that collide get ``suffix``."""
     taken = set(left.columns) - set(keys)
     renamed = right.withColumnsRenamed({c: c + suffix for c in right.columns if c in taken}).dropna(subset=list(keys))
-    return lookup_join(left.dropna(subset=list(keys)), renamed, list(keys), "inner", spread_by=left.columns)
+    return lookup_join(left.dropna(subset=list(keys)), renamed, list(keys), "inner", spread_by=EACH_ROW)
 
 
 def _c(c: str | Column) -> Column:

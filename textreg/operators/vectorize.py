@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textreg.functions.tokens import ngrams, tokenize_by_strategy
+from textreg.functions.tokens import ngrams, tokenize_by_strategy, tokenize_words
 from textreg.operators.quality import require_fitted_state
 from textreg.operators.reshape import sparse_payload
 from textreg.plans.ordering import add_row_index
@@ -53,13 +53,15 @@ class FittedVocabulary:
 
 def store_tokens(
     docs: DataFrame, text: str = "text", row: str = "row_index", keep: Sequence[str] = (), strategy: str = "document", language: str = "english",
+    stops: bool = True,
 ) -> DataFrame:
-    """``(row_index, *keep, tokens)``, written once for all passes over the tokens.
+    """``(row_index, *keep, tokens)``, written once for all passes over the tokens; ``stops=False`` keeps stop words.
 
     Rows are dealt out by ``row`` before they are tokenized, so that a file which cannot be split is not one task.
     """
     dealt = docs.select(row, *keep, text).repartition(row)
-    return write_stage(dealt.select(row, *keep, tokenize_by_strategy(text, strategy, language).alias("tokens")), "tokens")
+    tokens = tokenize_by_strategy(text, strategy, language) if stops else tokenize_words(text)
+    return write_stage(dealt.select(row, *keep, tokens.alias("tokens")), "tokens")
 
 
 def term_counts(

@@ -41,9 +41,11 @@ def add_row_index(df: DataFrame, order_by, name: str = "row_index", start: int =
         running += sizes.get(p, 0)
     if not offsets:
         return stored.withColumn(name, F.col(_SLOT)).drop(_SLOT)
-    offset = F.get(F.array(*[F.lit(o).cast("bigint") for o in offsets]), part.cast("int"))
+    table = df.sparkSession.createDataFrame(list(enumerate(offsets)), "__part int, __offset bigint")
     position = F.col(_SLOT).bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
-    return stored.withColumn(name, offset + position).drop(_SLOT)
+    # One row per partition, so the table is as small as the plan's list of tasks.
+    placed = stored.withColumn("__part", part.cast("int")).join(F.broadcast(table), "__part")
+    return placed.select(*[F.col(f"`{c}`") for c in stored.columns if c not in (_SLOT, name)], (F.col("__offset") + position).alias(name))
 
 
 def shift_features(

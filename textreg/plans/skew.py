@@ -11,6 +11,8 @@ from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, Struc
 
 from textreg.plans.stage import write_stage
 
+#: ``spread_by`` for rows that may repeat whole: they are written out with a number each, by which they are dealt.
+EACH_ROW = "*"
 MAX_BROADCAST_ROWS = 500_000
 MAX_BROADCAST_BYTES = 64 << 20
 
@@ -55,7 +57,7 @@ def lookup_join(
     A ``right`` measured below the bounds is broadcast, so ``left`` is not shuffled. Otherwise
     both sides shuffle, and the keys that own more than ``1/hot_share`` of ``left`` - at most
     ``hot_share`` of them, whatever the data - are split by a hash of ``spread_by`` (a column that differs within a
-    key), with the matching ``right`` rows copied: into as many pieces as they own such shares, so no piece is larger
+    key, or ``EACH_ROW``), with the matching ``right`` rows copied: into as many pieces as they own such shares, so no piece is larger
     than the least of them. Rows with a null key match nothing and are spread over ``salts`` pieces.
     Keys already known to be frequent come as ``hot`` instead, save a pass over ``left`` and get ``salts`` pieces each.
     ``right`` is written out before it is measured, so it is computed once; pass ``stored`` when it
@@ -70,7 +72,11 @@ def lookup_join(
         return left.join(F.broadcast(right), keys, how)
     if spread_by is None:
         return left.join(right, keys, how)
-    spread = [spread_by] if isinstance(spread_by, str) else list(spread_by)
+    numbered = spread_by == EACH_ROW
+    if numbered:
+        # Written first: a number that is computed anew after a lost executor could deal a row twice.
+        left = write_stage(left.withColumn("__number", F.monotonically_increasing_id()), "numbered")
+    spread = ["__number"] if numbered else [spread_by] if isinstance(spread_by, str) else list(spread_by)
     if hot is None:
         counts = write_stage(left.groupBy(*keys).count(), "key-counts")
         limit = max(1, (counts.agg(F.sum("count")).first()[0] or 0) // hot_share)
@@ -86,4 +92,4 @@ def lookup_join(
     salted_right = (
         right.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(copies)).drop("__pieces")
     )
-    return salted_left.join(salted_right, [*keys, "__salt"], how).drop("__salt")
+    return salted_left.join(salted_right, [*keys, "__salt"], how).drop("__salt", *(["__number"] if numbered else []))

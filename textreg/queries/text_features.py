@@ -229,19 +229,30 @@ def masked_mean_pool(t):
     return pooled.select("label", F.posexplode_outer("embedding").alias("dim", "value")).withColumn("value", F.round(F.col("value").cast("double"), 5) + 0.0)
 
 
-@query("batched_encoder", f"""
+HASHED = f"""
     with tok as (select doc_id, unnest({WORDS.format('text')}) as term from documents),
     slots as (select doc_id, cast(cast('0x' || substr(md5(term), 1, 16) as ubigint) % 32 as integer) as dim,
         case when substr(md5(term), 1, 1) >= '8' then 1 else -1 end as sign from tok),
     sums as (select doc_id, dim, sum(sign) as v from slots group by 1, 2),
     lens as (select doc_id, sqrt(sum(v * v)) as len from sums group by 1)
     select d.doc_id, g.dim, round(coalesce(v / case when len = 0 then 1 else len end, 0), 4) + 0.0 as value
-    from documents d cross join (select cast(unnest(range(0, 32)) as integer) as dim) g left join sums s on s.doc_id = d.doc_id and s.dim = g.dim left join lens l on l.doc_id = d.doc_id""")
+    from documents d cross join (select cast(unnest(range(0, 32)) as integer) as dim) g left join sums s on s.doc_id = d.doc_id and s.dim = g.dim left join lens l on l.doc_id = d.doc_id"""
+
+
+@query("batched_encoder", HASHED)
 def batched_encoder(t):
     encoded = D.encode_texts(t.documents.select("doc_id", "text"), "text", D.hashing_encoder(32), 32)
     return encoded.select("doc_id", F.posexplode_outer("embedding").alias("dim", "value")).withColumn("value", F.round(F.col("value").cast("double"), 4) + 0.0)
 
 
+@query("hashed_vectors", HASHED)
+def hashed_vectors(t):
+    """The vectors of the encoder without Python."""
+    words = V.store_tokens(t.documents.withColumn("row_index", F.col("doc_id")), stops=False)
+    coded = D.hashed_vectors(words, 32)
+    return coded.select(F.col("row_index").alias("doc_id"), F.posexplode_outer("embedding").alias("dim", "value")).withColumn("value", F.round(F.col("value").cast("double"), 4) + 0.0)
+
+
 # ---- trained sentence ends ----
 
 # The same statistics and decisions in SQL: words with their neighbours, counts, scores, then the verdict on every dot.
