@@ -187,6 +187,46 @@ def test_lines(spark, min_lines):
     assert dedup_lines(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("min_lines", [1, 2, 3])
+def test_runs_of_lines_are_maximal_copies(spark, min_lines):
+    """Every deleted run is a copy of consecutive lines at an earlier place of the document it names; all later copies, found by comparing every pair
+    of places, lie in runs; a passage that repeats once is one run of its whole length."""
+    r = random.Random(40 + min_lines)
+    passage = [f"passage line {k}" for k in range(6)]
+    rows = []
+    for k in range(30):
+        lines = [r.choice(["a b", "c", "", f"own {k} {j}", "g"]) for j in range(r.randrange(1, 10))]
+        if k % 3 == 0:
+            a = r.randrange(4)
+            at = r.randrange(len(lines) + 1)
+            lines[at:at] = passage[a : a + r.randrange(2, 7)]
+        rows.append((k, "\n".join(lines)))
+    full = {i: [(n, x) for n, x in enumerate(t.split("\n")) if x.strip()] for i, t in rows}
+    order = [(i, p) for i in sorted(full) for p in range(len(full[i]))]
+    text_at = lambda i, p: full[i][p][1] if 0 <= p < len(full[i]) else None
+    for row in dedup_lines(frame(spark, rows), min_lines=min_lines).collect():
+        i = row["doc_id"]
+        place = {n: p for p, (n, _) in enumerate(full[i])}
+        covered = set()
+        for run in row["runs"]:
+            start, stop = place[run["start"]], place[run["end"] - 1] + 1
+            assert stop - start >= min_lines
+            covered |= set(range(start, stop))
+            copies = [
+                (j, q) for j, q in order
+                if j == run["from_id"] and (j, q) < (i, start) and all(text_at(j, q + k) == text_at(i, start + k) for k in range(stop - start))
+            ]
+            assert copies
+        later = set()
+        for p in range(len(full[i]) - min_lines + 1):
+            if any((a, b) < (i, p) and all(text_at(a, b + k) == text_at(i, p + k) for k in range(min_lines)) for a, b in order):
+                later |= set(range(p, p + min_lines))
+        assert covered == later
+    once = [(1, "x\n" + "\n".join(passage) + "\ny"), (2, "z\n\n" + "\n".join(passage) + "\nw")]
+    runs = {x["doc_id"]: [tuple(u) for u in x["runs"]] for x in dedup_lines(frame(spark, once), min_lines=min_lines).collect()}
+    assert runs == {1: [], 2: [(2, 8, 1)]}
+
+
 def plain_spans(rows):
     seen, out = set(), {}
     for i, text in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
