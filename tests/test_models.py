@@ -272,7 +272,7 @@ def test_whole_grid_with_more_features_than_rows(spark):
     """All models, folds and repeats are really fitted, on fewer rows than features."""
     _, _, rows = wide_rows(spark, 50, 120, 5)
     lists = rows.select(F.unwrap_udt("features").alias("v"), "y").selectExpr(
-        "cast(row_number() over (order by y, v.values[0]) - 1 as bigint) as row_index", "y", "transform(v.indices, i -> cast(i as bigint)) as embedding_indices",
+        "cast(row_number() over (order by y, get(v.values, 0)) - 1 as bigint) as row_index", "y", "transform(v.indices, i -> cast(i as bigint)) as embedding_indices",
         "v.values as embedding_values", "v.size as embedding_size",
     ).persist()
     strategy = X.Strategy("wide", lists.filter("row_index % 5 != 0"), lists.filter("row_index % 5 = 0"), "sparse")
