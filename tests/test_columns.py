@@ -75,6 +75,13 @@ PAGE = """<html><head><title>T &amp; t</title><style>p{}</style><script>var a="<
 <article><h1>H</h1><p>one<br/>two<p>three <i>four</i></p></article><a href="/c">far</a></body></html>"""
 
 
+def test_html_cut_references(spark):
+    page = '<title>a&amp;b &amp</title><nav><a href="/q?a=1&copy=2">x &ampy; &#65; &#65 &lt;</a></nav>'
+    row = extract_html(spark.createDataFrame([(1, page)], "id bigint, html string"), "id", "html").first()
+    assert row["text"] == "a&b &amp x &ampy; A &#65 <"
+    assert [tuple(x) for x in row["links"]] == [(1, "/q?a=1&copy=2", "x &ampy; A &#65 <")]
+
+
 def test_html(spark):
     df = spark.createDataFrame([(1, PAGE), (2, "plain"), (3, None)], "id bigint, html string")
     rows = {r["id"]: r for r in extract_html(df, "id", "html").collect()}
