@@ -75,6 +75,13 @@ PAGE = """<html><head><title>T &amp; t</title><style>p{}</style><script>var a="<
 <article><h1>H</h1><p>one<br/>two<p>three <i>four</i></p></article><a href="/c">far</a></body></html>"""
 
 
+def test_html_in_pieces(spark):
+    df = spark.createDataFrame([(k, PAGE * (k % 3) if k % 4 else None) for k in range(40)], "id bigint, html string").coalesce(1)
+    whole = sorted(extract_html(df, "id", "html").collect())
+    assert len(whole) == 40 and sorted(extract_html(df, "id", "html", piece_bytes=1).collect()) == whole
+    assert sorted(extract_html(df, "id", "html", piece_bytes=len(PAGE) * 3).collect()) == whole
+
+
 def test_html_cut_references(spark):
     page = '<title>a&amp;b &amp</title><nav><a href="/q?a=1&copy=2">x &ampy; &#65; &#65 &lt;</a></nav>'
     row = extract_html(spark.createDataFrame([(1, page)], "id bigint, html string"), "id", "html").first()
