@@ -85,6 +85,24 @@ def test_boosting_against_trying_every_cut(spark, way):
     assert np.allclose(got, plain_boost(x, y, 3, 3), atol=1e-9)
 
 
+def test_boosting_folds_and_renews(spark, monkeypatch):
+    """Equal rows count as one with their weight, and margins renewed every two trees are those of all trees."""
+    r = np.random.default_rng(5)
+    x = r.integers(1, 4, size=(300, 2)).astype(float)
+    y = x[:, 0] * x[:, 1] + r.normal(size=300)
+    rows = as_rows(spark, x, y)
+    monkeypatch.setattr(T, "RENEWED", 2)
+    cuts = T.feature_cuts(rows)
+    with Blocks(rows, []) as blocks:
+        coded = blocks.derive(T._code(Fit(), T._Cells.of(*cuts, None)))
+        sizes = coded.total(lambda part, _: [np.array([len(part.weight), part.weight.sum(), part.target.sum()])], None, [(3,)])[0]
+        coded.drop()
+        passes = T.boost(blocks, Fit(), cuts, trees=7, depth=3)
+    assert sizes[0] <= 9 * 4 and sizes[1] == 300 and np.isclose(sizes[2], y.sum())
+    got = [r["prediction"] for r in passes.transform(rows).orderBy("row_index").collect()]
+    assert np.allclose(got, plain_boost(x, y, 7, 3), atol=1e-9)
+
+
 def test_cuts_of_many_values(spark):
     """Up to the limit all values, beyond it those that pass another share of the rows."""
     x = np.zeros((1000, 2))

@@ -19,6 +19,8 @@ from textreg.plans.stage import write_stage
 
 #: Most cuts of a feature in boosting, and rows of a node that one task splits down to its leaves.
 CUTS, NODE_ROWS = 256, 50_000
+#: Entries of rows in cells that are put together, and trees after which their margins are renewed.
+JOINED, RENEWED = 1 << 22, 10
 #: A node splits only where the objective gains more than this.
 LEAST_GAIN = 1e-6
 
@@ -72,6 +74,15 @@ class _Growing:
         )
 
 
+def _distinct(x: np.ndarray, present: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Each row once, and the place of every row among them; the rows as they are, if fewer than half repeat or they are wide."""
+    if 0 < x.shape[1] <= 16:
+        _, first, back = np.unique(np.concatenate([x, present], axis=1), axis=0, return_index=True, return_inverse=True)
+        if 2 * len(first) <= len(x):
+            return x[first], present[first], back.ravel()
+    return x, present, None
+
+
 @dataclass(frozen=True)
 class TreeModel:
     """``base`` plus the sum of the trees' values, or, for a forest, their mean."""
@@ -87,8 +98,11 @@ class TreeModel:
         out = np.zeros(len(block.y))
         marked = Block(block.starts, block.indices, np.ones(len(block.values)), block.y, block.labels, block.row)
         for (a, b, x), (_, _, present) in zip(block.dense(columns, len(used)), marked.dense(columns, len(used)), strict=True):
+            x, present, back = _distinct(x, present > 0)
+            found = np.zeros(len(x))
             for tree in self.trees:
-                out[a:b] += tree.value[tree.leaves(columns, x, present > 0)]
+                found += tree.value[tree.leaves(columns, x, present)]
+            out[a:b] = found if back is None else found[back]
         return self.base + (out / max(len(self.trees), 1) if self.mean else out)
 
     def prediction(self, column: str = "features") -> Column:
@@ -115,13 +129,15 @@ class TreeModel:
 
 def _held_errors(block: Block, payload) -> list[np.ndarray]:
     fit, model = payload
-    held = block.trains([fit], 0, len(block.y))[:, 0] == 0
-    y, error = block.y[held], model.predict(block)[held] - block.y[held]
-    return [np.array([held.sum(), error @ error, y.sum(), y @ y])]
+    block = block.some(np.flatnonzero(block.trains([fit], 0, len(block.y))[:, 0] == 0))
+    error = model.predict(block) - block.y
+    return [np.array([len(error), error @ error, block.y.sum(), block.y @ block.y])]
 
 
 def held_errors(blocks: Blocks | Local, fit: Fit, model: TreeModel) -> np.ndarray:
     """Number of rows left out of the fit, their squared errors, targets and squared targets, summed."""
+    if fit.label is None:
+        return np.zeros(4)
     return blocks.total(_held_errors, (fit, model), [(4,)])[0]
 
 
@@ -153,12 +169,13 @@ def feature_cuts(rows: DataFrame, most: int = CUTS, column: str = "features") ->
 
 @dataclass
 class _Cells:
-    """The cuts as one line of cells: cell k holds the values of ``feature[k]`` from ``low[k]`` to before the next cell's."""
+    """The cuts as one line of cells: cell k holds the values of ``feature[k]``, the ``column[k]``-th, from ``low[k]`` to before the next cell's."""
 
     feature: np.ndarray
     low: np.ndarray
     first: np.ndarray
     last: np.ndarray
+    column: np.ndarray
 
     @staticmethod
     def of(feature: np.ndarray, low: np.ndarray, kept: Sequence[int] | None) -> _Cells:
@@ -168,17 +185,31 @@ class _Cells:
         change = np.flatnonzero(np.diff(feature)) + 1
         bounds = np.concatenate([[0], change, [len(feature)]])
         sizes = np.diff(bounds)
-        return _Cells(feature, low, np.repeat(bounds[:-1], sizes), np.repeat(bounds[1:] - 1, sizes))
+        return _Cells(feature, low, np.repeat(bounds[:-1], sizes), np.repeat(bounds[1:] - 1, sizes), np.repeat(np.arange(len(sizes)), sizes))
 
     def threshold(self, cell: int) -> float:
         """The largest value that lies in the cell or before."""
         return float(np.nextafter(self.low[cell + 1], -np.inf)) if cell < self.last[cell] else np.inf
 
 
-def _coded(block: Block, cells: _Cells) -> tuple[np.ndarray, np.ndarray]:
-    """Row and cell of each stored entry of a kept feature; kept with the block."""
-    if "cells" not in block.kept:
-        row = np.repeat(np.arange(len(block.y)), np.diff(block.starts))
+@dataclass
+class _Rows:
+    """Training rows in cells: those that lie in the same cells are one, with their number, the sum of their targets and their margin so far.
+
+    ``cell`` has a row each and a column per feature, or, where features may be absent, an entry per stored value, of the rows in ``row``.
+    """
+
+    weight: np.ndarray
+    target: np.ndarray
+    margin: np.ndarray
+    cell: np.ndarray
+    row: np.ndarray | None
+
+    @staticmethod
+    def of(block: Block, fit: Fit, cells: _Cells) -> _Rows:
+        block = block.some(np.flatnonzero(block.trains([fit], 0, len(block.y))[:, 0] > 0))
+        n = len(block.y)
+        row = np.repeat(np.arange(n), np.diff(block.starts))
         order = np.lexsort((block.values, block.indices))
         # Entries and cells are merged in order of (feature, value); a cell comes before its equals.
         feature = np.concatenate([cells.feature, block.indices[order]])
@@ -188,17 +219,89 @@ def _coded(block: Block, cells: _Cells) -> tuple[np.ndarray, np.ndarray]:
         cell = np.cumsum(kind[by] == 0)[kind[by] == 1] - 1
         known = cell >= 0
         known[known] = cells.feature[cell[known]] == block.indices[order][known]
-        block.kept["cells"] = row[order][known], cell[known]
-    return block.kept["cells"]
+        row, cell = row[order][known].astype(np.int32), cell[known].astype(np.int32)
+        width = int(cells.column.max(initial=-1)) + 1
+        found = _Rows(np.ones(n), block.y.astype(float), np.zeros(n), cell, row)
+        if width and (np.bincount(row, minlength=n) == width).all():
+            found.cell, found.row = cell[np.lexsort((cell, row))].reshape(n, width), None
+        return found
+
+    def folded(self) -> _Rows:
+        if self.row is not None or not len(self.weight):
+            return self
+        line = np.ascontiguousarray(self.cell).view([("", self.cell.dtype)] * self.cell.shape[1]).ravel() if self.cell.shape[1] > 1 else self.cell[:, 0]
+        _, first, at = np.unique(line, return_index=True, return_inverse=True)
+        if 2 * len(first) > len(line):
+            return self
+        k = len(first)
+        return _Rows(
+            np.bincount(at, weights=self.weight, minlength=k), np.bincount(at, weights=self.target, minlength=k), self.margin[first], self.cell[first], None
+        )
+
+    def nodes(self, tree: _Coded, cells: _Cells) -> np.ndarray:
+        at = np.zeros(len(self.weight), np.int64)
+        if self.row is None:
+            rows = np.arange(len(at))
+            while True:
+                cell = tree.cell[at]
+                rows = rows[cell[rows] >= 0]
+                if not len(rows):
+                    return at
+                here = cell[rows]
+                at[rows] = np.where(self.cell[rows, cells.column[here]] <= here, tree.left[at[rows]], tree.right[at[rows]])
+        first = np.where(tree.cell >= 0, cells.first[tree.cell], -1)
+        last = np.where(tree.cell >= 0, cells.last[tree.cell], -1)
+        while (tree.cell[at] >= 0).any():
+            node = at[self.row]
+            mine = (tree.cell[node] >= 0) & (self.cell >= first[node]) & (self.cell <= last[node])
+            low = tree.absent_left[at]
+            low[self.row[mine]] = self.cell[mine] <= tree.cell[node[mine]]
+            at = np.where(tree.cell[at] < 0, at, np.where(low, tree.left[at], tree.right[at]))
+        return at
+
+    def margins(self, trees: list, rate: float, cells: _Cells) -> np.ndarray:
+        margin = self.margin
+        for tree in trees:
+            margin = margin + rate * tree.value[self.nodes(tree, cells)]
+        return margin
+
+
+def _joined(parts: list[_Rows]) -> _Rows:
+    if len(parts) == 1:
+        return parts[0]
+    return _Rows(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("weight", "target", "margin", "cell")), None)
+
+
+def _code(fit: Fit, cells: _Cells):
+    """Blocks as rows in cells; those of one task are put together up to ``JOINED`` entries."""
+
+    def run(blocks: Iterator[Block]) -> Iterator[_Rows]:
+        held: list[_Rows] = []
+        for block in blocks:
+            rows = _Rows.of(block, fit, cells).folded()
+            if rows.row is not None:
+                yield rows
+                continue
+            held.append(rows)
+            if sum(r.cell.size for r in held) >= JOINED:
+                whole = _joined(held).folded()
+                held = [whole]
+                if 2 * whole.cell.size >= JOINED:
+                    yield whole
+                    held = []
+        if held:
+            yield _joined(held).folded()
+
+    return run
 
 
-def _margins(block: Block, trees: list, rate: float, cells: _Cells) -> np.ndarray:
-    """The sum of the trees so far; a block that stays in memory only adds the trees it has not seen."""
-    seen, margin = block.kept.get("margin", (0, np.zeros(len(block.y))))
-    for tree in trees[seen:]:
-        margin = margin + rate * tree.value[_node_of(block, tree, cells)]
-    block.kept["margin"] = (len(trees), margin)
-    return margin
+def _advance(trees: list, rate: float, cells: _Cells):
+    def run(parts: Iterator[_Rows]) -> Iterator[_Rows]:
+        for rows in parts:
+            rows.margin = rows.margins(trees, rate, cells)
+            yield rows
+
+    return run
 
 
 @dataclass
@@ -212,34 +315,24 @@ class _Coded:
     value: np.ndarray
 
 
-def _node_of(block: Block, tree: _Coded, cells: _Cells) -> np.ndarray:
-    row, cell = _coded(block, cells)
-    at = np.zeros(len(block.y), np.int64)
-    first = np.where(tree.cell >= 0, cells.first[tree.cell], -1)
-    last = np.where(tree.cell >= 0, cells.last[tree.cell], -1)
-    while (tree.cell[at] >= 0).any():
-        node = at[row]
-        mine = (tree.cell[node] >= 0) & (cell >= first[node]) & (cell <= last[node])
-        low = tree.absent_left[at]
-        low[row[mine]] = cell[mine] <= tree.cell[node[mine]]
-        at = np.where(tree.cell[at] < 0, at, np.where(low, tree.left[at], tree.right[at]))
-    return at
-
-
-def _histogram(block: Block, payload) -> list[np.ndarray]:
+def _histogram(rows: _Rows, payload) -> list[np.ndarray]:
     """Gradient and curvature sums of the chosen nodes: per cell, and in all."""
-    fit, trees, rate, base, tree, slots, cells = payload
+    trees, rate, base, tree, slots, cells = payload
     n_slots, n_cells = int(slots.max()) + 1, len(cells.low)
-    train = block.trains([fit], 0, len(block.y))[:, 0] > 0
-    slot = np.where(train, slots[_node_of(block, tree, cells)], -1)
-    gradient = base + _margins(block, trees, rate, cells) - block.y
-    row, cell = _coded(block, cells)
-    inside = slot[row] >= 0
-    key = slot[row[inside]] * n_cells + cell[inside]
-    rows = slot >= 0
+    slot = slots[rows.nodes(tree, cells)]
+    gradient = rows.weight * (base + rows.margins(trees, rate, cells)) - rows.target
+    inside = slot >= 0
+    if rows.row is None:
+        width = rows.cell.shape[1]
+        key = (slot[inside, None] * n_cells + rows.cell[inside]).ravel()
+        g, h = (np.repeat(x[inside], width) for x in (gradient, rows.weight))
+    else:
+        some = inside[rows.row]
+        at = rows.row[some]
+        key, g, h = slot[at] * n_cells + rows.cell[some], gradient[at], rows.weight[at]
     return [
-        np.bincount(key, weights=gradient[row[inside]], minlength=n_slots * n_cells), np.bincount(key, minlength=n_slots * n_cells).astype(float),
-        np.bincount(slot[rows], weights=gradient[rows], minlength=n_slots), np.bincount(slot[rows], minlength=n_slots).astype(float),
+        np.bincount(key, weights=g, minlength=n_slots * n_cells), np.bincount(key, weights=h, minlength=n_slots * n_cells),
+        np.bincount(slot[inside], weights=gradient[inside], minlength=n_slots), np.bincount(slot[inside], weights=rows.weight[inside], minlength=n_slots),
     ]
 
 
@@ -254,7 +347,7 @@ def boost(
 ) -> TreeModel:
     """Second-order boosting of squared errors.
 
-    Per level one pass sums gradients and curvatures of each node's smaller child by cell; its sibling's are the parent's less these. A split
+    Rows are put in cells once, with the sum of the trees so far, which is renewed every ``RENEWED`` trees. Per level one pass sums gradients and curvatures of each node's smaller child by cell; its sibling's are the parent's less these. A split
     maximizes ``G_l^2 / (H_l + penalty) + G_r^2 / (H_r + penalty)`` over cells and over the side that absent entries take; a leaf is worth ``-G / (H + penalty)``. Ties go
     to the lower feature and the higher cut. It starts from the mean target.
     """
@@ -262,9 +355,8 @@ def boost(
     bare = Fit(fit.label, fit.held)
     (sums,) = blocks.total(_mean, bare, [(2,)])
     base = float(sums[1] / sums[0]) if sums[0] else 0.0
-    for block in getattr(blocks, "blocks", []):
-        block.kept.clear()
-    coded, final = [], []
+    rows = blocks.derive(_code(bare, cells))
+    news, final = [], []
     n_cells = len(cells.low)
     for _ in range(trees):
         grown = _Growing()
@@ -280,8 +372,8 @@ def boost(
             slots[summed] = np.arange(len(summed))
             now = _Coded(*map(np.array, (cell_of, grown.absent_left, grown.left, grown.right, grown.value)))
             k = len(summed)
-            payload = (bare, coded, rate, base, now, slots, cells)
-            g, h, g_all, h_all = blocks.total(_histogram, payload, [(k * n_cells,), (k * n_cells,), (k,), (k,)])
+            payload = (news, rate, base, now, slots, cells)
+            g, h, g_all, h_all = rows.total(_histogram, payload, [(k * n_cells,), (k * n_cells,), (k,), (k,)])
             found = {x: (g[i * n_cells : (i + 1) * n_cells], h[i * n_cells : (i + 1) * n_cells], g_all[i], h_all[i]) for i, x in enumerate(summed)}
             for x in open_nodes:
                 if x not in found:
@@ -306,10 +398,15 @@ def boost(
             open_nodes = following
         if not n_cells:
             break
-        coded.append(_Coded(*map(np.array, (cell_of, grown.absent_left, grown.left, grown.right, grown.value))))
+        news.append(_Coded(*map(np.array, (cell_of, grown.absent_left, grown.left, grown.right, grown.value))))
+        if len(final) + 1 < trees and (isinstance(rows, Local) or len(news) == RENEWED):
+            before, rows = rows, rows.derive(_advance(news, rate, cells))
+            before.drop()
+            news = []
         tree = grown.tree()
         tree.value = tree.value * rate
         final.append(tree)
+    rows.drop()
     return TreeModel(tuple(final), base, mean=False)
 
 

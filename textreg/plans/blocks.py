@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 ENTRIES, SLICE = 1 << 19, 1 << 21
 #: Bytes of packed rows that are sent to the tasks whole, so that every task runs fits of its own.
 SENT_BYTES = 64 << 20
-#: Numbers of one chunk of a sum. Beyond so many partitions the chunks are added on the executors before they reach the driver.
-CHUNK, DIRECT = 1 << 18, 64
+#: Numbers of one chunk of a sum. Beyond so many partitions, or numbers of all of them, the chunks are added on the executors before they reach the driver.
+CHUNK, DIRECT, DIRECT_NUMBERS = 1 << 18, 64, 1 << 23
 
 
 @dataclass(frozen=True)
@@ -57,6 +57,13 @@ class Block:
                 out[:, k] = self.labels[a:b, fit.label] != fit.held
         return out
 
+    def some(self, rows: np.ndarray) -> Block:
+        """The block of the given rows."""
+        counts = np.diff(self.starts)[rows]
+        upto = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        entries = np.arange(upto[-1]) + np.repeat(self.starts[:-1][rows] - upto[:-1], counts)
+        return Block(upto, self.indices[entries], self.values[entries], self.y[rows], self.labels[rows], self.row[rows])
+
     def dense(self, columns: np.ndarray, width: int) -> Iterator[tuple[int, int, np.ndarray]]:
         """Rows a to b as a dense matrix of the features that ``columns`` maps to a place (others: -1), slice by slice."""
         step = max(1, SLICE // max(width, 1))
@@ -123,7 +130,7 @@ def _added(table: pa.Table) -> pa.Table:
 class Local:
     """Blocks in the memory of one process, summed there."""
 
-    def __init__(self, blocks: list[Block]):
+    def __init__(self, blocks: list):
         self.blocks = blocks
 
     def total(self, work: Callable[[Block, object], list[np.ndarray]], payload: object, shapes: list[tuple[int, ...]]) -> list[np.ndarray]:
@@ -133,6 +140,70 @@ class Local:
                 whole += part
         return out
 
+    def derive(self, run: Callable[[Iterator], Iterator]) -> Local:
+        return Local(list(run(iter(self.blocks))))
+
+    def drop(self) -> None:
+        self.blocks = []
+
+
+class Derived:
+    """What was made of blocks, kept by the tasks that made it; summed like blocks."""
+
+    def __init__(self, frame: DataFrame, read: Callable[[Iterator[pa.RecordBatch]], Iterator], run: Callable[[Iterator], Iterator]):
+        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in run(read(batches)):
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(part, protocol=5)], pa.binary())], names=["part"])
+
+        self.frame = frame.mapInArrow(make, "part binary").persist(StorageLevel.MEMORY_AND_DISK)
+        self.frame.count()
+        self.partitions = self.frame.rdd.getNumPartitions()
+
+    def total(self, work: Callable[[object, object], list[np.ndarray]], payload: object, shapes: list[tuple[int, ...]]) -> list[np.ndarray]:
+        return _total(self.frame, _unpickled, self.partitions, work, payload, shapes)
+
+    def derive(self, run: Callable[[Iterator], Iterator]) -> Derived:
+        return Derived(self.frame, _unpickled, run)
+
+    def drop(self) -> None:
+        self.frame.unpersist()
+
+
+def _unpickled(batches: Iterator[pa.RecordBatch]) -> Iterator:
+    for batch in batches:
+        for part in batch.column(0):
+            yield pickle.loads(part.as_py())
+
+
+def _total(frame: DataFrame, read: Callable, partitions: int, work: Callable, payload: object, shapes: list[tuple[int, ...]]) -> list[np.ndarray]:
+    shared = frame.sparkSession.sparkContext.broadcast(payload)
+    size = int(sum(np.prod(s) for s in shapes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for block in read(batches):
+            found = np.concatenate([np.ravel(x) for x in work(block, shared.value)])
+            total = found if total is None else total + found
+        if total is not None:
+            for chunk, at in enumerate(range(0, size, CHUNK)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk], pa.int32()), pa.array([total[at : at + CHUNK].tobytes()], pa.binary())], schema=_PARTS
+                )
+
+    parts = frame.mapInArrow(run, "chunk int, part binary")
+    if partitions > DIRECT or partitions * size > DIRECT_NUMBERS:
+        parts = parts.groupBy("chunk").applyInArrow(_added, "chunk int, part binary")
+    whole = np.zeros(size)
+    for chunk, part in parts.toLocalIterator() if size > 64 * CHUNK else parts.collect():
+        whole[chunk * CHUNK : (chunk + 1) * CHUNK] += np.frombuffer(part, np.float64)
+    shared.destroy()
+    out, at = [], 0
+    for s in shapes:
+        n = int(np.prod(s))
+        out.append(whole[at : at + n].reshape(s))
+        at += n
+    return out
+
 
 class Blocks:
     """``rows(features, y, *labels)`` packed and kept; rows without features or target are left out. Use as a context manager.
@@ -191,30 +262,13 @@ class Blocks:
     def total(self, work: Callable[[Block, object], list[np.ndarray]], payload: object, shapes: list[tuple[int, ...]]) -> list[np.ndarray]:
         """Sums over all blocks of the arrays, of the given shapes, that ``work(block, payload)`` returns."""
         n_labels = self.n_labels
-        shared = self.spark.sparkContext.broadcast(payload)
-        size = int(sum(np.prod(s) for s in shapes))
+        return _total(self.frame, lambda batches: _unpacked(batches, n_labels), self.partitions, work, payload, shapes)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
-            for block in _unpacked(batches, n_labels):
-                found = np.concatenate([np.ravel(x) for x in work(block, shared.value)])
-                total = found if total is None else total + found
-            if total is not None:
-                for chunk, at in enumerate(range(0, size, CHUNK)):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([chunk], pa.int32()), pa.array([total[at : at + CHUNK].tobytes()], pa.binary())], schema=_PARTS
-                    )
+    @functools.cached_property
+    def partitions(self) -> int:
+        return self.frame.rdd.getNumPartitions()
 
-        parts = self.frame.mapInArrow(run, "chunk int, part binary")
-        if self.frame.rdd.getNumPartitions() > DIRECT:
-            parts = parts.groupBy("chunk").applyInArrow(_added, "chunk int, part binary")
-        whole = np.zeros(size)
-        for chunk, part in parts.toLocalIterator() if size > 64 * CHUNK else parts.collect():
-            whole[chunk * CHUNK : (chunk + 1) * CHUNK] += np.frombuffer(part, np.float64)
-        shared.unpersist()
-        out, at = [], 0
-        for s in shapes:
-            n = int(np.prod(s))
-            out.append(whole[at : at + n].reshape(s))
-            at += n
-        return out
+    def derive(self, run: Callable[[Iterator[Block]], Iterator]) -> Derived:
+        """What ``run`` makes of the blocks of each task, kept until ``drop``."""
+        n_labels = self.n_labels
+        return Derived(self.frame, lambda batches: _unpacked(batches, n_labels), run)
