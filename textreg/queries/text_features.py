@@ -206,8 +206,9 @@ VECTORS = "vectors as (select term, embedding as vec from embeddings join vocab
 @query("vector_lookup_join", FITTED + f", {VECTORS} select row_index, term, n, round(cast(vec[1] as double), 6) as first from tf join vectors using (term)")
 def vector_lookup_join(t):
     counts = V.term_counts(documents(t)).filter(F.col("term").isNotNull())
-    known = lookup_join(counts, word_vectors(t), "term", spread_by="row_index", stored=True)
-    return known.select("row_index", "term", "n", F.round(F.col("vec")[0].cast("double"), 6).alias("first"))
+    # Only what is shown of a vector goes through the join.
+    firsts = word_vectors(t).select("term", F.round(F.col("vec")[0].cast("double"), 6).alias("first"))
+    return lookup_join(counts, firsts, "term", spread_by="row_index", stored=True).select("row_index", "term", "n", "first")
 
 
 @query("word_vector_mean", FITTED + f""", {VECTORS},
