@@ -103,6 +103,13 @@ def test_boosting_folds_and_renews(spark, monkeypatch):
     assert np.allclose(got, plain_boost(x, y, 7, 3), atol=1e-9)
 
 
+def test_cuts_of_kept_features(spark):
+    rows = as_rows(spark, *sample())
+    feature, low = T.feature_cuts(rows)
+    some, kept = T.feature_cuts(rows, kept=[7, 2])
+    assert set(some) == {2, 7} and kept.tolist() == low[np.isin(feature, [2, 7])].tolist()
+
+
 def test_cuts_of_many_values(spark):
     """Up to the limit all values, beyond it those that pass another share of the rows."""
     x = np.zeros((1000, 2))
