@@ -251,6 +251,16 @@ def test_held_out_labels_are_not_read(spark):
     assert score(labels) == score(turned)
 
 
+def test_networks_do_not_pass_through_the_driver(spark, monkeypatch):
+    def refused(stored):
+        raise AssertionError("the driver holds a network")
+
+    rows = [(k, f"word{k % 7} {'bad' if k % 2 else 'good'}") for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id bigint, toxic int")
+    monkeypatch.setattr(text_cnn, "from_bytes", refused)
+    assert score_toxicity(frame(spark, rows), labels, steps=20).filter("score > 0").count() == 60
+
+
 def test_toxicity_without_labels_or_documents(spark):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     got = score_toxicity(frame(spark, [(1, "a"), (2, None)]), none).collect()

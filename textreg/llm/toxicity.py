@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +16,8 @@ from pyspark.sql.window import Window
 
 from textreg.llm import text_cnn
 from textreg.llm.batches import stage
+from textreg.llm.warc import make_folder, open_folder
+from textreg.plans.stage import shared_root
 
 #: Networks, each trained without one part of the sample; labelled rows in the sample, half of either label; characters of its texts.
 MEMBERS = 3
@@ -25,7 +29,7 @@ BATCH_BYTES = 4 << 20
 #: Score from which a text counts as toxic where its language has no cutoff of its own, and the steps of a cutoff.
 CUTOFF, STEPS = 0.3, 100
 
-_TRAINED = pa.schema([("member", pa.int32()), ("model", pa.binary())])
+_TRAINED = pa.schema([("member", pa.int32()), ("file", pa.string())])
 
 
 def held_out(id_col: str | Column) -> Column:
@@ -37,7 +41,7 @@ def _fold(id_col: str) -> Column:
     return F.pmod(F.xxhash64(F.lit("fold"), id_col), F.lit(MEMBERS)).cast("int")
 
 
-def _train(steps: int):
+def _train(folder: str, steps: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by([("id", "ascending")])
         member = table.column("member")[0].as_py()
@@ -45,19 +49,38 @@ def _train(steps: int):
         model = text_cnn.train(
             texts, table.column("y").to_numpy().astype(np.float32), table.column("weight").to_numpy(), seed=member, steps=steps
         )
-        return pa.Table.from_arrays([pa.array([member], pa.int32()), pa.array([text_cnn.to_bytes(model)], pa.binary())], schema=_TRAINED)
+        # A name per attempt: only that of the one whose row is kept is read.
+        file = f"{member}-{uuid.uuid4().hex}.npz"
+        system, root = open_folder(folder)
+        with system.open_output_stream(f"{root}/{file}", compression=None) as out:
+            out.write(text_cnn.to_bytes(model))
+        return pa.Table.from_arrays([pa.array([member], pa.int32()), pa.array([file])], schema=_TRAINED)
 
     return run
 
 
+@functools.lru_cache(maxsize=1)
+def read_networks(folder: str, files: tuple[str, ...]) -> list[text_cnn.Model]:
+    """The networks of ``files``; a Python worker reads them once."""
+    system, root = open_folder(folder)
+    models = []
+    for file in files:
+        with system.open_input_stream(f"{root}/{file}", compression=None) as source:
+            models.append(text_cnn.from_bytes(source.read()))
+    return models
+
+
 def train_members(
     docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS, steps: int = TRAIN_STEPS
-) -> dict[int, text_cnn.Model]:
-    """Networks fitted on a sample of ``labelled(id, y)``, by member; ``docs(id, text)``.
+) -> tuple[str, dict[int, str]]:
+    """Networks fitted on a sample of ``labelled(id, y)``: a shared folder and the file of each member; ``docs(id, text)``.
 
     The sample holds at most ``sample / 2`` rows of either label, those of least hash, whose texts have at most ``sample_chars``
-    characters; weights restore the labels' shares. Each member is trained in a task of its own, without the rows of its own fold.
+    characters; weights restore the labels' shares. Each member is trained in a task of its own, without the rows of its own fold, and written by it: the driver
+    sees the names of the files only.
     """
+    spark = docs.sparkSession
+    folder = f"{shared_root(spark)}/textreg/networks-{uuid.uuid4().hex}"
     here = labelled.join(docs.select("id").distinct(), "id", "left_semi")
     counts = {r["y"]: r["n"] for r in here.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = [
@@ -66,7 +89,8 @@ def train_members(
         for y, n in counts.items()
     ]
     if not chosen:
-        return {}
+        return folder, {}
+    make_folder(folder)
     ids = chosen[0] if len(chosen) == 1 else chosen[0].unionByName(chosen[1])
     # At most ``sample`` ids, and one text per id.
     rows = (
@@ -75,13 +99,15 @@ def train_members(
     )
     members = F.filter(F.sequence(F.lit(0), F.lit(MEMBERS - 1)), lambda m: m != _fold("id"))
     dealt = rows.select("id", "y", "weight", "text", F.explode(members).alias("member"))
-    trained = dealt.groupBy("member").applyInArrow(_train(steps), "member int, model binary")
-    return {r["member"]: text_cnn.from_bytes(r["model"]) for r in stage(trained, "networks").collect()}
+    trained = dealt.groupBy("member").applyInArrow(_train(folder, steps), "member int, file string")
+    return folder, {r["member"]: r["file"] for r in stage(trained, "trained").collect()}
+
 
+def _score(folder: str, files: dict[int, str]):
+    members = sorted(files)
 
-def _score(shared, members: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
+        models = read_networks(folder, tuple(files[m] for m in members))
         for batch in batches:
             texts = batch.column(1)
             upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -130,7 +156,7 @@ def score_toxicity(
     sees words only. ``predicted`` is 1 from ``CUTOFF`` on. ``threshold`` is calibrated by language over all labelled rows, each scored by the
     network that has not seen its fold, and ``toxic`` says whether the score reaches it.
 
-    Texts are read once to be scored and do not move; the networks are sent to the tasks and have a fixed size. Null and empty texts get the
+    Texts are read once to be scored and do not move; the networks have a fixed size, and the tasks read them from the shared folder. Null and empty texts get the
     score of no words; null ids are never labelled; of several labels of an id the greatest counts, null ones do not. Without labelled rows all
     scores are 0. Languages without labelled toxic rows, and null, use ``CUTOFF``. Rows may repeat; other columns are ignored.
     """
@@ -139,11 +165,10 @@ def score_toxicity(
     )
     known = labels.select(F.col(id_col).cast("bigint").alias("id"), (F.col(label_col) > 0).cast("int").alias("y"))
     labelled = known.filter(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out("id")).groupBy("id").agg(F.max("y").alias("y"))
-    models = train_members(read.select("id", "text"), labelled, sample, sample_chars, steps)
-    members = sorted(models)
+    folder, files = train_members(read.select("id", "text"), labelled, sample, sample_chars, steps)
+    members = sorted(files)
     if members:
-        shared = read.sparkSession.sparkContext.broadcast([models[m] for m in members])
-        outputs = stage(read.mapInArrow(_score(shared, members), _SCORED_TYPES), "toxicity")
+        outputs = stage(read.mapInArrow(_score(folder, files), _SCORED_TYPES), "toxicity")
         mean = sum(F.col(f"z{m}") for m in members) / len(members)
     else:
         outputs, mean = read.select("id", "lang", F.lit(None).cast("double").alias("z0")), F.lit(-math.inf)

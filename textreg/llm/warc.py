@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textreg.llm.batches import stage
@@ -23,7 +23,7 @@ GAP_BYTES = 64 << 10
 READ_BYTES = 8 << 20
 
 
-def _open(folder: str) -> tuple[fs.FileSystem, str]:
+def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a folder URI (file, hdfs, s3, gs, abfs ...); a bare path is a local one."""
     if folder.startswith("file:/") and not folder.startswith("file://"):
         folder = "file://" + folder.removeprefix("file:")
@@ -62,7 +62,7 @@ _INDEX_TYPES = "archive string, offset bigint, length bigint, url string, digest
 
 def _write(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = _open(folder)
+        system, root = open_folder(folder)
         out, name, at = None, "", 0
         try:
             for batch in batches:
@@ -117,13 +117,13 @@ def write_archives(
         F.length(payload).cast("bigint").alias("bytes"),
     ).join(revisits, ["id", "sha1"], "left")
     rows = rows.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
-    _make_folder(spark, folder)
+    make_folder(folder)
     index = rows.select("id", "url", "payload", "sha1", "bytes", "refers_to", "record_type").mapInArrow(_write(folder), _INDEX_TYPES)
     return folder, stage(index, "warc-index")
 
 
-def _make_folder(spark: SparkSession, folder: str) -> None:
-    system, root = _open(folder)
+def make_folder(folder: str) -> None:
+    system, root = open_folder(folder)
     system.create_dir(root, recursive=True)
 
 
@@ -151,7 +151,7 @@ def _read(folder: str):
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = _open(folder)
+        system, root = open_folder(folder)
         archive, source = None, None
 
         def flush(name: str, held: list[tuple[int, int]]) -> pa.RecordBatch:
