@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import best_segmentation, without_repeated_lines
 from pyspark.sql import functions as F
@@ -263,6 +264,24 @@ def test_spans(spark):
     assert [x["n_removed"] for x in odd] == [0, 0, 0] and dedup_spans(frame(spark, [])).count() == 0
 
 
+def test_equal_spans_of_a_task_are_one_row():
+    from textreg.llm import spans
+
+    passage = "one two three four five. six seven eight nine ten. a b c d e. "
+    rows = [(k % 7, k, f"{passage}own words of {k} here. ") for k in range(50)] + [(3, 99, passage * 3)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["id", "copy", "text"])
+    out = pa.Table.from_batches(spans._spans([batch])).to_pylist()
+    assert [(r["id"], r["copy"]) for r in out] == sorted((r["id"], r["copy"]) for r in out)
+    met = {}
+    for r in out:
+        assert (r["a"], r["b"]) not in met
+        places = [(r["id"], r["copy"], r["place"]), *[(m["id"], m["copy"], m["place"]) for m in r["more"] or []]]
+        assert places == sorted(places)
+        met[r["a"], r["b"]] = places
+    # The passage stands once in each of fifty texts and three times in one more.
+    assert max(map(len, met.values())) == 53 and sum(p[0][2] < 0 for p in met.values()) == 51
+
+
 def test_pieces(spark):
     table = {p: (i, round(s * 10**6)) for i, p, s, byte in vocabulary() if byte < 0}
     byte = {i: p for i, p, s, b in vocabulary() if b >= 0}

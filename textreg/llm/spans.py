@@ -10,8 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from textreg.llm.batches import stage
+from pyspark.sql.window import Window
 
 #: A span is the shortest run of sentences with this many sentences and words.
 SENTENCES = 3
@@ -84,26 +83,45 @@ def spans(units: list[tuple[int, int, list[str]]]) -> tuple[np.ndarray, np.ndarr
     return start, stop - start, np.stack(out)
 
 
+#: Documents whose equal spans a task folds at a time.
+FOLDED = 4000
+#: A place is the number of the first sentence times this, plus the sentences of the span (at most ``WORDS`` + 1); that of a
+#: document's own row is below 0. Random columns come first and small numbers last, which is how rows compress best on their way.
+_WIDE = 256
+_WHERE = pa.struct([("copy", pa.int64()), ("id", pa.int64()), ("place", pa.int64())])
+_SPAN_TYPES = "copy bigint, a bigint, b bigint, id bigint, place bigint, more array<struct<copy:bigint,id:bigint,place:bigint>>"
+
+
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per hash and ``FOLDED`` documents: the first place by id, copy and position, and the later ones as a list."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            rows, copies, starts, sizes, keys = [], [], [], [], []
-            for id_, copy, text in zip(*[c.to_pylist() for c in part.columns], strict=True):
+        for at in range(0, batch.num_rows, FOLDED):
+            part = sorted(zip(*[c.to_pylist() for c in batch.slice(at, FOLDED).columns], strict=True), key=lambda row: row[:2])
+            rows, copies, places, keys = [], [], [], []
+            for id_, copy, text in part:
                 units = sentences(text)
                 start, size, key = spans(units)
-                rows.append(np.full(len(start) + 1, id_))
-                copies.append(np.full(len(start) + 1, copy))
-                # A last row at place -1 tells the number of sentences.
-                starts.append(np.append(start, -1))
-                sizes.append(np.append(size, sum(bool(w) for *_, w in units)))
-                keys.append(np.concatenate([key, np.zeros((2, 1), np.uint64)], axis=1))
-            key = np.concatenate(keys, axis=1).view(np.int64)
+                rows.append(np.full(len(start) + 1, id_, np.int64))
+                copies.append(np.full(len(start) + 1, copy, np.int64))
+                # A last row, under a key of the document's own, tells the number of sentences.
+                places.append(np.append(start * _WIDE + size, -1 - sum(bool(w) for *_, w in units)))
+                keys.append(np.concatenate([key.view(np.int64), [[copy], [id_]]], axis=1))
+            key = np.concatenate(keys, axis=1)
+            order = np.lexsort((key[1], key[0]))
+            key = key[:, order]
+            same = np.concatenate([[False], (key[:, 1:] == key[:, :-1]).all(axis=0)])
+            head, tail = order[~same], order[same]
+            where = [np.concatenate(x) for x in (copies, rows, places)]
+            later = pa.StructArray.from_arrays([pa.array(x[tail]) for x in where], fields=list(_WHERE))
+            n_later = np.diff(np.append(np.flatnonzero(~same), len(order))) - 1
+            ends = np.concatenate([[0], np.cumsum(n_later)])
+            more = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), later, mask=pa.array(n_later == 0))
+            # Rows leave in the order of the documents: neighbours share id and copy, which compress away.
+            told = np.argsort(head)
+            a, b = key[:, ~same][:, told]
+            copy, id_, place = (x[head[told]] for x in where)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(x), t) for x, t in (
-                    (rows, pa.int64()), (copies, pa.int64()), (starts, pa.int32()), (sizes, pa.int32()),
-                )] + [pa.array(key[0]), pa.array(key[1])],
-                names=["id", "copy", "pos", "size", "a", "b"],
+                [*map(pa.array, (copy, a, b, id_, place)), more.take(pa.array(told))], names=["copy", "a", "b", "id", "place", "more"]
             )
 
 
@@ -142,26 +160,28 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     and ``WORDS`` words, compared by a 128-bit hash of its words in lower case. Order is by id, then by place: the first
     occurrence stays, within a document as well.
 
-    Spans are reduced to one row per hash before their shuffle; a passage in very many documents is one row of the
-    joined side, and Spark splits the other. Null texts stay null, empty ones empty. Rows without an id are passed
-    on unchanged. Rows that share id and text count as one document. Other columns are ignored.
+    Spans move once, by their hash, and meet their first copy there. A task folds the equal spans of ``FOLDED`` documents
+    to one row before, so a passage in very many documents is few rows. Null texts stay null, empty ones
+    empty. Rows without an id are passed on unchanged. Rows that share id and text count as one document. Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("copy", F.xxhash64("text"))
     read = docs.filter("id IS NOT NULL AND text IS NOT NULL").select("id", "copy", "text")
-    every = read.mapInArrow(_spans, "id bigint, copy bigint, pos int, size int, a bigint, b bigint")
-    every = stage(every, "spans")
-    counts = every.filter("pos < 0").select("id", "copy", "pos", "size", F.lit(None).cast("bigint").alias("first"))
-    every = every.filter("pos >= 0")
-    # Half of the hash finds the few candidates before whole rows move.
-    twice = every.groupBy("a").count().filter("count > 1").select("a")
-    repeated = stage(every.join(twice, "a"), "repeated-spans")
-    first = repeated.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("id", "copy", "pos")).alias("first"))
-    later = repeated.join(first.filter("n > 1").select("a", "b", "first"), ["a", "b"]).filter(
-        F.struct("id", "copy", "pos") != F.col("first")
+    every = read.mapInArrow(_spans, _SPAN_TYPES)
+    equal = Window.partitionBy("a", "b")
+    met = every.withColumns({"n": F.count("*").over(equal), "first": F.min(F.struct("id", "copy", "place")).over(equal)})
+    counts = F.col("place") < 0
+    own = F.array(F.struct("copy", "id", "place"))
+    places = F.when(F.col("more").isNull(), own).otherwise(F.concat(own, "more"))
+    later = F.filter(places, lambda s: F.struct(s["id"], s["copy"], s["place"]) != F.col("first"))
+    spots = met.filter(counts | (F.col("n") > 1) | F.col("more").isNotNull()).select(
+        F.explode(F.when(counts, own).otherwise(later)).alias("s"), F.when(~counts, F.col("first.id")).alias("first")
+    )
+    found = F.struct(
+        F.when(F.col("first").isNull(), -1).otherwise(F.floor(F.col("s.place") / _WIDE)).cast("int").alias("pos"),
+        F.when(F.col("first").isNull(), -1 - F.col("s.place")).otherwise(F.col("s.place") % _WIDE).cast("int").alias("size"), "first",
     )
-    spots = later.select("id", "copy", "pos", "size", F.col("first.id").alias("first")).unionByName(counts)
-    marked = spots.groupBy("id", "copy").agg(F.collect_set(F.struct("pos", "size", "first")).alias("found"))
+    marked = spots.select("s.id", "s.copy", found.alias("found")).groupBy("id", "copy").agg(F.collect_set("found").alias("found"))
     cleaned = docs.join(marked, ["id", "copy"], "left").select("id", "text", "found").mapInArrow(
         _rebuild, "id bigint, n_sentences bigint, n_removed bigint, kept_text string, first_ids array<bigint>"
     )
