@@ -180,6 +180,18 @@ def test_other_scripts_in_latin_letters(spark):
     assert named == "bassein_No.2"
 
 
+def test_runs_of_other_scripts(spark):
+    from textreg.functions.text import _ranges, spellings, transliterate
+
+    # Every kind of letter beside every other, and long runs of both; the ranges hold what is spelled and no accented letter.
+    table = spellings()
+    some = [*list(table)[::7], "a", "é", "\n", "ß", "𝒳", "中"]
+    texts = ["".join(a + b for b in some) for a in some] + ["é" * 20_000 + "Щ" * 20_000 + "a" * 20_000]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", transliterate("t").alias("u")).collect()
+    assert all(r["u"] == "".join(table.get(ch, ch) for ch in r["t"]) for r in got) and len(got) == len(texts)
+    assert _ranges("acz", 4) == r"\x{61}-\x{63}\x{7a}-\x{7a}"
+
+
 def test_base_forms(spark):
     from textreg.operators.lemmas import base_forms
 
