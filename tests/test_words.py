@@ -192,6 +192,19 @@ def test_runs_of_other_scripts(spark):
     assert _ranges("acz", 4) == r"\x{61}-\x{63}\x{7a}-\x{7a}"
 
 
+def test_plain_latin_step_by_step(spark):
+    from textreg.functions.text import LATIN_SPELLINGS, PLAIN_MARKS, to_plain_latin
+
+    cases = {"plain, as it is": "plain, as it is", "ação": "acao", "m² ½": "m2 1/2", "straße “Жук”…": 'strasse "zhuk"...', "": "", "e\u0301": "e"}
+    cases |= {o: mark for mark, others in PLAIN_MARKS.items() for o in others} | LATIN_SPELLINGS
+    cases = {k: v for k, v in cases.items()} | {f"a{k}é": f"a{v}e" for k, v in cases.items()}
+    rows = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string").select("t", to_plain_latin(F.lower("t")).alias("u"))
+    assert {r["t"]: r["u"] for r in rows.collect()} == cases | {None: None}
+    # Names in ASCII pass every step by: the steps stand behind a test of the letters.
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN RLIKE(") >= 2
+
+
 def test_base_forms(spark):
     from textreg.operators.lemmas import base_forms
 
