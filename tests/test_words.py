@@ -65,6 +65,21 @@ def test_no_text_has_no_sentences(spark):
     assert model.words.isEmpty() and model.pairs.isEmpty() and E.split_sentences(tokens, model).isEmpty()
 
 
+def test_the_telling_columns_are_enough(spark):
+    texts = [
+        'He met Dr. Brown.  "Why?" she asked Dr. White. No. 5 of 3.5, e.g. B. Smith... and (so) on.\x0b\nÉté Über straße...  ', "One. Two!  Three?) 1,000. A. b. Ende.", "x", None, "...",
+    ] * 3
+    tokens = E.sentence_tokens(spark.createDataFrame(list(enumerate(texts)), "row_index bigint, text string")).persist()
+    told = E.telling(tokens)
+    assert set(told.columns) == {"word", "dotted", "ends", "first", "next_word", "next_first"} and told.filter("next_word IS NULL AND ends != ''").count() <= 12
+    whole, small = E.fit_sentences(tokens), E.fit_sentences(told)
+    assert sorted(whole.words.collect()) == sorted(small.words.collect()) and sorted(whole.pairs.collect()) == sorted(small.pairs.collect())
+    facts = {r["word"]: r for r in whole.words.collect()}
+    assert facts["dr"]["n"] == facts["dr"]["dotted"] == 6 and facts["straße"]["lower"] == 3 and facts["#"]["n"] == 9
+    assert [r["piece"] for r in tokens.filter("row_index = 1").orderBy("pos").collect()] == ["One. ", "Two!  ", "Three?) ", "1,000. ", "A. ", "b. ", "Ende."]
+    assert [r["ends"] for r in tokens.filter("row_index = 1").orderBy("pos").collect()] == [".", "!", "?", ".", ".", ".", "."]
+
+
 def test_association_against_the_plain_ratio(spark):
     def plain(a, b, both, n):
         def fit(k, m, q):

@@ -19,6 +19,8 @@ ABBREVIATION, STARTER, COLLOCATION, WITH_DOT = 0.3, 30.0, 7.88, 0.99
 # A piece of text with the white space behind it, quotes and brackets around a word, and what counts as a number.
 PIECE, AROUND = r"\S+\s*", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}.]+$"
 NUMBER, INITIAL, CLOSED = r"^[0-9][0-9.,]*$", r"^\p{L}$", "[\"')\\]»”’]*$"
+# White space behind a piece, and a word of letters only, which needs no look for marks.
+BLANKS, LETTERS = " \t\n\x0b\f\r", r"^(?:[a-zA-Z]++|\p{L})++$"
 
 
 def _log(c: Column) -> Column:
@@ -51,13 +53,17 @@ def sentence_tokens(docs: DataFrame, text: str = "text", row: str = "row_index")
     ``...``) that could end a sentence, ``first`` the case of the first letter (``U``, ``L`` or empty).
     """
     pieces = docs.select(row, F.posexplode_outer(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))).alias("pos", "piece")).filter("piece IS NOT NULL")
-    token = F.regexp_replace("piece", r"\s+$", "")
-    bare = F.regexp_replace("token", AROUND, "")
-    marks = F.regexp_extract("token", r"([.!?]+)" + CLOSED, 1)
-    lower = F.lower(F.regexp_replace("bare", r"\.+$", ""))
-    spelled = pieces.withColumn("token", token).withColumn("bare", bare).select(
-        row, "pos", "piece", F.when(lower.rlike(NUMBER), "#").otherwise(lower).alias("word"), F.col("bare").endswith(".").alias("dotted"),
-        F.when(marks.rlike("[!?]"), F.substring(marks, -1, 1)).when(marks.rlike(r"^\.\.+$"), "...").when(marks == ".", ".").otherwise("").alias("ends"),
+    token, letters = F.rtrim("piece", F.lit(BLANKS)), F.col("token").rlike(LETTERS)
+    bare = F.when(F.col("letters"), F.col("token")).otherwise(F.regexp_replace("token", AROUND, ""))
+    marks = F.when(F.col("letters"), "").otherwise(F.regexp_extract("token", r"([.!?]+)" + CLOSED, 1))
+    lower = F.when(F.col("letters"), F.lower("token")).otherwise(F.lower(F.regexp_replace("bare", r"\.+$", "")))
+    pieces = pieces.withColumn("token", token).withColumn("letters", letters).withColumns({"bare": bare, "marks": marks}).withColumn("lower", lower)
+    marks = F.col("marks")
+    spelled = pieces.select(
+        row, "pos", "piece", F.when(~F.col("letters") & F.col("lower").rlike(NUMBER), "#").otherwise(F.col("lower")).alias("word"),
+        (~F.col("letters") & F.col("bare").endswith(".")).alias("dotted"),
+        F.when(marks == "", "").when(marks.rlike("[!?]"), F.substring(marks, -1, 1)).when(marks == ".", ".").when(marks.rlike(r"^\.\.+$"), "...")
+        .otherwise("").alias("ends"),
         F.when(F.col("bare").rlike(r"^\p{Lu}"), "U").when(F.col("bare").rlike(r"^\p{Ll}"), "L").otherwise("").alias("first"),
     )
     order = Window.partitionBy(row).orderBy("pos")
@@ -75,40 +81,51 @@ class SentenceModel:
     pairs: DataFrame
 
 
+def telling(tokens: DataFrame) -> DataFrame:
+    """What ``fit_sentences`` reads of the tokens: ``word, dotted, ends, first, next_word, next_first``.
+
+    The next word is kept only behind a mark, or if it is capitalized: elsewhere it tells nothing, and most words are not stored twice.
+    """
+    tells = (F.col("ends") != "") | (F.col("next_first") == "U")
+    return tokens.select("word", "dotted", "ends", "first", *[F.when(tells, F.col(c)).alias(c) for c in ("next_word", "next_first")])
+
+
 def fit_sentences(tokens: DataFrame) -> SentenceModel:
     """Learn from ``sentence_tokens``: one count per word, then one per word after a likely end, then one per pair.
 
-    Words are reduced before they are shuffled, and everything a later step needs is a table of distinct words.
+    Words are reduced before they are shuffled, and everything a later step needs is a table of distinct words. Only words with a dot meet the
+    abbreviations; they alone are written out.
     """
-    counts = tokens.filter("word != ''").groupBy("word").agg(F.count("*").alias("n"), F.count_if("dotted").alias("dotted"))
+    counts = tokens.filter("word != ''").groupBy("word").agg(
+        F.count("*").alias("n"), F.count_if("dotted").alias("dotted"), F.count_if(F.col("first") == "L").alias("lower")
+    )
     counts = write_stage(counts, "word-counts")
     whole = counts.agg(F.sum("n").alias("total"), F.sum("dotted").alias("all_dotted")).first()
     total, all_dotted = F.lit(float(whole["total"] or 1)), F.lit(float(whole["all_dotted"] or 0))
     score = F.when((F.col("dotted") > 0) & F.col("word").rlike(r"\p{L}"), abbreviation_score(F.col("word"), F.col("n"), F.col("dotted"), all_dotted, total))
     scored = write_stage(counts.withColumn("score", F.coalesce(score, F.lit(0.0))), "abbreviations")
     short = scored.filter(F.col("score") >= ABBREVIATION).select("word", F.lit(True).alias("abbreviation"))
-    marked = lookup_join(tokens, short, "word", "left", spread_by=["pos"], stored=False)
-    abbreviation = F.coalesce("abbreviation", F.lit(False))
-    likely_end = F.col("ends").isin("!", "?") | ((F.col("ends") == ".") & ~abbreviation)
-    known = write_stage(marked.withColumns({"abbreviation": abbreviation, "likely_end": likely_end}), "likely-ends")
-    # The word after each word: whether it stands behind a likely end, and behind what.
-    after = known.filter("NOT last AND next_word != ''").select(
-        "word", "abbreviation", "ends", "likely_end", F.col("next_word"), "next_first",
-        F.col("word").rlike(INITIAL).alias("initial"),
+    told = telling(tokens).filter("ends != '' OR next_first = 'U'").select("word", "ends", "next_word", "next_first")
+    dots = lookup_join(told.filter("ends = '.'"), short, "word", "left", spread_by=["next_word", "next_first"])
+    dots = write_stage(dots.withColumn("abbreviation", F.coalesce("abbreviation", F.lit(False))), "dots")
+    known = dots.withColumn("likely_end", ~F.col("abbreviation")).unionByName(
+        told.filter("ends != '.'").withColumns({"abbreviation": F.lit(False), "likely_end": F.col("ends").isin("!", "?")})
     )
-    places = after.groupBy("next_word").agg(
-        F.count_if(~F.col("likely_end") & (F.col("next_first") == "U")).alias("upper_inside"),
-        F.count_if(F.col("likely_end") & ~F.col("initial") & (F.col("word") != "#")).alias("starts"),
-    ).withColumnRenamed("next_word", "word")
-    lower = known.groupBy("word").agg(F.count_if(F.col("first") == "L").alias("lower"))
-    ends = float(known.filter("likely_end").count())
-    joined = scored.join(lower, "word").join(places, "word", "left").fillna(0, subset=["upper_inside", "starts"])
+    # Per word, whether it stands behind a likely end, and behind what; the last words of the texts, which have none behind them, count as ends.
+    plain = ~F.col("word").rlike(INITIAL) & (F.col("word") != "#")
+    places = write_stage(known.groupBy("next_word").agg(
+        F.count_if(~F.col("likely_end") & (F.col("next_first") == "U")).alias("upper_inside"), F.count_if(F.col("likely_end") & plain).alias("starts"),
+        F.count_if("likely_end").alias("ends"),
+    ), "places")
+    ends = float(places.agg(F.sum("ends")).first()[0] or 0)
+    places = places.filter("next_word != ''").select(F.col("next_word").alias("word"), "upper_inside", "starts")
+    joined = scored.join(places, "word", "left").fillna(0, subset=["upper_inside", "starts"])
     starter = F.when(
         (F.col("starts") > 0) & F.col("word").rlike(r"^\p{L}+$") & (total / F.lit(max(ends, 1.0)) > F.col("n") / F.col("starts")),
         association(F.lit(ends), F.col("n").cast("double"), F.col("starts").cast("double"), total),
     )
     words = write_stage(joined.withColumn("starter_score", F.coalesce(starter, F.lit(0.0))), "words")
-    open_dots = after.filter((F.col("ends") == ".") & (F.col("abbreviation") | F.col("initial") | (F.col("word") == "#")))
+    open_dots = dots.filter((F.col("next_word") != "") & (F.col("abbreviation") | ~plain))
     pairs = open_dots.groupBy("word", "next_word").agg(F.count("*").alias("n")).filter("n > 1")
     sized = pairs.join(scored.select("word", F.col("n").alias("a")), "word").join(scored.select(F.col("word").alias("next_word"), F.col("n").alias("b")), "next_word")
     bound = F.when(total / F.col("a") > F.col("b") / F.col("n"), association(*(F.col(c).cast("double") for c in ("a", "b", "n")), total))
@@ -142,12 +159,11 @@ def split_sentences(tokens: DataFrame, model: SentenceModel, row: str = "row_ind
         .when(initial | (F.col("word") == "#"), ~(lower | (initial & upper & ~flag("has_lower"))))
         .otherwise(True)
     )
-    decided = seen.select(row, "pos", ends.alias("decided"))
-    cut = tokens.select(row, "pos", "piece", "ends").join(decided, [row, "pos"], "left").withColumn(
-        "end", F.coalesce("decided", F.col("ends").isin("!", "?"))
+    # Pieces of a text in order, and behind a piece that ends a sentence a mark as a row of its own; each end opens the next sentence.
+    rows = tokens.select(row, "pos", F.lit(0).alias("behind"), "piece", F.col("ends").isin("!", "?").alias("end")).unionByName(
+        seen.filter(ends).select(row, "pos", F.lit(1).alias("behind"), F.lit("").alias("piece"), F.lit(True).alias("end"))
     )
-    # Pieces of a text in order; each end opens the next sentence.
-    listed = cut.groupBy(row).agg(F.array_sort(F.collect_list(F.struct("pos", "piece", "end"))).alias("p"))
+    listed = rows.groupBy(row).agg(F.array_sort(F.collect_list(F.struct("pos", "behind", "piece", "end"))).alias("p"))
     joined = F.array_join(F.transform("p", lambda x: F.concat(x["piece"], F.when(x["end"], "\0").otherwise(""))), "")
     parts = F.transform(F.split(joined, "\0"), lambda s: F.regexp_replace(s, r"\s+$", ""))
     return listed.select(row, F.filter(parts, lambda s: s != "").alias("sentences"))

@@ -29,7 +29,7 @@ def stage_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/textreg/{label}-{uuid.uuid4().hex}"
 
 
-def write_stage(df: DataFrame, label: str = "stage") -> DataFrame:
+def write_stage(df: DataFrame, label: str = "stage", codec: str = "snappy") -> DataFrame:
     """Write ``df`` as parquet to the shared folder and read it back.
 
     Cuts the lineage like a checkpoint does, but stays columnar: a later pass that needs
@@ -37,5 +37,5 @@ def write_stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = stage_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -301,9 +301,10 @@ SENTENCE_MODEL = f"""
       from pairs p join scored s on p.word = s.word join scored f on p.next_word = f.word, whole)"""
 
 
-def _sentence_tokens(t):
+def _sentence_tokens(t, whole=True):
     rows = t.documents.select(F.col("doc_id").alias("row_index"), "text").repartition("row_index")
-    return t.once("sentence-tokens", lambda: write_stage(E.sentence_tokens(rows), "sentence-tokens"))
+    tokens = E.sentence_tokens(rows)
+    return t.once("sentence-tokens", lambda: write_stage(tokens if whole else E.telling(tokens), "sentence-tokens", "zstd"))
 
 
 @query("sentence_parameters", "with " + SENTENCE_TOKENS + SENTENCE_MODEL + """
@@ -311,7 +312,7 @@ def _sentence_tokens(t):
       round(starter_score, 3) + 0.0 as starter_score from words""")
 def sentence_parameters(t):
     """What the corpus says of every word: how likely an abbreviation, how often lower case, how often it starts sentences."""
-    words = E.fit_sentences(_sentence_tokens(t)).words
+    words = E.fit_sentences(_sentence_tokens(t, whole=False)).words
     return words.withColumns({"score": F.round("score", 4) + 0.0, "starter_score": F.round("starter_score", 3) + 0.0}).select(
         "word", "n", "dotted", "score", "lower", "upper_inside", "starts", "starter_score"
     )
