@@ -80,6 +80,26 @@ def test_the_telling_columns_are_enough(spark):
     assert [r["ends"] for r in tokens.filter("row_index = 1").orderBy("pos").collect()] == [".", "!", "?", ".", ".", ".", "."]
 
 
+def test_hashed_vectors_shuffle_no_tokens(spark):
+    import hashlib
+
+    texts = [["a", "b", "a", "né"], [], None, ["x"] * 50 + [str(i) for i in range(300)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row_index bigint, tokens array<string>")
+    for size in (1, 7, 32, 1000):
+        coded = D.hashed_vectors(docs, size)
+        got = {r["row_index"]: np.array(r["embedding"]) for r in coded.collect()}
+        assert len(got) == len(texts)
+        for k, words in enumerate(texts):
+            want = np.zeros(size)
+            for w in words or []:
+                n = int(hashlib.md5(w.encode()).hexdigest()[:16], 16)
+                want[n % size] += 1 if n >> 63 else -1
+            length = np.linalg.norm(want) or 1.0
+            assert np.allclose(got[k], want / length, atol=1e-6), (size, k)
+    plan = coded._jdf.queryExecution().sparkPlan().toString()
+    assert "REPARTITION" not in coded._jdf.queryExecution().executedPlan().toString() and "RepartitionByExpression" not in plan
+
+
 def test_association_against_the_plain_ratio(spark):
     def plain(a, b, both, n):
         def fit(k, m, q):
