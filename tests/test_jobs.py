@@ -124,6 +124,20 @@ def test_embedding_job(spark, tmp_path):
         run_embeddings(spark, root, [data], methods, chosen=["LSA"])
 
 
+def test_methods_of_the_same_terms_share_a_fit(spark, tmp_path, monkeypatch):
+    from textreg.operators.vectorize import FittedVocabulary
+    from textreg.plans import embedding_job
+
+    fits, real = [], embedding_job.fit_vocabulary
+    monkeypatch.setattr(embedding_job, "fit_vocabulary", lambda docs, method, n: (fits.append(method), real(docs, method, n))[1])
+    data, root = TextDataset("d", "y", ["text"]), str(tmp_path)
+    store_split(spark.createDataFrame([(k, float(k), f"red word{k % 3} blue") for k in range(20)], "id bigint, y double, text string"), data, root, "id")
+    run_embeddings(spark, root, [data], EmbeddingMethods({}, {}), ["train"], ["BoW", "TF-IDF"])
+    assert fits == ["BoW"]
+    a, b = (FittedVocabulary.load(spark, f"{root}/state/d__{name}") for name in ("bow", "tf_idf"))
+    assert (a.method, b.method) == ("BoW", "TF-IDF") and sorted(a.terms.collect()) == sorted(b.terms.collect())
+
+
 def test_sorted_split(spark, tmp_path):
     df = spark.range(10).select("id", (100 - F.col("id")).alias("when"), F.col("id").cast("double").alias("y"), F.lit("t").alias("t"))
     store_split(df, TextDataset("s", "y", ["t"]), str(tmp_path), "id", sort_by="when")
