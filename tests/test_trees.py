@@ -213,3 +213,29 @@ def test_best_splits_do_not_depend_on_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", 8)
     for a, b in zip(*found, strict=True):
         assert a[:4] == b[:4] and np.allclose(a[4:], b[4:])
+
+
+def test_a_forest_moves_few_entries_of_large_nodes_and_few_nodes_at_a_time(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    x = np.round(r.normal(size=(6000, 3)), 4)
+    y = np.round(3 * x[:, 0] + x[:, 1] ** 2 + r.normal(size=len(x)) / 10, 3)
+    rows = as_rows(spark, x, y)
+    monkeypatch.setattr(B, "SENT_BYTES", -1)
+    monkeypatch.setattr(T, "NODE_ROWS", 2500)
+    monkeypatch.setattr(T, "MOVED_ENTRIES", 3000, raising=False)
+    moved, over = [], B.Blocks.over
+
+    def counted(blocks, run, schema):
+        out = over(blocks, run, schema)
+        if schema.startswith("node") and "value double" in schema:
+            moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(B.Blocks, "over", counted)
+    fitted = M.fit_model(rows, "RandomForest", "dense", trees=2)
+    got = [p["prediction"] for p in fitted.transform(rows).orderBy("row_index").collect()]
+    # Two roots of some 3,800 different rows of three features each.
+    assert moved and sum(moved) < 6000 and max(moved) < 4500
+    monkeypatch.undo()
+    local = M.fit_model(rows, "RandomForest", "dense", trees=2)
+    assert np.allclose(got, [p["prediction"] for p in local.transform(rows).orderBy("row_index").collect()], atol=1e-9)

@@ -15,10 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textreg.plans.blocks import Block, Blocks, Fit, Local
-from textreg.plans.stage import write_stage
+from textreg.plans.stage import release_shuffles, write_stage
 
 #: Most cuts of a feature in boosting, and rows of a node that one task splits down to its leaves.
 CUTS, NODE_ROWS = 256, 50_000
+#: Cells of a task's sums over nodes, and entries of rows that may be on their way between tasks at a time, when a forest splits nodes.
+NODE_CELLS, MOVED_ENTRIES = 1 << 21, 1 << 25
 #: Entries of rows in cells that are put together, and trees after which their margins are renewed.
 JOINED, RENEWED = 1 << 22, 10
 #: A node splits only where the objective gains more than this.
@@ -593,6 +595,17 @@ def running_sums(cells: DataFrame, keys: list[str], order: str, sums: list[str])
     )
 
 
+def _gain() -> Column:
+    right_w, right_s = F.col("all_w") - F.col("left_w"), F.col("all_s") - F.col("left_s")
+    return F.col("left_s") ** 2 / F.col("left_w") + right_s**2 / right_w - F.col("all_s") ** 2 / F.col("all_w")
+
+
+def _rank(gain: Column) -> Column:
+    """One number of 12 digits orders the gains alike on any number of partitions; then the lower feature and value."""
+    rounded = F.format_string("%.11e", F.greatest(gain, F.lit(0.0))).cast("double")
+    return F.struct(rounded, (-F.col("feature")).alias("f"), (-F.col("value")).alias("v"))
+
+
 def best_splits(cells: DataFrame, nodes: DataFrame) -> DataFrame:
     """The best split of every node: ``node, feature, value, after, left_w, left_s, gain``, from ``cells(node, feature, value, w, s)``.
 
@@ -607,38 +620,230 @@ def best_splits(cells: DataFrame, nodes: DataFrame) -> DataFrame:
     )
     every = summed.unionByName(zeros).groupBy("node", "feature", "value").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
     run = running_sums(every, ["node", "feature"], "value", ["w", "s"]).filter("after IS NOT NULL").join(nodes, "node")
-    right_w, right_s = F.col("all_w") - F.col("left_w"), F.col("all_s") - F.col("left_s")
-    gain = F.col("left_s") ** 2 / F.col("left_w") + right_s**2 / right_w - F.col("all_s") ** 2 / F.col("all_w")
-    scored = run.select("node", "feature", "value", "after", "left_w", "left_s", gain.alias("gain"))
-    # One number of 12 digits orders the gains alike on any number of partitions.
-    rounded = F.format_string("%.11e", F.greatest("gain", F.lit(0.0))).cast("double")
-    rank = F.struct(rounded, (-F.col("feature")).alias("f"), (-F.col("value")).alias("v"))
-    best = scored.groupBy("node").agg(F.max_by(F.struct("feature", "value", "after", "left_w", "left_s", "gain"), rank).alias("b"))
+    scored = run.select("node", "feature", "value", "after", "left_w", "left_s", _gain().alias("gain"))
+    best = scored.groupBy("node").agg(F.max_by(F.struct("feature", "value", "after", "left_w", "left_s", "gain"), _rank(F.col("gain"))).alias("b"))
     return best.select("node", "b.*")
 
 
-def _node_cells(shared):
+@dataclass
+class _Spans:
+    """The line of values of each feature, cut into spans: span k holds values from ``low[k]`` to before the next one's, the spans of ``feature[j]`` begin at ``start[j]``."""
+
+    feature: np.ndarray
+    low: np.ndarray
+    start: np.ndarray
+
+    def of(self, feature: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The span of each value; features are in order, those without spans get -1."""
+        out = np.full(len(value), -1, np.int64)
+        a, b = (np.searchsorted(feature, self.feature, side=side) for side in ("left", "right"))
+        for j in np.flatnonzero(b > a).tolist():
+            low = self.low[self.start[j] : self.start[j + 1]]
+            out[a[j] : b[j]] = self.start[j] + np.maximum(np.searchsorted(low, value[a[j] : b[j]], side="right") - 1, 0)
+        return out
+
+    def zeros(self) -> np.ndarray:
+        return self.of(self.feature, np.zeros(len(self.feature)))
+
+
+def _spans(blocks: Blocks, kept: Sequence[int] | None) -> _Spans:
+    """Spans of about equal numbers of stored entries. Where they are cut makes no difference to a tree."""
+
+    def entries(parts: Iterator[Block]) -> Iterator[pa.RecordBatch]:
+        for block in parts:
+            _, number, feature, value, _ = _values(block, kept)
+            yield pa.RecordBatch.from_arrays([pa.array(feature[number]), pa.array(value[number])], names=["feature", "value"])
+
+    shares = [k / CUTS for k in range(1, CUTS)]
+    found = blocks.over(entries, "feature bigint, value double").groupBy("feature").agg(F.percentile_approx("value", shares, 10 * CUTS).alias("cuts"))
+    rows = sorted((r["feature"], np.unique(r["cuts"])) for r in found.collect())
+    return _Spans(
+        np.array([f for f, _ in rows], np.int64), np.concatenate([np.zeros(0), *(c for _, c in rows)]), np.concatenate([[0], np.cumsum([len(c) for _, c in rows])]).astype(np.int64)
+    )
+
+
+def _drawn_slots(block: Block, shared) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each tree with open nodes, the slot of each row, or -1, and its weight."""
+    fit, trees, open_slots, seed, bootstrap = shared
+    train = block.trains([fit], 0, len(block.y))[:, 0]
+    for t, slot_of, where in _open_rows(block, fit, trees, open_slots):
+        weight = train * (drawn(block.row, t, seed) if bootstrap else 1)
+        yield np.where(weight > 0, slot_of[where], -1), weight
+
+
+def _span_sums(shared, kept, n_slots: int):
+    """Weight, target and squared target per (node, span) of a task's rows, a record per node."""
+
     def run(blocks: Iterator[Block]) -> Iterator[pa.RecordBatch]:
-        fit, kept, trees, open_slots, seed, bootstrap = shared.value
+        payload, spans = shared.value
+        n = len(spans.low)
+        total = np.zeros((3, n_slots * n))
         for block in blocks:
             row, number, feature, value, _ = _values(block, kept)
-            for t, slot_of, where in _open_rows(block, fit, trees, open_slots):
-                weight = drawn(block.row, t, seed) if bootstrap else np.ones(len(block.y))
-                weight *= block.trains([fit], 0, len(block.y))[:, 0]
-                slot = np.where(weight > 0, slot_of[where], -1)
+            span = spans.of(feature, value)[number]
+            for slot, weight in _drawn_slots(block, payload):
                 some = slot[row] >= 0
-                key, back = np.unique(slot[row[some]] * max(len(feature), 1) + number[some], return_inverse=True)
+                at = row[some]
+                key = slot[at] * n + span[some]
+                for out, x in zip(total, (weight, weight * block.y, weight * block.y**2), strict=True):
+                    out += np.bincount(key, weights=x[at], minlength=len(out))
+        for x in range(n_slots):
+            here = total[:, x * n : (x + 1) * n]
+            if here[0].any():
+                yield pa.RecordBatch.from_arrays([pa.array([x]), pa.array([here.tobytes()], pa.binary())], names=["node", "sums"])
+
+    return run
+
+
+def _likely_spans(spans: _Spans, w_all: np.ndarray, s_all: np.ndarray, ss_all: np.ndarray):
+    """Of each node, the spans in which its best split may lie, with the weight and target of all rows below them, and the zeros of each feature.
+
+    Splits at the ends of spans give a least gain. Inside a span the target on the left strays from a line by at most half the root of weight times spread, which
+    bounds the gain of every split there; spans whose bound is below the least gain are left out.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        x = table.column("node")[0].as_py()
+        w, s, ss = np.sum([np.frombuffer(p.as_py()).reshape(3, -1) for p in table.column("sums")], axis=0)
+        a, t, tt = w_all[x], s_all[x], ss_all[x]
+        first = spans.start[:-1]
+        zero_w, zero_s, zero_ss = (every - np.add.reduceat(part, first) for every, part in ((a, w), (t, s), (tt, ss)))
+        some = zero_w > 0.5
+        at = spans.zeros()[some]
+        w[at] += zero_w[some]
+        s[at] += zero_s[some]
+        ss[at] += np.maximum(zero_ss[some], 0)
+        begins = np.repeat(first, np.diff(spans.start))
+        upto_w, upto_s = (np.cumsum(c) for c in (w, s))
+        below_w, below_s = ((c - part) - (c - part)[begins] for c, part in ((upto_w, w), (upto_s, s)))
+        left_w, left_s = below_w + w, below_s + s
+        with np.errstate(divide="ignore", invalid="ignore"):
+            off = [np.abs(part_s - part_w * (t / a)) for part_w, part_s in ((below_w, below_s), (left_w, left_s))]
+            ends = (left_w > 0.5) & (a - left_w > 0.5)
+            least = np.where(ends, off[1] ** 2 * a / (left_w * (a - left_w)), 0).max(initial=0)
+            spread = np.maximum(ss - s * s / w, 0) + 1e-10 * tt
+            low, high = np.maximum(below_w, 1), np.minimum(left_w, a - 1)
+            most = (np.maximum(*off) + np.sqrt(w * spread) / 2) ** 2 * a / np.minimum(low * (a - low), high * (a - high))
+            likely = np.flatnonzero((w > 0.5) & ~(most < least * (1 - 1e-9) - 1e-10 * tt))
+        lists = likely, below_w[likely], below_s[likely], np.where(some, zero_w, 0), np.where(some, zero_s, 0)
+        return pa.table({"node": [x], "entries": [float(w[likely].sum())], **{c: pa.array([v.tobytes()], pa.binary()) for c, v in zip(_LIKELY, lists, strict=True)}})
+
+    return run
+
+
+_LIKELY = ("spans", "below_w", "below_s", "zero_w", "zero_s")
+
+
+def _span_values(shared, kept):
+    """Weight and target per (node, span, value) of the rows of each block that lie in the spans named."""
+
+    def run(blocks: Iterator[Block]) -> Iterator[pa.RecordBatch]:
+        payload, spans, likely = shared.value
+        for block in blocks:
+            row, number, feature, value, _ = _values(block, kept)
+            span = spans.of(feature, value)
+            for slot, weight in _drawn_slots(block, payload):
+                some = slot[row] >= 0
+                some[some] = likely[slot[row[some]], span[number[some]]]
+                at = row[some]
+                key, back = np.unique(slot[at] * max(len(feature), 1) + number[some], return_inverse=True)
                 if len(key):
-                    at = key % len(feature)
-                    w, s = (np.bincount(back, weights=x[row[some]]) for x in (weight, weight * block.y))
+                    place = key % len(feature)
+                    w, s = (np.bincount(back, weights=x[at]) for x in (weight, weight * block.y))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key // len(feature)), pa.array(feature[at]), pa.array(value[at]), pa.array(w), pa.array(s)],
-                        names=["node", "feature", "value", "w", "s"],
+                        [pa.array(key // len(feature)), pa.array(span[place]), pa.array(feature[place]), pa.array(value[place]), pa.array(w), pa.array(s)],
+                        names=["node", "span", "feature", "value", "w", "s"],
                     )
 
     return run
 
 
+def _next_values(shared, kept):
+    """Per block, the least value of a node's feature beyond the value named."""
+
+    def run(blocks: Iterator[Block]) -> Iterator[pa.RecordBatch]:
+        payload, feature, value = shared.value
+        columns = np.full(int(feature.max()) + 1, -1, np.int64)
+        columns[np.unique(feature)] = np.arange(len(np.unique(feature)))
+        for block in blocks:
+            wide = np.full(max(len(columns), int(block.indices.max(initial=-1)) + 1), -1, np.int64)
+            wide[: len(columns)] = columns
+            slots = [slot for slot, _ in _drawn_slots(block, payload)]
+            least = np.full(len(feature), np.inf)
+            for a, b, x in block.dense(wide, len(np.unique(feature))):
+                for slot in slots:
+                    rows = np.flatnonzero(slot[a:b] >= 0)
+                    at = slot[a:b][rows]
+                    here = x[rows, columns[feature[at]]]
+                    beyond = here > value[at]
+                    np.minimum.at(least, at[beyond], here[beyond])
+            found = np.flatnonzero(least < np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(least[found])], names=["node", "after"])
+
+    return run
+
+
+def _split_nodes(blocks: Blocks, kept, spans: _Spans, payload, w: np.ndarray, s: np.ndarray, ss: np.ndarray) -> list[tuple[int, int, float, float]]:
+    """``node, feature, value, after`` of the best split of each node in the slots of ``payload``, as ``best_splits`` finds it.
+
+    Sums per span come first and bound the gains in it; only entries of spans that may hold the best split are sorted by value.
+    """
+    spark, n = blocks.spark, len(w)
+    sums = blocks.over(_span_sums(spark.sparkContext.broadcast((payload, spans)), kept, n), "node bigint, sums binary")
+    named = ", ".join(f"{c} binary" for c in _LIKELY)
+    found = sums.groupBy("node").applyInArrow(_likely_spans(spans, w, s, ss), f"node bigint, entries double, {named}").collect()
+    zero_span = spans.zeros()
+    best: list[tuple[int, int, float]] = []
+    for part in _batches(found, [r["entries"] for r in found]):
+        likely = np.zeros((n, len(spans.low)), bool)
+        known: list[list[np.ndarray]] = []
+        for r in part:
+            x = r["node"]
+            here, below_w, below_s, zero_w, zero_s = (np.frombuffer(r[c], np.int64 if c == "spans" else np.float64) for c in _LIKELY)
+            likely[x, here] = True
+            zeros = np.flatnonzero((zero_w > 0.5) & likely[x, zero_span])
+            feature = spans.feature[np.searchsorted(spans.start, here, side="right") - 1]
+            known.append([np.full(len(here), x), here, feature, np.full(len(here), -np.inf), below_w, below_s])
+            known.append([np.full(len(zeros), x), zero_span[zeros], spans.feature[zeros], np.zeros(len(zeros)), zero_w[zeros], zero_s[zeros]])
+        shared = spark.sparkContext.broadcast((payload, spans, likely))
+        schema = "node bigint, span bigint, feature bigint, value double, w double, s double"
+        values = blocks.over(_span_values(shared, kept), schema)
+        # What lies below a span comes as a first row of it.
+        given = spark.createDataFrame(pa.table([np.concatenate(c) for c in zip(*known, strict=True)], names=values.columns), schema)
+        each = values.unionByName(given).groupBy("node", "span", "feature", "value").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
+        upto = Window.partitionBy("node", "span").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        nodes = spark.createDataFrame([(r["node"], float(w[r["node"]]), float(s[r["node"]])) for r in part], "node bigint, all_w double, all_s double")
+        run = each.select("node", "feature", "value", *[F.sum(c).over(upto).alias(f"left_{c}") for c in ("w", "s")]).join(F.broadcast(nodes), "node")
+        run = run.filter((F.col("value") > F.lit(-np.inf)) & (F.col("all_w") - F.col("left_w") > 0.5))
+        chosen = run.groupBy("node").agg(F.max_by(F.struct("feature", "value"), _rank(_gain())).alias("b"))
+        best += [(r["node"], r["b"]["feature"], r["b"]["value"]) for r in chosen.collect()]
+        shared.unpersist()
+        del values, given, each, run, chosen
+        release_shuffles(spark)
+    if not best:
+        return []
+    feature, value = np.zeros(n, np.int64), np.full(n, np.inf)
+    for x, f, v in best:
+        feature[x], value[x] = f, v
+    after = blocks.over(_next_values(spark.sparkContext.broadcast((payload, feature, value)), kept), "node bigint, after double").groupBy("node").agg(F.min("after"))
+    next_value = dict(map(tuple, after.collect()))
+    return [(x, f, v, next_value[x]) for x, f, v in sorted(best)]
+
+
+def _batches(items: list, sizes: list, most: float | None = None) -> Iterator[list]:
+    """The items in their order, as many at a time as stay within ``most``, one at least."""
+    most = MOVED_ENTRIES if most is None else most
+    held, total = [], 0
+    for item, size in zip(items, sizes, strict=True):
+        if held and total + size > most:
+            yield held
+            held, total = [], 0
+        held.append(item)
+        total += size
+    if held:
+        yield held
+
+
 def _open_rows(block: Block, fit: Fit, trees: dict[int, Tree], open_slots: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Of each tree with open nodes, the slots of its nodes and the node of each row."""
     for t, slot_of in open_slots.items():
@@ -665,29 +870,36 @@ def _slot_sums(block: Block, payload) -> list[np.ndarray]:
 
 def _node_rows(shared):
     def run(blocks: Iterator[Block]) -> Iterator[pa.RecordBatch]:
-        fit, kept, trees, open_slots, seed, bootstrap = shared.value
         for block in blocks:
-            for t, slot_of, where in _open_rows(block, fit, trees, open_slots):
-                weight = drawn(block.row, t, seed) if bootstrap else np.ones(len(block.y))
-                weight *= block.trains([fit], 0, len(block.y))[:, 0]
-                slot = np.where(weight > 0, slot_of[where], -1)
+            for slot, weight in _drawn_slots(block, shared.value):
                 for x in np.unique(slot[slot >= 0]).tolist():
                     rows = np.flatnonzero(slot == x)
-                    entries = np.concatenate([np.arange(block.starts[r], block.starts[r + 1]) for r in rows])
-                    part = Block(
-                        np.concatenate([[0], np.cumsum(np.diff(block.starts)[rows])]), block.indices[entries], block.values[entries], block.y[rows],
-                        block.labels[rows], block.row[rows],
-                    )
-                    yield pa.RecordBatch.from_arrays([pa.array([x]), pa.array([pickle.dumps((part, weight[rows]))])], names=["node", "rows"])
+                    sent = pickle.dumps((_narrow(block.some(rows)), weight[rows].astype(np.float32)))
+                    yield pa.RecordBatch.from_arrays([pa.array([x]), pa.array([sent], pa.binary())], names=["node", "rows"])
 
     return run
 
 
+def _narrow(block: Block) -> Block:
+    """The block in fewer bytes: values as floats of 32 bits where that loses nothing, and the features of full rows not listed."""
+    short = block.values.astype(np.float32)
+    values = short if (short == block.values).all() else block.values
+    width = int(block.starts[1]) if len(block.y) else 0
+    full = width and len(block.indices) == width * len(block.y) and (block.indices.reshape(-1, width) == np.arange(width)).all()
+    return Block(block.starts, block.indices[:0] if full else block.indices, values, block.y, block.labels[:, :0], block.row)
+
+
+def _widened(block: Block) -> Block:
+    full = len(block.indices) < len(block.values)
+    indices = np.tile(np.arange(int(block.starts[1]), dtype=np.int32), len(block.y)) if full else block.indices
+    return Block(block.starts, indices, block.values.astype(np.float64), block.y, block.labels, block.row)
+
+
 def _finish(kept):
     def run(table: pa.Table) -> pa.Table:
         parts = [pickle.loads(p.as_py()) for p in table.column("rows")]
         parts.sort(key=lambda p: int(p[0].row[0]))
-        tree = exact_tree(_one_block([p for p, _ in parts]), np.concatenate([w for _, w in parts]), kept)
+        tree = exact_tree(_one_block([_widened(p) for p, _ in parts]), np.concatenate([w for _, w in parts]).astype(np.float64), kept)
         return pa.table({"node": table.column("node").slice(0, 1), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
 
     return run
@@ -696,8 +908,9 @@ def _finish(kept):
 def forest(blocks: Blocks | Local, fit: Fit, trees: int = 100, bootstrap: bool = True, seed: int = 42, least_spread: float = 1e-14) -> TreeModel:
     """Exact trees, each on its own bootstrap of the rows; predictions are their means.
 
-    Nodes of more than ``NODE_ROWS`` rows are split level by level, all trees together: sums per (node, feature, value) are shuffled, sorted and run along
-    the values over all partitions (``best_splits``), without bins. The rows of smaller nodes meet in a task, which grows the rest of the branch. No
+    Nodes of more than ``NODE_ROWS`` rows are split level by level, many trees together: sums per span of values tell where the best split can lie, and only entries there
+    are shuffled and sorted by value (``_split_nodes``); the split is that of all values. The rows of smaller nodes meet in a task, which grows the rest of the branch.
+    Nodes take turns, so that no more than ``MOVED_ENTRIES`` entries, or those of one node, are on their way at a time, whatever the number of trees. No
     depth limit; a tree has as many leaves as its rows need, and the trees are kept on the driver.
     """
     if isinstance(blocks, Local):
@@ -716,7 +929,7 @@ def forest(blocks: Blocks | Local, fit: Fit, trees: int = 100, bootstrap: bool =
     for g in growing.values():
         g.node(0.0)
     open_nodes = [(t, 0) for t in range(trees)]
-    spark = blocks.spark
+    spark, spans = blocks.spark, None
     while open_nodes:
         partial = {t: growing[t].tree() for t in {t for t, _ in open_nodes}}
         n = len(open_nodes)
@@ -729,23 +942,27 @@ def forest(blocks: Blocks | Local, fit: Fit, trees: int = 100, bootstrap: bool =
         small = [k for k in range(n) if uneven[k] and rows[k] <= NODE_ROWS]
         large = [k for k in range(n) if uneven[k] and rows[k] > NODE_ROWS]
         following = []
-        for chosen, is_small in ((small, True), (large, False)):
-            if not chosen:
-                continue
-            some = [open_nodes[k] for k in chosen]
-            shared = spark.sparkContext.broadcast((bare, kept, partial, _slots(partial, some), seed, bootstrap))
-            if is_small:
-                found = blocks.over(_node_rows(shared), "node bigint, rows binary").groupBy("node").applyInArrow(_finish(kept), "node bigint, tree binary")
-                for node, tree in found.collect():
-                    _graft(growing[some[node][0]], some[node][1], pickle.loads(tree))
-                continue
-            nodes = spark.createDataFrame([(i, float(w[k]), float(s[k])) for i, k in enumerate(chosen)], "node bigint, all_w double, all_s double")
-            cells = blocks.over(_node_cells(shared), "node bigint, feature bigint, value double, w double, s double")
-            for b in best_splits(cells, nodes).collect():
-                t, x = some[b["node"]]
-                at = (b["value"] + b["after"]) / 2
-                at = at if b["value"] <= at < b["after"] else b["value"]
-                following += [(t, child) for child in growing[t].split(x, b["feature"], at, at >= 0, (0.0, 0.0))]
+        entries = blocks.entries / max(blocks.n_rows, 1)
+        for batch in _batches(small, [rows[k] * entries for k in small]):
+            some = [open_nodes[k] for k in batch]
+            shared = spark.sparkContext.broadcast((bare, partial, _slots(partial, some), seed, bootstrap))
+            # A task for each node: bytes do not tell how long a branch takes.
+            dealt = blocks.over(_node_rows(shared), "node bigint, rows binary").repartition(len(batch), "node")
+            for node, tree in dealt.groupBy("node").applyInArrow(_finish(kept), "node bigint, tree binary").collect():
+                _graft(growing[some[node][0]], some[node][1], pickle.loads(tree))
+            shared.unpersist()
+            del dealt
+            release_shuffles(spark)
+        if large and spans is None:
+            spans = _spans(blocks, kept)
+        for batch in _batches(large, [len(spans.low) for _ in large] if large else [], NODE_CELLS):
+            some = [open_nodes[k] for k in batch]
+            payload = (bare, partial, _slots(partial, some), seed, bootstrap)
+            for node, feature, value, after in _split_nodes(blocks, kept, spans, payload, w[batch], s[batch], ss[batch]) if len(spans.low) else []:
+                t, x = some[node]
+                at = (value + after) / 2
+                at = at if value <= at < after else value
+                following += [(t, child) for child in growing[t].split(x, feature, at, at >= 0, (0.0, 0.0))]
         open_nodes = following
     return TreeModel(tuple(growing[t].tree() for t in range(trees)), 0.0, mean=True)
 

@@ -228,6 +228,20 @@ class Blocks:
     def __exit__(self, *_) -> None:
         self.frame.unpersist()
 
+    @functools.cached_property
+    def _counted(self) -> tuple[int, int]:
+        found = self.frame.agg(F.sum("n"), F.sum(F.octet_length("values"))).first()
+        return found[0] or 0, (found[1] or 0) // 8
+
+    @property
+    def n_rows(self) -> int:
+        return self._counted[0]
+
+    @property
+    def entries(self) -> int:
+        """Stored entries of all rows."""
+        return self._counted[1]
+
     @functools.cached_property
     def small(self) -> bool:
         sizes = [F.octet_length(c) for c in ("indices", "values", "starts", "row")]
