@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,3 +156,34 @@ def test_tokenizing(spark):
 def test_stop_words(spark):
     assert len(ENGLISH) == len(set(ENGLISH)) and stop_words("English") is ENGLISH
     assert "não" in stop_words("portuguese")
+
+
+@pytest.mark.parametrize("n", [None, 2, 3])
+def test_terms_of_a_piece_against_counting(n, monkeypatch):
+    texts = [["a", "b", "a", "b", "c"], [], ["b"], None, ["c", "a", "b", "a", "c", "a", "b"], ["a"] * 5]
+    blank = [["a b", "c", "a", "b c", "a b"], ["a", "b", "c", "a", "b"], ["x", None, "y", "x", "y"]]
+    for lists in (texts, blank):
+        terms, term, doc, place, count = V._terms(pa.array(lists, pa.list_(pa.string())), n)
+        names = terms.to_pylist()
+        got = {(names[t], int(d)): (int(p), int(c)) for t, d, p, c in zip(term, doc, place, count, strict=True)}
+        want = {}
+        for d, tokens in enumerate(lists):
+            tokens = tokens or []
+            grams = [" ".join(w for w in tokens[i : i + n] if w is not None) for i in range(len(tokens) - n + 1)] if n else []
+            for p, w in enumerate([*tokens, *grams]):
+                if w is not None:
+                    first, k = want.get((w, d), (p, 0))
+                    want[w, d] = first, k + 1
+        assert got == want and len(names) == len(set(names)) == len({w for w, _ in want}) and list(term) == sorted(term)
+
+
+def test_a_term_meets_the_vocabulary_once_for_many_documents(spark, monkeypatch):
+    d = docs(spark, ["a b a", "b", "", "c a b", "z"] * 40).coalesce(1)
+    fitted = V.fit_vocabulary(d.filter("row_index % 5 < 4"))
+    joined, real = [], V.lookup_join
+    monkeypatch.setattr(V, "lookup_join", lambda left, *a, **k: (joined.append(left.count()), real(left, *a, **k))[1])
+    entries = [tuple(r) for r in V.weighted_terms(d, fitted).collect() if r["term_index"] is not None]
+    # Four terms and the list of all documents, not 240 pairs.
+    assert joined == [5]
+    by = {0: {(0, 2.0), (1, 1.0)}, 1: {(1, 1.0)}, 2: set(), 3: {(0, 1.0), (1, 1.0), (2, 1.0)}, 4: set()}
+    assert sorted(entries) == sorted((i, t, v) for i in range(200) for t, v in by[i % 5])

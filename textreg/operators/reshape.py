@@ -144,7 +144,8 @@ def sparse_rows_to_triplets(df: DataFrame, row: str = "row_index") -> DataFrame:
 
 def sparse_payload(entry: Column) -> tuple[Column, Column]:
     """Aggregates that collect ``struct<i, v>`` entries (null ones skipped) into index and value lists."""
-    ordered = F.array_sort(F.collect_list(entry))
+    # In generated code; the comparison of ``array_sort`` is interpreted. There are no nulls in the list.
+    ordered = F.sort_array(F.collect_list(entry))
     indices = F.transform(ordered, lambda e: e["i"].cast("bigint"))
     values = F.transform(ordered, lambda e: e["v"].cast("float"))
     return indices, values
