@@ -300,6 +300,36 @@ def test_pieces(spark):
     assert encode(frame(spark, [])).count() == 0 and token_counts(frame(spark, [])).count() == 0
 
 
+def test_units_are_segmented_where_their_documents_are(spark, tmp_path, monkeypatch):
+    """Documents of files are neither shuffled nor staged, and parts, kept words and ties make no difference."""
+    from textreg.llm import sentence_pieces
+    from textreg.llm.pieces import best_pieces, ends_of_pieces
+
+    plain = {p: (i, round(s * 10**6)) for i, p, s, byte in vocabulary() if byte < 0}
+    byte_ids = [i for _, i in sorted((byte, i) for i, _, _, byte in vocabulary() if byte >= 0)]
+    plainly = ends_of_pieces({p: s for p, (_, s) in plain.items()}), {p: i for p, (i, _) in plain.items()}, byte_ids
+    r = random.Random(9)
+    some = list(plain)
+    found = sorted({"".join(r.choice([r.choice(some), r.choice("etaoin"), r.choice("中☃é😀x")]) for _ in range(r.randrange(1, 7)))[:256] for _ in range(2000)})
+    ids, count = sentence_pieces.lattice(found, sentence_pieces.PieceTrie.of(plain), np.array(byte_ids, np.int32))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [best_pieces(u, *plainly) for u in found]
+
+    rows = [(k, " ".join(r.choices(found, k=20)) + ("q" * 400) * (k % 5 == 0)) for k in range(40)] + [(None, None), (3, ""), (3, "")]
+    path = str(tmp_path / "docs")
+    frame(spark, rows).write.parquet(path)
+    coded = encode(spark.read.parquet(path))
+    assert "Exchange" not in coded._jdf.queryExecution().executedPlan().toString() and "units-" not in str(coded.inputFiles())
+    cut = cut_pattern(plain)
+    want = {(i, t): [x for w in words(t) for u in cut.split(w) for x in best_pieces(u, *plainly)] for i, t in rows}
+    for part, kept in ((1 << 20, 300_000), (300, 10)):
+        monkeypatch.setattr(sentence_pieces, "PART_BYTES", part)
+        monkeypatch.setattr(sentence_pieces, "KNOWN_WORDS", kept)
+        monkeypatch.setattr(sentence_pieces, "DECODED_IDS", part)
+        got = decode(encode(spark.read.parquet(path))).collect()
+        assert len(got) == len(rows) and all(x["pieces"] == want[x["doc_id"], x["text"]] for x in got)
+        assert all(x["decoded"] == (x["text"] or "").replace(BLANK, " ") for x in got)
+
+
 def test_long_words_are_segmented_whole(spark):
     """1,000 characters without a blank: no cut changes the segmentation, in either operator."""
     table = {p: (i, round(s * 10**6)) for i, p, s, byte in vocabulary() if byte < 0}

@@ -1,4 +1,4 @@
-"""A SentencePiece vocabulary as a table, and the rules that encoder, decoder and token counts share.
+"""A SentencePiece vocabulary, and the rules that encoder, decoder and token counts share.
 
 A text is read with a blank put before it and every blank written as U+2581. Its words are runs of blanks with what
 follows up to the next blank or line break, and the line breaks. Words are cut into units between a letter and a mark
@@ -13,9 +13,6 @@ import math
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Units of more code points are segmented one by one, from left to right, and not kept; they are never cut.
@@ -48,12 +45,6 @@ def vocabulary(model: str = DEFAULT_MODEL) -> tuple[tuple[int, str, float, int],
     return tuple(rows)
 
 
-def piece_table(spark: SparkSession, model: str = DEFAULT_MODEL) -> DataFrame:
-    """``id, piece, micro`` (score in millionths) of the normal pieces; a vocabulary is at most a few 100,000 rows."""
-    rows = [(i, p, round(s * 10**DIGITS)) for i, p, s, byte in vocabulary(model) if byte < 0]
-    return spark.createDataFrame(rows, "id int, piece string, micro bigint")
-
-
 def cut_pattern(pieces: Iterable[str]) -> re.Pattern:
     """Where words are cut into units: between letters and the marks that no piece has beside a letter."""
     pieces = list(pieces)

@@ -1,236 +1,261 @@
-"""SentencePiece encoding as a relational lattice over the distinct units of a corpus, and decoding."""
+"""SentencePiece encoding as a lattice over the distinct units of a task's documents, and decoding."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from textreg.llm.batches import stage
 from textreg.llm.pieces import (
-    BLANK, BYTE_SCORE, DEFAULT_MODEL, DIGITS, UNIT_CHARS, best_pieces, cut_pattern, ends_of_pieces, piece_table, units, vocabulary,
-    words,
+    BLANK, BYTE_SCORE, DEFAULT_MODEL, DIGITS, UNIT_CHARS, best_pieces, cut_pattern, ends_of_pieces, vocabulary, words,
 )
 
-#: Distinct words that a task collects before it hands their units on, words whose ids it keeps, bytes of text in one packed row.
-HELD_WORDS = 250_000
-KNOWN_WORDS = 100_000
-PACK_BYTES = 2 << 20
-#: Lattices per shuffle partition are kept few by this factor: a unit has many edges.
-SPREAD = 8
+#: Bytes of text of the documents that a task segments together, and words whose ids it keeps for the next ones.
+PART_BYTES = 1 << 20
+KNOWN_WORDS = 300_000
+#: Ids of the documents that a task spells together.
+DECODED_IDS = 1 << 18
 #: Blocks of documents per split of the input files, and bytes of text of a block of rows that come from no file.
 BLOCKS = 1
 BLOCK_BYTES = 24 << 20
+#: Multiplier of the hash of the edges of a trie, and its slots per edge at least.
+_FACTOR, _ROOM = np.uint64(0x9E3779B97F4A7C15), 6
 
 
-def _distinct_units(cut):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, set[str]] = {}
-        n = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for block, found in held.items():
-                every = pa.array({u for us in units(found, cut).values() for u in us if len(u) <= UNIT_CHARS}, pa.string())
-                for at in range(0, len(every), 20_000):
-                    part = every.slice(at, 20_000)
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), part], names=["block", "unit"])
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """``length[k]`` numbers from ``start[k]`` on, for each k."""
+    upto = np.cumsum(length)
+    return np.repeat(start - (upto - length), length) + np.arange(int(upto[-1]) if len(upto) else 0)
 
-        for batch in batches:
-            for block, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                mine = held.setdefault(block, set())
-                new = set(words(text.as_py())).difference(mine)
-                mine |= new
-                n += len(new) + sum(map(len, new)) // UNIT_CHARS
-                if n >= HELD_WORDS:
-                    yield from out()
-                    held, n = {}, 0
-        yield from out()
-
-    return run
 
+@dataclass(frozen=True)
+class PieceTrie:
+    """The piece table by its beginnings: node 0 is the empty one, ``piece`` and ``micro`` the id (or -1) and score in millionths of what a node spells.
 
-def lattice(distinct: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
-    """``unit`` to ``unit, ids``: the best segmentation of each distinct unit.
+    An edge is the number ``node * codes + character``, its child lies in an open table under the edge's hash. ``code`` numbers the characters of
+    the pieces by code point; others are 0 and on no edge.
+    """
 
-    Substrings of at most the longest piece's length are joined to the piece table (broadcast: a vocabulary is bounded);
-    matches are the edges of the unit's lattice. They are grouped per unit and folded from left to right: each end
-    keeps the best score, of equal ones that with the longer last piece. Every character also has an edge of byte
-    pieces. A unit is at most a few hundred characters, and so is its lattice.
+    code: np.ndarray
+    codes: int
+    edges: np.ndarray
+    child: np.ndarray
+    piece: np.ndarray
+    micro: np.ndarray
+    longest: int
+
+    @staticmethod
+    def of(pieces: dict[str, tuple[int, int]]) -> PieceTrie:
+        """From ``piece`` to ``id, micro``."""
+        letters = sorted({c for p in pieces for c in p})
+        code = np.zeros(0x110000, np.int32)
+        code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        codes, nodes, edge = len(letters) + 1, {"": 0}, {}
+        for p in pieces:
+            for k in range(1, len(p) + 1):
+                if p[:k] not in nodes:
+                    nodes[p[:k]] = len(nodes)
+                    edge[nodes[p[: k - 1]] * codes + int(code[ord(p[k - 1])])] = nodes[p[:k]]
+        size = 1 << (max(len(edge), 1) * _ROOM).bit_length()
+        edges, child = np.full(size, -1, np.int64), np.full(size, -1, np.int32)
+        for e, slot in zip(edge, _slot(np.array(list(edge), np.int64), size).tolist(), strict=True):
+            while edges[slot] >= 0:
+                slot = (slot + 1) % size
+            edges[slot], child[slot] = e, edge[e]
+        piece, micro = np.full(len(nodes), -1, np.int32), np.zeros(len(nodes), np.int64)
+        for p, (i, score) in pieces.items():
+            piece[nodes[p]], micro[nodes[p]] = i, score
+        return PieceTrie(code, codes, edges, child, piece, micro, max(map(len, pieces), default=0))
+
+    def step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The node after each node and character, or -1."""
+        edge = node.astype(np.int64) * self.codes + code
+        slot = _slot(edge, len(self.edges))
+        here = self.edges[slot]
+        out = np.where(here == edge, self.child[slot], -1)
+        left = np.flatnonzero((here != edge) & (here >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) % len(self.edges)
+            here = self.edges[slot[left]]
+            same = here == edge[left]
+            out[left[same]] = self.child[slot[left[same]]]
+            left = left[~same & (here >= 0)]
+        return out
+
+
+def _slot(edge: np.ndarray, size: int) -> np.ndarray:
+    return ((edge.astype(np.uint64) * _FACTOR) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def lattice(distinct: list[str], trie: PieceTrie, byte_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best segmentation of each unit: all ids in a row, and their number per unit.
+
+    Every substring that is a piece is an edge of its unit's lattice: substrings meet the piece table along its beginnings, from all units
+    with a character at a place at once. Places are taken from left to right, so that all edges to a place are known before those from it; each
+    end keeps the best score, of equal ones that with the longer last piece. Every character also has an edge of byte pieces. A unit is at
+    most a few hundred characters, and so is its lattice.
     """
-    spark = distinct.sparkSession
-    table = piece_table(spark, model)
-    longest = max(len(p) for _, p, _, byte in vocabulary(model) if byte < 0)
-    byte_ids = [i for _, i in sorted((byte, i) for i, _, _, byte in vocabulary(model) if byte >= 0)]
-    if len(byte_ids) != 256:
-        raise ValueError(f"{model} has no byte pieces")
-    n = F.char_length("unit")
-    substrings = F.flatten(F.transform(
-        F.sequence(F.lit(1), n),
-        lambda s: F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(longest), n - s + 1)),
-            lambda k: F.struct((s - 1).alias("start"), F.substr(F.col("unit"), s, k).alias("piece")),
-        ),
-    ))
-    # The empty piece keeps units without any match.
-    nothing = F.array(F.struct(F.lit(-1).alias("start"), F.lit("").alias("piece")))
-    known = F.broadcast(table.unionByName(spark.createDataFrame([(-1, "", 0)], table.schema)))
-    edges = (
-        distinct.select("unit", F.explode(F.concat(nothing, substrings)).alias("e")).select("unit", "e.start", "e.piece")
-        .join(known, "piece")
-        .select("unit", F.struct((F.col("start") + F.char_length("piece")).alias("end"), "start", "micro", "id").alias("edge"))
-    )
-    grouped = edges.groupBy("unit").agg(F.collect_list("edge").alias("edges"))
-    by_bytes = round(BYTE_SCORE * 10**DIGITS)
-
-    def node(score: Column, start: Column, id_: Column) -> Column:
-        return F.struct(score.cast("bigint").alias("score"), (-start).cast("int").alias("back"), id_.cast("int").alias("id"))
-
-    def step(best: Column, end: Column) -> Column:
-        mine = F.filter("edges", lambda e: e["end"] == end)
-        reached = F.transform(mine, lambda e: node(F.get(best, e["start"])["score"] + e["micro"], e["start"], e["id"]))
-        size = F.octet_length(F.substr(F.col("unit"), end, F.lit(1)))
-        fallback = node(F.get(best, end - 1)["score"] + size * by_bytes, end - 1, F.lit(-1))
-        return F.concat(best, F.array(F.array_max(F.concat(reached, F.array(fallback)))))
-
-    origin = F.array(node(F.lit(0), F.lit(0), F.lit(-1)))
-    best = F.aggregate(F.sequence(F.lit(1), n), origin, step)
-    folded = grouped.select("unit", best.alias("best"))
-
-    def back(acc: Column, _: Column) -> Column:
-        at = F.get("best", acc["at"])
-        digits = F.hex(F.encode(F.substr(F.col("unit"), acc["at"], F.lit(1)), "UTF-8"))
-        value = lambda k: F.conv(F.substr(digits, 2 * k - 1, F.lit(2)), 16, 10).cast("int")
-        as_bytes = F.transform(
-            F.sequence(F.lit(1), (F.char_length(digits) / 2).cast("int")),
-            lambda k: F.get(F.array(*[F.lit(i) for i in byte_ids]), value(k)),
-        )
-        ids = F.when(at["id"] < 0, as_bytes).otherwise(F.array(at["id"]))
-        moved = F.struct((-at["back"]).cast("int").alias("at"), F.concat(ids, acc["ids"]).alias("ids"))
-        return F.when(acc["at"] > 0, moved).otherwise(acc)
-
-    start = F.struct(n.cast("int").alias("at"), F.array().cast("array<int>").alias("ids"))
-    return folded.select("unit", F.aggregate(F.sequence(F.lit(1), n), start, back)["ids"].alias("ids"))
-
-
-_PACKED = "block bigint, is_text boolean, hash bigint, ids array<int>, packed binary"
-_PACKED_SCHEMA = pa.schema([
-    ("block", pa.int64()), ("is_text", pa.bool_()), ("hash", pa.int64()), ("ids", pa.list_(pa.int32())), ("packed", pa.binary())
-])
-
-
-def _stream(batch: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-_DOCS = pa.schema([("id", pa.int64()), ("text", pa.string())])
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of a block as one compressed Arrow stream per few megabytes."""
-    held: dict[int, list] = {}
-    waiting = 0
-
-    def row(block: int) -> pa.RecordBatch:
-        ids, texts, _ = held.pop(block)
-        docs = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], schema=_DOCS)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([block], pa.int64()), pa.array([True]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())),
-                pa.array([_stream(docs)], pa.binary()),
-            ],
-            schema=_PACKED_SCHEMA,
-        )
-
-    for batch in batches:
-        for block, id_, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            ids, texts, size = held.setdefault(block, [[], [], [0]])
-            ids.append(id_)
-            texts.append(text)
-            size[0] += len(text or "")
-            waiting += len(text or "")
-            if size[0] >= PACK_BYTES or len(ids) >= 20_000:
-                waiting -= size[0]
-                yield row(block)
-            elif waiting >= 8 * PACK_BYTES:
-                waiting = 0
-                yield from map(row, list(held))
-    yield from map(row, list(held))
+    length = np.fromiter(map(len, distinct), np.int64, len(distinct))
+    # By place, then unit, the long ones first: those with a character at a place lie side by side.
+    order = np.argsort(-length, kind="stable")
+    points = np.frombuffer("".join(distinct).encode("utf-32-le"), np.uint32)
+    first, length = (np.cumsum(length) - length)[order], length[order]
+    live = np.searchsorted(-length, -np.arange(1, int(length.max(initial=0)) + 1), side="right")
+    base = np.concatenate([[0], np.cumsum(live)])
+    chars = np.concatenate([points[:0], *(points[first[:m] + i] for i, m in enumerate(live))])
+    code = trie.code[chars]
+    by_bytes = _utf8_sizes(chars) * round(BYTE_SCORE * 10**DIGITS)
+    score, back, last = np.full(len(chars), -(1 << 62)), np.zeros(len(chars), np.int32), np.full(len(chars), -1, np.int32)
+    for i, m in enumerate(live.tolist()):
+        before = score[base[i - 1] : base[i - 1] + m] if i else np.zeros(m, np.int64)
+        unit, node = np.arange(m), np.zeros(m, np.int64)
+        for k in range(i, min(i + trie.longest, len(live))):
+            some = np.searchsorted(unit, live[k])
+            unit, at = unit[:some], base[k] + unit[:some]
+            node = trie.step(node[:some], code[at])
+            met = np.flatnonzero(node >= 0)
+            if not len(met):
+                break
+            unit, node, at = unit[met], node[met], at[met]
+            piece = trie.piece[node]
+            whole = np.flatnonzero(piece >= 0)
+            reached, to = before[unit[whole]] + trie.micro[node[whole]], at[whole]
+            better = reached > score[to]
+            to = to[better]
+            score[to], back[to], last[to] = reached[better], i, piece[whole[better]]
+        here = np.arange(base[i], base[i] + m)
+        reached = before + by_bytes[here]
+        better = reached > score[here]
+        here = here[better]
+        score[here], back[here], last[here] = reached[better], i, -1
+    ends, steps = np.flatnonzero(length > 0), []
+    upto = length[ends]
+    while len(ends):
+        at = base[upto - 1] + ends
+        steps.append((ends, at))
+        upto = back[at]
+        ends, upto = ends[upto > 0], upto[upto > 0]
+    count = np.zeros(len(distinct), np.int64)
+    for unit, _ in steps:
+        count[order[unit]] += 1
+    after = np.cumsum(count)
+    places = np.zeros(int(count.sum()), np.int64)
+    for k, (unit, at) in enumerate(steps):
+        places[after[order[unit]] - 1 - k] = at
+    return _with_bytes(last[places], chars[places], count, byte_ids)
+
+
+def _utf8_sizes(points: np.ndarray) -> np.ndarray:
+    return 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+
+
+def _with_bytes(ids: np.ndarray, chars: np.ndarray, count: np.ndarray, byte_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of -1 as the byte pieces of their character."""
+    some = np.flatnonzero(ids < 0)
+    if not len(some):
+        return ids, count
+    each, of = np.unique(chars[some], return_inverse=True)
+    spelled = [chr(c).encode() for c in each.tolist()]
+    size = np.array([len(s) for s in spelled])
+    width = np.ones(len(ids), np.int64)
+    width[some] = size[of]
+    out = np.repeat(ids, width)
+    flat = byte_ids[np.frombuffer(b"".join(spelled), np.uint8)]
+    out[_ranges((np.cumsum(width) - width)[some], size[of])] = flat[_ranges((np.cumsum(size) - size)[of], size[of])]
+    return out, np.bincount(np.repeat(np.arange(len(count)), count), weights=width, minlength=len(count)).astype(np.int64)
+
+
+class _Words:
+    """Words met so far, by number, with their ids in flat arrays."""
+
+    def __init__(self, tables, by_suffix):
+        self.trie, self.byte_ids, self.cut, spelled = tables
+        self.by_suffix = by_suffix
+        self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
+        self.size = np.array([len(s) for s in spelled])
+        self.first = np.cumsum(self.size) - self.size
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.chars = 0
+        self.ids, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def units(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units, and their number per unit, held to the bytes of the units."""
+        length = np.fromiter(map(len, distinct), np.int64, len(distinct))
+        long = np.flatnonzero(length > UNIT_CHARS).tolist()
+        ids, count = lattice([u if len(u) <= UNIT_CHARS else "" for u in distinct] if long else distinct, self.trie, self.byte_ids)
+        if long:
+            between = np.split(ids, (np.cumsum(count) - count)[long])
+            apart = [np.array(best_pieces(distinct[k], *self.by_suffix.value), np.int32) for k in long]
+            ids = np.concatenate([between[0], *(x for pair in zip(apart, between[1:], strict=True) for x in pair)])
+            count[long] = [len(x) for x in apart]
+        whole = "".join(distinct)
+        size = self.size[ids]
+        lengths = np.bincount(np.repeat(np.arange(len(count)), count), weights=size, minlength=len(count))
+        points = np.concatenate([[0], np.cumsum(_utf8_sizes(np.frombuffer(whole.encode("utf-32-le"), np.uint32)))])
+        wanted = np.diff(points[np.concatenate([[0], np.cumsum(length)])])
+        text = np.frombuffer(whole.encode(), np.uint8)
+        wrong = np.flatnonzero(lengths != wanted)
+        if not len(wrong):
+            different = np.flatnonzero(self.spelled[_ranges(self.first[ids], size)] != text)
+            wrong = np.searchsorted(np.cumsum(wanted), different, side="right")
+        if len(wrong):
+            raise ValueError(f"the lattice has no segmentation of {distinct[int(wrong[0])]!r}")
+        return ids, count
+
+    def add(self, new: list[str]) -> None:
+        if not new:
+            return
+        parts = [self.cut.split(w) for w in new]
+        distinct: dict[str, int] = {}
+        of = np.array([distinct.setdefault(u, len(distinct)) for us in parts for u in us])
+        ids, count = self.units(list(distinct))
+        first = np.cumsum(count) - count
+        n_units = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        self.chars += sum(map(len, new))
+        self.ids = np.concatenate([self.ids, ids[_ranges(first[of], count[of])]])
+        self.count = np.concatenate([self.count, np.add.reduceat(count[of], np.cumsum(n_units) - n_units)])
+
+    def segmented(self, texts: pa.Array) -> tuple[list[int], pa.ListArray]:
+        """Number of words and ids of each text."""
+        split = [words(t.as_py()) for t in texts]
+        if len(self.number) > KNOWN_WORDS or self.chars > 16 * KNOWN_WORDS:
+            self.forget()
+        self.add(list(set().union(*split).difference(self.number)))
+        n_words = [len(s) for s in split]
+        number = self.number
+        met = np.fromiter((number[w] for s in split for w in s), np.int64, sum(n_words))
+        count = self.count[met]
+        ids = self.ids[_ranges((np.cumsum(self.count) - self.count)[met], count)]
+        offsets = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(n_words)]).astype(np.int64)]
+        return n_words, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
 
 
 _OUT = pa.schema([("id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("pieces", pa.list_(pa.int32()))])
 _OUT_TYPES = "id bigint, text string, n_words bigint, pieces array<int>"
 
 
-class _UnitIds:
-    """Ids of a block's units, by the hash of the unit, in flat arrays; rows come in the order of their hashes."""
-
-    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        self.hashes, self.ids = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-        self.starts = np.concatenate([[0], np.cumsum(np.concatenate([p[2] for p in parts]))])
-
-    def get(self, unit: bytes) -> tuple[int, ...]:
-        h = xxhash.xxh64_intdigest(unit, seed=42)
-        h -= (h >> 63) << 64
-        at = int(np.searchsorted(self.hashes, h))
-        if at == len(self.hashes) or self.hashes[at] != h:
-            return ()
-        return tuple(self.ids[self.starts[at] : self.starts[at + 1]].tolist())
-
-
-def _assemble(shared):
-    """Sorted rows of a block: the ids of its units first, by hash, then its packed documents."""
-
+def _segment(tables, by_suffix):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled, cut, *pieces_of = shared.value
-        now, parts, table, known = None, [], None, {}
-
-        def ids_of(word: str) -> Sequence[int]:
-            out: list[int] = []
-            for unit in cut.split(word):
-                ids = table.get(unit.encode()) if len(unit) <= UNIT_CHARS else best_pieces(unit, *pieces_of)
-                if b"".join(spelled[i] for i in ids) != unit.encode():
-                    raise ValueError(f"the lattice has no segmentation of {unit!r}")
-                out += ids
-            if len(known) >= KNOWN_WORDS:
-                known.clear()
-            if len(word) <= UNIT_CHARS:
-                known[word] = tuple(out)
-            return out
-
+        known = _Words(tables.value, by_suffix)
         for batch in batches:
-            blocks, are_text = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            k = 0
-            while k < batch.num_rows:
-                if blocks[k] != now:
-                    now, parts, table, known = blocks[k], [], None, {}
-                if not are_text[k]:
-                    same = np.flatnonzero((blocks[k:] != now) | are_text[k:])
-                    end = k + int(same[0]) if len(same) else batch.num_rows
-                    ids = batch.column(3).slice(k, end - k)
-                    hashes = batch.column(2).slice(k, end - k).to_numpy()
-                    parts.append((hashes.copy(), ids.flatten().to_numpy().copy(), ids.value_lengths().to_numpy()))
-                    k = end
-                    continue
-                if table is None and parts:
-                    table, parts = _UnitIds(parts), []
-                k += 1
-                for docs in pa.ipc.open_stream(batch.column(4)[k - 1].as_py()):
-                    for at in range(0, docs.num_rows, 500):
-                        part = docs.slice(at, 500)
-                        split = [words(t.as_py()) for t in part.column(1)]
-                        pieces = [[i for w in s for i in (known.get(w) or ids_of(w))] for s in split]
-                        yield pa.RecordBatch.from_arrays(
-                            [part.column(0), part.column(1), pa.array(map(len, split), pa.int64()), pa.array(pieces, pa.list_(pa.int32()))],
-                            schema=_OUT,
-                        )
+            upto = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))])
+            a = 0
+            while a < batch.num_rows:
+                b = max(a + 1, int(np.searchsorted(upto, upto[a] + PART_BYTES, side="right")) - 1)
+                part = batch.slice(a, b - a)
+                n_words, pieces = known.segmented(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n_words, pa.int64()), pieces], schema=_OUT)
+                a = b
 
     return run
 
@@ -244,11 +269,10 @@ def encode(
 ) -> DataFrame:
     """Segment texts into pieces: ``id_col``, ``text_col``, ``n_words``, ``pieces`` (ids), one row per document.
 
-    Only distinct units go through the lattice; those of more than ``UNIT_CHARS`` are segmented where their documents are. Documents are dealt into blocks: the split of the input file they come from
-    and a hash of the id (``blocks`` of them; raise it for splits of more than some 50 MB). Rows that come from no file, because they were made or shuffled, fall
-    into blocks of some ``BLOCK_BYTES`` by the hash of id and text. A block's distinct units
-    find their ids by a join on the unit and return to the block, one row each, where its packed documents wait; so texts move once,
-    compressed, and a task holds the units of one block.
+    Only distinct units go through the lattice; those of more than ``UNIT_CHARS`` are segmented one by one. A task takes the documents of its split of an input file
+    a megabyte at a time, and keeps the ids of the words it met; nothing is shuffled or written. With ``blocks`` above 1, documents of a split are dealt
+    into as many blocks by a hash of the id. Rows that come from no file, because they were made or shuffled, fall into blocks of
+    some ``BLOCK_BYTES`` by the hash of id and text.
 
     Null and empty texts have no pieces, and an empty table gives none. One row out per row in, whatever the ids. Other columns are ignored. U+2581 in a
     text is read as a blank, as in the library that defines these models.
@@ -256,27 +280,23 @@ def encode(
     spark = docs.sparkSession
     plain = {p: (i, round(s * 10**DIGITS)) for i, p, s, byte in vocabulary(model) if byte < 0}
     byte_ids = [i for _, i in sorted((byte, i) for i, _, _, byte in vocabulary(model) if byte >= 0)]
-    cut = cut_pattern(plain)
+    if len(byte_ids) != 256:
+        raise ValueError(f"{model} has no byte pieces")
     sizes = docs.select(F.when(F.input_file_name() == "", F.octet_length(F.col(text_col).cast("string"))).alias("size"))
     loose = sizes.agg(F.sum("size")).first()[0] or 0
     by_hash = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 + loose // BLOCK_BYTES))
     by_file = F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)))
     block = F.when(F.input_file_name() == "", by_hash).otherwise(by_file)
-    read = docs.select(
-        block.alias("block"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")
-    )
-    found = stage(read.select("block", "text").mapInArrow(_distinct_units(cut), "block bigint, unit string"), "units")
-    dealt = found.repartition(SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions")), "unit")
-    # Both uses read (block, unit), so the units are dealt once.
-    distinct = dealt.groupBy("unit").agg(F.min("block").alias("b")).filter("b IS NOT NULL").select("unit")
-    back = dealt.join(lattice(distinct, model).hint("merge"), "unit").select("block", F.xxhash64("unit").alias("hash"), "ids")
-    shared = spark.sparkContext.broadcast((
-        _spelled(model), cut, ends_of_pieces({p: s for p, (_, s) in plain.items()}), {p: i for p, (i, _) in plain.items()}, byte_ids,
-    ))
-    ids = back.select("block", F.lit(False).alias("is_text"), "hash", "ids", F.lit(None).cast("binary").alias("packed"))
-    rows = ids.unionByName(read.select("block", "id", "text").mapInArrow(_pack, _PACKED))
-    sorted_rows = rows.repartition("block").sortWithinPartitions("block", "is_text", "hash")
-    return sorted_rows.mapInArrow(_assemble(shared), _OUT_TYPES).withColumnsRenamed({"id": id_col, "text": text_col})
+    columns = F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")
+    read = docs.select(*columns)
+    if loose or blocks > 1:
+        read = docs.select(block.alias("block"), *columns).repartition("block").select("id", "text")
+    spelled = _spelled(model)
+    cut = cut_pattern(plain)
+    tables = PieceTrie.of(plain), np.array(byte_ids, np.int32), cut, [spelled.get(i, b"") for i in range(max(spelled) + 1)]
+    suffixes = ends_of_pieces({p: s for p, (_, s) in plain.items()}), {p: i for p, (i, _) in plain.items()}, byte_ids
+    run = _segment(spark.sparkContext.broadcast(tables), spark.sparkContext.broadcast(suffixes))
+    return read.mapInArrow(run, _OUT_TYPES).withColumnsRenamed({"id": id_col, "text": text_col})
 
 
 def decode(encoded: DataFrame, pieces_col: str = "pieces", name: str = "decoded", model: str = DEFAULT_MODEL) -> DataFrame:
@@ -289,10 +309,16 @@ def decode(encoded: DataFrame, pieces_col: str = "pieces", name: str = "decoded"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelled = shared.value
         for batch in batches:
-            out = []
-            for ids in batch.column(at).to_pylist():
-                text = None if ids is None else b"".join(map(spelled.__getitem__, ids)).decode("utf-8", "replace")
-                out.append(text if not text else text.removeprefix(BLANK).replace(BLANK, " "))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, name])
+            upto = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))])
+            a = 0
+            while a < batch.num_rows:
+                b = max(a + 1, int(np.searchsorted(upto, upto[a] + DECODED_IDS, side="right")) - 1)
+                part = batch.slice(a, b - a)
+                out = []
+                for row in part.column(at):
+                    text = b"".join(map(spelled.__getitem__, row.as_py())).decode("utf-8", "replace") if row.is_valid else None
+                    out.append(text if not text else text.removeprefix(BLANK).replace(BLANK, " "))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], names=[*batch.schema.names, name])
+                a = b
 
     return encoded.mapInArrow(run, schema)
