@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textreg.operators import models as M
 from textreg.operators import trees as T
 from textreg.plans import blocks as B
-from textreg.plans.blocks import Blocks, Fit
+from textreg.plans.blocks import Block, Blocks, Fit
 
 
 def sample(n=140, d=9, seed=3):
@@ -239,3 +239,25 @@ def test_a_forest_moves_few_entries_of_large_nodes_and_few_nodes_at_a_time(spark
     monkeypatch.undo()
     local = M.fit_model(rows, "RandomForest", "dense", trees=2)
     assert np.allclose(got, [p["prediction"] for p in local.transform(rows).orderBy("row_index").collect()], atol=1e-9)
+
+
+def test_full_rows_grow_the_tree_of_stored_entries(monkeypatch):
+    """Rows that store every feature are split feature by feature, into the very tree that entries give; others are not."""
+    r = np.random.default_rng(4)
+    for n, d, levels in ((1, 3, 2), (40, 1, 3), (300, 5, 4), (400, 6, 1000)):
+        x = np.round(r.normal(size=(n, d)) * levels) / levels
+        y = np.round(x[:, 0] * 3 + r.normal(size=n))
+        block = Block(np.arange(n + 1) * d, np.tile(np.arange(d, dtype=np.int32), n), x.ravel(), y, np.zeros((n, 1), np.int32), np.arange(n))
+        for weight in (np.ones(n), T.drawn(block.row, 3, 42), np.zeros(n)):
+            for kept in (None, [0, d - 1]):
+                block.kept.clear()
+                assert T._columns(block, kept) is not None
+                mine = T.exact_tree(block, weight, kept)
+                block.kept.clear()
+                with monkeypatch.context() as m:
+                    m.setattr(T, "_columns", lambda *_: None)
+                    plain = T.exact_tree(block, weight, kept)
+                for c in ("feature", "threshold", "absent_left", "left", "right", "value"):
+                    assert (getattr(mine, c) == getattr(plain, c)).all()
+    absent = Block(np.array([0, 2, 3]), np.array([0, 1, 1], np.int32), np.ones(3), np.arange(2.0), np.zeros((2, 1), np.int32), np.arange(2))
+    assert T._columns(absent, None) is None

@@ -488,12 +488,116 @@ def _values(block: Block, kept: Sequence[int] | None) -> tuple[np.ndarray, ...]:
     return block.kept["values"]
 
 
+def _columns(block: Block, kept: Sequence[int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Features, their values in a line per feature, and the rows in the order of each; nothing, unless every row stores every feature."""
+    if "columns" not in block.kept:
+        n = len(block.y)
+        width = int(block.starts[1]) if n else 0
+        found = None
+        if width and (np.diff(block.starts) == width).all() and np.isfinite(block.values).all():
+            listed = block.indices.reshape(n, width)
+            if (listed == listed[0]).all() and (np.diff(listed[0]) > 0).all():
+                some = np.arange(width) if kept is None else np.flatnonzero(np.isin(listed[0], np.asarray(kept, np.int64)))
+                x = np.ascontiguousarray(block.values.reshape(n, width)[:, some].T)
+                order = np.empty(x.shape, np.int32)
+                for k in range(len(some)):
+                    order[k] = np.argsort(x[k], kind="stable")
+                found = listed[0][some].astype(np.int64), x, order
+        block.kept["columns"] = found
+    return block.kept["columns"]
+
+
+def _gains(x: np.ndarray, order: np.ndarray, weight: np.ndarray, wy: np.ndarray, starts: np.ndarray, sizes: np.ndarray, w: np.ndarray, s: np.ndarray):
+    """What a split behind each row is worth, for rows of one feature in the order of node and value, with the weight and target up to it. ``w`` and ``s`` are the sums of
+    the node of each row."""
+    value, own_w, own_s = x[order], weight[order], wy[order]
+    left_w, left_s = np.cumsum(own_w), np.cumsum(own_s)
+    left_w -= np.repeat(left_w[starts] - own_w[starts], sizes)
+    left_s -= np.repeat(left_s[starts] - own_s[starts], sizes)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = left_s**2 / left_w + (s - left_s) ** 2 / (w - left_w)
+    gain[:-1][value[1:] <= value[:-1]] = -np.inf
+    gain[starts + sizes - 1] = -np.inf
+    return gain, value, left_w, left_s
+
+
+def _full_tree(found: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, weight: np.ndarray) -> Tree:
+    """``exact_tree`` of rows that store every feature: the rows of a level lie in the order of node and value, feature by feature."""
+    features, x, order = found
+    grown = _Growing()
+    total = weight.sum()
+    grown.node(float(weight @ y / total) if total else 0.0)
+    wy = weight * y
+    node_of = np.where(weight > 0, 0, -1).astype(np.int32)
+    names = np.array([0])
+    lines = list(order)
+    while len(names):
+        k = len(names)
+        inside = np.flatnonzero(node_of >= 0)
+        at = node_of[inside]
+        low, high = np.full(k, np.inf), np.full(k, -np.inf)
+        np.minimum.at(low, at, y[inside])
+        np.maximum.at(high, at, y[inside])
+        # Nodes are numbered anew without those whose targets are equal.
+        uneven = low < high
+        number = np.append(np.where(uneven, np.cumsum(uneven) - 1, -1), -1).astype(np.int32)
+        node_of, names = number[node_of], names[uneven]
+        k = len(names)
+        if not k:
+            break
+        inside = np.flatnonzero(node_of >= 0)
+        at = node_of[inside]
+        sizes = np.bincount(at, minlength=k)
+        starts = np.cumsum(sizes) - sizes
+        node_w, node_s = (np.bincount(at, weights=c[inside], minlength=k) for c in (weight, wy))
+        w, s = np.repeat(node_w, sizes), np.repeat(node_s, sizes)
+        top = np.full((len(features), k), -np.inf)
+        for j in range(len(features)):
+            line, node = lines[j], node_of[lines[j]]
+            if len(line) > len(inside):
+                live = node >= 0
+                line, node = line[live], node[live]
+            # A stable sort by node, in linear time for 16 bits, keeps the order of values.
+            lines[j] = line[np.argsort(node.astype(np.uint16) if k < 1 << 16 else node, kind="stable")]
+            top[j] = np.maximum.reduceat(_gains(x[j], lines[j], weight, wy, starts, sizes, w, s)[0], starts)
+        best = top.max(axis=0, initial=-np.inf)
+        least = best - np.abs(best) * 1e-12
+        with np.errstate(invalid="ignore"):
+            chosen = np.where(np.isfinite(best), np.argmax(top >= least, axis=0), -1)
+        threshold, sums = np.zeros(k), np.zeros((k, 2))
+        for j in np.unique(chosen[chosen >= 0]).tolist():
+            mine = np.flatnonzero(chosen == j)
+            size = sizes[mine]
+            upto = np.cumsum(size)
+            first = upto - size
+            places = np.repeat(starts[mine] - first, size) + np.arange(upto[-1])
+            gain, value, left_w, left_s = _gains(x[j], lines[j][places], weight, wy, first, size, w[places], s[places])
+            near = np.flatnonzero(gain >= np.repeat(least[mine], size))
+            c = near[np.unique(np.repeat(np.arange(len(mine)), size)[near], return_index=True)[1]]
+            middle = (value[c] + value[c + 1]) / 2
+            threshold[mine] = np.where((value[c] <= middle) & (middle < value[c + 1]), middle, value[c])
+            right_w, right_s = node_w[mine] - left_w[c], node_s[mine] - left_s[c]
+            sums[mine] = np.stack([left_s[c] / left_w[c], right_s / right_w], axis=1)
+        children, following = np.full(k, -1), []
+        for n in np.flatnonzero(chosen >= 0).tolist():
+            children[n] = len(following)
+            following += grown.split(int(names[n]), int(features[chosen[n]]), float(threshold[n]), bool(threshold[n] >= 0), (float(sums[n, 0]), float(sums[n, 1])))
+        above = x[chosen[at], inside] > threshold[at]
+        node_of[inside] = np.where(chosen[at] >= 0, children[at] + above, -1)
+        names = np.array(following, np.int64)
+    return grown.tree()
+
+
 def exact_tree(block: Block, weight: np.ndarray, kept: Sequence[int] | None = None) -> Tree:
     """A tree grown until the rows of a leaf have one target or equal features.
 
     Entries are kept sorted by (feature, value), absent ones are zeros. All nodes of a level are split together: running sums of weight and
     target along each (node, feature) give the squared error of every split between two neighbouring values; ties go to the lower feature and value.
+    Rows that store every feature are taken feature by feature (``_full_tree``).
     """
+    full = _columns(block, kept)
+    if full is not None:
+        return _full_tree(full, block.y, weight)
     row, number, feature, value, zero = _values(block, kept)
     grown = _Growing()
     drawn_rows = weight > 0
@@ -939,7 +1043,8 @@ def forest(blocks: Blocks | Local, fit: Fit, trees: int = 100, bootstrap: bool =
         # A node whose targets are equal is a leaf.
         spread = ss - np.where(w > 0, s * s / np.maximum(w, 1), 0)
         uneven = spread > least_spread * np.maximum(ss, 1e-300)
-        small = [k for k in range(n) if uneven[k] and rows[k] <= NODE_ROWS]
+        # Nodes of like size go together: a batch waits for its largest.
+        small = sorted((k for k in range(n) if uneven[k] and rows[k] <= NODE_ROWS), key=lambda k: -rows[k])
         large = [k for k in range(n) if uneven[k] and rows[k] > NODE_ROWS]
         following = []
         entries = blocks.entries / max(blocks.n_rows, 1)
