@@ -1,5 +1,7 @@
 """Word-vector files in both layouts and any number of ranges."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -54,3 +56,33 @@ def test_folders_counts_and_broken_files(spark, tmp_path):
         read_vectors(spark, str(tmp_path / "broken"), "binary").collect()
     with pytest.raises(Exception, match="two counts"):
         read_vectors(spark, str(tmp_path / "folder"), "binary").collect()
+
+
+def test_word_vectors_are_added_where_the_tokens_lie(spark):
+    """No term of a document becomes a row. Rows of one name are pooled as one, a term given twice counts twice, lists and vectors may be null."""
+    from textreg.operators.dense import word_vector_mean
+
+    vectors = [("a", [1.0, 2.0]), ("b", [3.0, None]), ("b", [5.0, 1.0]), ("c", None), (None, [9.0, 9.0])]
+    docs = [(1, ["a", "b", "x"]), (1, ["a"]), (2, ["x", None, "c"]), (3, []), (None, ["a", "a"]), (4, None)]
+    table = spark.createDataFrame(vectors, "term string, vec array<float>")
+    out = word_vector_mean(spark.createDataFrame(docs, "row_index bigint, tokens array<string>"), table)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    want = {1: [(1 + 3 + 5 + 1) / 4, (2 + 0 + 1 + 2) / 4], 2: [0.0, 0.0], 3: [0.0, 0.0], 4: [0.0, 0.0], None: [1.0, 2.0]}
+    assert {r["row_index"]: r["embedding"] for r in out.collect()} == want and out.count() == 5
+
+
+def test_hashing_encoder_counts_every_token():
+    import hashlib
+
+    from textreg.operators.dense import hashing_encoder
+
+    texts = ["One two, two; THREE.", "", "  ", "word " * 50 + "x_1 é!"]
+    for size, most in ((8, None), (5, 3)):
+        got = hashing_encoder(size, most)()(texts)
+        for text, row in zip(texts, got, strict=True):
+            want = [0.0] * size
+            for token in re.findall(r"\w+|[^\w\s]", text.lower())[:most]:
+                digest = int.from_bytes(hashlib.md5(token.encode()).digest()[:8], "big")
+                want[digest % size] += 1 if digest >> 63 else -1
+            length = sum(x * x for x in want) ** 0.5 or 1
+            assert all(abs(x - y / length) < 1e-6 for x, y in zip(row, want, strict=True))
